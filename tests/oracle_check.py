@@ -1,0 +1,41 @@
+"""Runs registered queries in Spark and in DuckDB and compares the rows."""
+
+from __future__ import annotations
+
+import glob
+import math
+import os
+
+import duckdb
+
+
+def duck(sf_dir: str):
+    connection = duckdb.connect()
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        name = os.path.basename(path).removesuffix(".parquet")
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+    return connection
+
+
+def _plain(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else float(repr(value + 0.0))
+    return value
+
+
+def _rows(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(_plain(row[i]) for i in order) for row in rows), key=repr)
+
+
+def compare(frame, connection, sql) -> tuple[int, list]:
+    """Number of rows, and the first differences (empty when all rows are equal)."""
+    result = connection.execute(sql)
+    duck_columns = [column[0] for column in result.description]
+    expected = _rows(duck_columns, result.fetchall())
+    if sorted(frame.columns) != sorted(duck_columns):
+        return 0, [("columns", sorted(frame.columns), sorted(duck_columns))]
+    found = _rows(frame.columns, [tuple(row) for row in frame.collect()])
+    if len(found) != len(expected):
+        return len(found), [("rows", len(found), len(expected))]
+    return len(found), [(a, b) for a, b in zip(found, expected) if a != b][:3]
