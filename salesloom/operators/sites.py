@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -31,6 +32,9 @@ LOCATION_KEYS = ("latitude", "longitude", "menu_type", "item_category", "season"
 # ones come out on every run.
 STEP_LAT, STEP_LON = 0.7548776662466927, 0.5698402909980532
 
+# Training rows per task, the fewest that are worth a task of their own.
+ROWS_PER_TASK = 50_000
+
 def location_sales(sales: DataFrame) -> DataFrame:
     """Total sales by place, menu, category, season and time of day."""
     return sales.groupBy(*LOCATION_KEYS).agg(F.sum("price").alias("total_sales"))
@@ -123,13 +127,15 @@ def fit_site_model(
 
     One fitted pipeline encodes training rows and candidate sites alike; a
     category it never saw gets its own slot. Every tree level passes over the
-    training rows, so they are kept for the time of the fit.
+    training rows, so they are kept for the time of the fit, in tasks sized by
+    their number: hundreds of short passes over few rows cost mostly task starts.
     """
     use_shared_checkpoints(locations.sparkSession)
     usable = with_ordinals(with_split(locations)).filter("split = 'train'")
     usable = usable.dropna(subset=["latitude", "longitude", "season_encoded", "item_category", "total_sales"])
     training = usable.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        tasks = math.ceil(training.count() / ROWS_PER_TASK) or 1
         return Pipeline(
             stages=[
                 StringIndexer(
@@ -153,7 +159,7 @@ def fit_site_model(
                     seed=seed,
                 ),
             ]
-        ).fit(training)
+        ).fit(training.coalesce(tasks))
     finally:
         training.unpersist()
 

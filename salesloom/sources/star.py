@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesloom.sources.sales import ALL_COLUMNS
@@ -31,11 +31,9 @@ STAR_MENUS = (
 STAR_CENTERS = (("NATION_3", 50.0647, 19.9450), ("NATION_9", 52.2298, 21.0118))
 
 
-def _word(number: int):
-    return F.split("p_name", " ")[number]
 
 
-def _from_lineitem() -> dict:
+def _lineitem_columns() -> dict[str, Column]:
     return {
         "price": F.col("l_extendedprice"),
         "quantity": F.col("l_quantity"),
@@ -45,7 +43,7 @@ def _from_lineitem() -> dict:
     }
 
 
-def _from_orders() -> dict:
+def _order_columns() -> dict[str, Column]:
     hour = (F.col("o_orderkey") * 7 + F.col("l_linenumber") * 5) % 24
     return {
         "order_total": F.col("o_totalprice"),
@@ -53,40 +51,42 @@ def _from_orders() -> dict:
     }
 
 
-def _from_part() -> dict:
+def _part_columns() -> dict[str, Column]:
+    words = F.split("p_name", " ")
     return {
         "truck_brand_name": F.col("p_brand"),
         "menu_type": F.col("p_type"),
-        "item_subcategory": _word(0),
-        "item_category": _word(1),
+        "item_subcategory": words[0],
+        "item_category": words[1],
         "menu_item_name": F.col("p_name"),
         "cost_of_goods_usd": F.col("p_retailprice"),
     }
 
 
-def _from_nation() -> dict:
-    return {"city": F.col("n_name")}
-
-
 def star_sales(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ALL_COLUMNS) -> DataFrame:
-    """The wanted columns of the sales facts."""
+    """The wanted columns of the sales facts.
+
+    Orders are joined first and parts last: what is shuffled in between is keys
+    and numbers, and the strings of the parts come in where no further shuffle of
+    order lines follows. Part columns are worked out once per part, before the join.
+    """
 
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-    wanted = set(columns)
+    of_line, of_order, of_part = _lineitem_columns(), _order_columns(), _part_columns()
     sales = table("lineitem")
-    expressions = _from_lineitem()
-    if wanted & _from_part().keys():
-        sales = sales.join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
-        expressions |= _from_part()
-    if wanted & _from_nation().keys():
-        # The two small tables meet first, so a city filter shrinks the
-        # suppliers before they meet the order lines.
-        places = table("supplier").join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        sales = sales.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
-        expressions |= _from_nation()
-    if wanted & _from_orders().keys():
+    if any(name in of_order for name in columns):
         sales = sales.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        expressions |= _from_orders()
-    return sales.select(*(expressions[name].alias(name) for name in columns))
+        of_line |= of_order
+    if "city" in columns:
+        places = table("supplier").join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        sales = sales.join(
+            places.select("s_suppkey", F.col("n_name").alias("city")), F.col("l_suppkey") == F.col("s_suppkey")
+        )
+    if any(name in of_part for name in columns):
+        parts = table("part").select(
+            "p_partkey", *(value.alias(name) for name, value in of_part.items() if name in columns)
+        )
+        sales = sales.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return sales.select(*(of_line.get(name, F.col(name)).alias(name) for name in columns))
