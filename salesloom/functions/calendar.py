@@ -17,9 +17,13 @@ from salesloom.functions.fixed_values import (
 
 
 def season(ts: Column) -> Column:
-    """Season name; null for a null timestamp."""
+    """Season name; null for a null timestamp.
+
+    ``try_element_at``, because ``element_at`` in ANSI mode is typed as never null
+    here and would turn a null position into some season.
+    """
     quarter_from_december = F.floor(F.month(ts) % 12 / 3).cast("int")
-    return F.element_at(F.array(*map(F.lit, SEASONS_FROM_DECEMBER)), quarter_from_december + 1)
+    return F.try_element_at(F.array(*map(F.lit, SEASONS_FROM_DECEMBER)), quarter_from_december + 1)
 
 
 def daypart(ts: Column) -> Column:

@@ -1,0 +1,76 @@
+import datetime as dt
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from salesloom.session import build_session  # noqa: E402
+
+TESTDATA = "/root/testdata"
+
+FACTS_SCHEMA = (
+    "truck_brand_name string, menu_type string, item_category string, item_subcategory string, "
+    "menu_item_name string, city string, price double, order_total double, quantity double, "
+    "unit_price double, cost_of_goods_usd double, order_ts timestamp_ntz, latitude double, longitude double"
+)
+
+DEFAULT_ROW = {
+    "truck_brand_name": "Truck A",
+    "menu_type": "Tacos",
+    "item_category": "Main",
+    "item_subcategory": "Hot Option",
+    "menu_item_name": "Taco",
+    "city": "Warsaw",
+    "price": 10.0,
+    "order_total": 20.0,
+    "quantity": 1.0,
+    "unit_price": 10.0,
+    "cost_of_goods_usd": 4.0,
+    "order_ts": dt.datetime(2022, 6, 15, 13),
+    "latitude": 52.2,
+    "longitude": 21.0,
+}
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
+    session = build_session(
+        "salesloom-tests",
+        "local[8]",
+        {
+            "spark.sql.shuffle.partitions": "8",
+            "spark.driver.memory": "8g",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+        },
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    if session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def facts(spark):
+    """Sales facts from partial rows; what a row leaves out has a default."""
+
+    def build(*rows):
+        names = [field.split()[0] for field in FACTS_SCHEMA.split(", ")]
+        full = [tuple({**DEFAULT_ROW, **row}[name] for name in names) for row in rows]
+        return spark.createDataFrame(full, FACTS_SCHEMA)
+
+    return build
+
+
+@pytest.fixture(scope="session")
+def tiny():
+    return f"{TESTDATA}/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def small():
+    return f"{TESTDATA}/sf0.01"

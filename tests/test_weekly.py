@@ -1,0 +1,79 @@
+import datetime as dt
+import random
+
+import pandas as pd
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from salesloom.operators.weekly import weekly_category_sales, weekly_long, weekly_wide
+
+START = dt.datetime(2022, 1, 1)
+
+
+def resampled(sales: list[tuple[str, int, float]]) -> dict:
+    """The same weeks by pandas: pivot to days, resample, drop the last week."""
+    frame = pd.DataFrame(sales, columns=["category", "day", "price"])
+    frame["date"] = pd.Timestamp(START) + pd.to_timedelta(frame["day"], unit="D")
+    days = frame.pivot_table(index="date", columns="category", values="price", aggfunc="sum").fillna(0)
+    weeks = days.resample("W").sum().iloc[:-1]
+    return {(week.date(), name): weeks.loc[week, name] for week in weeks.index for name in weeks.columns}
+
+
+def by_spark(facts, sales):
+    rows = ({"item_category": c, "order_ts": START + dt.timedelta(days=d, hours=23), "price": p} for c, d, p in sales)
+    return {(row.week_end, row.item_category): row.y for row in weekly_category_sales(facts(*rows)).collect()}
+
+
+def assert_same(facts, sales):
+    got, expected = by_spark(facts, sales), resampled(sales)
+    assert got.keys() == expected.keys()
+    assert all(got[key] == pytest.approx(expected[key]) for key in expected)
+
+
+def test_gap_of_two_weeks(facts):
+    assert_same(facts, [("a", 0, 1.0), ("a", 1, 2.0), ("a", 2, 4.0), ("a", 23, 8.0), ("a", 40, 16.0)])
+
+
+def test_category_absent_at_both_ends(facts):
+    assert_same(facts, [("a", 0, 1.0), ("b", 15, 2.0), ("a", 50, 4.0)])
+
+
+def test_category_only_in_the_last_week_is_all_zero(facts):
+    assert_same(facts, [("a", 0, 1.0), ("a", 30, 2.0), ("b", 30, 4.0)])
+
+
+def test_one_week_leaves_nothing(facts):
+    assert by_spark(facts, [("a", 2, 1.0), ("a", 3, 1.0)]) == {}
+
+
+def test_no_sales(facts):
+    assert weekly_category_sales(facts({}).filter("price < 0")).count() == 0
+
+
+def test_null_prices_and_null_timestamps(facts):
+    sales = facts(
+        {"order_ts": START, "price": None},
+        {"order_ts": START + dt.timedelta(days=14)},
+        {"order_ts": None},
+    )
+    assert [row.y for row in weekly_category_sales(sales).orderBy("week_end").collect()] == [0.0, 0.0]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 10**6))
+def test_random_series_equal_pandas(facts, seed):
+    draw = random.Random(seed)
+    assert_same(facts, [(draw.choice("abc"), draw.randrange(200), draw.randrange(1000) / 4) for _ in range(30)])
+
+
+def test_wide_and_back(facts):
+    weekly = weekly_category_sales(
+        facts(
+            {"item_category": "a", "order_ts": START},
+            {"item_category": "b", "order_ts": START + dt.timedelta(days=30)},
+        )
+    )
+    back = weekly_long(weekly_wide(weekly, ["a", "b"]))
+    key = lambda row: (row.week_end, row.item_category, row.y)
+    assert sorted(map(key, back.collect())) == sorted(map(key, weekly.collect()))
