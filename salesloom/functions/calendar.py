@@ -53,16 +53,17 @@ def week_end(date: Column) -> Column:
     return F.next_day(F.date_sub(date, 1), "SUN")
 
 
+def new_year(year: int) -> Column:
+    """First moment of a year."""
+    return F.make_timestamp_ntz(*(F.lit(part) for part in (year, 1, 1, 0, 0, 0)))
+
+
 def within_years(ts: Column, first: int, last: int) -> Column:
     """Rows of the years ``first`` to ``last``, as a plain range on the timestamp.
 
     ``year(ts)`` in a filter cannot be compared with Parquet statistics; the
     half-open range can, so row groups of other years are skipped.
     """
-
-    def new_year(year: int) -> Column:
-        return F.make_timestamp_ntz(*(F.lit(part) for part in (year, 1, 1, 0, 0, 0)))
-
     return (ts >= new_year(first)) & (ts < new_year(last + 1))
 
 

@@ -12,12 +12,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from salesloom.functions.calendar import with_calendar
 from salesloom.functions.encoding import one_hot, with_ordinals
 from salesloom.functions.fixed_values import GEO_SAMPLE_SEED
 from salesloom.operators import forecast, menus, options, profit, sites, summaries, weekly
 from salesloom.operators.filters import SalesFilter, at_location
+from salesloom.plans.hotspots import Hotspots
 from salesloom.sources.dimensions import city_table, menu_table
 from salesloom.sources.sales import GEO_COLUMNS, SALES_COLUMNS, sample_sales
 from salesloom.sources.star import STAR_CENTERS, STAR_MENUS, star_sales
@@ -72,10 +74,18 @@ def _all_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.location_sales(with_calendar(star_sales(spark, sf_dir, columns)))
 
 
-def _chosen_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ("latitude", "longitude", "menu_type", "item_category", "city", "order_ts", "price")
-    sales = star_sales(spark, sf_dir, columns).transform(at_location, CHOSEN_MENU, CHOSEN_CITY)
-    return sites.location_sales(with_calendar(sales))
+def _kept(totals: DataFrame) -> DataFrame:
+    """Cached totals, for results that first look up which values become columns.
+
+    The facts are scanned once for both steps. What is kept has a row per day or
+    week and category, and goes when the session or its cache is cleared.
+    """
+    return totals.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _hotspots(spark: SparkSession, sf_dir: str) -> Hotspots:
+    sales = star_sales(spark, sf_dir, GEO_COLUMNS)
+    return Hotspots(sales, CHOSEN_MENU, CHOSEN_CITY, center=sites.center_of(CHOSEN_CITY, STAR_CENTERS))
 
 
 def _profits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +133,7 @@ def filter_menu_city(spark, sf_dir):
 
 
 def filter_year_range(spark, sf_dir):
-    return star_sales(spark, sf_dir, SALES_COLUMNS).transform(CHOSEN_YEARS)
+    return star_sales(spark, sf_dir, SALES_COLUMNS, years=CHOSEN_YEARS.years).transform(CHOSEN_YEARS)
 
 
 def subcategory_summary(spark, sf_dir):
@@ -150,8 +160,8 @@ def daily_category_sales(spark, sf_dir):
 
 
 def daily_category_pivot(spark, sf_dir):
-    categories = options.levels(star_sales(spark, sf_dir, ("item_category",)), "item_category")
-    daily = summaries.daily_category_sales(_priced_categories(spark, sf_dir))
+    daily = _kept(summaries.daily_category_sales(_priced_categories(spark, sf_dir)))
+    categories = options.levels(daily, "item_category")
     return summaries.daily_category_pivot(daily, categories).withColumns(_sum(*categories))
 
 
@@ -160,8 +170,8 @@ def weekly_category_sales(spark, sf_dir):
 
 
 def weekly_unpivot(spark, sf_dir):
-    categories = options.levels(star_sales(spark, sf_dir, ("item_category",)), "item_category")
-    wide = weekly.weekly_wide(_weekly(spark, sf_dir), categories)
+    long = _kept(_weekly(spark, sf_dir))
+    wide = weekly.weekly_wide(long, options.levels(long, "item_category"))
     return weekly.weekly_long(wide).withColumns(_sum("y"))
 
 
@@ -238,29 +248,19 @@ def city_center(spark, sf_dir):
 
 
 def candidate_sites(spark, sf_dir):
-    found = sites.candidate_sites(
-        _chosen_locations(spark, sf_dir), CHOSEN_MENU, sites.center_of(CHOSEN_CITY, STAR_CENTERS)
-    )
-    return found.withColumns(_degrees("latitude", "longitude"))
-
-
-def _scores(spark, sf_dir) -> DataFrame:
-    locations = _chosen_locations(spark, sf_dir)
-    candidates = sites.candidate_sites(locations, CHOSEN_MENU, sites.center_of(CHOSEN_CITY, STAR_CENTERS))
-    return sites.score_sites(sites.fit_site_model(locations), candidates)
+    return _hotspots(spark, sf_dir).candidates().withColumns(_degrees("latitude", "longitude"))
 
 
 def site_scores(spark, sf_dir):
-    return _scores(spark, sf_dir)
+    return _hotspots(spark, sf_dir).scores()
 
 
 def heat_points(spark, sf_dir):
-    return sites.heat_points(_scores(spark, sf_dir))
+    return _hotspots(spark, sf_dir).heat_points()
 
 
 def site_model_metrics(spark, sf_dir):
-    locations = _chosen_locations(spark, sf_dir)
-    return sites.model_metrics(sites.fit_site_model(locations), locations)
+    return _hotspots(spark, sf_dir).metrics()
 
 
 def forecast_calendar(spark, sf_dir):

@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# Bytes of input behind one shuffle partition, and the most partitions of one
+# shuffle. A partition beyond its share of memory spills, and AQE merges the ones
+# that turn out small, so the count errs on the high side.
+SHUFFLE_BYTES = 512 * 1024 * 1024
+MOST_PARTITIONS = 50_000
+
 # AQE, skew-join splitting and ANSI mode are on by default in Spark 4; only the
 # settings that differ from Spark's defaults are listed.
 DEFAULTS = {
@@ -24,6 +30,20 @@ def build_session(
     return builder.getOrCreate()
 
 
+def shuffle_settings(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for queries that read ``input_bytes`` on a cluster of ``cores``.
+
+    Spark's 200 shuffle partitions suit small inputs; with 100 TB each would hold
+    hundreds of GB in a join of the star schema. Totals of the wide facts table
+    shuffle only what map-side aggregation leaves, and AQE merges them again.
+    """
+    partitions = min(max(input_bytes // SHUFFLE_BYTES, 2 * cores), MOST_PARTITIONS)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": "256m" if input_bytes > 2**40 else "128m",
+    }
+
+
 def use_shared_checkpoints(spark: SparkSession) -> bool:
     """Point RDD checkpoints at the cluster's shared folder, if it names one.
 

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salesloom.functions.calendar import new_year
 from salesloom.sources.sales import ALL_COLUMNS
 
 
@@ -32,6 +33,16 @@ STAR_CENTERS = (("NATION_3", 50.0647, 19.9450), ("NATION_9", 52.2298, 21.0118))
 
 
 
+# The columns read, by table. With a schema given, Spark opens no file to look for one.
+TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double",
+    "orders": "o_orderkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+}
+
 
 def _lineitem_columns() -> dict[str, Column]:
     return {
@@ -63,21 +74,34 @@ def _part_columns() -> dict[str, Column]:
     }
 
 
-def star_sales(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ALL_COLUMNS) -> DataFrame:
+def star_sales(
+    spark: SparkSession,
+    sf_dir: str,
+    columns: Sequence[str] = ALL_COLUMNS,
+    years: tuple[int, int] | None = None,
+) -> DataFrame:
     """The wanted columns of the sales facts.
 
+    ``years`` says that only sales of those years will be kept. An order time lies
+    within a day after its order date, so orders outside the years widened by a day
+    are skipped in the scan already; the filter on the order time is left to the caller.
+
     Orders are joined first and parts last: what is shuffled in between is keys
     and numbers, and the strings of the parts come in where no further shuffle of
     order lines follows. Part columns are worked out once per part, before the join.
     """
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        return spark.read.schema(TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
     of_line, of_order, of_part = _lineitem_columns(), _order_columns(), _part_columns()
     sales = table("lineitem")
-    if any(name in of_order for name in columns):
-        sales = sales.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if years is not None or any(name in of_order for name in columns):
+        orders = table("orders")
+        if years is not None:
+            day_before = F.col("o_orderdate") >= new_year(years[0]) - F.expr("INTERVAL 1 DAY")
+            orders = orders.filter(day_before & (F.col("o_orderdate") < new_year(years[1] + 1)))
+        sales = sales.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         of_line |= of_order
     if "city" in columns:
         places = table("supplier").join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))

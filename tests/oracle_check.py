@@ -8,6 +8,16 @@ import os
 
 import duckdb
 
+SPARK_TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "DOUBLE": "double",
+    "VARCHAR": "string",
+    "DATE": "date",
+    "TIMESTAMP": "timestamp_ntz",
+    "BOOLEAN": "boolean",
+}
+
 
 def duck(sf_dir: str):
     connection = duckdb.connect()
@@ -35,6 +45,9 @@ def compare(frame, connection, sql) -> tuple[int, list]:
     expected = _rows(duck_columns, result.fetchall())
     if sorted(frame.columns) != sorted(duck_columns):
         return 0, [("columns", sorted(frame.columns), sorted(duck_columns))]
+    duck_types = sorted((column[0], SPARK_TYPES.get(str(column[1]), str(column[1]))) for column in result.description)
+    if sorted(frame.dtypes) != duck_types:
+        return 0, [("types", sorted(frame.dtypes), duck_types)]
     found = _rows(frame.columns, [tuple(row) for row in frame.collect()])
     if len(found) != len(expected):
         return len(found), [("rows", len(found), len(expected))]
