@@ -44,6 +44,7 @@ def spark(tmp_path_factory):
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
+            "spark.sql.maxMetadataStringLength": "100000",
             "spark.ui.showConsoleProgress": "false",
         },
     )
