@@ -31,3 +31,9 @@ def money(amount: Column, digits: int) -> Column:
 def plain_money(amount: Column) -> Column:
     """``$ 1234.50`` without thousands separators."""
     return F.format_string("$ %.2f", amount)
+
+
+def clean_text(text: Column) -> Column:
+    """``text`` without bytes that are no valid UTF-8; valid text is left as it is."""
+    marked = F.make_valid_utf8(text)
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(marked, F.lit("\ufffd"), F.lit("")))

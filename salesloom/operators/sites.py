@@ -120,46 +120,53 @@ def with_split(locations: DataFrame) -> DataFrame:
     return locations.withColumn("split", F.when(train, "train").otherwise("test"))
 
 
+def _trainable(locations: DataFrame) -> DataFrame:
+    """Encoded rows without gaps, each marked for training or for the hold-out."""
+    return with_ordinals(with_split(locations)).dropna(
+        subset=["latitude", "longitude", "season_encoded", "item_category", "total_sales"]
+    )
+
+
 def fit_site_model(
     locations: DataFrame, trees: int = MODEL_TREES, seed: int = MODEL_SEED
 ) -> PipelineModel:
     """Boosted trees that predict a location's total sales.
 
     One fitted pipeline encodes training rows and candidate sites alike; a
-    category it never saw gets its own slot. Every tree level passes over the
-    training rows, so they are kept for the time of the fit, in tasks sized by
-    their number: hundreds of short passes over few rows cost mostly task starts.
+    category it never saw gets its own slot.
+
+    Training passes over its rows once per tree level. They are written to the
+    shared checkpoint folder first, so that a lost executor costs a read from there
+    and not a scan of the facts, and so that hundreds of jobs do not each carry the
+    plan behind the rows; without such a folder they are cached. The number of
+    tasks follows the number of rows: passes over few rows cost mostly task starts.
     """
-    use_shared_checkpoints(locations.sparkSession)
-    usable = with_ordinals(with_split(locations)).filter("split = 'train'")
-    usable = usable.dropna(subset=["latitude", "longitude", "season_encoded", "item_category", "total_sales"])
-    training = usable.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _trainable(locations).filter("split = 'train'").drop("split", "season", "time_of_day", "menu_type")
+    shared = use_shared_checkpoints(locations.sparkSession)
+    training = rows.checkpoint() if shared else rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        tasks = math.ceil(training.count() / ROWS_PER_TASK) or 1
-        return Pipeline(
-            stages=[
-                StringIndexer(
-                    inputCol="item_category",
-                    outputCol="category_index",
-                    stringOrderType="alphabetAsc",
-                    handleInvalid="keep",
-                ),
-                OneHotEncoder(inputCol="category_index", outputCol="category_flags", handleInvalid="keep"),
-                VectorAssembler(
-                    inputCols=["latitude", "longitude", "season_encoded", "time_encoded", "category_flags"],
-                    outputCol="features",
-                ),
-                GBTRegressor(
-                    labelCol="total_sales",
-                    predictionCol="predicted_sales",
-                    maxIter=trees,
-                    maxDepth=3,
-                    stepSize=0.1,
-                    maxBins=64,
-                    seed=seed,
-                ),
-            ]
-        ).fit(training.coalesce(tasks))
+        sized = training.coalesce(math.ceil(training.count() / ROWS_PER_TASK) or 1)
+        indexer = StringIndexer(
+            inputCol="item_category",
+            outputCol="category_index",
+            stringOrderType="alphabetAsc",
+            handleInvalid="keep",
+        )
+        flags = OneHotEncoder(inputCol="category_index", outputCol="category_flags", handleInvalid="keep")
+        features = VectorAssembler(
+            inputCols=["latitude", "longitude", "season_encoded", "time_encoded", "category_flags"],
+            outputCol="features",
+        )
+        booster = GBTRegressor(
+            labelCol="total_sales",
+            predictionCol="predicted_sales",
+            maxIter=trees,
+            maxDepth=3,
+            stepSize=0.1,
+            maxBins=64,
+            seed=seed,
+        )
+        return Pipeline(stages=[indexer, flags, features, booster]).fit(sized)
     finally:
         training.unpersist()
 
@@ -177,9 +184,7 @@ def heat_points(scores: DataFrame) -> DataFrame:
 
 def model_metrics(model: PipelineModel, locations: DataFrame) -> DataFrame:
     """Errors of the model and of the plain training mean, on both parts of the split."""
-    rows = with_ordinals(with_split(locations)).dropna(
-        subset=["latitude", "longitude", "season_encoded", "item_category", "total_sales"]
-    )
+    rows = _trainable(locations)
     mean = rows.filter("split = 'train'").select(F.avg("total_sales")).scalar()
 
     def rmse(guess: Column) -> Column:

@@ -169,7 +169,7 @@ WHERE item_subcategory IN (SELECT item_subcategory FROM {_TOP_SUBCATEGORIES}) GR
 SELECT order_ts::DATE AS date, item_category, round(sum(price), 2) AS price FROM facts GROUP BY ALL""",
     "daily_category_pivot": f"""{FACTS}
 SELECT order_ts::DATE AS date,
-       {', '.join(f"round(coalesce(sum(price) FILTER (item_category = '{c}'), 0), 2) AS {c}" for c in CATEGORIES)}
+       {', '.join(f"round(coalesce(sum(price) FILTER (WHERE item_category = '{c}'), 0), 2) AS {c}" for c in CATEGORIES)}
 FROM facts GROUP BY ALL""",
     "weekly_category_sales": f"{FACTS}, {_WEEKLY} SELECT week_end, item_category, round(y, 2) AS y FROM weekly",
     "weekly_unpivot": f"{FACTS}, {_WEEKLY} SELECT week_end, item_category, round(y, 2) AS y FROM weekly",

@@ -4,6 +4,7 @@ import datetime as dt
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from salesloom.functions.calendar import with_calendar
 from salesloom.operators import menus, options, profit, sites, summaries, weekly
@@ -176,6 +177,33 @@ def test_hot_keys_give_whole_results(spark, facts):
     )
 
 
+def test_hot_part_is_split_in_the_join(spark, small, tmp_path):
+    """With a third of all order lines on one part, the join splits that part's partition."""
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    hot = lines.withColumn("l_partkey", F.expr("if(l_orderkey % 3 = 0, 7, l_partkey)"))
+    hot.repartition(8).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("orders", "part", "supplier", "nation"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    plain = {tuple(row) for row in QUERIES["subcategory_summary"](spark, str(tmp_path)).collect()}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        summary = QUERIES["subcategory_summary"](spark, str(tmp_path))
+        assert {tuple(row) for row in summary.collect()} == plain
+        assert "skew=true" in plan(summary)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 def test_shuffle_settings_grow_with_the_input():
     small, large = shuffle_settings(10**9, 8), shuffle_settings(10**14, 8000)
     assert small["spark.sql.shuffle.partitions"] == "16"

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from salesloom.functions.labels import option_icon, option_type, plain_money
+from salesloom.functions.labels import clean_text, option_icon, option_type, plain_money
 from salesloom.operators import summaries
 from pyspark.sql import functions as F
 
@@ -56,3 +56,10 @@ def test_pivot_fills_zero(facts):
     sales = facts({"item_category": "x", "price": 1.0}, {"item_category": "y", "order_ts": DAY + dt.timedelta(days=1)})
     wide = summaries.daily_category_pivot(summaries.daily_category_sales(sales), ["x", "y"]).orderBy("date")
     assert [(row.x, row.y) for row in wide.collect()] == [(1.0, 0.0), (0.0, 10.0)]
+
+
+def test_clean_text_drops_broken_bytes_only(spark):
+    rows = [(b"caf\xc3\xa9",), (b"ab\xff\xc3cd",), ("kept \ufffd".encode(),), (None,)]
+    frame = spark.createDataFrame([(bytearray(row[0]) if row[0] else None,) for row in rows], "b binary")
+    texts = frame.select(clean_text(F.col("b").cast("string"))).collect()
+    assert [row[0] for row in texts] == ["café", "abcd", "kept \ufffd", None]
