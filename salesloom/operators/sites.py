@@ -50,9 +50,12 @@ def sales_bounds(locations: DataFrame) -> DataFrame:
     return locations.agg(F.min("total_sales").alias("min_sales"), F.max("total_sales").alias("max_sales"))
 
 
-def location_domains(locations: DataFrame) -> DataFrame:
-    """Distinct seasons, times of day and categories."""
-    return distinct_values(locations, ("season", "time_of_day", "item_category"))
+def location_domains(sales: DataFrame) -> DataFrame:
+    """Distinct seasons, times of day and categories, of locations or of sales.
+
+    Both have the same values; taken from the sales, no locations are totalled first.
+    """
+    return distinct_values(sales, ("season", "time_of_day", "item_category"))
 
 
 def city_centers(cities: DataFrame, centers: DataFrame) -> DataFrame:

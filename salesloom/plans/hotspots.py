@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import cached_property
 
 from pyspark.ml import PipelineModel
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.storagelevel import StorageLevel
 
 from salesloom.functions.calendar import with_calendar
-from salesloom.functions.fixed_values import DEFAULT_CENTER, MODEL_TREES, TOP_N
+from salesloom.functions.fixed_values import CITY_CENTERS, MODEL_TREES, TOP_N
 from salesloom.operators import profit, sites
 from salesloom.operators.filters import Choice, at_location, has_rows
 
@@ -18,7 +19,8 @@ class Hotspots:
     """Location totals and seasonal item profits, and the results built on them.
 
     Both aggregates are cached on first use and released by ``close`` or at the
-    end of a ``with`` block.
+    end of a ``with`` block. Ask ``found`` before asking for scores: without a sale
+    there is nothing to train on. ``centers`` gives the centres of known cities.
     """
 
     def __init__(
@@ -27,10 +29,10 @@ class Hotspots:
         menu_type: str,
         city: str,
         categories: Choice = None,
-        center: tuple[float, float] = DEFAULT_CENTER,
+        centers: Iterable[tuple[str, float, float]] = CITY_CENTERS,
         trees: int = MODEL_TREES,
     ):
-        self.menu_type, self.center, self.trees = menu_type, center, trees
+        self.menu_type, self.center, self.trees = menu_type, sites.center_of(city, centers), trees
         self.sales = with_calendar(sales.transform(at_location, menu_type, city, categories))
         self.locations = sites.location_sales(self.sales).persist(StorageLevel.MEMORY_AND_DISK)
         self.profits = profit.item_season_profit(self.sales).persist(StorageLevel.MEMORY_AND_DISK)

@@ -69,9 +69,13 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.subcategory_summary(star_sales(spark, sf_dir, ("item_subcategory", "price")))
 
 
-def _all_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _placed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("latitude", "longitude", "menu_type", "item_category", "order_ts", "price")
-    return sites.location_sales(with_calendar(star_sales(spark, sf_dir, columns)))
+    return with_calendar(star_sales(spark, sf_dir, columns))
+
+
+def _all_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites.location_sales(_placed_sales(spark, sf_dir))
 
 
 def _kept(totals: DataFrame) -> DataFrame:
@@ -84,8 +88,7 @@ def _kept(totals: DataFrame) -> DataFrame:
 
 
 def _hotspots(spark: SparkSession, sf_dir: str) -> Hotspots:
-    sales = star_sales(spark, sf_dir, GEO_COLUMNS)
-    return Hotspots(sales, CHOSEN_MENU, CHOSEN_CITY, center=sites.center_of(CHOSEN_CITY, STAR_CENTERS))
+    return Hotspots(star_sales(spark, sf_dir, GEO_COLUMNS), CHOSEN_MENU, CHOSEN_CITY, centers=STAR_CENTERS)
 
 
 def _profits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +226,7 @@ def location_sales_bounds(spark, sf_dir):
 
 
 def location_domains(spark, sf_dir):
-    return sites.location_domains(_all_locations(spark, sf_dir))
+    return sites.location_domains(_placed_sales(spark, sf_dir))
 
 
 def ordinal_encode(spark, sf_dir):

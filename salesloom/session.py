@@ -45,16 +45,13 @@ def shuffle_settings(input_bytes: int, cores: int) -> dict[str, str]:
 
 
 def use_shared_checkpoints(spark: SparkSession) -> bool:
-    """Point RDD checkpoints at the cluster's shared folder, if it names one.
+    """Whether there is a folder for checkpoints, which ``spark.checkpoint.dir`` names.
 
-    Iterative training then cuts its lineage there. Nothing is set when the
-    session names no folder, because a machine-local one would be lost with
-    its executor.
+    No folder is made up where the session names none, because a machine-local one
+    would be lost with its machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return False
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-    return True
+    return context.getCheckpointDir() is not None

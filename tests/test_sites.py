@@ -136,8 +136,8 @@ def test_rows_without_season_do_not_reach_the_model(locations):
 
 
 def test_hotspots_end_to_end(sales):
-    with Hotspots(sales, "Tacos", "Warsaw", center=(52.2298, 21.0118), trees=5) as spots:
-        assert spots.found()
+    with Hotspots(sales, "Tacos", "Warsaw", trees=5) as spots:
+        assert spots.found() and spots.center == CITY_CENTERS[0][1:]
         points = spots.heat_points()
         assert points.columns == ["latitude", "longitude", "predicted_sales"]
         assert points.count() == 3 * 17 * 2
