@@ -27,6 +27,9 @@ SEASON_VARIANCE = 100.0
 SEASON_ORDER = 10
 YEAR_DAYS = 365.25
 
+# Most tasks to spread the fits over.
+MOST_FIT_TASKS = 200
+
 MODEL_SCHEMA = (
     "item_category string, first_day int, last_day int, level double, slope double, "
     "knots array<int>, bends array<double>, sines array<double>, cosines array<double>"
@@ -76,9 +79,10 @@ def category_models(weekly: DataFrame) -> DataFrame:
     """One fitted model per category.
 
     The number of partitions is given, so that AQE does not merge the tiny
-    series into one task and fit them one after the other.
+    series into one task and fit them one after the other. It stops growing with
+    the cluster where more tasks would mostly be empty.
     """
-    tasks = weekly.sparkSession.sparkContext.defaultParallelism
+    tasks = min(weekly.sparkSession.sparkContext.defaultParallelism, MOST_FIT_TASKS)
     return (
         weekly.select("item_category", F.unix_date("week_end").alias("day"), "y")
         .repartition(tasks, "item_category")
