@@ -10,6 +10,7 @@ series is the only step in Python, and prediction is column arithmetic again.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ CHANGEPOINT_SHARE = 0.8
 CHANGE_SCALE = 0.05
 TREND_VARIANCE = 25.0
 SEASON_VARIANCE = 100.0
-SEASON_ORDER = 10
+FOURIER_ORDER = 10
 YEAR_DAYS = 365.25
 
 # Most tasks to spread the fits over.
@@ -36,43 +37,52 @@ MODEL_SCHEMA = (
 )
 
 
-def _fit(key: tuple, series: pd.DataFrame) -> pd.DataFrame:
-    """Most probable trend and season of one category's weeks (columns ``day``, ``y``)."""
-    series = series.sort_values("day")
-    day, y = series["day"].to_numpy(), series["y"].to_numpy(dtype=float)
-    n = len(y)
-    if n < 2:
-        return pd.DataFrame(columns=[field.split()[0] for field in MODEL_SCHEMA.split(", ")])
-    span, scale = float(day[-1] - day[0]), np.abs(y).max() or 1.0
-
-    usable = int(n * CHANGEPOINT_SHARE)
-    n_knots = max(min(CHANGEPOINTS, usable - 1), 0)
-    knots = day[np.linspace(0, max(usable - 1, 0), n_knots + 1).round().astype(int)][1:]
-    angle = 2 * math.pi / YEAR_DAYS * np.outer(day, np.arange(1, SEASON_ORDER + 1))
-    hinges = np.maximum(day[:, None] - knots, 0) / span
-    design = np.column_stack([np.ones(n), (day - day[0]) / span, hinges, np.sin(angle), np.cos(angle)])
-
-    # Maximum a posteriori by reweighted least squares: a Laplace prior acts like a
-    # normal one whose variance is the current |change| times its scale, and the
-    # noise variance has a closed form between two solves.
-    precision = np.r_[np.full(2, 1 / TREND_VARIANCE), np.ones(n_knots), np.full(2 * SEASON_ORDER, 1 / SEASON_VARIANCE)]
-    gram, moment = design.T @ design, design.T @ (y / scale)
-    weights, noise = np.zeros(design.shape[1]), np.var(y / scale) or 1.0
-    constant = y.min() == y.max()
-    for _ in range(0 if constant else 500):
-        before = weights
-        weights = np.linalg.solve(gram / noise + np.diag(precision), moment / noise)
-        precision[2 : 2 + n_knots] = 1 / (CHANGE_SCALE * np.maximum(np.abs(weights[2 : 2 + n_knots]), 1e-7))
-        rss = np.square(y / scale - design @ weights).sum()
-        noise = max((math.sqrt(n * n + 16 * rss) - n) / 8, 1e-8)
-        if np.abs(weights - before).max() < 1e-9:
-            break
-    if constant:
-        weights[0] = y[0] / scale
-
-    level, slope, bends, sines, cosines = np.split(weights * scale, np.cumsum([1, 1, n_knots, SEASON_ORDER]))
-    row = (key[0], day[0], day[-1], level[0], slope[0] / span, knots, bends / span, sines, cosines)
-    return pd.DataFrame([row], columns=[field.split()[0] for field in MODEL_SCHEMA.split(", ")])
+def series_fitter() -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """The function that fits one category's series.
+
+    Being local, it travels to the workers by value: they need numpy and pandas,
+    but no copy of this package.
+    """
+
+    def fit(key: tuple, series: pd.DataFrame) -> pd.DataFrame:
+        """Most probable trend and season of one category's weeks (columns ``day``, ``y``)."""
+        series = series.sort_values("day")
+        day, y = series["day"].to_numpy(), series["y"].to_numpy(dtype=float)
+        n = len(y)
+        if n < 2:
+            return pd.DataFrame(columns=[field.split()[0] for field in MODEL_SCHEMA.split(", ")])
+        span, scale = float(day[-1] - day[0]), np.abs(y).max() or 1.0
+
+        usable = int(n * CHANGEPOINT_SHARE)
+        n_knots = max(min(CHANGEPOINTS, usable - 1), 0)
+        knots = day[np.linspace(0, max(usable - 1, 0), n_knots + 1).round().astype(int)][1:]
+        angle = 2 * math.pi / YEAR_DAYS * np.outer(day, np.arange(1, FOURIER_ORDER + 1))
+        hinges = np.maximum(day[:, None] - knots, 0) / span
+        design = np.column_stack([np.ones(n), (day - day[0]) / span, hinges, np.sin(angle), np.cos(angle)])
+
+        # Maximum a posteriori by reweighted least squares: a Laplace prior acts like a
+        # normal one whose variance is the current |change| times its scale, and the
+        # noise variance has a closed form between two solves.
+        precision = np.r_[np.full(2, 1 / TREND_VARIANCE), np.ones(n_knots), np.full(2 * FOURIER_ORDER, 1 / SEASON_VARIANCE)]
+        gram, moment = design.T @ design, design.T @ (y / scale)
+        weights, noise = np.zeros(design.shape[1]), np.var(y / scale) or 1.0
+        constant = y.min() == y.max()
+        for _ in range(0 if constant else 500):
+            before = weights
+            weights = np.linalg.solve(gram / noise + np.diag(precision), moment / noise)
+            precision[2 : 2 + n_knots] = 1 / (CHANGE_SCALE * np.maximum(np.abs(weights[2 : 2 + n_knots]), 1e-7))
+            rss = np.square(y / scale - design @ weights).sum()
+            noise = max((math.sqrt(n * n + 16 * rss) - n) / 8, 1e-8)
+            if np.abs(weights - before).max() < 1e-9:
+                break
+        if constant:
+            weights[0] = y[0] / scale
+
+        level, slope, bends, sines, cosines = np.split(weights * scale, np.cumsum([1, 1, n_knots, FOURIER_ORDER]))
+        row = (key[0], day[0], day[-1], level[0], slope[0] / span, knots, bends / span, sines, cosines)
+        return pd.DataFrame([row], columns=[field.split()[0] for field in MODEL_SCHEMA.split(", ")])
+
+    return fit
 
 
 def category_models(weekly: DataFrame) -> DataFrame:
@@ -87,7 +97,7 @@ def category_models(weekly: DataFrame) -> DataFrame:
         weekly.select("item_category", F.unix_date("week_end").alias("day"), "y")
         .repartition(tasks, "item_category")
         .groupBy("item_category")
-        .applyInPandas(_fit, MODEL_SCHEMA)
+        .applyInPandas(series_fitter(), MODEL_SCHEMA)
     )
 
 
@@ -122,7 +132,7 @@ def _predicted(ds: Column) -> Column:
     season = sum(
         (
             F.col("sines")[k - 1] * F.sin(year * k) + F.col("cosines")[k - 1] * F.cos(year * k)
-            for k in range(1, SEASON_ORDER + 1)
+            for k in range(1, FOURIER_ORDER + 1)
         ),
         F.lit(0.0),
     )

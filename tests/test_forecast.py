@@ -1,9 +1,12 @@
 import datetime as dt
 import math
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from salesloom.operators import forecast
@@ -47,7 +50,7 @@ def test_solution_is_a_minimum_of_the_posterior():
     draw = np.random.default_rng(3)
     day = 18000 + 7 * np.arange(120)
     y = 500 + np.where(day < 18400, 2.0, -1.0) * (day - 18400) + 60 * np.sin(day / 58.0) + draw.normal(0, 20, 120)
-    row = forecast._fit(("a",), pd.DataFrame({"day": day, "y": y})).iloc[0]
+    row = forecast.series_fitter()(("a",), pd.DataFrame({"day": day, "y": y})).iloc[0]
     scale, span = np.abs(y).max(), day[-1] - day[0]
     angle = 2 * np.pi / 365.25 * np.outer(day, np.arange(1, 11))
     design = np.column_stack(
@@ -123,3 +126,15 @@ def test_registered_forecast_has_all_rows(spark, tiny):
     expected = {row.item_category: 2 * row.n + 365 for row in per_category.collect()}
     both = QUERIES["actual_vs_forecast"](spark, tiny)
     assert {row.item_category: row["count"] for row in both.groupBy("item_category").count().collect()} == expected
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    sent = cloudpickle.dumps(forecast.series_fitter())
+    script = (
+        "import pickle, sys, pandas as pd\n"
+        "fit = pickle.loads(sys.stdin.buffer.read())\n"
+        "row = fit(('a',), pd.DataFrame({'day': [18000, 18007, 18014], 'y': [1.0, 2.0, 3.0]}))\n"
+        "print(len(row), 'salesloom' in sys.modules)\n"
+    )
+    done = subprocess.run([sys.executable, "-c", script], input=sent, capture_output=True, cwd=tmp_path, check=True)
+    assert done.stdout.split() == [b"1", b"False"]
