@@ -1,0 +1,55 @@
+"""Small tables that hold the awkward cases, and the plain forms the operators are held against."""
+
+from __future__ import annotations
+
+import random
+import re
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, row int, block string"
+
+
+def awkward_docs():
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing extra columns."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(400)]
+
+    def prose(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    base = [prose(rng.randint(1, 120)) for _ in range(40)]
+    texts = list(base)
+    for k in range(20):
+        words = base[k].split()
+        words[rng.randrange(len(words))] = "changed"
+        texts.append(" ".join(words))
+    passage = "\n".join(prose(12) for _ in range(6))
+    texts += [f"{prose(9)}\n{passage}\n{prose(9)}" for _ in range(6)]
+    texts += ["", " \t\n ", None, "one", "one two", "Ünï cödé ﬀ 𝒳 ǆ", "a" * 700, "ab " * 500, "x\n" * 40, "\n\n\n\n\n", "last\x00line"]
+    texts.append(prose(20_000))
+    texts += [texts[0], texts[0]]
+    docs = [(k * 3, t, "en", f"s{k % 4}", len(t or ""), "k", 1, "b") for k, t in enumerate(texts)]
+    docs += [docs[2], docs[2], docs[50]]  # repeated rows
+    docs += [(9, "same id, other text " * 8, None, None, None, None, None, None)]
+    docs += [(None, base[1], "en", "s1", 3, None, 2, None), (None, None, None, None, None, None, None, None)]
+    rng.shuffle(docs)
+    return docs
+
+
+def docs_frame(spark, rows=None):
+    return spark.createDataFrame(awkward_docs() if rows is None else rows, DOCS).repartition(3)
+
+
+def stored(frame, folder):
+    """The rows as a stored table, which gives them in one order each time."""
+    path = f"{folder}/docs.parquet"
+    frame.write.mode("overwrite").parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
+def data(text):
+    return (text or "").encode()
+
+
+def words(text):
+    return WORD.findall(data(text))
