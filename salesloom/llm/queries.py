@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import fingerprint, line_dedup, mixing, near_dedup, packing, url_filter
+from salesloom.llm import ann, fingerprint, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, suffix_dedup, url_filter
 from salesloom.llm.url_filter import Rule
 
 URL_RULES = [
@@ -70,6 +70,11 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of each one whose id is divisible by 20."""
+    return ann.search(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"), every=20, nearest=20)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
@@ -78,13 +83,38 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each document without strings of 100 bytes that start earlier too."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log score under the n-grams of all others, rounded to compare."""
+    scored = lm_scoring.score(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's perplexity, the threshold of its language and the verdict."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    judged = quality.judge(docs, _read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    return judged.select("doc_id", "lang", "perplexity", F.col("most").alias("threshold"), "kept")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op3_url_filter": op3_url_filter,
     "op4_near_dedup": op4_near_dedup,
     "op5_fingerprint": op5_fingerprint,
+    "op6_ann": op6_ann,
     "op7_packing": op7_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_quality": op10_quality,
 }
 _LINES = r"""
 WITH lines AS (
@@ -136,4 +166,34 @@ SELECT page_id, host, path, rule, listed, CASE
 FROM ruled
 """
 
-ORACLE: dict[str, str] = {"op1_line_dedup": _LINES, "op3_url_filter": _URLS}
+_SCORES = r"""
+WITH lists AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS list
+  FROM documents
+), words AS (
+  SELECT doc_id, unnest(list) AS w, generate_subscripts(list, 1) AS pos FROM lists
+), pairs AS (
+  SELECT doc_id, pos, w, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS u FROM words
+), c1 AS (SELECT w, count(*) AS n FROM words GROUP BY w
+), c2 AS (SELECT u, w, count(*) AS n FROM pairs WHERE u IS NOT NULL GROUP BY u, w
+), d1 AS (SELECT doc_id, w, count(*) AS n FROM words GROUP BY doc_id, w
+), d2 AS (SELECT doc_id, u, w, count(*) AS n FROM pairs WHERE u IS NOT NULL GROUP BY doc_id, u, w
+), own AS (SELECT doc_id, len(list) AS n_words FROM lists
+), counted AS (
+  SELECT p.doc_id, p.u, c1.n - d1.n AS uni, cu.n - du.n AS context, c2.n - d2.n AS bi,
+    (SELECT count(*) FROM words) - own.n_words AS others
+  FROM pairs p JOIN own ON p.doc_id = own.doc_id
+    JOIN c1 ON p.w = c1.w JOIN d1 ON p.doc_id = d1.doc_id AND p.w = d1.w
+    LEFT JOIN c1 cu ON p.u = cu.w LEFT JOIN d1 du ON p.doc_id = du.doc_id AND p.u = du.w
+    LEFT JOIN c2 ON p.u = c2.u AND p.w = c2.w LEFT JOIN d2 ON p.doc_id = d2.doc_id AND p.u = d2.u AND p.w = d2.w
+), scored AS (
+  SELECT doc_id, sum(ln(CASE WHEN u IS NOT NULL AND bi > 0 THEN bi / CAST(context AS DOUBLE)
+    ELSE CASE WHEN u IS NULL THEN 1.0 ELSE CAST(0.4 AS DOUBLE) END * greatest(uni, 1) / CAST(greatest(others, 1) AS DOUBLE) END)) AS score
+  FROM counted GROUP BY doc_id
+)
+SELECT own.doc_id, CAST(n_words AS BIGINT) AS n_words, round(coalesce(score, 0.0), 4) AS log_score
+FROM own LEFT JOIN scored ON own.doc_id = scored.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op9_lm_scoring": _SCORES, "op1_line_dedup": _LINES, "op3_url_filter": _URLS}

@@ -1,0 +1,94 @@
+"""Search against brute force: scores exact, order and ties as told, recall over 0.9."""
+
+import math
+import random
+from itertools import product
+
+import numpy as np
+import pytest
+
+from salesloom.llm import ann
+from salesloom.llm.queries import QUERIES
+
+VECTORS = "vec_id long, embedding array<float>, label int, id string, v string"
+
+
+def brute(rows, every, nearest):
+    usable = [
+        (i, np.array(v, dtype=np.float64))
+        for i, v in rows
+        if i is not None and v and None not in v and all(map(math.isfinite, v)) and any(v)
+    ]
+    result = {}
+    for q, x in usable:
+        if q % every == 0:
+            scores = [(-float(x @ y), i) for i, y in usable if len(y) == len(x)]
+            scores.remove(next(s for s in scores if s[1] == q))
+            result[q] = sorted(scores)[:nearest]
+    return result
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, 1, "x", "y") for i, v in rows], VECTORS).repartition(3)
+
+
+def by_query(rows):
+    result = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
+        assert r.rank == len(result.setdefault(r.query_id, [])) + 1
+        result[r.query_id].append((-r.score, r.vec_id))
+    return result
+
+
+def test_recall_on_documents(spark, small):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
+    expected = brute(rows, 20, 20)
+    found = by_query(QUERIES["op6_ann"](spark, small).collect())
+    assert found.keys() == expected.keys()
+    hits = sum(len({i for _, i in found[q]} & {i for _, i in expected[q]}) for q in expected)
+    assert hits >= 0.9 * 20 * len(expected)
+    vectors = {i: np.array(v, dtype=np.float64) for i, v in rows}
+    for q, listed in found.items():
+        assert len(listed) == 20 and q not in {i for _, i in listed} and listed == sorted(listed)
+        assert all(abs(-s - vectors[q] @ vectors[i]) < 1e-12 for s, i in listed)
+
+
+def test_awkward_vectors_with_all_probes(spark):
+    rng = random.Random(2)
+    rows = [(k, [rng.uniform(-2, 2) for _ in range(3)]) for k in range(120)]
+    rows += [(200 + k, [1.0, 2.0, 0.5]) for k in range(70)]  # ties, more than are listed
+    rows += [(301, None), (302, []), (300, [0.0, 0.0, 0.0]), (303, [1.0, None, 1.0]), (304, [1.0, float("nan"), 0.0])]
+    rows += [(305, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (320, [1.0, 2.0]), (321, [3.0, 1.0])]
+    rows = [(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    found = by_query(ann.search(frame(spark, rows), 20, 20, probes=81, tables=1, step=8.0).collect())
+    expected = brute(rows, 20, 20)
+    assert found.keys() == {q for q in expected if expected[q]}
+    for q in found:
+        assert [i for _, i in found[q]] == [i for _, i in expected[q]]
+        assert np.allclose([s for s, _ in found[q]], [s for s, _ in expected[q]])
+
+
+@pytest.mark.parametrize("block_rows", [7, 50_000])
+def test_few_candidates_are_made_up_for(spark, block_rows):
+    rng = random.Random(3)
+    rows = [(k, [rng.uniform(-1, 1) for _ in range(16)]) for k in range(100)]
+    found = by_query(ann.search(frame(spark, rows), 20, 20, tables=1, probes=1, step=0.01, block_rows=block_rows).collect())
+    expected = brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 20, 20)
+    assert {q: [i for _, i in s] for q, s in found.items()} == {q: [i for _, i in s] for q, s in expected.items()}
+
+
+def test_probes_come_in_order_of_cost():
+    inside = np.array([0.1, 0.45, 0.8])
+    order = ann.probe_order(inside, 27)
+
+    def cost(steps):
+        return sum({0: 0, -1: x * x, 1: (1 - x) ** 2}[s] for x, s in zip(inside, steps))
+
+    assert {tuple(o) for o in order} == set(product((-1, 0, 1), repeat=3))
+    costs = [cost(o) for o in order]
+    assert np.allclose(costs, sorted(costs))
+
+
+def test_empty(spark):
+    assert ann.search(frame(spark, []), 20, 20).count() == 0
+    assert ann.search(frame(spark, [(20, [1.0, 2.0])]), 20, 20).count() == 0
