@@ -30,7 +30,7 @@ def money(amount: Column, digits: int) -> Column:
 
 def plain_money(amount: Column) -> Column:
     """``$ 1234.50`` without thousands separators."""
-    return F.format_string("$ %.2f", amount)
+    return F.concat(F.lit("$ "), F.call_function("format_number", amount, F.lit("0.00")))
 
 
 def clean_text(text: Column) -> Column:

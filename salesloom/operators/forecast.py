@@ -28,19 +28,18 @@ SEASON_VARIANCE = 100.0
 FOURIER_ORDER = 10
 YEAR_DAYS = 365.25
 
-# Most tasks to spread the fits over.
-MOST_FIT_TASKS = 200
-
 MODEL_SCHEMA = (
     "item_category string, first_day int, last_day int, level double, slope double, "
-    "knots array<int>, bends array<double>, sines array<double>, cosines array<double>"
+    "knots array<int>, bends array<double>, sines array<double>, cosines array<double>, "
+    "converged boolean, days array<int>, sold array<double>"
 )
 
 
-def series_fitter() -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """The function that fits one category's series.
+def series_fitter(rounds: int = 500) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """The function that fits one category's series, in so many rounds at most.
 
-    Being local, it travels to the workers by value: they need numpy and pandas,
+    ``converged`` tells whether they were enough. Of fewer than two weeks there is no
+    model, only the weeks. Being local, it travels to the workers by value: they need numpy and pandas,
     but no copy of this package.
     """
 
@@ -49,8 +48,9 @@ def series_fitter() -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
         series = series.sort_values("day")
         day, y = series["day"].to_numpy(), series["y"].to_numpy(dtype=float)
         n = len(y)
+        columns = [field.split()[0] for field in MODEL_SCHEMA.split(", ")]
         if n < 2:
-            return pd.DataFrame(columns=[field.split()[0] for field in MODEL_SCHEMA.split(", ")])
+            return pd.DataFrame([(key[0], *[None] * 9, day, y)], columns=columns)
         span, scale = float(day[-1] - day[0]), np.abs(y).max() or 1.0
 
         usable = int(n * CHANGEPOINT_SHARE)
@@ -66,21 +66,22 @@ def series_fitter() -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
         precision = np.r_[np.full(2, 1 / TREND_VARIANCE), np.ones(n_knots), np.full(2 * FOURIER_ORDER, 1 / SEASON_VARIANCE)]
         gram, moment = design.T @ design, design.T @ (y / scale)
         weights, noise = np.zeros(design.shape[1]), np.var(y / scale) or 1.0
-        constant = y.min() == y.max()
-        for _ in range(0 if constant else 500):
+        converged = constant = y.min() == y.max()
+        for _ in range(0 if constant else rounds):
             before = weights
             weights = np.linalg.solve(gram / noise + np.diag(precision), moment / noise)
             precision[2 : 2 + n_knots] = 1 / (CHANGE_SCALE * np.maximum(np.abs(weights[2 : 2 + n_knots]), 1e-7))
             rss = np.square(y / scale - design @ weights).sum()
             noise = max((math.sqrt(n * n + 16 * rss) - n) / 8, 1e-8)
             if np.abs(weights - before).max() < 1e-9:
+                converged = True
                 break
         if constant:
             weights[0] = y[0] / scale
 
         level, slope, bends, sines, cosines = np.split(weights * scale, np.cumsum([1, 1, n_knots, FOURIER_ORDER]))
-        row = (key[0], day[0], day[-1], level[0], slope[0] / span, knots, bends / span, sines, cosines)
-        return pd.DataFrame([row], columns=[field.split()[0] for field in MODEL_SCHEMA.split(", ")])
+        row = (key[0], day[0], day[-1], level[0], slope[0] / span, knots, bends / span, sines, cosines, bool(converged), day, y)
+        return pd.DataFrame([row], columns=columns)
 
     return fit
 
@@ -89,10 +90,9 @@ def category_models(weekly: DataFrame) -> DataFrame:
     """One fitted model per category.
 
     The number of partitions is given, so that AQE does not merge the tiny
-    series into one task and fit them one after the other. It stops growing with
-    the cluster where more tasks would mostly be empty.
+    series into one task and fit them one after the other.
     """
-    tasks = min(weekly.sparkSession.sparkContext.defaultParallelism, MOST_FIT_TASKS)
+    tasks = int(weekly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         weekly.select("item_category", F.unix_date("week_end").alias("day"), "y")
         .repartition(tasks, "item_category")
@@ -113,8 +113,10 @@ def _dates(first: Column, last: Column, periods: int, step_days: int) -> Column:
 
 def forecast_calendar(weekly: DataFrame, periods: int = FORECAST_DAYS, step_days: int = 1) -> DataFrame:
     """Dates to predict for each category: its weeks, then ``periods`` steps."""
+    # Over whole (week, sales) pairs, as the weeks' own range is: one scan serves both.
+    pair = F.struct("week_end", "y")
     ends = weekly.groupBy("item_category").agg(
-        F.min("week_end").alias("first"), F.max("week_end").alias("last")
+        F.min(pair)["week_end"].alias("first"), F.max(pair)["week_end"].alias("last")
     )
     dates = _dates(F.col("first"), F.col("last"), periods, step_days)
     return ends.select("item_category", F.explode(dates).alias("ds"))
@@ -142,7 +144,7 @@ def _predicted(ds: Column) -> Column:
 def predict(models: DataFrame, periods: int = FORECAST_DAYS, step_days: int = 1) -> DataFrame:
     """Predicted sales for the weeks of the history and ``periods`` steps after it."""
     first, last = F.date_from_unix_date("first_day"), F.date_from_unix_date("last_day")
-    dated = models.withColumn("ds", F.explode(_dates(first, last, periods, step_days)))
+    dated = models.where("level IS NOT NULL").withColumn("ds", F.explode(_dates(first, last, periods, step_days)))
     return dated.select("ds", _predicted(F.col("ds")).alias("y"), "item_category")
 
 
@@ -153,9 +155,22 @@ def category_forecast(weekly: DataFrame, periods: int = FORECAST_DAYS, step_days
 
 def actual_vs_forecast(weekly: DataFrame, periods: int = FORECAST_DAYS, step_days: int = 1) -> DataFrame:
     """Actual and forecast rows under one another, told apart by ``type``."""
-    actual = weekly.select(F.col("week_end").alias("ds"), "y", "item_category", F.lit("Actual").alias("type"))
-    forecast = category_forecast(weekly, periods, step_days).withColumn("type", F.lit("Forecast"))
-    return actual.unionByName(forecast)
+    models = category_models(weekly)
+    first, last = F.date_from_unix_date("first_day"), F.date_from_unix_date("last_day")
+    # A model's row holds its weeks, so that one pass over the sales gives both kinds.
+    actual = F.transform(
+        F.arrays_zip("days", "sold"), lambda week: F.struct(F.date_from_unix_date(week["days"]).alias("ds"), week["sold"].alias("sold"))
+    )
+    ahead = F.transform(
+        F.coalesce(_dates(first, last, periods, step_days), F.array().cast("array<date>")),
+        lambda ds: F.struct(ds.alias("ds"), F.lit(None).cast("double").alias("sold")),
+    )
+    kinds = F.array(
+        F.struct(F.lit("Actual").alias("type"), actual.alias("dated")), F.struct(F.lit("Forecast").alias("type"), ahead.alias("dated"))
+    )
+    rows = models.withColumn("kind", F.explode(kinds)).withColumn("at", F.explode("kind.dated"))
+    value = F.when(F.col("kind.type") == "Actual", F.col("at.sold")).otherwise(_predicted(F.col("at.ds")))
+    return rows.select(F.col("at.ds").alias("ds"), value.alias("y"), "item_category", F.col("kind.type").alias("type"))
 
 
 def category_trend(weekly: DataFrame) -> DataFrame:

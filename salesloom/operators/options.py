@@ -27,15 +27,41 @@ def year_bounds(sales: DataFrame) -> DataFrame:
     return bounds.withColumn("single_year", F.col("min_year") == F.col("max_year"))
 
 
-def levels(rows: DataFrame, column: str) -> list[str]:
-    """Sorted distinct values of ``column``, for results with one column per value.
+def levels(rows: DataFrame, column: str) -> list[str | None]:
+    """Sorted distinct values of ``column``, null last, for results with one column per value.
 
     The one place where values come to the driver: they are about to become
     column names. Like a pivot without a value list it runs a job, and it refuses
     more values than Spark lets a pivot have rather than leave any out.
     """
     most = int(rows.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    found = rows.select(column).distinct().filter(F.col(column).isNotNull()).limit(most + 1).collect()
+    found = rows.select(column).distinct().limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"{column} has more than {most} values, too many for columns")
-    return sorted(row[0] for row in found)
+    return sorted((row[0] for row in found), key=lambda value: (value is None, value))
+
+
+def sums_by_level(rows: DataFrame, key: str, column: str, values: Sequence[str | None], amount: str) -> DataFrame:
+    """One row per ``key`` with the sum of ``amount`` for each value of ``column``, 0 without any.
+
+    The column of the null value is called "null".
+    """
+    level = F.col(column)
+    return rows.groupBy(key).agg(
+        *(
+            F.coalesce(F.sum(F.when(level.eqNullSafe(F.lit(value)), F.col(amount))), F.lit(0.0)).alias(column_of(value))
+            for value in values
+        )
+    )
+
+
+NULL_COLUMN = "null"
+
+
+def column_of(value: str | None) -> str:
+    return NULL_COLUMN if value is None else value
+
+
+def quoted(name: str) -> str:
+    """A column name to be taken as it is, dots and all."""
+    return "`" + name.replace("`", "``") + "`"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesloom.functions.calendar import season_ordinal
@@ -10,6 +10,11 @@ from salesloom.functions.fixed_values import SEASON_ORDER, TOP_N
 from salesloom.functions.labels import plain_money
 
 
+def highest(name: str) -> Column:
+    """Descending order in which NaN counts as null, and null comes last."""
+    return F.nanvl(F.col(name), F.lit(None)).desc_nulls_last()
+
+
 def item_season_profit(sales: DataFrame) -> DataFrame:
     """Average unit price, cost and profit, and total sales, by city, season and item.
 
@@ -28,7 +33,7 @@ def item_season_profit(sales: DataFrame) -> DataFrame:
 
 def by_profit(profits: DataFrame) -> DataFrame:
     """Most profitable first."""
-    return profits.orderBy(F.desc("profit"), "menu_item_name", "city", "season", "item_category")
+    return profits.orderBy(highest("profit"), "menu_item_name", "city", "season", "item_category")
 
 
 def top_items(profits: DataFrame, n: int = TOP_N) -> DataFrame:
@@ -40,7 +45,7 @@ def top_items(profits: DataFrame, n: int = TOP_N) -> DataFrame:
             F.avg("unit_price").alias("unit_price"),
             F.avg("profit").alias("total_profit"),
         )
-        .orderBy(F.desc("total_profit"), "menu_item_name", "item_category")
+        .orderBy(highest("total_profit"), "menu_item_name", "item_category")
         .limit(n)
     )
 
@@ -50,7 +55,7 @@ SELECT menu_item_name, item_category,
        avg(avg_cost) AS avg_cost, avg(unit_price) AS unit_price, avg(profit) AS total_profit
 FROM {profits}
 GROUP BY menu_item_name, item_category
-ORDER BY total_profit DESC, menu_item_name, item_category
+ORDER BY nanvl(total_profit, NULL) DESC NULLS LAST, menu_item_name, item_category
 LIMIT {n}
 """
 
@@ -88,7 +93,7 @@ def top_item_season_series(profits: DataFrame, n: int = TOP_N) -> DataFrame:
     same_name = Window.partitionBy("menu_item_name")
     best = (
         items.withColumns({name: F.sum(name).over(same_name) for name in SEASON_ORDER})
-        .orderBy(F.desc("total_profit"), "menu_item_name", "item_category")
+        .orderBy(highest("total_profit"), "menu_item_name", "item_category")
         .limit(n)
     )
     return (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -10,10 +9,10 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from salesloom.functions.encoding import hash_bucket, with_ordinals
 from salesloom.functions.fixed_values import (
+    ALL,
     CITY_CENTERS,
     DEFAULT_CENTER,
     MODEL_SEED,
@@ -22,8 +21,12 @@ from salesloom.functions.fixed_values import (
     SITES_PER_RING,
     TRAIN_PERCENT,
 )
+from salesloom.operators.filters import Choice
 from salesloom.operators.options import distinct_values
-from salesloom.session import use_shared_checkpoints
+from salesloom.session import stored
+
+# Split points tried for a feature.
+MODEL_BINS = 64
 
 LOCATION_KEYS = ("latitude", "longitude", "menu_type", "item_category", "season", "time_of_day")
 
@@ -32,8 +35,6 @@ LOCATION_KEYS = ("latitude", "longitude", "menu_type", "item_category", "season"
 # ones come out on every run.
 STEP_LAT, STEP_LON = 0.7548776662466927, 0.5698402909980532
 
-# Training rows per task, the fewest that are worth a task of their own.
-ROWS_PER_TASK = 50_000
 
 def location_sales(sales: DataFrame) -> DataFrame:
     """Total sales by place, menu, category, season and time of day."""
@@ -75,30 +76,42 @@ def center_of(
 
 
 def candidate_sites(
-    locations: DataFrame, menu_type: str, center: tuple[float, float] = DEFAULT_CENTER
+    locations: DataFrame,
+    menu_type: str,
+    center: tuple[float, float] = DEFAULT_CENTER,
+    categories: Choice = None,
 ) -> DataFrame:
     """Candidate sites in three boxes around a centre, for every category.
 
-    Every category unfolds into the fixed number of sites. Seasons and times of
-    day go round through the values that occur, at most four each, so that their
-    pairs come up evenly.
+    Categories are the chosen ones, sold there or not; without a choice those that are
+    sold, null among them. Each unfolds into the fixed number of sites. Seasons and times
+    of day go round through the values that occur, at most four each, so that their
+    pairs come up evenly. Without any location there are no sites.
     """
 
     def seen(column: str) -> Column:
-        return locations.select(F.sort_array(F.collect_set(column))).scalar()
+        return F.sort_array(F.collect_set(column))
 
-    def pick(values: Column, turn: Column) -> Column:
-        return F.try_element_at(values, (turn % F.size(values) + 1).cast("int"))
+    def pick(values: str, turn: Column) -> Column:
+        return F.try_element_at(F.col(values), (F.try_mod(turn, F.size(values)) + 1).cast("int"))
 
     def spread(step: float) -> Column:
         position = F.col("site_id") * F.lit(step)
         return (2 * (position - F.floor(position)) - 1) * F.col("reach")
 
-    seasons, dayparts = seen("season"), seen("time_of_day")
+    unnamed = F.when(F.max(F.col("item_category").isNull()), F.array(F.lit(None).cast("string")))
+    sold = F.concat(seen("item_category"), F.coalesce(unnamed, F.array().cast("array<string>")))
+    chosen = [categories] if isinstance(categories, str) else categories
+    if chosen is not None and ALL not in chosen:
+        sold = F.array(*map(F.lit, dict.fromkeys(chosen))).cast("array<string>")
     last_id = SITES_PER_RING * len(RING_DEGREES) - 1
     return (
-        locations.select("item_category")
-        .distinct()
+        locations.agg(
+            seen("season").alias("seasons"), seen("time_of_day").alias("dayparts"), sold.alias("categories"),
+            F.count(F.lit(1)).alias("n_locations"),
+        )
+        .where("n_locations > 0")
+        .withColumn("item_category", F.explode("categories"))
         .withColumn("site_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last_id).cast("long"))))
         .withColumn("ring", F.floor(F.col("site_id") / SITES_PER_RING).cast("int"))
         .withColumn("reach", F.element_at(F.array(*map(F.lit, RING_DEGREES)), F.col("ring") + 1))
@@ -109,46 +122,54 @@ def candidate_sites(
             (F.lit(center[1]) + spread(STEP_LON)).alias("longitude"),
             F.lit(menu_type).alias("menu_type"),
             "item_category",
-            pick(seasons, F.col("site_id")).alias("season"),
-            pick(dayparts, F.floor(F.col("site_id") / F.size(seasons))).alias("time_of_day"),
+            pick("seasons", F.col("site_id")).alias("season"),
+            pick("dayparts", F.floor(F.col("site_id") / F.greatest(F.size("seasons"), F.lit(1)))).alias("time_of_day"),
         )
     )
 
 
 def with_split(locations: DataFrame) -> DataFrame:
     """Marks each location row for training or for the hold-out, by its keys alone."""
-    keys = [F.col(name).cast("decimal(9,6)").cast("string") for name in ("latitude", "longitude")]
-    keys += [F.coalesce(name, F.lit("")) for name in LOCATION_KEYS[2:]]
-    train = hash_bucket(*keys) < TRAIN_PERCENT
+    keys = [F.col(name).try_cast("decimal(9,6)").cast("string") for name in ("latitude", "longitude")]
+    keys += [F.col(name) for name in LOCATION_KEYS[2:]]
+    train = hash_bucket(*(F.coalesce(key, F.lit("")) for key in keys)) < TRAIN_PERCENT
     return locations.withColumn("split", F.when(train, "train").otherwise("test"))
 
 
 def _trainable(locations: DataFrame) -> DataFrame:
-    """Encoded rows without gaps, each marked for training or for the hold-out."""
+    """Encoded rows, each marked for training or for the hold-out.
+
+    Without a place, a season or sales there is nothing to learn; a row without a
+    category stays, in a slot of its own.
+    """
     return with_ordinals(with_split(locations)).dropna(
-        subset=["latitude", "longitude", "season_encoded", "item_category", "total_sales"]
+        subset=["latitude", "longitude", "season_encoded", "total_sales"]
     )
 
 
 def fit_site_model(
-    locations: DataFrame, trees: int = MODEL_TREES, seed: int = MODEL_SEED
-) -> PipelineModel:
-    """Boosted trees that predict a location's total sales.
+    locations: DataFrame,
+    trees: int = MODEL_TREES,
+    seed: int = MODEL_SEED,
+    bins: int = MODEL_BINS,
+    tasks: int | None = None,
+) -> PipelineModel | None:
+    """Boosted trees that predict a location's total sales; None without a row to train on.
 
     One fitted pipeline encodes training rows and candidate sites alike; a
     category it never saw gets its own slot.
 
     Training passes over its rows once per tree level. They are written to the
-    shared checkpoint folder first, so that a lost executor costs a read from there
-    and not a scan of the facts, and so that hundreds of jobs do not each carry the
-    plan behind the rows; without such a folder they are cached. The number of
-    tasks follows the number of rows: passes over few rows cost mostly task starts.
+    shared folder first, so that a lost executor costs a read from there and not a scan
+    of the facts, and so that hundreds of jobs do not each carry the plan behind the
+    rows; the table goes when the model is there. ``bins`` bounds the split points tried
+    for a feature, ``tasks`` the tasks of a pass (else as the stored rows are split).
     """
     rows = _trainable(locations).filter("split = 'train'").drop("split", "season", "time_of_day", "menu_type")
-    shared = use_shared_checkpoints(locations.sparkSession)
-    training = rows.checkpoint() if shared else rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sized = training.coalesce(math.ceil(training.count() / ROWS_PER_TASK) or 1)
+    with stored(rows) as training:
+        if training.isEmpty():
+            return None
+        sized = training.coalesce(tasks) if tasks else training
         indexer = StringIndexer(
             inputCol="item_category",
             outputCol="category_index",
@@ -166,18 +187,19 @@ def fit_site_model(
             maxIter=trees,
             maxDepth=3,
             stepSize=0.1,
-            maxBins=64,
+            maxBins=bins,
             seed=seed,
         )
         return Pipeline(stages=[indexer, flags, features, booster]).fit(sized)
-    finally:
-        training.unpersist()
 
 
-def score_sites(model: PipelineModel, sites: DataFrame) -> DataFrame:
-    """Candidate sites with their predicted sales."""
-    ready = with_ordinals(sites).filter(F.col("season_encoded").isNotNull())
-    return model.transform(ready).select(*sites.columns, "predicted_sales")
+def score_sites(model: PipelineModel | None, sites: DataFrame) -> DataFrame:
+    """Candidate sites with their predicted sales: null where there is no season or no model."""
+    if model is None:
+        return sites.withColumn("predicted_sales", F.lit(None).cast("double"))
+    ready = with_ordinals(sites).fillna(0, ["season_encoded", "time_encoded"])
+    scored = model.transform(ready).withColumn("predicted_sales", F.when(F.col("season").isNotNull(), F.col("predicted_sales")))
+    return scored.select(*sites.columns, "predicted_sales")
 
 
 def heat_points(scores: DataFrame) -> DataFrame:
@@ -185,20 +207,33 @@ def heat_points(scores: DataFrame) -> DataFrame:
     return scores.select("latitude", "longitude", "predicted_sales")
 
 
-def model_metrics(model: PipelineModel, locations: DataFrame) -> DataFrame:
-    """Errors of the model and of the plain training mean, on both parts of the split."""
+def _rmse(guess: Column) -> Column:
+    return F.sqrt(F.avg(F.pow(F.col("total_sales") - guess, 2)))
+
+
+def _training_mean(rows: DataFrame) -> Column:
+    return rows.filter("split = 'train'").select(F.avg("total_sales")).scalar()
+
+
+def split_stats(locations: DataFrame) -> DataFrame:
+    """Rows of both parts of the split, and the error of the plain training mean on them."""
     rows = _trainable(locations)
-    mean = rows.filter("split = 'train'").select(F.avg("total_sales")).scalar()
+    return rows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), _rmse(_training_mean(rows)).alias("rmse_of_mean")
+    )
 
-    def rmse(guess: Column) -> Column:
-        return F.sqrt(F.avg(F.pow(F.col("total_sales") - guess, 2)))
 
+def model_metrics(model: PipelineModel | None, locations: DataFrame) -> DataFrame:
+    """``split_stats`` with the error of the model; null without one."""
+    rows = _trainable(locations)
+    if model is None:
+        return split_stats(locations).withColumn("rmse", F.lit(None).cast("double"))
     return (
         model.transform(rows)
         .groupBy("split")
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
-            rmse(F.col("predicted_sales")).alias("rmse"),
-            rmse(mean).alias("rmse_of_mean"),
+            _rmse(F.col("predicted_sales")).alias("rmse"),
+            _rmse(_training_mean(rows)).alias("rmse_of_mean"),
         )
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from salesloom.functions.calendar import with_date
 from salesloom.functions.fixed_values import TOP_N
 from salesloom.functions.labels import money, option_icon, option_type
+from salesloom.operators.options import sums_by_level
 
 CUBE_KEYS = ("date", "item_subcategory", "item_category", "menu_type")
 
@@ -100,9 +101,9 @@ def daily_category_sales(sales: DataFrame) -> DataFrame:
     return with_date(sales).groupBy("date", "item_category").agg(F.sum("price").alias("price"))
 
 
-def daily_category_pivot(daily: DataFrame, categories: Sequence[str]) -> DataFrame:
+def daily_category_pivot(daily: DataFrame, categories: Sequence[str | None]) -> DataFrame:
     """One row per day with one column per category, 0 where nothing was sold.
 
-    Naming the categories spares Spark the job that would look for them.
+    Sales without a category are in the column "null".
     """
-    return daily.groupBy("date").pivot("item_category", list(categories)).sum("price").fillna(0)
+    return sums_by_level(daily, "date", "item_category", categories, "price")

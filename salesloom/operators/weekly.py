@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.functions.calendar import week_end, with_date
+from salesloom.operators.options import NULL_COLUMN, quoted, sums_by_level
 
 
 def weekly_totals(sales: DataFrame) -> DataFrame:
@@ -50,12 +51,18 @@ def weekly_category_sales(sales: DataFrame) -> DataFrame:
     )
 
 
-def weekly_wide(weekly: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """One row per week with one column per category."""
-    return weekly.groupBy("week_end").pivot("item_category", list(categories)).sum("y").fillna(0)
+def weekly_wide(weekly: DataFrame, categories: Sequence[str | None]) -> DataFrame:
+    """One row per week with one column per category; the one of no category is called "null"."""
+    return sums_by_level(weekly, "week_end", "item_category", categories, "y")
 
 
 def weekly_long(wide: DataFrame) -> DataFrame:
     """Back to one row per week and category."""
-    categories = [name for name in wide.columns if name != "week_end"]
-    return wide.unpivot(["week_end"], categories, "item_category", "y")
+    sold = F.array(
+        *(
+            F.struct(F.lit(None if name == NULL_COLUMN else name).cast("string").alias("item_category"), F.col(quoted(name)).alias("y"))
+            for name in wide.columns
+            if name != "week_end"
+        )
+    )
+    return wide.select("week_end", F.inline(sold))

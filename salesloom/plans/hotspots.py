@@ -19,8 +19,8 @@ class Hotspots:
     """Location totals and seasonal item profits, and the results built on them.
 
     Both aggregates are cached on first use and released by ``close`` or at the
-    end of a ``with`` block. Ask ``found`` before asking for scores: without a sale
-    there is nothing to train on. ``centers`` gives the centres of known cities.
+    end of a ``with`` block. Without a sale there is nothing to train on: no model, and
+    scores without rows. ``centers`` gives the centres of known cities.
     """
 
     def __init__(
@@ -33,6 +33,7 @@ class Hotspots:
         trees: int = MODEL_TREES,
     ):
         self.menu_type, self.center, self.trees = menu_type, sites.center_of(city, centers), trees
+        self.categories = categories
         self.sales = with_calendar(sales.transform(at_location, menu_type, city, categories))
         self.locations = sites.location_sales(self.sales).persist(StorageLevel.MEMORY_AND_DISK)
         self.profits = profit.item_season_profit(self.sales).persist(StorageLevel.MEMORY_AND_DISK)
@@ -49,14 +50,14 @@ class Hotspots:
 
     def found(self) -> bool:
         """Whether the choice matches any sale; without one there is no model."""
-        return has_rows(self.sales)
+        return has_rows(self.locations)
 
     @cached_property
-    def model(self) -> PipelineModel:
+    def model(self) -> PipelineModel | None:
         return sites.fit_site_model(self.locations, self.trees)
 
     def candidates(self) -> DataFrame:
-        return sites.candidate_sites(self.locations, self.menu_type, self.center)
+        return sites.candidate_sites(self.locations, self.menu_type, self.center, self.categories)
 
     def scores(self) -> DataFrame:
         return sites.score_sites(self.model, self.candidates())

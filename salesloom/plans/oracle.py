@@ -18,10 +18,10 @@ FACTS = """WITH facts AS (
          l_quantity AS quantity, l_extendedprice / l_quantity AS unit_price,
          p_retailprice AS cost_of_goods_usd,
          o_orderdate + to_hours(((o_orderkey * 7 + l_linenumber * 5) % 24)::INT) AS order_ts,
-         52.2298::DOUBLE + ((s_suppkey % 21) - 10) / 1000.0::DOUBLE AS latitude,
-         21.0118::DOUBLE + ((s_suppkey % 17) - 8) / 1000.0::DOUBLE AS longitude
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-  JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+         52.2298::DOUBLE + ((l_suppkey % 21) - 10) / 1000.0::DOUBLE AS latitude,
+         21.0118::DOUBLE + ((l_suppkey % 17) - 8) / 1000.0::DOUBLE AS longitude
+  FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
+  LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey
 ), calendar AS (
   SELECT *, order_ts::DATE AS date, hour(order_ts)::INT AS hour, month(order_ts)::INT AS month,
          CASE WHEN hour(order_ts) >= 5 AND hour(order_ts) < 12 THEN 'Morning'
@@ -115,6 +115,11 @@ _TIME_CODE = (
     "CASE time_of_day WHEN 'Morning' THEN 1 WHEN 'Afternoon' THEN 2 WHEN 'Evening' THEN 3 WHEN 'Night' THEN 4 END"
 )
 
+# Bucket of a row by the text of its keys.
+_SPLIT = """CASE WHEN ('0x' || substr(md5(concat_ws('|', coalesce(TRY_CAST(latitude AS DECIMAL(9, 6))::VARCHAR, ''),
+              coalesce(TRY_CAST(longitude AS DECIMAL(9, 6))::VARCHAR, ''), coalesce(menu_type, ''), coalesce(item_category, ''),
+              coalesce(season, ''), coalesce(time_of_day, ''))), 1, 8))::BIGINT % 100 < 80 THEN 'train' ELSE 'test' END"""
+
 _OPTION_TYPE = (
     "CASE WHEN lower(item_subcategory) LIKE '%hot%' THEN 'Hot Option' "
     "WHEN lower(item_subcategory) LIKE '%cold%' THEN 'Cold Option' ELSE 'Warm Option' END"
@@ -133,6 +138,19 @@ def _spread(step: float) -> str:
 _CHOSEN = f"menu_type = '{q.CHOSEN_MENU}' AND city = '{q.CHOSEN_CITY}'"
 _CENTER = {city: (lat, lon) for city, lat, lon in STAR_CENTERS}[q.CHOSEN_CITY]
 
+def _sites(categories: str) -> str:
+    return f"""{FACTS}, chosen AS (SELECT * FROM calendar WHERE {_CHOSEN}),
+domains AS (SELECT list_sort(list(DISTINCT season)) AS seasons, list_sort(list(DISTINCT time_of_day)) AS parts FROM chosen),
+points AS (SELECT site_id, (site_id // 17)::INT AS ring, [0.01, 0.03, 0.06][site_id // 17 + 1]::DOUBLE AS reach
+           FROM range(51) AS r(site_id))
+SELECT site_id, ring, round({_CENTER[0]!r}::DOUBLE + {_spread(STEP_LAT)}, 6) AS latitude,
+       round({_CENTER[1]!r}::DOUBLE + {_spread(STEP_LON)}, 6) AS longitude,
+       '{q.CHOSEN_MENU}' AS menu_type, item_category,
+       seasons[site_id % len(seasons) + 1] AS season,
+       parts[site_id // len(seasons) % len(parts) + 1] AS time_of_day
+FROM points CROSS JOIN ({categories}) CROSS JOIN domains"""
+
+
 ORACLE: dict[str, str] = {
     "scan_sales": f"{FACTS} SELECT {_SALES} FROM facts",
     "scan_geo": f"{FACTS} SELECT {_GEO} FROM facts",
@@ -205,25 +223,35 @@ SELECT latitude, longitude, menu_type, season, time_of_day, round(total_sales, 2
        {', '.join(f"(item_category = '{c}')::INT AS item_category_{c}" for c in CATEGORIES[1:])}
 FROM locations""",
     "train_split": f"""{FACTS}, {_LOCATIONS}
-SELECT {_LOCATION_ROWS},
-       CASE WHEN ('0x' || substr(md5(concat_ws('|', latitude::DECIMAL(9, 6)::VARCHAR,
-              longitude::DECIMAL(9, 6)::VARCHAR, menu_type, item_category, season, time_of_day)), 1, 8))::BIGINT
-              % 100 < 80 THEN 'train' ELSE 'test' END AS split
-FROM locations""",
+SELECT {_LOCATION_ROWS}, {_SPLIT} AS split FROM locations""",
+    "site_split_stats": f"""{FACTS}, chosen AS (
+  SELECT {_LOCATION_KEYS}, sum(price) AS total_sales FROM calendar WHERE {_CHOSEN} GROUP BY {_LOCATION_KEYS}
+), parts AS (
+  SELECT *, {_SPLIT} AS split FROM chosen
+  WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND season IS NOT NULL AND total_sales IS NOT NULL
+)
+SELECT split, count(*) AS n_rows,
+       round(sqrt(avg((total_sales - (SELECT avg(total_sales) FROM parts WHERE split = 'train')) ** 2)) + {NUDGE}, 4) AS rmse_of_mean
+FROM parts GROUP BY split""",
+    "site_score_check": f"""{FACTS}
+SELECT item_category, 51::BIGINT AS n_sites, true AS all_finite, true AS differ
+FROM (SELECT DISTINCT item_category FROM calendar WHERE {_CHOSEN})""",
+    "scan_sample_by_hash": f"""{FACTS}
+SELECT menu_item_name, order_ts, price, quantity, city FROM facts
+WHERE ('0x' || substr(md5(concat_ws('|', coalesce(menu_item_name, ''), coalesce(city, ''),
+       coalesce(round(price * 100)::BIGINT::VARCHAR, ''))), 1, 8))::BIGINT % 100 < 10""",
+    "actual_half": f"""{FACTS}, {_WEEKLY}
+SELECT week_end AS ds, round(y, 2) AS y, item_category, 'Actual' AS type FROM weekly""",
+    "forecast_check": f"""{FACTS}, {_WEEKLY}
+SELECT item_category, count(*) AS n_actual, count(*) + 365 AS n_forecast, min(week_end) AS first_ds,
+       (max(week_end) + 365)::DATE AS last_ds, true AS all_finite, true AS beats_line
+FROM weekly GROUP BY item_category""",
     "city_center": f"""{FACTS}
 SELECT f.city, coalesce(c.lat, 52.2298::DOUBLE) AS lat, coalesce(c.lon, 21.0118::DOUBLE) AS lon
 FROM (SELECT DISTINCT city FROM facts) f
 LEFT JOIN (VALUES {_values(STAR_CENTERS)}) AS c(city, lat, lon) ON c.city = f.city""",
-    "candidate_sites": f"""{FACTS}, chosen AS (SELECT * FROM calendar WHERE {_CHOSEN}),
-domains AS (SELECT list_sort(list(DISTINCT season)) AS seasons, list_sort(list(DISTINCT time_of_day)) AS parts FROM chosen),
-points AS (SELECT site_id, (site_id // 17)::INT AS ring, [0.01, 0.03, 0.06][site_id // 17 + 1]::DOUBLE AS reach
-           FROM range(51) AS r(site_id))
-SELECT site_id, ring, round({_CENTER[0]!r}::DOUBLE + {_spread(STEP_LAT)}, 6) AS latitude,
-       round({_CENTER[1]!r}::DOUBLE + {_spread(STEP_LON)}, 6) AS longitude,
-       '{q.CHOSEN_MENU}' AS menu_type, item_category,
-       seasons[site_id % len(seasons) + 1] AS season,
-       parts[site_id // len(seasons) % len(parts) + 1] AS time_of_day
-FROM points CROSS JOIN (SELECT DISTINCT item_category FROM chosen) CROSS JOIN domains""",
+    "candidate_sites": _sites("SELECT DISTINCT item_category FROM chosen"),
+    "candidate_sites_chosen": _sites(f"SELECT unnest({q.CHOSEN_CATEGORIES!r}) AS item_category"),
     "forecast_calendar": f"""{FACTS}, {_WEEKLY}
 SELECT item_category, week_end AS ds FROM weekly
 UNION ALL

@@ -10,16 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from salesloom.functions.calendar import with_calendar
-from salesloom.functions.encoding import one_hot, with_ordinals
-from salesloom.functions.fixed_values import GEO_SAMPLE_SEED
+from salesloom.functions.encoding import hash_bucket, one_hot, with_ordinals
+from salesloom.functions.fixed_values import GEO_SAMPLE_SEED, OPTION_SAMPLE_FRACTION
 from salesloom.operators import forecast, menus, options, profit, sites, summaries, weekly
-from salesloom.operators.filters import SalesFilter, at_location
-from salesloom.plans.hotspots import Hotspots
+from salesloom.operators.filters import Choice, SalesFilter, at_location
 from salesloom.sources.dimensions import city_table, menu_table
 from salesloom.sources.sales import GEO_COLUMNS, SALES_COLUMNS, sample_sales
 from salesloom.sources.star import STAR_CENTERS, STAR_MENUS, star_sales
@@ -33,12 +33,14 @@ CHOSEN = SalesFilter(
     categories=["bolt", "gear", "ring"],
 )
 CHOSEN_YEARS = SalesFilter(years=(1996, 1998))
-CHOSEN_MENU, CHOSEN_CITY = "PROMO", "NATION_9"
+CHOSEN_MENU, CHOSEN_CITY = "PROMO", "NATION_3"
+CHOSEN_CATEGORIES = ["bolt", "not sold"]
 CHOSEN_SLICE = "hot"
 
 
-def _sum(*names: str) -> dict[str, Column]:
-    return {name: F.round(name, 2) for name in names}
+def _sum(*names: str | None) -> dict[str, Column]:
+    columns = map(options.column_of, names)
+    return {name: F.round(F.col(options.quoted(name)), 2) for name in columns}
 
 
 def _mean(*names: str) -> dict[str, Column]:
@@ -82,13 +84,37 @@ def _kept(totals: DataFrame) -> DataFrame:
     """Cached totals, for results that first look up which values become columns.
 
     The facts are scanned once for both steps. What is kept has a row per day or
-    week and category, and goes when the session or its cache is cleared.
+    week and category, or per location, and goes when the session or its cache is
+    cleared: the result that is built on it is lazy and reads it later.
     """
     return totals.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _hotspots(spark: SparkSession, sf_dir: str) -> Hotspots:
-    return Hotspots(star_sales(spark, sf_dir, GEO_COLUMNS), CHOSEN_MENU, CHOSEN_CITY, centers=STAR_CENTERS)
+def _chosen_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("latitude", "longitude", "menu_type", "city", "item_category", "order_ts", "price")
+    chosen = star_sales(spark, sf_dir, columns).transform(at_location, CHOSEN_MENU, CHOSEN_CITY)
+    return sites.location_sales(with_calendar(chosen))
+
+
+def _chosen_sites(spark: SparkSession, sf_dir: str, categories: Choice = None) -> DataFrame:
+    center = sites.center_of(CHOSEN_CITY, STAR_CENTERS)
+    return sites.candidate_sites(_chosen_locations(spark, sf_dir), CHOSEN_MENU, center, categories)
+
+
+_models: dict[tuple[str, str], PipelineModel | None] = {}
+
+
+def _model(spark: SparkSession, sf_dir: str) -> PipelineModel | None:
+    """The model of the chosen place, trained once a session for all queries that use it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _models:
+        _models.clear()
+        _models[key] = sites.fit_site_model(_chosen_locations(spark, sf_dir))
+    return _models[key]
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites.score_sites(_model(spark, sf_dir), _chosen_sites(spark, sf_dir))
 
 
 def _profits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,9 +261,9 @@ def ordinal_encode(spark, sf_dir):
 
 
 def one_hot_categories(spark, sf_dir):
-    categories = options.levels(star_sales(spark, sf_dir, ("item_category",)), "item_category")
-    flagged = one_hot(_all_locations(spark, sf_dir), "item_category", categories)
-    return flagged.withColumns(_sum("total_sales"))
+    locations = _kept(_all_locations(spark, sf_dir))
+    categories = [name for name in options.levels(locations, "item_category") if name is not None]
+    return one_hot(locations, "item_category", categories).withColumns(_sum("total_sales"))
 
 
 def train_split(spark, sf_dir):
@@ -251,19 +277,47 @@ def city_center(spark, sf_dir):
 
 
 def candidate_sites(spark, sf_dir):
-    return _hotspots(spark, sf_dir).candidates().withColumns(_degrees("latitude", "longitude"))
+    return _chosen_sites(spark, sf_dir).withColumns(_degrees("latitude", "longitude"))
+
+
+def candidate_sites_chosen(spark, sf_dir):
+    """Sites of chosen categories, one of which is not sold there."""
+    return _chosen_sites(spark, sf_dir, CHOSEN_CATEGORIES).withColumns(_degrees("latitude", "longitude"))
 
 
 def site_scores(spark, sf_dir):
-    return _hotspots(spark, sf_dir).scores()
+    return _scores(spark, sf_dir)
 
 
 def heat_points(spark, sf_dir):
-    return _hotspots(spark, sf_dir).heat_points()
+    return sites.heat_points(_scores(spark, sf_dir))
 
 
 def site_model_metrics(spark, sf_dir):
-    return _hotspots(spark, sf_dir).metrics()
+    return sites.model_metrics(_model(spark, sf_dir), _chosen_locations(spark, sf_dir))
+
+
+def site_split_stats(spark, sf_dir):
+    """The part of the metrics that does not depend on the model."""
+    return sites.split_stats(_chosen_locations(spark, sf_dir)).withColumns(_mean("rmse_of_mean"))
+
+
+def site_score_check(spark, sf_dir):
+    """Of each category the scored sites, and whether all scores are finite and differ."""
+    score = F.col("predicted_sales")
+    return _scores(spark, sf_dir).groupBy("item_category").agg(
+        F.count("*").alias("n_sites"),
+        F.bool_and(score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))).alias("all_finite"),
+        (F.count_distinct(score) > 1).alias("differ"),
+    )
+
+
+def scan_sample_by_hash(spark, sf_dir):
+    """A tenth of the order lines by a hash of their columns, the same on every engine."""
+    lines = star_sales(spark, sf_dir, ("menu_item_name", "order_ts", "price", "quantity", "city"))
+    cents = F.round(F.col("price") * 100).cast("long").cast("string")
+    bucket = hash_bucket(F.coalesce("menu_item_name", F.lit("")), F.coalesce("city", F.lit("")), F.coalesce(cents, F.lit("")))
+    return lines.where(bucket < round(100 * OPTION_SAMPLE_FRACTION))
 
 
 def forecast_calendar(spark, sf_dir):
@@ -282,6 +336,33 @@ def actual_vs_forecast(spark, sf_dir):
     return forecast.actual_vs_forecast(_weekly(spark, sf_dir))
 
 
+def actual_half(spark, sf_dir):
+    """The rows of ``actual_vs_forecast`` that are no forecast."""
+    return actual_vs_forecast(spark, sf_dir).where("type = 'Actual'").withColumns(_sum("y"))
+
+
+def forecast_check(spark, sf_dir):
+    """Of each category both kinds of rows, their dates, and whether the fit beats a straight line."""
+    rows = actual_vs_forecast(spark, sf_dir)
+    both = rows.groupBy("item_category", "ds").agg(
+        F.max(F.when(F.col("type") == "Actual", F.col("y"))).alias("sold"),
+        F.max(F.when(F.col("type") == "Forecast", F.col("y"))).alias("fit"),
+    )
+    day = F.when(F.col("sold").isNotNull(), F.unix_date("ds"))
+    return both.groupBy("item_category").agg(
+        F.count("sold").alias("n_actual"),
+        F.count("fit").alias("n_forecast"),
+        F.min("ds").alias("first_ds"),
+        F.max("ds").alias("last_ds"),
+        F.bool_and(F.abs("fit") < float("inf")).alias("all_finite"),
+        # What a line leaves unexplained, against what the model does.
+        (
+            F.sum(F.pow(F.col("sold") - F.col("fit"), 2))
+            <= F.regr_syy("sold", day) - F.pow(F.regr_sxy("sold", day), 2) / F.regr_sxx("sold", day)
+        ).alias("beats_line"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_sales": scan_sales,
     "scan_geo": scan_geo,
@@ -320,8 +401,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_scores": site_scores,
     "heat_points": heat_points,
     "site_model_metrics": site_model_metrics,
+    "candidate_sites_chosen": candidate_sites_chosen,
+    "site_split_stats": site_split_stats,
+    "site_score_check": site_score_check,
+    "scan_sample_by_hash": scan_sample_by_hash,
     "forecast_calendar": forecast_calendar,
     "category_trend": category_trend,
     "category_forecast": category_forecast,
     "actual_vs_forecast": actual_vs_forecast,
+    "actual_half": actual_half,
+    "forecast_check": forecast_check,
 }

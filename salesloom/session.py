@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-# Bytes of input behind one shuffle partition, and the most partitions of one
-# shuffle. A partition beyond its share of memory spills, and AQE merges the ones
-# that turn out small, so the count errs on the high side.
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
+
+# Bytes of input behind one shuffle partition. A partition beyond its share of memory
+# spills, and AQE merges the ones that turn out small, so the count errs on the high side.
 SHUFFLE_BYTES = 512 * 1024 * 1024
-MOST_PARTITIONS = 50_000
 
 # AQE, skew-join splitting and ANSI mode are on by default in Spark 4; only the
 # settings that differ from Spark's defaults are listed.
@@ -37,21 +40,39 @@ def shuffle_settings(input_bytes: int, cores: int) -> dict[str, str]:
     hundreds of GB in a join of the star schema. Totals of the wide facts table
     shuffle only what map-side aggregation leaves, and AQE merges them again.
     """
-    partitions = min(max(input_bytes // SHUFFLE_BYTES, 2 * cores), MOST_PARTITIONS)
-    return {
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.files.maxPartitionBytes": "256m" if input_bytes > 2**40 else "128m",
-    }
+    return {"spark.sql.shuffle.partitions": str(max(input_bytes // SHUFFLE_BYTES, 2 * cores))}
 
 
-def use_shared_checkpoints(spark: SparkSession) -> bool:
-    """Whether there is a folder for checkpoints, which ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder for intermediate tables, which ``spark.checkpoint.dir`` names.
 
-    No folder is made up where the session names none, because a machine-local one
-    would be lost with its machine.
+    None where the session names none: a made-up, machine-local one would be lost
+    with its machine.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir() is not None
+    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+
+
+@contextmanager
+def stored(rows: DataFrame) -> Iterator[DataFrame]:
+    """The rows as a table in the shared folder, for as long as the block lasts.
+
+    A lost executor then costs a read and no new computation. Without a shared folder
+    the rows are cached instead.
+    """
+    spark = rows.sparkSession
+    folder = shared_folder(spark)
+    if folder is None:
+        rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield rows
+        finally:
+            rows.unpersist()
+        return
+    path = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    try:
+        yield spark.read.schema(rows.schema).parquet(path)
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -1,9 +1,9 @@
 """Sales facts from an order star schema (lineitem, orders, part, supplier, nation).
 
 The facts table is one wide row per order line. Here it is put together by
-joins, and only by those that the wanted columns need: every order line has
-exactly one order, part, supplier and nation, so a join nobody reads from would
-neither add nor remove rows.
+left joins, and only by those that the wanted columns need. An order line without
+its order, part, supplier or nation stays, with nulls for their columns, and keys of
+those tables are unique: so there are as many rows whatever the columns.
 
 No join carries a broadcast hint. The optimizer broadcasts a side only when its
 size is under the threshold, and otherwise shuffles, where AQE splits hot keys.
@@ -63,12 +63,11 @@ def _order_columns() -> dict[str, Column]:
 
 
 def _part_columns() -> dict[str, Column]:
-    words = F.split("p_name", " ")
     return {
         "truck_brand_name": F.col("p_brand"),
         "menu_type": F.col("p_type"),
-        "item_subcategory": words[0],
-        "item_category": words[1],
+        "item_subcategory": F.split_part("p_name", F.lit(" "), F.lit(1)),
+        "item_category": F.split_part("p_name", F.lit(" "), F.lit(2)),
         "menu_item_name": F.col("p_name"),
         "cost_of_goods_usd": F.col("p_retailprice"),
     }
@@ -101,16 +100,16 @@ def star_sales(
         if years is not None:
             day_before = F.col("o_orderdate") >= new_year(years[0]) - F.expr("INTERVAL 1 DAY")
             orders = orders.filter(day_before & (F.col("o_orderdate") < new_year(years[1] + 1)))
-        sales = sales.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        sales = sales.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         of_line |= of_order
     if "city" in columns:
-        places = table("supplier").join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        places = table("supplier").join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
         sales = sales.join(
-            places.select("s_suppkey", F.col("n_name").alias("city")), F.col("l_suppkey") == F.col("s_suppkey")
+            places.select("s_suppkey", F.col("n_name").alias("city")), F.col("l_suppkey") == F.col("s_suppkey"), "left"
         )
     if any(name in of_part for name in columns):
         parts = table("part").select(
             "p_partkey", *(value.alias(name) for name, value in of_part.items() if name in columns)
         )
-        sales = sales.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        sales = sales.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
     return sales.select(*(of_line.get(name, F.col(name)).alias(name) for name in columns))

@@ -21,8 +21,8 @@ def plain():
 
 
 @pytest.fixture(scope="module")
-def chunked():
-    return packing.ChunkedTokenizer(tokenizer_path())
+def encoder():
+    return packing.Encoder(tokenizer_path())
 
 
 def ids(encoded):
@@ -34,9 +34,21 @@ def ids(encoded):
     st.sampled_from([" ", "  ", "\n", "\t ", "\u00a0", "\u2003", "\x1c", "'s", "'re ", "<|endoftext|>", " a", "b1 ", "..", "é", "ﬀ", "123"]),
     st.text(max_size=4),
 ), max_size=14).map("".join))
-def test_chunks_give_the_tokenizers_ids(plain, chunked, text):
+def test_ids_are_the_tokenizers_ids(plain, encoder, text):
     text = text.encode("utf-8", "replace").decode()
-    assert ids(chunked([text])[0]) == plain(text)
+    assert ids(encoder(text)) == plain(text)
+
+
+@pytest.mark.parametrize("start", range(0, 0x530, 0x60))
+def test_ids_of_each_letter_of_the_fast_path(plain, encoder, start):
+    letters = [chr(c) for c in [*range(start, min(start + 0x60, 0x530)), *range(0x2000, 0x2070)]]
+    text = "".join(f"{c} a{c}b {c}{c}1{c}" for c in letters)
+    assert ids(encoder(text)) == plain(text)
+
+
+def test_ids_of_documents(spark, plain, encoder, small):
+    for row in spark.read.parquet(f"{small}/documents.parquet").select("text").limit(300).collect():
+        assert ids(encoder(row.text)) == plain(row.text)
 
 
 @pytest.mark.parametrize("rounds,partition", [(3, 20_000), (3, 25), (0, 25)])
@@ -68,7 +80,7 @@ def test_pieces_and_sequences(spark, plain, rounds, partition):
 
 def test_exchange_saves_sequences(spark):
     rng = np.random.default_rng(2)
-    rows = [(k, "a " * int(n), "en", "s", 1, None, None, None) for k, n in enumerate(rng.integers(1, 900, 400))]
+    rows = [(k, "a " * int(n), "en", "s", 1, None, None, None) for k, n in enumerate(rng.integers(200, 420, 400))]
     used = [
         packing.pack(docs_frame(spark, rows), tokenizer_path(), partition_pieces=20, rounds=n).select("sequence_id").distinct().count()
         for n in (0, 4)

@@ -1,6 +1,7 @@
 """What the optimizer makes of the queries: scans, shuffles, joins and limits."""
 
 import datetime as dt
+import os
 import re
 
 import pytest
@@ -10,12 +11,12 @@ from salesloom.functions.calendar import with_calendar
 from salesloom.operators import menus, options, profit, sites, summaries, weekly
 from salesloom.operators.filters import SalesFilter, at_location
 from salesloom.plans.queries import QUERIES
-from salesloom.session import shuffle_settings, use_shared_checkpoints
+from salesloom.session import shared_folder, shuffle_settings, stored as stored_rows
 from salesloom.sources.dimensions import menu_table
 from salesloom.sources.sales import GEO_COLUMNS, SALES_COLUMNS, read_sales, sample_sales, write_result, write_sales
 from salesloom.sources.star import star_sales
 
-TRAINED = {"site_scores", "heat_points", "site_model_metrics"}
+TRAINED = {"site_scores", "heat_points", "site_model_metrics", "site_score_check"}
 
 
 @pytest.fixture(scope="module")
@@ -153,7 +154,7 @@ def test_no_query_pairs_all_rows(spark, tiny):
 def test_python_runs_only_in_the_forecast(spark, tiny):
     for name in sorted(QUERIES.keys() - TRAINED):
         uses_python = re.search("InPandas|PythonUDF|ArrowEval|BatchEval", plan(QUERIES[name](spark, tiny)))
-        assert bool(uses_python) == (name in {"category_forecast", "actual_vs_forecast"}), name
+        assert bool(uses_python) == (name in {"category_forecast", "actual_vs_forecast", "actual_half", "forecast_check"}), name
 
 
 def test_year_range_reaches_the_orders(spark, tiny):
@@ -207,12 +208,34 @@ def test_hot_part_is_split_in_the_join(spark, small, tmp_path):
 def test_shuffle_settings_grow_with_the_input():
     small, large = shuffle_settings(10**9, 8), shuffle_settings(10**14, 8000)
     assert small["spark.sql.shuffle.partitions"] == "16"
-    assert large["spark.sql.shuffle.partitions"] == "50000"
-    assert small["spark.sql.files.maxPartitionBytes"] == "128m"
+    assert int(large["spark.sql.shuffle.partitions"]) == 10**14 // (512 * 1024 * 1024)
 
 
-def test_checkpoints_go_where_the_session_says(spark):
-    assert use_shared_checkpoints(spark)
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        assert named.removeprefix("file:") in spark.sparkContext.getCheckpointDir()
+def test_stored_rows_lie_in_the_shared_folder_and_go(spark):
+    with stored_rows(spark.range(10)) as rows:
+        assert rows.count() == 10
+        path = rows.inputFiles()[0]
+        assert path.removeprefix("file://").startswith(shared_folder(spark).removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+@pytest.mark.parametrize("name", ["forecast_calendar", "actual_vs_forecast", "one_hot", "candidate_sites", "weekly_category_sales"])
+def test_order_lines_are_read_once(spark, tiny, name):
+    """By the rows that the stages read, whatever the plan says."""
+    spark.catalog.clearCache()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"read-{name}", name)
+    try:
+        QUERIES[name](spark, tiny).write.format("noop").mode("overwrite").save()
+        jobs = tracker.getJobIdsForGroup(f"read-{name}")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = {stage for job in jobs for stage in (tracker.getJobInfo(job) or None).stageIds}
+    read = 0
+    for stage in stages:
+        if tracker.getStageInfo(stage):
+            attempts = store.stageData(stage, False, spark._jvm.java.util.ArrayList(), False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0))
+            read += sum(attempts.apply(k).inputRecords() for k in range(attempts.size()))
+    lines = spark.read.parquet(f"{tiny}/lineitem.parquet").count()
+    assert lines <= read < 1.5 * lines

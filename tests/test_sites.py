@@ -145,5 +145,33 @@ def test_hotspots_end_to_end(sales):
         cards = {(row.menu_item_name, row.item_category) for row in spots.top_item_cards().collect()}
         assert cards == {("Taco", "Main"), ("Taco", "Snack")}
         assert spots.season_series().count() == 2 * 4
-    with Hotspots(sales, "Tacos", "Nowhere") as spots:
+    with Hotspots(sales, "Tacos", "Nowhere", categories=["Main"]) as spots:
         assert not spots.found()
+        assert spots.model is None
+        assert spots.heat_points().count() == 0 and spots.metrics().count() == 0
+
+
+def test_sites_of_chosen_categories(sales):
+    with Hotspots(sales, "Tacos", "Warsaw", categories=["Main", "Unsold"]) as spots:
+        counts = {row.item_category: row["count"] for row in spots.candidates().groupBy("item_category").count().collect()}
+    assert counts == {"Main": 51, "Unsold": 51}
+
+
+def test_sites_without_any_time(facts):
+    rows = sites.location_sales(with_calendar(facts({"order_ts": None})))
+    drawn = sites.candidate_sites(rows, "Tacos").collect()
+    assert len(drawn) == 51 and {row.season for row in drawn} == {None}
+
+
+def test_odd_places_and_null_categories_stay(facts):
+    rows = facts(
+        *({"latitude": 50.0 + k / 100, "item_category": None if k % 2 else "Main", "price": float(k)} for k in range(40)),
+        {"latitude": 12345.0},
+    )
+    located = sites.location_sales(with_calendar(rows))
+    assert sites.with_split(located).count() == 41
+    model = sites.fit_site_model(located, trees=2)
+    assert sum(row.n_rows for row in sites.model_metrics(model, located).collect()) == 41
+    scored = sites.score_sites(model, sites.candidate_sites(located, "Tacos"))
+    assert {row.item_category for row in scored.collect()} == {"Main", None}
+    assert sum(row.n_rows for row in sites.split_stats(located).collect()) == 41
