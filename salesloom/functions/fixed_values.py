@@ -1,5 +1,32 @@
 """Names, bounds and constants that decide what results look like."""
 
+# Columns behind the sales summaries and the forecast.
+SALES_COLUMNS = (
+    "truck_brand_name",
+    "menu_type",
+    "price",
+    "city",
+    "item_category",
+    "item_subcategory",
+    "order_total",
+    "order_ts",
+)
+
+# Columns behind the site scores and the item profits.
+GEO_COLUMNS = (
+    "latitude",
+    "longitude",
+    "price",
+    "menu_type",
+    "item_category",
+    "city",
+    "order_ts",
+    "unit_price",
+    "menu_item_name",
+    "cost_of_goods_usd",
+    "quantity",
+)
+
 # Months of a season, starting with December.
 SEASONS_FROM_DECEMBER = ("Winter", "Spring", "Summer", "Autumn")
 

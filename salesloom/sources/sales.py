@@ -7,34 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.functions.fixed_values import OPTION_SAMPLE_FRACTION, SALES_SAMPLE_SEED
-
-# Columns behind the sales summaries and the forecast.
-SALES_COLUMNS = (
-    "truck_brand_name",
-    "menu_type",
-    "price",
-    "city",
-    "item_category",
-    "item_subcategory",
-    "order_total",
-    "order_ts",
-)
-
-# Columns behind the site scores and the item profits.
-GEO_COLUMNS = (
-    "latitude",
-    "longitude",
-    "price",
-    "menu_type",
-    "item_category",
-    "city",
-    "order_ts",
-    "unit_price",
-    "menu_item_name",
-    "cost_of_goods_usd",
-    "quantity",
-)
+from salesloom.functions.fixed_values import GEO_COLUMNS, OPTION_SAMPLE_FRACTION, SALES_COLUMNS, SALES_SAMPLE_SEED
 
 ALL_COLUMNS = tuple(dict.fromkeys(SALES_COLUMNS + GEO_COLUMNS))
 
