@@ -1,0 +1,120 @@
+"""The pipeline stage by stage, each against a plain form on what the stage before kept."""
+
+from collections import Counter, defaultdict
+
+import pytest
+from llm_cases import docs_frame, words
+from test_line_dedup import cleaned
+from test_mixing import plain_targets
+from test_near_dedup import groups
+from test_quality import plain_model
+
+import __spark_entry__
+import corpus_pipeline
+from salesloom.llm import quality
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def kept(spark, tiny, tmp_path_factory):
+    """What each stage returns, by its name; "documents" is what the first one gets."""
+    folder = tmp_path_factory.mktemp("stages")
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    frames = {"documents": docs}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, tiny).write.parquet(str(folder / name))
+        docs = frames[name] = spark.read.parquet(str(folder / name))
+    return frames
+
+
+def rows(frame):
+    return [tuple(row) for row in frame.select(COLUMNS).collect()]
+
+
+def test_stages_and_columns(kept):
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "quality_classifier", "line_dedup", "minhash_near_dedup", "source_mixing", "best_fit_packing"
+    ]
+    for name in ("quality_classifier", "line_dedup", "minhash_near_dedup", "source_mixing"):
+        assert kept[name].dtypes == kept["documents"].dtypes
+        assert kept[name].count() > 0
+
+
+def test_quality_classifier_agrees_with_a_plain_model(spark, tiny, kept):
+    labels = spark.read.parquet(f"{tiny}/labels.parquet")
+    judged = {r.doc_id: r for r in quality.judge(kept["documents"], labels).collect()}
+    texts = {r.doc_id: r.text for r in kept["documents"].collect()}
+    trusted = {r.doc_id for r in labels.where("quality = 1 AND toxic = 0").collect()}
+    marked = labels.select("doc_id", (quality.F.pmod(quality._draw(), quality.F.lit(quality.HELD_OUT)) == 0).alias("out"))
+    held_out = {r.doc_id for r in marked.collect() if r.out}
+    trained = [texts[d] for d in trusted - held_out if len(words(texts[d])) <= quality.TRAIN_WORDS]
+    log = plain_model(trained)
+    for doc_id in sorted(texts)[:60]:
+        if words(texts[doc_id]):
+            values = log(texts[doc_id])
+            mean = -sum(values) / len(values)
+            assert abs(quality.np.log(judged[doc_id].perplexity) - mean) < 1e-6
+    assert {r[0] for r in rows(kept["quality_classifier"])} == {d for d, r in judged.items() if r.kept}
+    assert {r[0] for r in rows(kept["quality_classifier"])} < set(texts)
+
+
+def test_line_dedup(kept):
+    before = rows(kept["quality_classifier"])
+    expected = []
+    for row, (doc_id, text, n_lines, n_removed) in zip(before, cleaned([(r[0], r[1]) for r in before])):
+        assert row[0] == doc_id
+        if n_removed == 0 or n_removed < n_lines:
+            expected.append((doc_id, text, row[2], row[3], len(text) if n_removed else row[4]))
+    assert sorted(rows(kept["line_dedup"])) == sorted(expected)
+
+
+def test_near_dedup_keeps_one_of_each_group(kept):
+    before = rows(kept["line_dedup"])
+    wanted = set(groups([(r[0], r[1]) for r in before], 5, 80).values())
+    assert sorted(rows(kept["minhash_near_dedup"])) == sorted(r for r in before if r[0] in wanted)
+
+
+def test_mixing_takes_documents_as_targets_ask(kept):
+    before, after = rows(kept["minhash_near_dedup"]), Counter(rows(kept["source_mixing"]))
+    assert set(after) <= set(before) and max(after.values()) <= 3
+    size = {r: len(words(r[1])) for r in before}
+    of_source, taken, longest = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in before:
+        of_source[r[3]] += size[r]
+        taken[r[3]] += size[r] * after[r]
+        longest[r[3]] = max(longest[r[3]], size[r])
+    for source, target in plain_targets(dict(of_source)).items():
+        assert abs(taken[source] - target) <= longest[source] + 1
+
+
+def test_packing_holds_every_document(kept):
+    before = Counter(r[0] for r in rows(kept["source_mixing"]))
+    pieces = kept["best_fit_packing"].collect()
+    assert Counter(p.doc_id for p in pieces if p.piece == 0) == before
+    filled = defaultdict(int)
+    for p in pieces:
+        filled[p.sequence_id] += p.length
+    assert max(filled.values()) <= 1024
+    assert len(filled) <= 1.05 * sum(filled.values()) / 1024 + 2
+
+
+def test_run_is_registered_and_repeats(spark, tiny, kept):
+    found = __spark_entry__.queries()["pipeline"](spark, tiny)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert Counter(map(tuple, found.select(columns).collect())) == Counter(
+        map(tuple, kept["best_fit_packing"].select(columns).collect())
+    )
+
+
+def test_empty_tables(spark, tmp_path):
+    docs_frame(spark, []).select(COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_awkward_documents(spark, tmp_path):
+    docs_frame(spark).select(COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k * 3, k % 2, 0) for k in range(60)] + [(None, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
