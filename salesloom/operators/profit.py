@@ -18,13 +18,19 @@ def highest(name: str) -> Column:
 def item_season_profit(sales: DataFrame) -> DataFrame:
     """Average unit price, cost and profit, and total sales, by city, season and item.
 
-    ``sales`` carry a ``season`` column.
+    ``sales`` carry a ``season`` column, or are the cube that ``plans.hotspots`` keeps: its
+    amounts are sums that can be summed again, with the counts behind them.
     """
+
+    def mean(name: str) -> Column:
+        counted = f"n_{name}" in sales.columns
+        return F.try_divide(F.sum(name), F.sum(f"n_{name}")) if counted else F.avg(name)
+
     return (
         sales.groupBy("city", "season", "item_category", "menu_item_name")
         .agg(
-            F.avg("unit_price").alias("unit_price"),
-            F.avg("cost_of_goods_usd").alias("avg_cost"),
+            mean("unit_price").alias("unit_price"),
+            mean("cost_of_goods_usd").alias("avg_cost"),
             F.sum("price").alias("total_sales"),
         )
         .withColumn("profit", F.col("unit_price") - F.col("avg_cost"))

@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from salesloom.functions.calendar import with_calendar
@@ -18,8 +19,8 @@ from salesloom.operators.filters import Choice, at_location, has_rows
 class Hotspots:
     """Location totals and seasonal item profits, and the results built on them.
 
-    Both aggregates are cached on first use and released by ``close`` or at the
-    end of a ``with`` block. Without a sale there is nothing to train on: no model, and
+    Both come from one aggregate, so that the facts are scanned once. It is cached on
+    first use and released by ``close`` or at the end of a ``with`` block. Without a sale there is nothing to train on: no model, and
     scores without rows. ``centers`` gives the centres of known cities.
     """
 
@@ -35,8 +36,14 @@ class Hotspots:
         self.menu_type, self.center, self.trees = menu_type, sites.center_of(city, centers), trees
         self.categories = categories
         self.sales = with_calendar(sales.transform(at_location, menu_type, city, categories))
-        self.locations = sites.location_sales(self.sales).persist(StorageLevel.MEMORY_AND_DISK)
-        self.profits = profit.item_season_profit(self.sales).persist(StorageLevel.MEMORY_AND_DISK)
+        amounts = ("price", "unit_price", "cost_of_goods_usd")
+        self.cube = (
+            self.sales.groupBy(*sites.LOCATION_KEYS, "city", "menu_item_name")
+            .agg(*(F.sum(name).alias(name) for name in amounts), *(F.count(name).alias(f"n_{name}") for name in amounts))
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        )
+        self.locations = sites.location_sales(self.cube)
+        self.profits = profit.item_season_profit(self.cube)
 
     def __enter__(self) -> Hotspots:
         return self
@@ -45,12 +52,11 @@ class Hotspots:
         self.close()
 
     def close(self) -> None:
-        self.locations.unpersist()
-        self.profits.unpersist()
+        self.cube.unpersist()
 
     def found(self) -> bool:
         """Whether the choice matches any sale; without one there is no model."""
-        return has_rows(self.locations)
+        return has_rows(self.cube)
 
     @cached_property
     def model(self) -> PipelineModel | None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from salesloom.functions.calendar import with_calendar
 from salesloom.functions.encoding import one_hot
 from salesloom.functions.fixed_values import CITY_CENTERS, DEFAULT_CENTER, RING_DEGREES
-from salesloom.operators import sites
+from salesloom.operators import profit, sites
 from salesloom.plans.hotspots import Hotspots
 from salesloom.sources.dimensions import city_table
 
@@ -151,6 +151,16 @@ def test_hotspots_end_to_end(sales):
         assert spots.heat_points().count() == 0 and spots.metrics().count() == 0
 
 
+def test_shared_totals_are_those_of_the_sales(sales):
+    with Hotspots(sales, "Tacos", "Warsaw") as spots:
+        plain = profit.item_season_profit(spots.sales)
+        key = lambda row: str(tuple(row)[:4])
+        for found, expected in zip(sorted(spots.profits.collect(), key=key), sorted(plain.collect(), key=key), strict=True):
+            assert tuple(found)[:4] == tuple(expected)[:4] and tuple(found)[4:] == pytest.approx(tuple(expected)[4:])
+        total = sites.location_sales(spots.sales).agg(F.sum("total_sales"), F.count("*")).first()
+        assert tuple(spots.locations.agg(F.sum("total_sales"), F.count("*")).first()) == pytest.approx(tuple(total))
+
+
 def test_sites_of_chosen_categories(sales):
     with Hotspots(sales, "Tacos", "Warsaw", categories=["Main", "Unsold"]) as spots:
         counts = {row.item_category: row["count"] for row in spots.candidates().groupBy("item_category").count().collect()}
