@@ -13,8 +13,9 @@ each of the other, so a hot bucket is spread. Queries that find too few candidat
 compared with all entries, block by block.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part;
-vectors of different lengths are no candidates for each other. Repeated rows count each
-for itself, rows without an id not at all. Other columns take no part.
+vectors of different lengths are no candidates for each other. Repeated rows are one; of
+an id with several vectors each is a candidate and, if asked for, a query, and none finds
+its own id. Rows without an id take no part, other columns neither.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import Scratch
+from salesloom.llm.common import Scratch, mix
 
 TABLES, FUNCTIONS, STEP, PROBES = 4, 4, 1.2, 70
 #: Entries or probes of one block.
@@ -80,8 +81,6 @@ def probe_order(inside: np.ndarray, probes: int) -> list[np.ndarray]:
 
 def _bucket_names(dim: int, table: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """A 64-bit name for each bucket: its table, the vectors' length and its cell."""
-    from salesloom.llm.common import mix
-
     name = mix(np.full(len(cells), dim, dtype=np.uint64) * np.uint64(4096) + table.astype(np.uint64))
     for k in range(cells.shape[1]):
         name = mix(name * np.uint64(0x9E3779B97F4A7C15) + cells[:, k].astype(np.int64).view(np.uint64))
@@ -209,7 +208,7 @@ def search(
     scratch = Scratch(vectors.sparkSession, "ann")
     most = nearest + 1
     rows = usable(vectors).withColumn("a", F.xxhash64("v")).withColumn("b", F.xxhash64(F.reverse("v"), F.lit(1)))
-    rows = scratch.table(rows, "rows")
+    rows = scratch.table(rows.dropDuplicates(["vec_id", "a", "b"]), "rows")
     # Equal vectors: the smallest id stands for all, and no list ever needs more than `most` of them.
     order = Window.partitionBy("a", "b").orderBy("vec_id")
     copies = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most)
@@ -243,7 +242,7 @@ def search(
     listed = scores.join(members, "entry")
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     listed = listed.withColumn("at", F.row_number().over(ranked)).where(F.col("at") <= most).select("query", "vec_id", "score")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return (
         asking.join(listed, "query")
         .where(F.col("query_id") != F.col("vec_id"))

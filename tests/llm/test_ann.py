@@ -60,7 +60,8 @@ def test_awkward_vectors_with_all_probes(spark):
     rows += [(301, None), (302, []), (300, [0.0, 0.0, 0.0]), (303, [1.0, None, 1.0]), (304, [1.0, float("nan"), 0.0])]
     rows += [(305, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (320, [1.0, 2.0]), (321, [3.0, 1.0])]
     rows = [(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    found = by_query(ann.search(frame(spark, rows), 20, 20, probes=81, tables=1, step=8.0).collect())
+    repeated = frame(spark, rows + rows[:45])
+    found = by_query(ann.search(repeated, 20, 20, probes=81, tables=1, step=8.0).collect())
     expected = brute(rows, 20, 20)
     assert found.keys() == {q for q in expected if expected[q]}
     for q in found:
