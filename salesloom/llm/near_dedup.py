@@ -9,13 +9,11 @@ bucket links its members to its smallest one, a star, instead of to each other.
 
 A star's edges are confirmed on full sets: texts are joined to the pairs and compared.
 Where a bucket's members then still belong to more than one component, what its star
-could not see may link them. Such buckets form more stars: in each further round the
-members fall at random into twice as many parts, and the smallest of each part is a
-centre that all other components' members in the bucket are compared with. A centre has
-met everyone and leaves; rounds end when no bucket has two components left.
-
-So the work follows the links, not the squares of groups, and only pairs that share no
-bucket at all can be missed: at the threshold about one in a million.
+could not see may link them. The members of such a bucket fall into blocks of bounded
+size; each two blocks meet in one cell, which counts what its documents share and tells
+only the links. So a hot group that one star settles costs as many rows as it has
+members, and only pairs that share no bucket at all can be missed: at the threshold
+about one in a million.
 
 Null texts and texts without words have the empty set, are linked with nothing and kept.
 Fewer words than a shingle's make one shingle. Rows that share a doc_id are one
@@ -38,6 +36,8 @@ from salesloom.llm.common import Scratch, mix, text_bytes, windows_of, word_hash
 WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 24, 5
+#: Documents of a bucket's block, meetings of a shard, and columns of a count at a time.
+BLOCK_DOCS, SHARD_MEETINGS, COLUMNS = 256, 4000, 4096
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -159,15 +159,81 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return leaves.unionByName(centres)
 
 
-def _stars(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a centre and a member of its bucket that are not known to be linked and could be alike."""
-    met = members.join(centres.select("key", *(F.col(c).alias(f"c_{c}") for c in ("doc_id", "n_shingles", "component"))), "key")
-    return (
-        met.where((F.col("component") != F.col("c_component")))
-        .where(100 * F.least("n_shingles", "c_n_shingles") >= percent * F.greatest("n_shingles", "c_n_shingles"))
-        .select(F.least("doc_id", "c_doc_id").alias("a"), F.greatest("doc_id", "c_doc_id").alias("b"))
-        .distinct()
+def shared_counts(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of `first` shares with each of `second`."""
+    if len(first) * len(second) <= 64:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in second] for x in first])
+    both = first + second
+    values, place, count = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    # Shingles of one set only are shared with nobody; the others are columns, some at a time.
+    column = np.cumsum(count > 1) - 1
+    several = count[place] > 1
+    row, place = row[several], column[place[several]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    total = np.zeros((len(first), len(second)), dtype=np.float32)
+    for start in range(0, int((count > 1).sum()), COLUMNS):
+        now = slice(*np.searchsorted(place, [start, start + COLUMNS]))
+        holds = np.zeros((len(both), COLUMNS), dtype=np.float32)
+        holds[row[now], place[now] - start] = 1
+        total += holds[: len(first)] @ holds[len(first) :].T
+    return total.astype(np.int64)
+
+
+def _linked_in_cells(words: int, percent: int):
+    """Links between documents of different components that meet in a cell of the shard."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def linked(shard: pa.Table) -> pa.Table:
+        ids, component = (shard.column(c).to_numpy() for c in ("doc_id", "component"))
+        sets = [shingles(text, words) for text in shard.column("bytes").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        cells: dict[int, tuple[list[int], list[int]]] = {}
+        for k, meetings in enumerate(shard.column("meetings").to_pylist()):
+            for meeting in meetings:
+                cells.setdefault(meeting["cell"], ([], []))[meeting["side"]].append(k)
+        found = set()
+        for first, second in cells.values():
+            second = second or first  # a block that meets itself
+            x, y = np.array(first), np.array(second)
+            possible = (component[x][:, None] != component[y]) & (
+                100 * np.minimum(size[x][:, None], size[y]) >= percent * np.maximum(size[x][:, None], size[y])
+            )
+            rows, columns = np.flatnonzero(possible.any(axis=1)), np.flatnonzero(possible.any(axis=0))
+            if not len(rows):
+                continue
+            x, y, possible = x[rows], y[columns], possible[np.ix_(rows, columns)]
+            shared = shared_counts([sets[k] for k in x], [sets[k] for k in y])
+            together = size[x][:, None] + size[y] - shared
+            for k, m in zip(*np.nonzero(possible & (100 * shared >= percent * together))):
+                found.add((min(ids[x[k]], ids[y[m]]), max(ids[x[k]], ids[y[m]])))
+        pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    return linked
+
+
+def linked_beside_stars(members: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of linked members of a bucket, from (key, doc_id, component) of undecided buckets."""
+    held = members.groupBy("key").agg(
+        F.ceil(F.count("*") / BLOCK_DOCS).alias("blocks"), F.min("doc_id").alias("least"),
+        F.min("component").alias("low"), F.max("component").alias("high"),
+    ).where("low < high").drop("low", "high")
+    placed = members.join(held, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    ends = F.least("block", "other"), F.greatest("block", "other")
+    # Buckets of one and the same group share their least member, and so their shards.
+    meetings = placed.select(
+        "doc_id", "component", F.xxhash64("least", *ends).alias("place"),
+        F.struct(F.xxhash64("key", *ends).alias("cell"), (F.col("block") > F.col("other")).cast("int").alias("side")).alias("meeting"),
+    )
+    meetings = scratch.table(meetings, "meetings")
+    shards = max(1, meetings.count() // SHARD_MEETINGS)
+    asked = meetings.groupBy(F.pmod("place", F.lit(shards)).alias("shard"), "doc_id", "component").agg(
+        F.collect_list("meeting").alias("meetings")
     )
+    return asked.join(texts, "doc_id").groupBy("shard").applyInArrow(_linked_in_cells(words, percent), "a long, b long")
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -197,26 +263,16 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int
     wanted = members.select("doc_id").distinct()
     texts = scratch.table(placed.select("doc_id", "bytes").join(wanted, "doc_id", "left_semi"), "texts")
 
-    waiting = members.withColumn("component", F.col("doc_id"))
-    centres = waiting.where(F.col("doc_id") == F.col("centre"))
-    for turn in itertools.count(1):
-        pairs = scratch.table(_stars(waiting, centres, percent), f"pairs-{turn}")
-        found = scratch.table(confirmed(pairs, texts, words, percent).select("a", "b"), f"edges-{turn}")
-        edges = edges.unionByName(found)
-        joined = components(edges, scratch, f"links-{turn}")
-
-        # Centres have met all their bucket; what waits is of interest in buckets of several components.
-        waiting = waiting.join(centres.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
-        waiting = waiting.drop("component").join(joined, "doc_id", "left")
-        waiting = waiting.withColumn("component", F.coalesce("component", "doc_id"))
-        ends = waiting.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        waiting = scratch.table(waiting.join(ends.where("low < high"), "key", "left_semi"), f"waiting-{turn}")
-        if not waiting.limit(1).count():
-            break
-        part = F.pmod(F.xxhash64("doc_id", "key", F.lit(turn)), F.lit(1 << turn)).alias("part")
-        chosen = waiting.groupBy("key", part).agg(F.min("doc_id").alias("doc_id"))
-        centres = waiting.join(chosen.select("key", "doc_id"), ["key", "doc_id"], "left_semi")
-        centres = scratch.table(centres, f"centres-{turn}")
+    pairs = members.where(F.col("doc_id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
+    found = scratch.table(confirmed(pairs.distinct(), texts, words, percent).select("a", "b"), "edges-stars")
+    edges = edges.unionByName(found)
+    joined = components(edges, scratch, "stars")
+
+    # Centres have met all their bucket.
+    waiting = members.where(F.col("doc_id") != F.col("centre")).select("key", "doc_id").join(joined, "doc_id", "left")
+    waiting = waiting.withColumn("component", F.coalesce("component", "doc_id"))
+    beside = scratch.table(linked_beside_stars(waiting, texts, words, percent, scratch), "edges-beside")
+    joined = components(joined.select(F.col("component").alias("a"), F.col("doc_id").alias("b")).unionByName(beside), scratch, "all")
 
     first = signed.groupBy("doc_id").agg(F.min("row").alias("first"))
     return (
