@@ -46,6 +46,7 @@ class Text:
     """Fingerprints of a text's stretches, from prefix sums of a polynomial modulo 2**64."""
 
     powers = inverses = np.ones(1, dtype=np.uint64)
+    letters = mix(np.arange(1, 257, dtype=np.uint64))
 
     def __init__(self, data: bytes, length: int, gram: int):
         self.size, self.length, self.gram = len(data), length, gram
@@ -54,9 +55,10 @@ class Text:
             Text.powers, Text.inverses = (
                 np.cumprod(np.r_[np.uint64(1), np.full(2 * n, base, dtype=np.uint64)]) for base in (_BASE, _INVERSE)
             )
-        letters = mix(np.arange(1, 257, dtype=np.uint64))[np.frombuffer(data, dtype=np.uint8)]
+        letters = Text.letters.take(np.frombuffer(data, dtype=np.uint8))
+        letters *= Text.powers[:n]
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(letters * Text.powers[:n], out=self.sums[1:])
+        np.cumsum(letters, out=self.sums[1:])
 
     def prints(self, start: np.ndarray, stretch: np.ndarray | int) -> np.ndarray:
         return mix((self.sums[start + stretch] - self.sums[start]) * Text.inverses[start])
@@ -64,15 +66,24 @@ class Text:
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """For each start of a string the place of its anchor, and that q-gram's bucket."""
         grams = mix((self.sums[self.gram :] - self.sums[: -self.gram]) * Text.inverses[: self.size - self.gram + 1])
-        least, at = grams, np.arange(len(grams))
-        reach, width = 1, self.length - self.gram + 1
+        least, reach, width = grams, 1, self.length - self.gram + 1
         while reach < width:
             step = min(reach, width - reach)
-            nearer = least[step:] < least[:-step]
-            at = np.where(nearer, at[step:], at[:-step])
-            least = np.where(nearer, least[step:], least[:-step])
+            least = np.minimum(least[step:], least[:-step])
             reach += step
-        return at, least
+        # Starts of one and the same least hash in a row share its first place, up to there.
+        begin = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
+        end = np.r_[begin[1:], len(least)]
+        parts = []
+        while len(begin):
+            place = begin + np.argmin(grams[begin[:, None] + np.arange(width)], axis=1)
+            until = np.minimum(end, place + 1)
+            parts.append((begin, until, place))
+            more = until < end
+            begin, end = until[more], end[more]
+        begin, until, place = map(np.concatenate, zip(*parts))
+        order = np.argsort(begin, kind="stable")
+        return np.repeat(place[order], (until - begin)[order]), least
 
     def contexts(self, at: np.ndarray) -> np.ndarray:
         """A bucket for each anchor's context: as far as strings with that anchor can reach."""
@@ -98,13 +109,16 @@ def _anchors(length: int, gram: int):
                 text = Text(data, length, gram)
                 at, least = text.anchors()
                 places = distinct_of(at)
-                own = np.c_[least[places], text.contexts(at[places])]
-                own, count = np.unique(own, axis=0, return_counts=True) if len(own) > 1 else (own, np.ones(1, int))
-                several = np.r_[False, own[1:, 0] == own[:-1, 0]] | np.r_[own[1:, 0] == own[:-1, 0], False]
+                own, around = least[places], text.contexts(at[places])
+                values, place, count = np.unique(own, return_inverse=True, return_counts=True)
+                again = count[place] > 1
+                if len(values) < len(own):  # a context that comes again is one row
+                    first = np.sort(np.unique(np.c_[own, around], axis=0, return_index=True)[1])
+                    own, around, again = own[first], around[first], again[first]
                 of.append(np.full(len(own), k))
-                grams.append(own[:, 0])
-                contexts.append(own[:, 1])
-                twice.append(((count > 1) | several).astype(np.int32))
+                grams.append(own)
+                contexts.append(around)
+                twice.append(again.astype(np.int32))
             if not of:
                 continue
             of = pa.array(np.concatenate(of))
@@ -201,7 +215,9 @@ def _removed(length: int, gram: int):
             n_bytes, n_removed, n_spans, stay = [], [], [], []
             columns = (batch.column(c).to_pylist() for c in ("bytes", "contexts", "strings"))
             for data, contexts, strings in zip(*columns):
-                kept, runs = kept_bytes(data, covered_starts(data, contexts, strings, length, gram), length)
+                kept, runs = data, 0
+                if contexts is not None:  # else no q-gram of it comes again anywhere
+                    kept, runs = kept_bytes(data, covered_starts(data, contexts, strings, length, gram), length)
                 n_bytes.append(len(data))
                 n_removed.append(len(data) - len(kept))
                 n_spans.append(runs)
@@ -236,7 +252,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     )
     buckets = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.max("twice").alias("twice"))
     open_buckets = buckets.where((F.col("n") > 1) | (F.col("twice") > 0)).select("gram")
-    suffixes = scratch.table(anchors.drop("twice").join(open_buckets, "gram", "left_semi"), "suffixes")
+    suffixes = scratch.table(anchors.join(open_buckets, "gram", "left_semi"), "suffixes")
     scratch.remove("anchors")
 
     contexts = _later(suffixes, "context")
@@ -246,6 +262,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     hints = (
         contexts.select("row", "context", nothing.alias("gram"))
         .unionByName(unclear.select("row", nothing.alias("context"), "gram"))
+        .unionByName(suffixes.where("twice > 0").select("row", nothing.alias("context"), nothing.alias("gram")))
         .groupBy("row")
         .agg(F.collect_set("context").alias("contexts"), F.collect_set("gram").alias("grams"))
     )
