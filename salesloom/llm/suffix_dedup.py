@@ -252,7 +252,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     )
     buckets = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.max("twice").alias("twice"))
     open_buckets = buckets.where((F.col("n") > 1) | (F.col("twice") > 0)).select("gram")
-    suffixes = scratch.table(anchors.join(open_buckets, "gram", "left_semi"), "suffixes")
+    suffixes = scratch.table(anchors.drop("twice").join(open_buckets, "gram", "left_semi"), "suffixes")
+    repeating = scratch.table(anchors.where("twice > 0").select("row").distinct(), "repeating")
     scratch.remove("anchors")
 
     contexts = _later(suffixes, "context")
@@ -262,7 +263,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     hints = (
         contexts.select("row", "context", nothing.alias("gram"))
         .unionByName(unclear.select("row", nothing.alias("context"), "gram"))
-        .unionByName(suffixes.where("twice > 0").select("row", nothing.alias("context"), nothing.alias("gram")))
+        .unionByName(repeating.select("row", nothing.alias("context"), nothing.alias("gram")))
         .groupBy("row")
         .agg(F.collect_set("context").alias("contexts"), F.collect_set("gram").alias("grams"))
     )
