@@ -49,6 +49,19 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """The documents with a number for each row, the same one each time a stored table is read.
+
+    Numbers follow the splits of the table's files. Of a table too small to fill all cores
+    Spark makes as many splits as there are cores at the time, so an executor lost or won
+    between two reads would renumber the rows. The session keeps the number it has now.
+    """
+    spark, cores = docs.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(cores, None) is None:
+        spark.conf.set(cores, str(spark.sparkContext.defaultParallelism))
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

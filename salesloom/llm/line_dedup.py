@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import Scratch, text_bytes, windows_of, word_hashes
+from salesloom.llm.common import Scratch, numbered, text_bytes, windows_of, word_hashes
 
 WINDOW = 3
 BREAK = b"\n"
@@ -63,9 +63,9 @@ def _windows(window: int):
 def later_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """(row, windows): for each row of `docs` the windows that a document of smaller doc_id has.
 
-    `row` is the row's place in the table, by `monotonically_increasing_id`.
+    `row` is the row's place in the table, by `numbered`.
     """
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_bytes().alias("bytes"))
+    rows = numbered(docs.select("doc_id", text_bytes().alias("bytes"))).select("doc_id", "row", "bytes")
     found = scratch.table(rows.mapInArrow(_windows(window), "window long, doc_id long, row long"), "windows")
     first = found.groupBy("window").agg(
         F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"), F.count("doc_id").alias("n_ids")
@@ -117,7 +117,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     later = later_windows(docs, Scratch(docs.sparkSession, "line-dedup"), window)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in {"text", "n_lines", "n_removed"}]
-    rows = docs.select(*others, F.monotonically_increasing_id().alias("_row"), F.col("text").cast("binary").alias("_bytes"))
+    rows = numbered(docs.select(*others, F.col("text").cast("binary").alias("_bytes")), "_row")
     rows = rows.join(later.select(F.col("row").alias("_row"), F.col("windows").alias("_windows")), "_row", "left")
     out = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in {"n_lines", "n_removed"}))
     out = out.withColumns({"n_lines": F.lit(0), "n_removed": F.lit(0)})

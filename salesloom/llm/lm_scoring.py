@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import WORD, Scratch, mix, text_bytes, windows_of, word_hashes
+from salesloom.llm.common import WORD, mix, numbered, text_bytes, windows_of, word_hashes
 
 ORDER = 2
 BACKOFF = 0.4
@@ -162,8 +162,8 @@ def score(
     chunks = max(1, -(-size // chunk_bytes))
     bits = max(0, (size // shard_bytes).bit_length())
     # Row numbers deal out any documents evenly, whatever ids they share.
-    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks))
-    dealt = texts.withColumn("chunk", number)
+    number = F.pmod(F.xxhash64("row"), F.lit(chunks))
+    dealt = numbered(texts).withColumn("chunk", number).drop("row")
     asked = dealt.groupBy("chunk").applyInArrow(
         _asked(order, bits), "shard long, chunk long, grams array<long>, counts array<int>"
     )

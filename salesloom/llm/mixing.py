@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import WORD, Scratch
+from salesloom.llm.common import WORD, Scratch, numbered
 
 #: Documents of one flight.
 BLOCK_ROWS = 4096
@@ -170,7 +170,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     key = F.when(F.col("doc_id").isNull(), F.col("row_id")).otherwise(F.col("doc_id"))
-    sized = sizes(docs.select("doc_id", "text", "source").withColumn("row_id", F.monotonically_increasing_id()))
+    sized = sizes(numbered(docs.select("doc_id", "text", "source"), "row_id"))
     sized = scratch.table(sized.drop("text").withColumn("draw", F.xxhash64(key, F.lit(seed))), "sizes")
 
     goals = scratch.table(targets(sized, scratch, weights, most), "targets")
@@ -192,7 +192,7 @@ def take_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     """The mix itself: each document as many times as it is taken, with its own columns."""
     copies = mix(docs, weights, most).where("copies > 0").select(F.col("row_id").alias("_row"), F.col("copies").alias("_copies"))
     return (
-        docs.withColumn("_row", F.monotonically_increasing_id())
+        numbered(docs, "_row")
         .join(copies, "_row")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import Scratch, mix, text_bytes, windows_of, word_hashes
+from salesloom.llm.common import Scratch, mix, numbered, text_bytes, windows_of, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -243,7 +243,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int
     row's place in the table; `first_row` marks the first one of each doc_id.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    placed = docs.select("doc_id", text_bytes().alias("bytes"), F.monotonically_increasing_id().alias("row"))
+    placed = numbered(docs.select("doc_id", text_bytes().alias("bytes")))
     signed = placed.select("doc_id", "bytes", "row").mapInArrow(
         _signed(words, bands, rows), "doc_id long, row long, n_shingles long, set_a long, set_b long, keys array<long>"
     )
@@ -290,4 +290,4 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int
 def keep_one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents, one of each component; `docs` is read twice, in the same order."""
     kept = link(docs, words, percent).where("kept and first_row").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").drop("_row")
+    return numbered(docs, "_row").join(kept, "_row", "left_semi").drop("_row")

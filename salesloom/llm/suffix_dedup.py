@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import Scratch, mix, text_bytes
+from salesloom.llm.common import Scratch, mix, numbered, text_bytes
 
 LENGTH = 100
 GRAM = 40
@@ -245,7 +245,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     stored table does.
     """
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
-    rows = docs.select("doc_id", text_bytes().alias("bytes"), F.monotonically_increasing_id().alias("row"))
+    rows = numbered(docs.select("doc_id", text_bytes().alias("bytes")))
 
     anchors = scratch.table(
         rows.mapInArrow(_anchors(length, gram), "gram long, context long, doc_id long, row long, twice int"), "anchors"

@@ -1,0 +1,59 @@
+"""Row numbers must not depend on how many executors there are when a table is read."""
+
+import pytest
+
+from salesloom.llm import line_dedup, mixing, near_dedup, suffix_dedup
+from salesloom.llm.common import numbered
+
+CORES = "spark.sql.leafNodeDefaultParallelism"  # stands for the cores that are there
+KEPT = "spark.sql.files.minPartitionNum"
+
+
+@pytest.fixture
+def table(spark, small, tmp_path):
+    """A table of several files, whose splits follow the number of cores."""
+    path = f"{tmp_path}/docs.parquet"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs.repartition(3, "doc_id").write.parquet(path)
+    before = spark.conf.get(KEPT, None)
+    spark.conf.unset(KEPT)
+    yield spark.read.parquet(path)
+    spark.conf.unset(CORES)
+    if before is None:
+        spark.conf.unset(KEPT)
+    else:
+        spark.conf.set(KEPT, before)
+
+
+def rows(frame):
+    return sorted(map(str, frame.collect()))
+
+
+def test_numbers_stay(spark, table):
+    numbers = []
+    for cores in ("24", "1", "5"):
+        spark.conf.set(CORES, cores)
+        numbers.append(rows(numbered(table.select("doc_id"))))
+    assert numbers[0] == numbers[1] == numbers[2]
+    assert len(set(numbers[0])) == table.count()
+
+
+def test_numbers_would_move(spark, table):
+    """That the table shows the fault at all: without a kept number the splits do move."""
+    found = []
+    for cores in ("24", "1"):
+        spark.conf.set(CORES, cores)
+        found.append(table.select("doc_id").rdd.getNumPartitions())
+    assert found[0] > found[1]
+
+
+@pytest.mark.parametrize(
+    "operator", [line_dedup.dedup_lines, suffix_dedup.remove_repeats, near_dedup.keep_one_each, mixing.take_copies]
+)
+def test_cores_lost_halfway(spark, table, operator):
+    """What an operator returns is read again when it is used, here with fewer cores than before."""
+    spark.conf.set(CORES, "24")
+    expected = rows(operator(table))
+    halfway = operator(table)
+    spark.conf.set(CORES, "1")
+    assert rows(halfway) == expected
