@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import ann, fingerprint, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, suffix_dedup, url_filter
+from salesloom.llm import (
+    ann,
+    filter_audit,
+    fingerprint,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    packing,
+    quality,
+    suffix_dedup,
+    url_filter,
+)
 from salesloom.llm.url_filter import Rule
 
 URL_RULES = [
@@ -104,6 +116,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "lang", "perplexity", F.col("most").alias("threshold"), "kept")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each order of the five filters removes, by language."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return filter_audit.audit(docs, _read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -115,6 +133,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality": op10_quality,
+    "op13_filter_audit": op13_filter_audit,
 }
 _LINES = r"""
 WITH lines AS (
@@ -196,4 +215,56 @@ SELECT own.doc_id, CAST(n_words AS BIGINT) AS n_words, round(coalesce(score, 0.0
 FROM own LEFT JOIN scored ON own.doc_id = scored.doc_id
 """
 
-ORACLE: dict[str, str] = {"op9_lm_scoring": _SCORES, "op1_line_dedup": _LINES, "op3_url_filter": _URLS}
+_AUDIT = r"""
+WITH lists AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), failed AS (
+  SELECT doc_id, part, [
+    len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS f
+  FROM lists
+), known AS (
+  SELECT doc_id, max(coalesce(quality = 1, false)::int) AS good, max(coalesce(toxic = 1, false)::int) AS toxic
+  FROM labels GROUP BY doc_id
+), kinds AS (
+  SELECT part, f, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM failed LEFT JOIN known USING (doc_id) GROUP BY part, f
+), letters AS (
+  SELECT chr(64 + unnest([1, 2, 3, 4, 5])) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step, ascii(filter_order[step]) - 64 AS this,
+    list_transform(range(1, step), lambda k: ascii(filter_order[k]) - 64) AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), met AS (
+  SELECT part, filter_order, step, this, n, good, toxic, f[this] AS here,
+    list_contains(list_transform(before, lambda k: f[k]), true) AS earlier, list_sum(list_transform(f, lambda x: x::int)) AS n_failed
+  FROM kinds, steps
+), counted AS (
+  SELECT part, filter_order, step, this,
+    coalesce(sum(n) FILTER (NOT here AND NOT earlier), 0) AS kept,
+    coalesce(sum(n) FILTER (here AND NOT earlier), 0) AS removed,
+    coalesce(sum(n) FILTER (here AND earlier), 0) AS redundant,
+    coalesce(sum(n) FILTER (here AND n_failed = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (here AND NOT earlier), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (here AND NOT earlier), 0) AS toxic_lost
+  FROM met GROUP BY part, filter_order, step, this
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, this) AS BIGINT) AS shapley
+FROM counted
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": _LINES,
+    "op3_url_filter": _URLS,
+    "op9_lm_scoring": _SCORES,
+    "op13_filter_audit": _AUDIT,
+}

@@ -1,0 +1,108 @@
+"""The audit against plain loops over all orders, the transducer against regular expressions."""
+
+import itertools
+import random
+import re
+from collections import Counter, defaultdict
+
+from llm_cases import awkward_docs, data, docs_frame, words
+from oracle_check import compare, duck
+
+from salesloom.llm import filter_audit
+from salesloom.llm.queries import ORACLE, QUERIES
+
+LABELS = "doc_id long, quality int, toxic int, part string"
+COLUMNS = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+
+
+def plain_measures(text):
+    found = words(text.decode())
+    return [len(found), len(set(found)), len(text.decode()), len(re.findall(rb"[A-Z]", text)), len(re.findall(rb"[#$%&*|]", text))]
+
+
+def plain_failures(docs):
+    smallest = {}
+    for doc_id, text, *_ in docs:
+        if doc_id is not None:
+            smallest[data(text)] = min(doc_id, smallest.get(data(text), doc_id))
+    for doc_id, text, lang, *_ in docs:
+        n, distinct, points, capitals, symbols = plain_measures(data(text))
+        again = doc_id is not None and doc_id > smallest[data(text)]
+        fails = [n < 200, 100 * distinct < 50 * n, 100 * capitals > 3 * points, symbols > 0, again]
+        yield doc_id, lang or "", {"ABCDE"[k] for k, f in enumerate(fails) if f}
+
+
+def plain_audit(docs, labels):
+    good = {d for d, quality, *_ in labels if quality == 1 and d is not None}
+    toxic = {d for d, _, bad, *_ in labels if bad == 1 and d is not None}
+    failed = list(plain_failures(docs))
+    rows, shares = {}, Counter()
+    for part in {p for _, p, _ in failed}:
+        for order in map("".join, itertools.permutations("ABCDE")):
+            left = [(d, f) for d, p, f in failed if p == part]
+            everything = left
+            for step, letter in enumerate(order, 1):
+                gone = [(d, f) for d, f in left if letter in f]
+                left = [(d, f) for d, f in left if letter not in f]
+                failing = [f for _, f in everything if letter in f]
+                rows[part, order, step] = [
+                    len(left),
+                    len(gone),
+                    len(failing) - len(gone),
+                    sum(f == {letter} for f in failing),
+                    sum(d in good for d, _ in gone),
+                    sum(d in toxic for d, _ in gone),
+                ]
+                shares[part, letter] += len(gone)
+    return {key: (*row, shares[key[0], key[1][key[2] - 1]]) for key, row in rows.items()}
+
+
+def found(frame):
+    return {(r.part, r.filter_order, r.step): tuple(r[c] for c in COLUMNS[3:]) for r in frame.collect()}
+
+
+def test_transducer():
+    rng = random.Random(3)
+    texts = [b"", b" ", b"a", b" a b ", "Ünï Cödé ﬀ 𝒳 ǆ#".encode(), b"x" * 50]
+    texts += ["".join(rng.choice("ab A\n\t\x0b\x0c\r\x00#é𝒳 Z|") for _ in range(rng.randint(0, 80))).encode() for _ in range(200)]
+    for size in (1, 7, 30, filter_audit.WINDOW):
+        assert filter_audit.measure_texts(texts, size).tolist() == [plain_measures(t) for t in texts]
+
+
+def test_awkward_documents(spark):
+    docs = awkward_docs()
+    many = "Many WORDS #1 " + " ".join(f"w{k}" for k in range(250))
+    docs += [(1000 + k, many, lang, None, None, None, None, None) for k, lang in enumerate(["en", None, "de", "", "en"])]
+    docs += [(2000, "again and " * 300, "de", None, None, None, None, None), (2001, many + "!", "de", None, None, None, None, None)]
+    labels = [(k, k // 3 % 2, k // 3 % 3 == 0, None) for k in range(0, 200, 3)]
+    labels = [(d, q, int(t), x) for d, q, t, x in labels] + [(1000, 1, 1, "x"), (1000, 1, 0, "x"), (1001, None, None, None), (None, 1, 1, None)]
+    result = filter_audit.audit(docs_frame(spark, docs), spark.createDataFrame(labels, LABELS))
+    assert result.columns == COLUMNS
+    assert found(result) == plain_audit(docs, labels)
+
+
+def test_empty_tables(spark):
+    docs, labels = docs_frame(spark, []), spark.createDataFrame([], LABELS)
+    assert filter_audit.audit(docs, labels).count() == 0
+    unlabelled = found(filter_audit.audit(docs_frame(spark), labels))
+    assert len(unlabelled) == 2 * 600
+    assert {row[4:6] for row in unlabelled.values()} == {(0, 0)}
+
+
+def test_steps_add_up(spark, small):
+    by_order = defaultdict(list)
+    for (part, order, step), row in sorted(found(QUERIES["op13_filter_audit"](spark, small)).items()):
+        by_order[part, order].append((step, *row))
+    for steps in by_order.values():
+        assert [s[0] for s in steps] == [1, 2, 3, 4, 5]
+        assert all(a[1] == b[1] + b[2] for a, b in itertools.pairwise(steps))
+    totals = defaultdict(set)
+    for (part, _), steps in by_order.items():
+        totals[part].add((steps[0][1] + steps[0][2], sum(s[2] for s in steps)))
+    assert all(len(t) == 1 for t in totals.values())
+
+
+def test_query_equals_sql(spark, small):
+    rows, differences = compare(QUERIES["op13_filter_audit"](spark, small), duck(small), ORACLE["op13_filter_audit"])
+    assert rows == 4 * 600
+    assert differences == []
