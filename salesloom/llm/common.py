@@ -49,6 +49,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as keep it apart from the frame's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
     """The documents with a number for each row, the same one each time a stored table is read.
 

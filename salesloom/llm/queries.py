@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from salesloom.llm import (
     ann,
+    collocations,
     filter_audit,
     fingerprint,
     line_dedup,
@@ -15,9 +16,11 @@ from salesloom.llm import (
     near_dedup,
     packing,
     quality,
+    sharding,
     suffix_dedup,
     url_filter,
 )
+from salesloom.llm.common import text_bytes
 from salesloom.llm.url_filter import Rule
 
 URL_RULES = [
@@ -116,6 +119,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "lang", "perplexity", F.col("most").alias("threshold"), "kept")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of each document, of eight with nearly equal bytes, and its place there."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return sharding.shard(docs, shards=8).select(
+        "doc_id",
+        "size",
+        F.crc32(text_bytes()).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language."""
+    return collocations.collocations(_read(spark, sf_dir, "documents", "text", "lang"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each order of the five filters removes, by language."""
     docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -133,6 +155,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality": op10_quality,
+    "op11_sharding": op11_sharding,
+    "op12_collocations": op12_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
 _LINES = r"""
@@ -262,9 +286,51 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 FROM counted
 """
 
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents)
+), lists AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM lists GROUP BY lang
+), counts AS (
+  SELECT lang, phrase, m, count(*) AS a FROM (
+    SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+    FROM lists, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m)
+  GROUP BY lang, phrase, m HAVING count(*) >= 100
+), split AS (
+  SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w FROM counts
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp
+  FROM split, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE k < m
+), scores AS (
+  SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, n, k, (1000 * c.a::HUGEINT * n) // (l.a::HUGEINT * r.a) AS score
+  FROM cuts c JOIN counts l ON c.lang = l.lang AND c.lp = l.phrase JOIN counts r ON c.lang = r.lang AND c.rp = r.phrase
+    JOIN totals t ON c.lang = t.lang
+), worst AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM scores
+), inside AS (
+  SELECT DISTINCT p.lang, p.phrase FROM counts p JOIN (
+    SELECT lang, a, unnest(list_concat(
+      list_transform(range(1, m), lambda i: array_to_string(w[i:i + 1], ' ')),
+      list_transform(range(1, m - 1), lambda i: array_to_string(w[i:i + 2], ' ')),
+      list_transform(range(1, m - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) AS part, m
+    FROM split WHERE m > 2) q
+  ON p.lang = q.lang AND p.phrase = q.part AND p.m < q.m AND 100 * q.a >= 100 * p.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM worst WHERE cut = 1 AND (lang, phrase) NOT IN (SELECT (lang, phrase) FROM inside)
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": _LINES,
     "op3_url_filter": _URLS,
     "op9_lm_scoring": _SCORES,
+    "op12_collocations": _PHRASES,
     "op13_filter_audit": _AUDIT,
 }
