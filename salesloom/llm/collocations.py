@@ -9,11 +9,12 @@ each second word; there the trie ends, so it stays shallow. When the trie holds
 phrases, whole subtrees, the largest first, leave as sorted runs. Runs are dealt out by
 language and prefix (the first two words), where the counts of a phrase are added up.
 
-A phrase occurs `least` times only if every part of it does. So words are counted first,
-then pairs of frequent words, then longer phrases of frequent pairs. What is frequent
-goes to the tasks as a bitmap of hashes of bounded size, made by SQL functions. A bit that
-is set by chance lets a phrase be counted in vain and changes no result. All counts are
-kept by the words themselves, none by a hash.
+A phrase occurs `least` times only if every part of it does. So two passes go before, one
+over words and one over pairs of frequent words, which tell what can be frequent by hash
+alone: tasks send the sorted hashes that they met with counts up to `least`, six bytes
+each, by range of hash; what adds up to `least` goes to the tasks of the next pass as a
+bitmap of bounded size. Hashes that collide, or bits set by chance, let a phrase be
+counted in vain and change no result: all counts are kept by the words themselves.
 
 A phrase scores floor(1000 * a * n / (l * r)) at its worst cut into first and rest, with
 its count a, those of the two parts l and r and the language's word count n, in decimals
@@ -53,13 +54,20 @@ BATCH_WORDS = 1 << 19
 #: Phrases of a task's tries, words of its vocabularies; beyond, subtrees leave.
 MOST_ENTRIES = 400_000
 MOST_WORDS = 1_000_000
+#: Hashes that a task sorts at once.
+MOST_HASHES = 1 << 23
 #: Entries of a container that bursts.
 BURST = 2048
 #: Bits of the bitmap for each frequent phrase, within a least and a most (32 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 28
-BREAK = 0
+#: Of a hash, the bits that count; a range of hashes for so many bytes of text, and the least number of ranges.
+HASH_BITS = 48
+RANGE_BYTES, LEAST_RANGES = 1 << 26, 1 << 8
+#: Ids of the end of a piece and of words that are not frequent; others come after.
+BREAK, RARE, FIRST_ID = 0, 1, 2
 
 RUNS = "lang string, phrase binary, n long"
+SKETCH = "range long, hashes binary, counts binary"
 
 
 def parts_of(text: bytes) -> Iterator[bytes]:
@@ -78,15 +86,15 @@ def parts_of(text: bytes) -> Iterator[bytes]:
 
 
 def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, xxhash.xxh3_64_intdigest(lang))
+    return xxhash.xxh3_64_intdigest(word, xxhash.xxh3_64_intdigest(lang)) >> (64 - HASH_BITS)
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
+    return mix(first * np.uint64(0x9E3779B97F4A7C15) + second) >> np.uint64(64 - HASH_BITS)
 
 
 class Bitmap:
-    """The hashes of what is frequent, modulo the number of bits."""
+    """The hashes of what can be frequent, modulo the number of bits."""
 
     def __init__(self, content: bytes):
         self.content = np.frombuffer(content, dtype=np.uint8)
@@ -98,17 +106,17 @@ class Bitmap:
 
 
 class Vocabulary(dict):
-    """Word to id, from 1; a word that the bitmap of words lacks has the id of a break."""
+    """Word to id; words that the bitmap lacks share one."""
 
-    def __init__(self, lang: str, frequent: Bitmap | None):
+    def __init__(self, lang: str, frequent: Bitmap):
         super().__init__({b"\n": BREAK})
         self.lang, self.frequent = lang, frequent
-        self.words, self.hashes = [b""], [0]
+        self.words, self.hashes = [b""] * FIRST_ID, [0] * FIRST_ID
 
     def __missing__(self, word: bytes) -> int:
         hashed = word_hash(self.lang, word)
-        found = BREAK
-        if self.frequent is None or self.frequent.holds(np.array([hashed], dtype=np.uint64))[0]:
+        found = RARE
+        if self.frequent.holds(np.array([hashed], dtype=np.uint64))[0]:
             found = len(self.words)
             self.words.append(word)
             self.hashes.append(hashed)
@@ -116,6 +124,45 @@ class Vocabulary(dict):
         return found
 
 
+class Tokens:
+    """Word ids of the texts of a task, by language, given out in batches."""
+
+    def __init__(self, frequent: Bitmap):
+        self.frequent = frequent
+        self.vocabularies: dict[str, Vocabulary] = {}
+        self.waiting: dict[str, list[np.ndarray]] = defaultdict(list)
+        self.n_waiting: Counter = Counter()
+
+    def read(self, lang: str, text: bytes) -> Iterator[tuple[str, np.ndarray]]:
+        vocabulary = self.vocabularies.get(lang)
+        if vocabulary is None:
+            vocabulary = self.vocabularies[lang] = Vocabulary(lang, self.frequent)
+        for part in parts_of(text):
+            tokens = list(filter(None, part.replace(b"\n", b" \n ").split(b" ")))
+            tokens.append(b"\n")
+            self.waiting[lang].append(np.fromiter(map(vocabulary.__getitem__, tokens), dtype=np.uint32, count=len(tokens)))
+            self.n_waiting[lang] += len(tokens)
+            if self.n_waiting[lang] > BATCH_WORDS:
+                yield lang, self._batch(lang)
+
+    def _batch(self, lang: str) -> np.ndarray:
+        del self.n_waiting[lang]
+        return np.concatenate(self.waiting.pop(lang))
+
+    def rest(self) -> Iterator[tuple[str, np.ndarray]]:
+        for lang in list(self.waiting):
+            yield lang, self._batch(lang)
+
+    def full(self) -> bool:
+        return sum(map(len, self.vocabularies.values())) > MOST_WORDS
+
+    def pairs(self, lang: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where two words of the bitmap follow each other, and the hashes of these pairs."""
+        linked = (ids[:-1] >= FIRST_ID) & (ids[1:] >= FIRST_ID)
+        hashes = np.array(self.vocabularies[lang].hashes, dtype=np.uint64)[ids]
+        return linked, pair_hash(hashes[:-1][linked], hashes[1:][linked])
+
+
 class Trie:
     """Counts of phrases by first word id: a container of the rests, or one for each second id.
 
@@ -187,59 +234,52 @@ def _words(rest: bytes, words: list[bytes]) -> list[bytes]:
 
 
 class Counts:
-    """A task's tries, one for each language, and the words that wait to be counted."""
-
-    def __init__(self, lengths: range, words: Bitmap | None, pairs: Bitmap | None):
-        self.lengths, self.words, self.pairs = lengths, words, pairs
-        self.tries: dict[str, Trie] = {}
-        self.vocabularies: dict[str, Vocabulary] = {}
-        self.waiting: dict[str, list[np.ndarray]] = defaultdict(list)
-        self.n_waiting: Counter = Counter()
-
-    def read(self, lang: str, text: bytes) -> None:
-        vocabulary = self.vocabularies.get(lang)
-        if vocabulary is None:
-            vocabulary = self.vocabularies[lang] = Vocabulary(lang, self.words)
-            self.tries[lang] = Trie()
-        for part in parts_of(text):
-            tokens = list(filter(None, part.replace(b"\n", b" \n ").split(b" ")))
-            tokens.append(b"\n")
-            self.waiting[lang].append(np.fromiter(map(vocabulary.__getitem__, tokens), dtype=np.uint32, count=len(tokens)))
-            self.n_waiting[lang] += len(tokens)
-            if self.n_waiting[lang] > BATCH_WORDS:
-                self.count(lang)
-
-    def count(self, lang: str) -> None:
-        ids = np.concatenate(self.waiting.pop(lang))
-        del self.n_waiting[lang]
-        linked = (ids[:-1] != BREAK) & (ids[1:] != BREAK)
-        if self.pairs is not None:
-            hashes = np.array(self.vocabularies[lang].hashes, dtype=np.uint64)[ids]
-            linked[linked] = self.pairs.holds(pair_hash(hashes[:-1][linked], hashes[1:][linked]))
+    """A task's tries, word counts and word totals, by language."""
+
+    def __init__(self, longest: int, words: Bitmap, pairs: Bitmap):
+        self.longest, self.words, self.pairs = longest, words, pairs
+        self.start()
+
+    def start(self) -> None:
+        self.tokens = Tokens(self.words)
+        self.tries: dict[str, Trie] = defaultdict(Trie)
+        self.singles: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(FIRST_ID, dtype=np.int64))
+
+    def count(self, lang: str, ids: np.ndarray) -> None:
+        found = np.bincount(ids, minlength=len(self.singles[lang]))
+        found[: len(self.singles[lang])] += self.singles[lang]
+        self.singles[lang] = found
+        linked, hashes = self.tokens.pairs(lang, ids)
+        linked[linked] = self.pairs.holds(hashes)
         whole = linked
-        for length in range(2, self.lengths.stop):
+        for length in range(2, self.longest + 1):
             if length > 2:
                 whole = whole[:-1] & linked[length - 2 :]
-            if length in self.lengths:
-                self.tries[lang].add(ids, np.flatnonzero(whole), length)
-
-    def spilled(self, keep: int) -> Iterator[pa.RecordBatch]:
-        for lang, trie in self.tries.items():
-            for phrases, counts in trie.spill(keep, self.vocabularies[lang].words):
-                yield _run(lang, phrases, counts)
+            self.tries[lang].add(ids, np.flatnonzero(whole), length)
 
-    def runs(self) -> Iterator[pa.RecordBatch]:
-        """What has to leave for the tries to stay within their bound."""
-        if sum(map(len, self.vocabularies.values())) > MOST_WORDS:
+    def read(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
+        """Counts a text; gives the runs that have to leave for the tries to stay within bounds."""
+        for batch in self.tokens.read(lang, text):
+            self.count(*batch)
+        if self.tokens.full():
             yield from self.rest()
-            self.tries, self.vocabularies = {}, {}
+            self.start()
         elif sum(trie.entries.total() for trie in self.tries.values()) > MOST_ENTRIES:
             yield from self.spilled(MOST_ENTRIES // (2 * len(self.tries)))
 
+    def spilled(self, keep: int) -> Iterator[pa.RecordBatch]:
+        for lang, trie in self.tries.items():
+            for phrases, counts in trie.spill(keep, self.tokens.vocabularies[lang].words):
+                yield _run(lang, phrases, counts)
+
     def rest(self) -> Iterator[pa.RecordBatch]:
-        for lang in list(self.waiting):
-            self.count(lang)
+        for batch in self.tokens.rest():
+            self.count(*batch)
         yield from self.spilled(0)
+        for lang, counts in self.singles.items():
+            words = self.tokens.vocabularies[lang].words
+            run = sorted((words[k], int(counts[k])) for k in np.flatnonzero(counts[FIRST_ID:]) + FIRST_ID)
+            yield _run(lang, [b"", *(w for w, _ in run)], [int(counts[RARE:].sum()), *(n for _, n in run)])
 
 
 def _run(lang: str, phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
@@ -251,69 +291,108 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
     return zip(batch.column("lang").to_pylist(), batch.column("data").to_pylist())
 
 
-def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of words; the empty word stands for all words of a language."""
-    counts: dict[str, Counter] = defaultdict(Counter)
-
-    def runs() -> Iterator[pa.RecordBatch]:
-        for lang, found in counts.items():
-            run = sorted(found.items())
-            yield _run(lang, [b"", *(w for w, _ in run)], [found.total(), *(n for _, n in run)])
-        counts.clear()
-
-    for batch in batches:
-        for lang, text in _rows(batch):
-            for part in parts_of(text):
-                counts[lang].update(part.split())
-            if sum(map(len, counts.values())) > MOST_WORDS:
-                yield from runs()
-    yield from runs()
-
-
-def phrase_counter(lengths: range, words: Broadcast | None, pairs: Broadcast | None):
-    """A task's work: runs of phrases of some lengths, of frequent words or pairs alone."""
+def phrase_counter(longest: int, words: Broadcast, pairs: Broadcast):
+    """A task's work: runs of words and phrases that can be frequent; a language's words in all as ''."""
 
     def count_phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(lengths, words and Bitmap(words.value), pairs and Bitmap(pairs.value))
+        counts = Counts(longest, Bitmap(words.value), Bitmap(pairs.value))
         for batch in batches:
             for lang, text in _rows(batch):
-                counts.read(lang, text)
-                yield from counts.runs()
+                yield from counts.read(lang, text)
         yield from counts.rest()
 
     return count_phrases
 
 
-def merged(runs: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, n) of frequent phrases: runs meet by prefix, where counts are added up."""
-    runs = runs.withColumn("phrase", F.col("phrase").cast("string"))
-    runs = runs.withColumn("prefix", F.substring_index("phrase", " ", 2))
-    totals = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n"))
-    return totals.where((F.col("n") >= least) | (F.col("phrase") == "")).drop("prefix")
-
+def sketched(hashes: np.ndarray, counts: np.ndarray, ranges: int, least: int) -> pa.RecordBatch:
+    """Hashes, sorted and distinct, by range: the rest of each in five bytes, its count, at most `least`, in one."""
+    shift = np.uint64(HASH_BITS - (ranges.bit_length() - 1))
+    parts = hashes >> shift
+    rests = np.ascontiguousarray(hashes & ((np.uint64(1) << shift) - np.uint64(1))).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    kept = np.minimum(counts, least).astype(np.uint8)
+    edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)] if len(parts) else [0]
+    at = list(zip(edges, edges[1:]))
+    columns = [
+        pa.array(parts[[lo for lo, _ in at]].astype(np.int64)),
+        pa.array([rests[lo:hi].tobytes() for lo, hi in at], pa.binary()),
+        pa.array([kept[lo:hi].tobytes() for lo, hi in at], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["range", "hashes", "counts"])
+
+
+def word_sketch(ranges: int, least: int):
+    """A task's work: sketches of the words that it met."""
+
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = defaultdict(Counter)
+
+        def taken() -> pa.RecordBatch:
+            n = sum(map(len, counts.values()))
+            hashes = np.fromiter((word_hash(lang, w) for lang, found in counts.items() for w in found), dtype=np.uint64, count=n)
+            hashes, places = np.unique(hashes, return_inverse=True)
+            met = np.fromiter((k for found in counts.values() for k in found.values()), dtype=np.float64, count=n)
+            counts.clear()
+            return sketched(hashes, np.bincount(places, met, len(hashes)), ranges, least)
 
-def _hashes(bits: int):
-    def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [(lang, phrase.split(b" ")) for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            found = np.array([word_hash(lang, w[0]) for lang, w in words], dtype=np.uint64)
-            pairs = np.array([len(w) > 1 for _, w in words], dtype=bool)
-            second = np.array([word_hash(lang, w[1]) for lang, w in words if len(w) > 1], dtype=np.uint64)
-            found[pairs] = pair_hash(found[pairs], second)
-            at = (found & np.uint64(bits - 1)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
+            for lang, text in _rows(batch):
+                for part in parts_of(text):
+                    counts[lang].update(part.split())
+                if sum(map(len, counts.values())) > MOST_WORDS:
+                    yield taken()
+        yield taken()
+
+    return sketch
 
-    return hashes
 
+def pair_sketch(ranges: int, least: int, words: Broadcast):
+    """A task's work: sketches of the pairs of words, of those in the bitmap, that it met."""
 
-def bitmap_of(frequent: DataFrame) -> bytes:
-    """A bit for each frequent word or pair; at most MOST_BITS come to the driver."""
-    bits = LEAST_BITS
-    wanted = BITS_EACH * frequent.count()
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = Bitmap(words.value)
+        tokens, met = Tokens(frequent), []
+
+        def taken() -> pa.RecordBatch:
+            hashes, counts = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *met]), return_counts=True)
+            met.clear()
+            return sketched(hashes, counts, ranges, least)
+
+        for batch in batches:
+            for row in _rows(batch):
+                met.extend(tokens.pairs(*found)[1] for found in tokens.read(*row))
+                if tokens.full():
+                    met.extend(tokens.pairs(*found)[1] for found in tokens.rest())
+                    tokens = Tokens(frequent)
+                if sum(map(len, met)) > MOST_HASHES:
+                    yield taken()
+        met.extend(tokens.pairs(*found)[1] for found in tokens.rest())
+        yield taken()
+
+    return sketch
+
+
+def _frequent_hashes(ranges: int, least: int):
+    shift = np.uint64(HASH_BITS - (ranges.bit_length() - 1))
+
+    def frequent(sketches: pa.Table) -> pa.Table:
+        rests = np.frombuffer(b"".join(sketches.column("hashes").to_pylist()), dtype=np.uint8).reshape(-1, 5)
+        hashes = np.zeros((len(rests), 8), dtype=np.uint8)
+        hashes[:, :5] = rests
+        hashes, places = np.unique(hashes.view("<u8").reshape(-1), return_inverse=True)
+        counts = np.frombuffer(b"".join(sketches.column("counts").to_pylist()), dtype=np.uint8)
+        found = hashes[np.bincount(places, counts, len(hashes)) >= least].astype(np.uint64)
+        return pa.table({"hash": (found | np.uint64(sketches.column("range")[0].as_py()) << shift).astype(np.int64)})
+
+    return frequent
+
+
+def bitmap_of(sketches: DataFrame, ranges: int, least: int, scratch: Scratch, name: str) -> bytes:
+    """A bit for each hash whose counts add up to `least`; at most MOST_BITS come to the driver."""
+    hashes = scratch.table(sketches.groupBy("range").applyInArrow(_frequent_hashes(ranges, least), "hash long"), name)
+    bits, wanted = LEAST_BITS, BITS_EACH * hashes.count()
     while bits < min(wanted, MOST_BITS):
         bits *= 2
-    at = frequent.select("lang", F.col("phrase").cast("binary")).mapInArrow(_hashes(bits), "at long")
-    at = at.withColumn("at", F.col("at") + 1)  # Spark's bitmaps number their bits from 1
+    at = hashes.select((F.col("hash").bitwiseAND(bits - 1) + 1).alias("at"))  # Spark's bitmaps number their bits from 1
     pages = at.groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     content = bytearray(bits // 8)
     for page in pages.collect():
@@ -321,18 +400,28 @@ def bitmap_of(frequent: DataFrame) -> bytes:
     return bytes(content)
 
 
+def merged(runs: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, n) of what is frequent: runs meet by prefix, where counts are added up."""
+    runs = runs.withColumn("phrase", F.col("phrase").cast("string"))
+    runs = runs.withColumn("prefix", F.substring_index("phrase", " ", 2))
+    totals = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n"))
+    return totals.where((F.col("n") >= least) | (F.col("phrase") == "")).drop("prefix")
+
+
 def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, n) of words and phrases that occur `least` times; all words of a language as ''."""
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_bytes().alias("data"))
-    words = scratch.table(merged(texts.mapInArrow(count_words, RUNS), least), "words")
-    bits = context.broadcast(bitmap_of(words.where("phrase <> ''")))
-    pairs = scratch.table(merged(texts.mapInArrow(phrase_counter(range(2, 3), bits, None), RUNS), least), "pairs")
-    if longest == 2:
-        return words.unionByName(pairs)
-    bits = context.broadcast(bitmap_of(pairs))
-    longer = phrase_counter(range(3, longest + 1), None, bits)
-    return words.unionByName(pairs).unionByName(scratch.table(merged(texts.mapInArrow(longer, RUNS), least), "longer"))
+    size = texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    ranges = LEAST_RANGES
+    while ranges < size / RANGE_BYTES:
+        ranges *= 2
+    most = min(least, 255)  # what is counted so often by one sketch alone passes
+    words = context.broadcast(bitmap_of(texts.mapInArrow(word_sketch(ranges, most), SKETCH), ranges, most, scratch, "words"))
+    pairs = context.broadcast(bitmap_of(texts.mapInArrow(pair_sketch(ranges, most, words), SKETCH), ranges, most, scratch, "pairs"))
+    counts = scratch.table(merged(texts.mapInArrow(phrase_counter(longest, words, pairs), RUNS), least), "counts")
+    scratch.remove("words", "pairs")
+    return counts
 
 
 def _ratio() -> Column:
@@ -341,9 +430,11 @@ def _ratio() -> Column:
     )
 
 
-def scored(counts: DataFrame) -> DataFrame:
-    """(lang, phrase, a, l, r, n, score) of phrases at the cut that scores least."""
-    totals = counts.where("phrase = ''").select("lang", "n")
+def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """(lang, phrase, a, l, r, n, score) of phrases at the cut that scores least.
+
+    `totals` has (lang, n): the number of words of each language.
+    """
     parts = counts.where("phrase <> ''")
     phrases = parts.where(F.contains("phrase", F.lit(" "))).withColumnRenamed("n", "a")
     m = F.size(F.split("phrase", " "))
@@ -372,7 +463,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     """(lang, rank, phrase, a, l, r, n, score) of the best phrases of each language."""
     scratch = Scratch(docs.sparkSession, "collocations")
     counts = frequent_phrases(docs, scratch, least, longest)
-    kept = scored(counts).join(enclosing(counts), ["lang", "phrase"], "left").where("most IS NULL OR 100 * most < 100 * a")
+    totals = scratch.table(counts.where("phrase = ''").select("lang", "n"), "totals")
+    kept = scored(counts, totals).join(enclosing(counts), ["lang", "phrase"], "left").where("most IS NULL OR 100 * most < 100 * a")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

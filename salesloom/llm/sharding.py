@@ -144,9 +144,8 @@ def _cuts(points: DataFrame, nodes: dict[int, tuple[int, int, int, int]], n: int
 def leaves_of(points: DataFrame, n_leaves: int, n_dimensions: int) -> DataFrame:
     """The points with `node`, the leaf of the tree they fall into, from 0 on.
 
-    Points have bytes, hash and coordinates x0, x1 and so on.
+    Points have bytes, hash, coordinates x0, x1 and so on, and 0 as node.
     """
-    points = points.withColumn("node", F.lit(0).cast("long"))
     counts = {0: n_leaves}
     while any(count > 1 for count in counts.values()):
         open_nodes = {node: count for node, count in counts.items() if count > 1}
@@ -182,8 +181,7 @@ def numbered_within(placed: DataFrame, scratch: Scratch, group: str, order: list
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """The documents with size, shard (int) and slot, for a number of shards or bytes of one."""
     scratch = Scratch(docs.sparkSession, "sharding")
-    added = [c for c in ("size", "shard", "slot")]
-    docs = docs.drop(*added)
+    docs = docs.drop("size", "shard", "slot")
     row, digest = free_name(docs, "row"), free_name(docs, "digest")
     digested = docs.select("*", F.monotonically_increasing_id().alias(row), F.unhex(F.md5(text_bytes())).alias(digest), (F.octet_length(text_bytes()) + 1).cast("long").alias("size"))
     stored = scratch.table(digested, "docs")
@@ -208,7 +206,8 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     points = scratch.table(points, "groups")
     scaled = [x.alias(f"x{k}") for k, x in enumerate(coordinates(points, names))]
     hashed = F.xxhash64("digest", "part").bitwiseAND((1 << HASH_BITS) - 1).alias("hash")
-    points = scratch.table(points.select("digest", "part", "bytes", hashed, *scaled), "points")
+    root = F.lit(0).cast("long").alias("node")
+    points = scratch.table(points.select("digest", "part", "bytes", root, hashed, *scaled), "points")
     leaves = leaves_of(points, shards, len(names)).select("digest", "part", F.col("node").cast("int").alias("shard"))
 
     placed = scratch.table(rows.join(leaves, ["digest", "part"]).select("row", "shard", "id", "digest"), "placed")

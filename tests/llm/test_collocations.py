@@ -5,11 +5,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import awkward_docs, docs_frame
 from oracle_check import compare, duck
 
 from salesloom.llm import collocations
+from salesloom.llm.common import Scratch
 from salesloom.llm.queries import ORACLE, QUERIES
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -87,48 +89,83 @@ def test_empty_tables(spark):
     assert collocations.collocations(docs_frame(spark, nothing), least=1).count() == 0
 
 
+class Sent:
+    """Stands for a broadcast value."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+EVERYTHING = Sent(b"\xff" * 1024)
+
+
 def test_runs_are_whole_however_small_the_bounds(monkeypatch):
     """Bursts, spills and parts of texts change how counts leave a task, not what they add up to."""
-    import pyarrow as pa
-
     texts = [(lang or "und", text.encode()) for _, text, lang, *_ in phrased_docs()]
     batch = pa.RecordBatch.from_arrays([pa.array([t[0] for t in texts]), pa.array([t[1] for t in texts], pa.binary())], names=["lang", "data"])
+    expected = Counter()
+    for lang, text in texts:
+        for words in pieces(text.decode()):
+            expected[lang, b""] += len(words)
+            for m in range(1, 6):
+                expected.update((lang, " ".join(words[k : k + m]).encode()) for k in range(len(words) - m + 1))
 
     def counted():
         total = Counter()
-        for run in collocations.phrase_counter(range(2, 6), None, None)([batch]):
+        for run in collocations.phrase_counter(5, EVERYTHING, EVERYTHING)([batch]):
             phrases = run.column("phrase").to_pylist()
             assert phrases == sorted(phrases)
             total.update(dict(zip(((run.column("lang")[0].as_py(), p) for p in phrases), run.column("n").to_pylist())))
         return total
 
-    expected = Counter()
-    for lang, text in texts:
-        for words in pieces(text.decode()):
-            for m in range(2, 6):
-                expected.update((lang, " ".join(words[k : k + m]).encode()) for k in range(len(words) - m + 1))
+    def sketches():
+        words, pairs = Counter(), Counter()
+        for total, work in ((words, collocations.word_sketch(256, 100)), (pairs, collocations.pair_sketch(256, 100, EVERYTHING))):
+            for sketch in work([batch]):
+                for part, hashes, counts in zip(*(sketch.column(k).to_pylist() for k in range(3))):
+                    for k, n in enumerate(counts):
+                        total[part << 40 | int.from_bytes(hashes[5 * k : 5 * k + 5], "little")] += n
+        return words, pairs
+
+    def hashes(lang, phrase):
+        first = np.array([collocations.word_hash(lang, w) for w in phrase.split(b" ")], dtype=np.uint64)
+        return int(first[0]) if len(first) == 1 else int(collocations.pair_hash(first[:1], first[1:])[0])
+
+    by_hash = [{hashes(*key): n for key, n in expected.items() if key[1] and key[1].count(b" ") == m} for m in (0, 1)]
     assert counted() == expected
-    for name, value in [("BURST", 3), ("MOST_ENTRIES", 200), ("BATCH_WORDS", 50), ("PART_BYTES", 64), ("MOST_WORDS", 60)]:
+    for total, right in zip(sketches(), by_hash):
+        assert total == {h: min(n, 100) for h, n in right.items()}
+    for name, value in [("BURST", 3), ("MOST_ENTRIES", 200), ("BATCH_WORDS", 50), ("PART_BYTES", 64), ("MOST_HASHES", 99), ("MOST_WORDS", 60)]:
         monkeypatch.setattr(collocations, name, value)
         assert counted() == expected
+        for total, right in zip(sketches(), by_hash):
+            assert total.keys() == right.keys()
+            assert {h for h, n in total.items() if n >= 100} == {h for h, n in right.items() if n >= 100}
 
 
 def test_bitmap(spark):
-    rows = [("en", f"w{k}") for k in range(500)] + [("de", f"w{k} x{k}") for k in range(500)]
-    bits = collocations.Bitmap(collocations.bitmap_of(spark.createDataFrame(rows, "lang string, phrase string")))
+    rng = np.random.default_rng(4)
+    hashes = np.unique(rng.integers(0, 1 << 48, 3000, dtype=np.uint64))
+    rows = []
+    for _ in range(3):
+        counts = rng.integers(1, 101, len(hashes))
+        counts[:1000] = 34
+        counts[1000:2000] = 33
+        rows += zip(*(c.to_pylist() for c in collocations.sketched(hashes, counts, 256, 100).columns))
+    spread = spark.createDataFrame(rows, collocations.SKETCH).repartition(5)
+    bits = collocations.Bitmap(collocations.bitmap_of(spread, 256, 100, Scratch(spark, "bitmap"), "hashes"))
     assert len(bits.content) * 8 == collocations.LEAST_BITS
-    hashes = np.array([collocations.word_hash(lang, p.encode()) for lang, p in rows[:500]], dtype=np.uint64)
-    first, second = (np.array([collocations.word_hash("de", f"{x}{k}".encode()) for k in range(500)], dtype=np.uint64) for x in "wx")
-    assert bits.holds(hashes).all() and bits.holds(collocations.pair_hash(first, second)).all()
-    assert 990 < np.unpackbits(bits.content).sum() <= 1000
+    assert bits.holds(hashes[:1000]).all()
+    assert bits.holds(hashes[1000:2000]).sum() < 20
 
 
 def test_large_numbers(spark):
     """Products beyond 64 bits are exact, on both sides of a whole number."""
     a, l, r, n = 10**12, 3 * 10**12, 10**13 - 1, 10**16 + 7
-    counts = [("en", "", n), ("en", "x y", a), ("en", "x", l), ("en", "y", r), ("en", "p q", 300), ("en", "p", 300), ("en", "q", 10**9), ("en", "", 0)]
-    counts = spark.createDataFrame(counts[:-1], "lang string, phrase string, n long")
-    scores = {row.phrase: row.score for row in collocations.scored(counts).collect()}
+    counts = [("en", "x y", a), ("en", "x", l), ("en", "y", r), ("en", "p q", 300), ("en", "p", 300), ("en", "q", 10**9)]
+    counts = spark.createDataFrame(counts, "lang string, phrase string, n long")
+    totals = spark.createDataFrame([("en", n)], "lang string, n long")
+    scores = {row.phrase: row.score for row in collocations.scored(counts, totals).collect()}
     assert scores == {"x y": 1000 * a * n // (l * r), "p q": 1000 * 300 * n // (300 * 10**9)}
 
 

@@ -12,7 +12,7 @@ from salesloom.llm import sharding
 from salesloom.llm.common import Scratch
 from salesloom.llm.queries import QUERIES
 
-POINTS = "bytes long, hash long, x0 long, x1 long"
+POINTS = "bytes long, hash long, x0 long, x1 long, node long"
 
 
 def plain_leaves(points, n):
@@ -42,7 +42,7 @@ def test_leaves(spark, n):
     rng = random.Random(n)
     most = 1 << sharding.COORDINATE_BITS
     points = list({(rng.randint(1, 5000), rng.randrange(1 << 32), rng.choice([0, 7, most - 1, rng.randrange(most)]), rng.randrange(3) * 1000) for _ in range(700)})
-    rows = sharding.leaves_of(spark.createDataFrame(points, POINTS), n, 2).collect()
+    rows = sharding.leaves_of(spark.createDataFrame([(*p, 0) for p in points], POINTS), n, 2).collect()
     assert {(r.bytes, r.hash, r.x0, r.x1): r.node for r in rows} == plain_leaves(points, n)
     sizes = Counter()
     for r in rows:
