@@ -6,8 +6,9 @@ blanks into words. Phrases of 2 to `longest` words count within pieces, by langu
 Each task counts into a trie of word ids: the root leads by first word to a hash container
 of the rest of each phrase. A container that holds too many bursts into one container for
 each second word; there the trie ends, so it stays shallow. When the trie holds too many
-phrases, whole subtrees, the largest first, leave as sorted runs. Runs are dealt out by
-language and prefix (the first two words), where the counts of a phrase are added up.
+phrases, whole subtrees, the largest first, leave as sorted runs, cut by language and by
+range of the prefix's hash (the prefix is the first two words). A run is one row, however
+many phrases it holds; those of a range meet and add up.
 
 A phrase occurs `least` times only if every part of it does. So two passes go before, one
 over words and one over pairs of frequent words, which tell what can be frequent by hash
@@ -62,11 +63,11 @@ BURST = 2048
 BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 28
 #: Of a hash, the bits that count; a range of hashes for so many bytes of text, and the least number of ranges.
 HASH_BITS = 48
-RANGE_BYTES, LEAST_RANGES = 1 << 26, 1 << 8
+RANGE_BYTES, LEAST_RANGES = 1 << 24, 1 << 8
 #: Ids of the end of a piece and of words that are not frequent; others come after.
 BREAK, RARE, FIRST_ID = 0, 1, 2
 
-RUNS = "lang string, phrase binary, n long"
+RUNS = "lang string, range long, phrases binary, counts binary"
 SKETCH = "range long, hashes binary, counts binary"
 
 
@@ -214,19 +215,37 @@ class Trie:
         self.nodes[first] = children
         self.burst.add(first)
 
-    def spill(self, keep: int, words: list[bytes]) -> Iterator[tuple[list[bytes], list[int]]]:
-        """Takes out subtrees, the largest first, until `keep` entries are left: sorted runs."""
+    def take(self, keep: int) -> Iterator[tuple[int, dict[bytes, int]]]:
+        """Takes out subtrees, the largest first, until `keep` entries are left."""
         held = self.entries.total()
         for first, n in self.entries.most_common():
             if held <= keep:
                 return
             node = self.nodes.pop(first)
-            counts = {k: v for child in node.values() for k, v in child.items()} if first in self.burst else node
+            yield first, {k: v for child in node.values() for k, v in child.items()} if first in self.burst else node
             self.burst.discard(first)
             del self.entries[first]
             held -= n
-            run = sorted((b" ".join([words[first], *_words(rest, words)]), k) for rest, k in counts.items())
-            yield [phrase for phrase, _ in run], [k for _, k in run]
+
+
+def runs_of(lang: str, phrases: list[bytes], counts: list[int], prefixes: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """A row for each range of the prefixes' hashes that some phrase falls into, with phrases and counts in order."""
+    parts = (prefixes >> _shift(ranges)).astype(np.int64)
+    order = np.argsort(parts, kind="stable")
+    parts, counted = parts[order], np.array(counts, dtype="<i8")[order]
+    edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)] if len(parts) else [0]
+    at, order = list(zip(edges, edges[1:])), order.tolist()
+    columns = [
+        pa.array([lang] * len(at), pa.string()),
+        pa.array(parts[[lo for lo, _ in at]]),
+        pa.array([b"\n".join([phrases[k] for k in order[lo:hi]]) for lo, hi in at], pa.binary()),
+        pa.array([counted[lo:hi].tobytes() for lo, hi in at], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "range", "phrases", "counts"])
+
+
+def _shift(ranges: int) -> np.uint64:
+    return np.uint64(HASH_BITS - (ranges.bit_length() - 1))
 
 
 def _words(rest: bytes, words: list[bytes]) -> list[bytes]:
@@ -236,8 +255,8 @@ def _words(rest: bytes, words: list[bytes]) -> list[bytes]:
 class Counts:
     """A task's tries, word counts and word totals, by language."""
 
-    def __init__(self, longest: int, words: Bitmap, pairs: Bitmap):
-        self.longest, self.words, self.pairs = longest, words, pairs
+    def __init__(self, longest: int, ranges: int, words: Bitmap, pairs: Bitmap):
+        self.longest, self.ranges, self.words, self.pairs = longest, ranges, words, pairs
         self.start()
 
     def start(self) -> None:
@@ -269,33 +288,40 @@ class Counts:
 
     def spilled(self, keep: int) -> Iterator[pa.RecordBatch]:
         for lang, trie in self.tries.items():
-            for phrases, counts in trie.spill(keep, self.tokens.vocabularies[lang].words):
-                yield _run(lang, phrases, counts)
+            vocabulary = self.tokens.vocabularies[lang]
+            words, hashes = vocabulary.words, np.array(vocabulary.hashes, dtype=np.uint64)
+            phrases, counts, firsts, seconds = [], [], [], []
+            for first, found in sorted(trie.take(keep), key=lambda taken: words[taken[0]]):
+                run = sorted((b" ".join([words[first], *_words(rest, words)]), n, rest[:4]) for rest, n in found.items())
+                phrases += [phrase for phrase, _, _ in run]
+                counts += [n for _, n, _ in run]
+                seconds += [second for _, _, second in run]
+                firsts.append(np.full(len(run), first))
+            if phrases:
+                prefixes = pair_hash(hashes[np.concatenate(firsts)], hashes[np.frombuffer(b"".join(seconds), dtype=">u4")])
+                yield runs_of(lang, phrases, counts, prefixes, self.ranges)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         for batch in self.tokens.rest():
             self.count(*batch)
         yield from self.spilled(0)
         for lang, counts in self.singles.items():
-            words = self.tokens.vocabularies[lang].words
-            run = sorted((words[k], int(counts[k])) for k in np.flatnonzero(counts[FIRST_ID:]) + FIRST_ID)
-            yield _run(lang, [b"", *(w for w, _ in run)], [int(counts[RARE:].sum()), *(n for _, n in run)])
-
-
-def _run(lang: str, phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
-    columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
+            vocabulary = self.tokens.vocabularies[lang]
+            run = sorted((vocabulary.words[k], int(counts[k]), vocabulary.hashes[k]) for k in np.flatnonzero(counts[FIRST_ID:]) + FIRST_ID)
+            run.insert(0, (b"", int(counts[RARE:].sum()), 0))
+            phrases, found, hashes = map(list, zip(*run))
+            yield runs_of(lang, phrases, found, np.array(hashes, dtype=np.uint64), self.ranges)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
     return zip(batch.column("lang").to_pylist(), batch.column("data").to_pylist())
 
 
-def phrase_counter(longest: int, words: Broadcast, pairs: Broadcast):
+def phrase_counter(longest: int, ranges: int, words: Broadcast, pairs: Broadcast):
     """A task's work: runs of words and phrases that can be frequent; a language's words in all as ''."""
 
     def count_phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(longest, Bitmap(words.value), Bitmap(pairs.value))
+        counts = Counts(longest, ranges, Bitmap(words.value), Bitmap(pairs.value))
         for batch in batches:
             for lang, text in _rows(batch):
                 yield from counts.read(lang, text)
@@ -306,7 +332,7 @@ def phrase_counter(longest: int, words: Broadcast, pairs: Broadcast):
 
 def sketched(hashes: np.ndarray, counts: np.ndarray, ranges: int, least: int) -> pa.RecordBatch:
     """Hashes, sorted and distinct, by range: the rest of each in five bytes, its count, at most `least`, in one."""
-    shift = np.uint64(HASH_BITS - (ranges.bit_length() - 1))
+    shift = _shift(ranges)
     parts = hashes >> shift
     rests = np.ascontiguousarray(hashes & ((np.uint64(1) << shift) - np.uint64(1))).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
     kept = np.minimum(counts, least).astype(np.uint8)
@@ -372,7 +398,7 @@ def pair_sketch(ranges: int, least: int, words: Broadcast):
 
 
 def _frequent_hashes(ranges: int, least: int):
-    shift = np.uint64(HASH_BITS - (ranges.bit_length() - 1))
+    shift = _shift(ranges)
 
     def frequent(sketches: pa.Table) -> pa.Table:
         rests = np.frombuffer(b"".join(sketches.column("hashes").to_pylist()), dtype=np.uint8).reshape(-1, 5)
@@ -400,12 +426,24 @@ def bitmap_of(sketches: DataFrame, ranges: int, least: int, scratch: Scratch, na
     return bytes(content)
 
 
+def _added_up(least: int):
+    def added_up(runs: pa.Table) -> pa.Table:
+        total: Counter = Counter()
+        for phrases, counts in zip(runs.column("phrases"), runs.column("counts")):
+            for phrase, n in zip(phrases.as_py().split(b"\n"), np.frombuffer(counts.as_py(), dtype="<i8").tolist()):
+                total[phrase] += n
+        kept = [(phrase, n) for phrase, n in total.items() if n >= least or not phrase]
+        lang = runs.column("lang")[0].as_py()
+        columns = [pa.array([lang] * len(kept), pa.string()), pa.array([p for p, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())]
+        return pa.Table.from_arrays(columns, names=["lang", "phrase", "n"])
+
+    return added_up
+
+
 def merged(runs: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, n) of what is frequent: runs meet by prefix, where counts are added up."""
-    runs = runs.withColumn("phrase", F.col("phrase").cast("string"))
-    runs = runs.withColumn("prefix", F.substring_index("phrase", " ", 2))
-    totals = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n"))
-    return totals.where((F.col("n") >= least) | (F.col("phrase") == "")).drop("prefix")
+    """(lang, phrase, n) of what is frequent: the runs of a range meet, where counts are added up."""
+    totals = runs.groupBy("lang", "range").applyInArrow(_added_up(least), "lang string, phrase binary, n long")
+    return totals.withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
@@ -419,7 +457,7 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, long
     most = min(least, 255)  # what is counted so often by one sketch alone passes
     words = context.broadcast(bitmap_of(texts.mapInArrow(word_sketch(ranges, most), SKETCH), ranges, most, scratch, "words"))
     pairs = context.broadcast(bitmap_of(texts.mapInArrow(pair_sketch(ranges, most, words), SKETCH), ranges, most, scratch, "pairs"))
-    counts = scratch.table(merged(texts.mapInArrow(phrase_counter(longest, words, pairs), RUNS), least), "counts")
+    counts = scratch.table(merged(texts.mapInArrow(phrase_counter(longest, ranges, words, pairs), RUNS), least), "counts")
     scratch.remove("words", "pairs")
     return counts
 

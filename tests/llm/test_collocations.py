@@ -112,10 +112,15 @@ def test_runs_are_whole_however_small_the_bounds(monkeypatch):
 
     def counted():
         total = Counter()
-        for run in collocations.phrase_counter(5, EVERYTHING, EVERYTHING)([batch]):
-            phrases = run.column("phrase").to_pylist()
-            assert phrases == sorted(phrases)
-            total.update(dict(zip(((run.column("lang")[0].as_py(), p) for p in phrases), run.column("n").to_pylist())))
+        where = defaultdict(set)
+        for runs in collocations.phrase_counter(5, 256, EVERYTHING, EVERYTHING)([batch]):
+            for run in runs.to_pylist():
+                phrases = run["phrases"].split(b"\n")
+                assert phrases == sorted(phrases)
+                total.update(dict(zip(((run["lang"], p) for p in phrases), np.frombuffer(run["counts"], dtype="<i8").tolist())))
+                for phrase in phrases:
+                    where[run["lang"], phrase].add(run["range"])
+        assert all(len(ranges) == 1 for ranges in where.values()) and len(set.union(*where.values())) > 100
         return total
 
     def sketches():
