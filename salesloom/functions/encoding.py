@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.functions.calendar import daypart_ordinal, season_ordinal
+from salesloom.functions.names import column_names
 
 
 def with_ordinals(rows: DataFrame) -> DataFrame:
@@ -24,11 +25,14 @@ def one_hot(rows: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
     """One 0/1 column per level after the first, in place of ``column``.
 
     The first level in sorted order is the base: it is the row of zeros, as is
-    a value outside ``levels``.
+    a value outside ``levels``. After the column's name, flags are named by
+    ``column_names``, so that none takes the name of another column.
     """
+    ordered, start = sorted(levels), f"{column}_"
+    taken = [name[len(start) :] for name in rows.columns if name.lower().startswith(start.lower())]
     flags = {
-        f"{column}_{level}": F.coalesce((F.col(column) == level).cast("int"), F.lit(0))
-        for level in sorted(levels)[1:]
+        start + name: F.coalesce((F.col(column) == level).cast("int"), F.lit(0))
+        for level, name in list(zip(ordered, column_names(ordered, taken)))[1:]
     }
     return rows.withColumns(flags).drop(column)
 
@@ -41,3 +45,12 @@ def hash_bucket(*keys: Column, buckets: int = 100) -> Column:
     """
     text = F.concat_ws("|", *keys)
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(buckets))
+
+
+def hash_share(*keys: Column) -> Column:
+    """Place of a row between 0 and ``HASH_SHARES`` by its key values alone, the same on any engine."""
+    text = F.concat_ws("|", *(F.coalesce(key.cast("string"), F.lit("")) for key in keys))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+HASH_SHARES = 1 << 60

@@ -31,18 +31,74 @@ YEAR_DAYS = 365.25
 MODEL_SCHEMA = (
     "item_category string, first_day int, last_day int, level double, slope double, "
     "knots array<int>, bends array<double>, sines array<double>, cosines array<double>, "
-    "converged boolean, days array<int>, sold array<double>"
+    "solver string, converged boolean, days array<int>, sold array<double>"
 )
 
 
-def series_fitter(rounds: int = 500) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """The function that fits one category's series, in so many rounds at most.
+def series_fitter(rounds: int = 500, steps: int = 20_000) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """The function that fits one category's series.
 
-    ``converged`` tells whether they were enough. Of fewer than two weeks there is no
-    model, only the weeks. Being local, it travels to the workers by value: they need numpy and pandas,
-    but no copy of this package.
+    It reweights least squares in so many rounds at most. A series that these leave open
+    goes to a second solver, the proximal gradient in so many steps at most. ``solver``
+    names the one whose result it is, ``converged`` tells whether that one came to an end.
+    Of fewer than two weeks there is no model, only the weeks. Being local, the function
+    travels to the workers by value: they need numpy and pandas, but no copy of this package.
     """
 
+    def changes_solved(hessian, linear, weights, changes):
+        """The exact minimum, found from the signs and zeros that the changes have now; None if these lead nowhere."""
+        signs = np.zeros(len(weights))
+        signs[changes] = np.sign(np.where(np.abs(weights) > 1e-9 * np.abs(weights).max(), weights, 0))[changes]
+        free = np.ones(len(weights), dtype=bool)
+        free[changes] = False
+        most = (1 + 1e-9) / CHANGE_SCALE + 1e-12 * np.abs(linear).max()
+        for _ in range(2 * len(weights)):
+            active = free | (signs != 0)
+            found = np.zeros(len(weights))
+            found[active] = np.linalg.solve(hessian[np.ix_(active, active)], (linear - signs / CHANGE_SCALE)[active])
+            turned = found * signs < 0
+            slack = np.where(active, 0, linear - hessian @ found)
+            if turned.any():
+                signs[turned] = 0  # it passed zero, where it stays
+            elif np.abs(slack).max() > most:
+                at = np.abs(slack).argmax()
+                signs[at] = np.sign(slack[at])
+            else:
+                return found
+        return None
+
+    def proximal(gram, moment, precision, changes, weights, noise, noise_of):
+        """Accelerated proximal gradient for the changes' absolute values, the noise again after each solution."""
+        ridge = precision.copy()
+        ridge[changes] = 0
+        left = steps
+        while left > 0:
+            hessian, linear = gram / noise + np.diag(ridge), moment / noise
+            scale = 1 / np.sqrt(np.maximum(np.diag(hessian), 1e-300))
+            step = 1 / np.linalg.eigvalsh(hessian * np.outer(scale, scale))[-1]
+            threshold = np.zeros(len(weights))
+            threshold[changes] = step * scale[changes] / CHANGE_SCALE
+            ahead = point = weights / scale
+            speed, found = 1.0, changes_solved(hessian, linear, weights, changes)
+            while found is None and left > 0:
+                for _ in range(100):
+                    moved = ahead - step * scale * (hessian @ (scale * ahead) - linear)
+                    moved = np.sign(moved) * np.maximum(np.abs(moved) - threshold, 0)
+                    if (ahead - moved) @ (moved - point) > 0:
+                        speed = 1.0  # it overshot: start anew from here
+                    faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+                    ahead, point, speed = moved + (speed - 1) / faster * (moved - point), moved, faster
+                left -= 100
+                found = changes_solved(hessian, linear, scale * point, changes)
+            if found is None:
+                return scale * point, noise, False
+            before, weights = weights, found
+            noise, earlier = noise_of(weights), noise
+            if abs(noise - earlier) <= 1e-10 * earlier and np.abs(weights - before).max() < 1e-9:
+                return weights, noise, True
+            left -= 1
+        return weights, noise, False
+
     def fit(key: tuple, series: pd.DataFrame) -> pd.DataFrame:
         """Most probable trend and season of one category's weeks (columns ``day``, ``y``)."""
         series = series.sort_values("day")
@@ -50,7 +106,7 @@ def series_fitter(rounds: int = 500) -> Callable[[tuple, pd.DataFrame], pd.DataF
         n = len(y)
         columns = [field.split()[0] for field in MODEL_SCHEMA.split(", ")]
         if n < 2:
-            return pd.DataFrame([(key[0], *[None] * 9, day, y)], columns=columns)
+            return pd.DataFrame([(key[0], *[None] * 10, day, y)], columns=columns)
         span, scale = float(day[-1] - day[0]), np.abs(y).max() or 1.0
 
         usable = int(n * CHANGEPOINT_SHARE)
@@ -66,21 +122,30 @@ def series_fitter(rounds: int = 500) -> Callable[[tuple, pd.DataFrame], pd.DataF
         precision = np.r_[np.full(2, 1 / TREND_VARIANCE), np.ones(n_knots), np.full(2 * FOURIER_ORDER, 1 / SEASON_VARIANCE)]
         gram, moment = design.T @ design, design.T @ (y / scale)
         weights, noise = np.zeros(design.shape[1]), np.var(y / scale) or 1.0
+        changes = slice(2, 2 + n_knots)
+
+        def noise_of(weights):
+            rss = np.square(y / scale - design @ weights).sum()
+            return max((math.sqrt(n * n + 16 * rss) - n) / 8, 1e-8)
+
         converged = constant = y.min() == y.max()
         for _ in range(0 if constant else rounds):
             before = weights
             weights = np.linalg.solve(gram / noise + np.diag(precision), moment / noise)
-            precision[2 : 2 + n_knots] = 1 / (CHANGE_SCALE * np.maximum(np.abs(weights[2 : 2 + n_knots]), 1e-7))
-            rss = np.square(y / scale - design @ weights).sum()
-            noise = max((math.sqrt(n * n + 16 * rss) - n) / 8, 1e-8)
+            precision[changes] = 1 / (CHANGE_SCALE * np.maximum(np.abs(weights[changes]), 1e-7))
+            noise = noise_of(weights)
             if np.abs(weights - before).max() < 1e-9:
                 converged = True
                 break
+        solver = "reweighted"
         if constant:
             weights[0] = y[0] / scale
+        elif not converged and steps:
+            solver = "proximal"
+            weights, noise, converged = proximal(gram, moment, precision, changes, weights, noise, noise_of)
 
         level, slope, bends, sines, cosines = np.split(weights * scale, np.cumsum([1, 1, n_knots, FOURIER_ORDER]))
-        row = (key[0], day[0], day[-1], level[0], slope[0] / span, knots, bends / span, sines, cosines, bool(converged), day, y)
+        row = (key[0], day[0], day[-1], level[0], slope[0] / span, knots, bends / span, sines, cosines, solver, bool(converged), day, y)
         return pd.DataFrame([row], columns=columns)
 
     return fit
@@ -142,10 +207,13 @@ def _predicted(ds: Column) -> Column:
 
 
 def predict(models: DataFrame, periods: int = FORECAST_DAYS, step_days: int = 1) -> DataFrame:
-    """Predicted sales for the weeks of the history and ``periods`` steps after it."""
+    """Predicted sales for the weeks of the history and ``periods`` steps after it.
+
+    ``converged`` tells of each row whether the fit behind it came to an end.
+    """
     first, last = F.date_from_unix_date("first_day"), F.date_from_unix_date("last_day")
     dated = models.where("level IS NOT NULL").withColumn("ds", F.explode(_dates(first, last, periods, step_days)))
-    return dated.select("ds", _predicted(F.col("ds")).alias("y"), "item_category")
+    return dated.select("ds", _predicted(F.col("ds")).alias("y"), "item_category", "converged")
 
 
 def category_forecast(weekly: DataFrame, periods: int = FORECAST_DAYS, step_days: int = 1) -> DataFrame:
@@ -154,7 +222,10 @@ def category_forecast(weekly: DataFrame, periods: int = FORECAST_DAYS, step_days
 
 
 def actual_vs_forecast(weekly: DataFrame, periods: int = FORECAST_DAYS, step_days: int = 1) -> DataFrame:
-    """Actual and forecast rows under one another, told apart by ``type``."""
+    """Actual and forecast rows under one another, told apart by ``type``.
+
+    ``converged`` tells of a forecast whether its fit came to an end, and is null for sales.
+    """
     models = category_models(weekly)
     first, last = F.date_from_unix_date("first_day"), F.date_from_unix_date("last_day")
     # A model's row holds its weeks, so that one pass over the sales gives both kinds.
@@ -170,7 +241,16 @@ def actual_vs_forecast(weekly: DataFrame, periods: int = FORECAST_DAYS, step_day
     )
     rows = models.withColumn("kind", F.explode(kinds)).withColumn("at", F.explode("kind.dated"))
     value = F.when(F.col("kind.type") == "Actual", F.col("at.sold")).otherwise(_predicted(F.col("at.ds")))
-    return rows.select(F.col("at.ds").alias("ds"), value.alias("y"), "item_category", F.col("kind.type").alias("type"))
+    ended = F.when(F.col("kind.type") == "Forecast", F.col("converged"))
+    return rows.select(F.col("at.ds").alias("ds"), value.alias("y"), "item_category", F.col("kind.type").alias("type"), ended.alias("converged"))
+
+
+def forecast_fits(weekly: DataFrame) -> DataFrame:
+    """How the fit of each category went: its weeks, solver, whether it converged, and where its trend bends."""
+    bends = F.filter("bends", lambda bend: F.abs(bend) * (F.col("last_day") - F.col("first_day")) > 1e-6 * F.abs("level"))
+    return category_models(weekly).select(
+        "item_category", F.size("days").cast("long").alias("n_weeks"), "solver", "converged", F.size(bends).alias("n_bends")
+    )
 
 
 def category_trend(weekly: DataFrame) -> DataFrame:
@@ -181,3 +261,23 @@ def category_trend(weekly: DataFrame) -> DataFrame:
         F.regr_slope("y", week).alias("slope"),
         F.regr_intercept("y", week).alias("intercept"),
     )
+
+
+def trend_of_runs(runs: DataFrame) -> DataFrame:
+    """``category_trend`` from ``weekly_runs``: a run without sales counts in closed form, however long."""
+    at = F.floor((F.unix_date("week_end") - 3) / 7).cast("decimal(12,0)")
+    n = F.col("weeks").cast("decimal(12,0)")
+    sums = runs.groupBy("item_category").agg(
+        F.sum(n).alias("n"),
+        F.sum(n * at + n * (n - 1) / 2).cast("decimal(30,0)").alias("x"),
+        F.sum(n * at * at + at * n * (n - 1) + n * (n - 1) * (2 * n - 1) / 6).cast("decimal(38,0)").alias("xx"),
+        # Weeks with sales are runs of one, so these need no length.
+        F.sum("y").alias("y"),
+        F.sum(F.col("y") * at.cast("double")).alias("xy"),
+    )
+    n, x = F.col("n").cast("double"), F.col("x").cast("double")
+    spread = (F.col("n") * F.col("xx") - F.col("x") * F.col("x")).cast("double")
+    slope = F.try_divide(n * F.col("xy") - x * F.col("y"), spread)
+    return sums.select(
+        "item_category", F.col("n").cast("long").alias("n_weeks"), slope.alias("slope"), ((F.col("y") - slope * x) / n).alias("intercept")
+    )

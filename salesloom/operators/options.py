@@ -7,16 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesloom.functions.names import column_names
+
 OPTION_COLUMNS = ("truck_brand_name", "city", "item_category", "menu_type")
 
 
 def distinct_values(rows: DataFrame, columns: Sequence[str] = OPTION_COLUMNS) -> DataFrame:
     """Distinct values of several columns as (option, value) rows, in one scan.
 
-    Map-side partial aggregation leaves at most the distinct values of each
-    task to shuffle.
+    Each task collects a set for each column while it reads, so that a single row leaves
+    it, however many lines it read. Sets are unfolded and made distinct over all tasks
+    where their values meet. A task's memory holds its distinct values; columns with
+    about as many values as rows are better made distinct one by one.
     """
-    return rows.select(*columns).unpivot([], list(columns), "option", "value").distinct()
+    sets = (F.collect_set(F.struct(F.col(name).cast("string").alias("value"))).alias(f"s{k}") for k, name in enumerate(columns))
+    by_task = rows.select(*columns).withColumn("task", F.spark_partition_id()).groupBy("task").agg(*sets)
+    options = F.array(*(F.struct(F.lit(name).alias("option"), F.col(f"s{k}").alias("found")) for k, name in enumerate(columns)))
+    return by_task.select(F.inline(options)).select("option", F.inline("found")).distinct()
 
 
 def year_bounds(sales: DataFrame) -> DataFrame:
@@ -44,24 +51,12 @@ def levels(rows: DataFrame, column: str) -> list[str | None]:
 def sums_by_level(rows: DataFrame, key: str, column: str, values: Sequence[str | None], amount: str) -> DataFrame:
     """One row per ``key`` with the sum of ``amount`` for each value of ``column``, 0 without any.
 
-    The column of the null value is called "null".
+    Columns are named by ``column_names``, from which ``value_of`` tells the value.
     """
     level = F.col(column)
     return rows.groupBy(key).agg(
         *(
-            F.coalesce(F.sum(F.when(level.eqNullSafe(F.lit(value)), F.col(amount))), F.lit(0.0)).alias(column_of(value))
-            for value in values
+            F.coalesce(F.sum(F.when(level.eqNullSafe(F.lit(value)), F.col(amount))), F.lit(0.0)).alias(name)
+            for value, name in zip(values, column_names(values, [key]))
         )
     )
-
-
-NULL_COLUMN = "null"
-
-
-def column_of(value: str | None) -> str:
-    return NULL_COLUMN if value is None else value
-
-
-def quoted(name: str) -> str:
-    """A column name to be taken as it is, dots and all."""
-    return "`" + name.replace("`", "``") + "`"

@@ -27,6 +27,7 @@ from salesloom.session import stored
 
 # Split points tried for a feature.
 MODEL_BINS = 64
+MODEL_SETTINGS = {"maxDepth": 3, "stepSize": 0.1}
 
 LOCATION_KEYS = ("latitude", "longitude", "menu_type", "item_category", "season", "time_of_day")
 
@@ -147,6 +148,11 @@ def _trainable(locations: DataFrame) -> DataFrame:
     )
 
 
+def training_rows(locations: DataFrame) -> DataFrame:
+    """What a model learns from: the features and total sales of the training part."""
+    return _trainable(locations).filter("split = 'train'").drop("split", "season", "time_of_day", "menu_type")
+
+
 def fit_site_model(
     locations: DataFrame,
     trees: int = MODEL_TREES,
@@ -156,41 +162,44 @@ def fit_site_model(
 ) -> PipelineModel | None:
     """Boosted trees that predict a location's total sales; None without a row to train on.
 
-    One fitted pipeline encodes training rows and candidate sites alike; a
-    category it never saw gets its own slot.
-
     Training passes over its rows once per tree level. They are written to the
     shared folder first, so that a lost executor costs a read from there and not a scan
     of the facts, and so that hundreds of jobs do not each carry the plan behind the
     rows; the table goes when the model is there. ``bins`` bounds the split points tried
     for a feature, ``tasks`` the tasks of a pass (else as the stored rows are split).
     """
-    rows = _trainable(locations).filter("split = 'train'").drop("split", "season", "time_of_day", "menu_type")
-    with stored(rows) as training:
+    with stored(training_rows(locations)) as training:
         if training.isEmpty():
             return None
-        sized = training.coalesce(tasks) if tasks else training
-        indexer = StringIndexer(
-            inputCol="item_category",
-            outputCol="category_index",
-            stringOrderType="alphabetAsc",
-            handleInvalid="keep",
-        )
-        flags = OneHotEncoder(inputCol="category_index", outputCol="category_flags", handleInvalid="keep")
-        features = VectorAssembler(
-            inputCols=["latitude", "longitude", "season_encoded", "time_encoded", "category_flags"],
-            outputCol="features",
-        )
-        booster = GBTRegressor(
-            labelCol="total_sales",
-            predictionCol="predicted_sales",
-            maxIter=trees,
-            maxDepth=3,
-            stepSize=0.1,
-            maxBins=bins,
-            seed=seed,
-        )
-        return Pipeline(stages=[indexer, flags, features, booster]).fit(sized)
+        return fit_on(training.coalesce(tasks) if tasks else training, trees, seed, bins)
+
+
+def fit_on(training: DataFrame, trees: int = MODEL_TREES, seed: int = MODEL_SEED, bins: int = MODEL_BINS) -> PipelineModel:
+    """The model of some ``training_rows``.
+
+    One fitted pipeline encodes training rows and candidate sites alike; a
+    category it never saw gets its own slot.
+    """
+    indexer = StringIndexer(
+        inputCol="item_category",
+        outputCol="category_index",
+        stringOrderType="alphabetAsc",
+        handleInvalid="keep",
+    )
+    flags = OneHotEncoder(inputCol="category_index", outputCol="category_flags", handleInvalid="keep")
+    features = VectorAssembler(
+        inputCols=["latitude", "longitude", "season_encoded", "time_encoded", "category_flags"],
+        outputCol="features",
+    )
+    booster = GBTRegressor(
+        labelCol="total_sales",
+        predictionCol="predicted_sales",
+        maxIter=trees,
+        maxBins=bins,
+        seed=seed,
+        **MODEL_SETTINGS,
+    )
+    return Pipeline(stages=[indexer, flags, features, booster]).fit(training)
 
 
 def score_sites(model: PipelineModel | None, sites: DataFrame) -> DataFrame:

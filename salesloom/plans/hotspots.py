@@ -12,7 +12,7 @@ from pyspark.storagelevel import StorageLevel
 
 from salesloom.functions.calendar import with_calendar
 from salesloom.functions.fixed_values import CITY_CENTERS, MODEL_TREES, TOP_N
-from salesloom.operators import profit, sites
+from salesloom.operators import model_store, profit, sites
 from salesloom.operators.filters import Choice, at_location, has_rows
 
 
@@ -20,8 +20,10 @@ class Hotspots:
     """Location totals and seasonal item profits, and the results built on them.
 
     Both come from one aggregate, so that the facts are scanned once. It is cached on
-    first use and released by ``close`` or at the end of a ``with`` block. Without a sale there is nothing to train on: no model, and
-    scores without rows. ``centers`` gives the centres of known cities.
+    first use and released by ``close`` or at the end of a ``with`` block. The model is a
+    stored one where these totals have been trained on before. Without a sale there is
+    nothing to train on: no model, and scores without rows. ``centers`` gives the centres
+    of known cities.
     """
 
     def __init__(
@@ -60,7 +62,7 @@ class Hotspots:
 
     @cached_property
     def model(self) -> PipelineModel | None:
-        return sites.fit_site_model(self.locations, self.trees)
+        return model_store.site_model(self.locations, self.trees)
 
     def candidates(self) -> DataFrame:
         return sites.candidate_sites(self.locations, self.menu_type, self.center, self.categories)

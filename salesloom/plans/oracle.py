@@ -6,13 +6,15 @@ same wide facts; columns that a query does not read cost nothing there.
 
 from __future__ import annotations
 
+from salesloom.functions.encoding import HASH_SHARES
+from salesloom.functions.fixed_values import GEO_SAMPLE_SEED, OPTION_SAMPLE_FRACTION
 from salesloom.operators.sites import STEP_LAT, STEP_LON
 from salesloom.plans import queries as q
 from salesloom.plans.queries import NUDGE
 from salesloom.sources.star import STAR_CENTERS, STAR_MENUS
 
 FACTS = """WITH facts AS (
-  SELECT p_brand AS truck_brand_name, p_type AS menu_type,
+  SELECT l_orderkey AS order_key, l_linenumber AS line_number, l_partkey AS part_key, l_suppkey AS supplier_key, p_brand AS truck_brand_name, p_type AS menu_type,
          split_part(p_name, ' ', 1) AS item_subcategory, split_part(p_name, ' ', 2) AS item_category,
          p_name AS menu_item_name, n_name AS city, l_extendedprice AS price, o_totalprice AS order_total,
          l_quantity AS quantity, l_extendedprice / l_quantity AS unit_price,
@@ -126,6 +128,11 @@ _OPTION_TYPE = (
 )
 
 
+def _sampled(fraction: float) -> str:
+    key = f"md5(concat_ws('|', '{GEO_SAMPLE_SEED}', {', '.join(q.LINE_KEYS)}))"
+    return f"('0x' || substr({key}, 1, 15))::BIGINT < {int(fraction * HASH_SHARES)}"
+
+
 def _distinct(source: str, columns) -> str:
     return " UNION ".join(f"SELECT '{c}' AS option, {c} AS value FROM {source}" for c in columns)
 
@@ -154,6 +161,8 @@ FROM points CROSS JOIN ({categories}) CROSS JOIN domains"""
 ORACLE: dict[str, str] = {
     "scan_sales": f"{FACTS} SELECT {_SALES} FROM facts",
     "scan_geo": f"{FACTS} SELECT {_GEO} FROM facts",
+    "scan_sampled": f"{FACTS} SELECT {_GEO} FROM facts WHERE {_sampled(OPTION_SAMPLE_FRACTION)}",
+    "scan_sampled_fine": f"{FACTS} SELECT order_key, line_number, menu_item_name, price FROM facts WHERE {_sampled(q.FINE_FRACTION)}",
     "menu_dim": f"""{FACTS}, {_MENUS}
 SELECT f.menu_type, rating, image FROM (SELECT DISTINCT menu_type FROM facts) f
 LEFT JOIN menus m ON f.menu_type = m.menu_type""",
@@ -244,8 +253,35 @@ WHERE ('0x' || substr(md5(concat_ws('|', coalesce(menu_item_name, ''), coalesce(
 SELECT week_end AS ds, round(y, 2) AS y, item_category, 'Actual' AS type FROM weekly""",
     "forecast_check": f"""{FACTS}, {_WEEKLY}
 SELECT item_category, count(*) AS n_actual, count(*) + 365 AS n_forecast, min(week_end) AS first_ds,
-       (max(week_end) + 365)::DATE AS last_ds, true AS all_finite, true AS beats_line
+       (max(week_end) + 365)::DATE AS last_ds, true AS all_finite, true AS converged, true AS beats_line
 FROM weekly GROUP BY item_category""",
+    "forecast_fits": f"""{FACTS}, {_WEEKLY}
+SELECT item_category, count(*) AS n_weeks, true AS converged FROM weekly GROUP BY item_category""",
+    # Stretches without a sale: weeks whose number less their place among such weeks is the same.
+    "weekly_runs": f"""{FACTS}, {_WEEKLY}, marked AS (
+  SELECT w.week_end, w.item_category, w.y, t.week_end IS NOT NULL AS sold
+  FROM weekly w LEFT JOIN totals t ON t.week_end = w.week_end AND t.item_category = w.item_category
+), islands AS (
+  SELECT *, (week_end - DATE '1970-01-04') // 7 - row_number() OVER (PARTITION BY item_category, sold ORDER BY week_end) AS island
+  FROM marked
+)
+SELECT min(week_end) AS week_end, item_category, count(*)::INT AS weeks, 0.0::DOUBLE AS y
+FROM islands WHERE NOT sold GROUP BY item_category, island
+UNION ALL SELECT week_end, item_category, 1::INT, round(y, 2) FROM islands WHERE sold""",
+    "weekly_from_runs": f"{FACTS}, {_WEEKLY} SELECT week_end, item_category, round(y, 2) AS y FROM weekly",
+    "order_sales_bucketed": f"""{FACTS}
+SELECT year(order_ts)::INT AS order_year, count(*) AS n_lines, round(sum(price), 2) AS sales, max(order_total) AS largest_order
+FROM facts GROUP BY 1""",
+    "locations_first": f"""{FACTS}, {_LOCATIONS}
+SELECT {_LOCATION_ROWS} FROM locations
+ORDER BY latitude DESC NULLS LAST, longitude DESC NULLS LAST, menu_type NULLS FIRST, item_category NULLS FIRST,
+         season NULLS FIRST, time_of_day NULLS FIRST LIMIT {q.FIRST_LOCATIONS}""",
+    "locations_ordered_check": f"""{FACTS}, {_LOCATIONS}
+SELECT count(*) AS n_rows, round(max(latitude), 6) AS north, round(min(latitude), 6) AS south, 0::INT AS n_overlaps FROM locations""",
+    "location_found": f"""{FACTS}
+SELECT city, count(*) AS n_lines, true AS found FROM facts
+WHERE menu_type = '{q.CHOSEN_MENU}' AND city IN ('{q.CHOSEN_CITY}', '{q.NO_CITY}') GROUP BY city""",
+    "clean_names": f"{FACTS} SELECT DISTINCT menu_item_name, menu_item_name || ' é' AS cleaned FROM facts",
     "city_center": f"""{FACTS}
 SELECT f.city, coalesce(c.lat, 52.2298::DOUBLE) AS lat, coalesce(c.lon, 21.0118::DOUBLE) AS lon
 FROM (SELECT DISTINCT city FROM facts) f
@@ -264,3 +300,7 @@ SELECT item_category, count(y) AS n_weeks,
        round(regr_intercept(y, (week_end - DATE '1970-01-04') / 7), 2) AS intercept
 FROM weekly GROUP BY item_category""",
 }
+ORACLE["heat_points_check"] = f"""SELECT count(*) AS n_points, min(latitude) AS min_latitude, max(latitude) AS max_latitude,
+       min(longitude) AS min_longitude, max(longitude) AS max_longitude, true AS all_finite
+FROM ({ORACLE["candidate_sites"]})"""
+ORACLE["trend_from_runs"] = ORACLE["category_trend"]

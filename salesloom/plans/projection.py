@@ -54,5 +54,8 @@ class SalesProjection:
     def forecast(self, periods: int = forecast.FORECAST_DAYS, step_days: int = 1) -> DataFrame:
         return forecast.actual_vs_forecast(self.weekly(), periods, step_days)
 
+    def forecast_fits(self) -> DataFrame:
+        return forecast.forecast_fits(self.weekly())
+
     def top_menus(self, menu_table: DataFrame, n: int = TOP_N) -> DataFrame:
         return menus.menu_top(menus.sales_by_menu_rated(self.cube, menu_table), n)

@@ -8,6 +8,7 @@ bit of a sum would decide.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -18,11 +19,15 @@ from pyspark.storagelevel import StorageLevel
 from salesloom.functions.calendar import with_calendar
 from salesloom.functions.encoding import hash_bucket, one_hot, with_ordinals
 from salesloom.functions.fixed_values import GEO_SAMPLE_SEED, OPTION_SAMPLE_FRACTION
-from salesloom.operators import forecast, menus, options, profit, sites, summaries, weekly
-from salesloom.operators.filters import Choice, SalesFilter, at_location
+from salesloom.functions.labels import clean_text
+from salesloom.functions.names import quoted
+from salesloom.operators import forecast, menus, model_store, options, profit, sites, summaries, weekly
+from salesloom.operators.filters import Choice, SalesFilter, at_location, has_rows
+from salesloom.session import table_folder
 from salesloom.sources.dimensions import city_table, menu_table
-from salesloom.sources.sales import GEO_COLUMNS, SALES_COLUMNS, sample_sales
-from salesloom.sources.star import STAR_CENTERS, STAR_MENUS, star_sales
+from salesloom.sources.ordered import first_rows, overlaps, read_bounds, write_ordered
+from salesloom.sources.sales import GEO_COLUMNS, SALES_COLUMNS, sample_by_key
+from salesloom.sources.star import STAR_CENTERS, STAR_MENUS, bucket_star, star_sales
 
 NUDGE = 1e-9
 
@@ -34,13 +39,27 @@ CHOSEN = SalesFilter(
 )
 CHOSEN_YEARS = SalesFilter(years=(1996, 1998))
 CHOSEN_MENU, CHOSEN_CITY = "PROMO", "NATION_3"
+NO_CITY = "NATION_99"
 CHOSEN_CATEGORIES = ["bolt", "not sold"]
 CHOSEN_SLICE = "hot"
 
+LINE_KEYS = ("order_key", "line_number", "part_key", "supplier_key")
+FINE_FRACTION = 0.001
+BUCKETS = 8
+FIRST_LOCATIONS = 100
+# What tells locations apart, from north to south.
+LOCATION_ORDER = (
+    ("latitude", False),
+    ("longitude", False),
+    ("menu_type", True),
+    ("item_category", True),
+    ("season", True),
+    ("time_of_day", True),
+)
+
 
-def _sum(*names: str | None) -> dict[str, Column]:
-    columns = map(options.column_of, names)
-    return {name: F.round(F.col(options.quoted(name)), 2) for name in columns}
+def _sum(*names: str) -> dict[str, Column]:
+    return {name: F.round(F.col(quoted(name)), 2) for name in names}
 
 
 def _mean(*names: str) -> dict[str, Column]:
@@ -101,16 +120,9 @@ def _chosen_sites(spark: SparkSession, sf_dir: str, categories: Choice = None) -
     return sites.candidate_sites(_chosen_locations(spark, sf_dir), CHOSEN_MENU, center, categories)
 
 
-_models: dict[tuple[str, str], PipelineModel | None] = {}
-
-
 def _model(spark: SparkSession, sf_dir: str) -> PipelineModel | None:
-    """The model of the chosen place, trained once a session for all queries that use it."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _models:
-        _models.clear()
-        _models[key] = sites.fit_site_model(_chosen_locations(spark, sf_dir))
-    return _models[key]
+    """The model of the chosen place, trained once for all queries over the same rows."""
+    return model_store.site_model(_chosen_locations(spark, sf_dir))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +142,19 @@ def scan_geo(spark, sf_dir):
     return star_sales(spark, sf_dir, GEO_COLUMNS)
 
 
+def _sampled(spark: SparkSession, sf_dir: str, fraction: float) -> DataFrame:
+    lines = star_sales(spark, sf_dir, (*GEO_COLUMNS, *LINE_KEYS))
+    return sample_by_key(lines, LINE_KEYS, fraction, GEO_SAMPLE_SEED)
+
+
 def scan_sampled(spark, sf_dir):
-    return sample_sales(star_sales(spark, sf_dir, GEO_COLUMNS), seed=GEO_SAMPLE_SEED)
+    """A tenth of the order lines by a hash of their keys and a seed."""
+    return _sampled(spark, sf_dir, OPTION_SAMPLE_FRACTION).select(*GEO_COLUMNS)
+
+
+def scan_sampled_fine(spark, sf_dir):
+    """A thousandth of the order lines, which lies within the tenth."""
+    return _sampled(spark, sf_dir, FINE_FRACTION).select("order_key", "line_number", "menu_item_name", "price")
 
 
 def menu_dim(spark, sf_dir):
@@ -191,7 +214,8 @@ def daily_category_sales(spark, sf_dir):
 def daily_category_pivot(spark, sf_dir):
     daily = _kept(summaries.daily_category_sales(_priced_categories(spark, sf_dir)))
     categories = options.levels(daily, "item_category")
-    return summaries.daily_category_pivot(daily, categories).withColumns(_sum(*categories))
+    wide = summaries.daily_category_pivot(daily, categories)
+    return wide.withColumns(_sum(*(name for name in wide.columns if name != "date")))
 
 
 def weekly_category_sales(spark, sf_dir):
@@ -336,9 +360,84 @@ def actual_vs_forecast(spark, sf_dir):
     return forecast.actual_vs_forecast(_weekly(spark, sf_dir))
 
 
+def forecast_fits(spark, sf_dir):
+    """Of each category the weeks that its model was fitted to, and whether the fit converged."""
+    return forecast.forecast_fits(_weekly(spark, sf_dir)).select("item_category", "n_weeks", "converged")
+
+
+def weekly_runs(spark, sf_dir):
+    return weekly.weekly_runs(_priced_categories(spark, sf_dir)).withColumns(_sum("y"))
+
+
+def weekly_from_runs(spark, sf_dir):
+    return weekly.unfolded(weekly.weekly_runs(_priced_categories(spark, sf_dir))).withColumns(_sum("y"))
+
+
+def trend_from_runs(spark, sf_dir):
+    runs = weekly.weekly_runs(_priced_categories(spark, sf_dir))
+    return forecast.trend_of_runs(runs).withColumns(_mean("slope") | _sum("intercept"))
+
+
+def order_sales_bucketed(spark, sf_dir):
+    """Sales by year of order, from orders and lines stored in buckets by order key."""
+    tables = bucket_star(spark, sf_dir, f"{table_folder(spark)}/buckets-{uuid.uuid4().hex}", BUCKETS)
+    lines = star_sales(spark, sf_dir, ("order_ts", "price", "order_total"), tables=tables)
+    by_year = lines.groupBy(F.year("order_ts").alias("order_year"))
+    return by_year.agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("price").alias("sales"), F.max("order_total").alias("largest_order")
+    ).withColumns(_sum("sales"))
+
+
+def _ordered_locations(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{table_folder(spark)}/locations-{uuid.uuid4().hex}"
+    write_ordered(_all_locations(spark, sf_dir), path, LOCATION_ORDER)
+    return path
+
+
+def locations_first(spark, sf_dir):
+    """The northernmost location totals, from the first ranges of a table that is kept in order."""
+    rows = first_rows(spark, _ordered_locations(spark, sf_dir), FIRST_LOCATIONS)
+    return rows.withColumns(_sum("total_sales"))
+
+
+def locations_ordered_check(spark, sf_dir):
+    """Rows of the ordered table by its bounds, and how many of its ranges overlap."""
+    path = _ordered_locations(spark, sf_dir)
+    counted = read_bounds(spark, path).agg(F.sum("n_rows").alias("n_rows"), F.max("most0").alias("north"), F.min("least0").alias("south"))
+    return counted.withColumns(_degrees("north", "south")).withColumn("n_overlaps", F.lit(overlaps(spark, path)))
+
+
+def heat_points_check(spark, sf_dir):
+    """Of the heat points their number, the box they lie in, and whether all weights are finite."""
+    weight = F.col("predicted_sales")
+    return heat_points(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_points"),
+        *(F.round(f(name), 6).alias(f"{f.__name__}_{name}") for name in ("latitude", "longitude") for f in (F.min, F.max)),
+        F.bool_and(weight.isNotNull() & ~F.isnan(weight) & (F.abs(weight) < float("inf"))).alias("all_finite"),
+    )
+
+
+def location_found(spark, sf_dir):
+    """Whether a place has sales at all, for the chosen place and for one that has none, with their numbers of lines."""
+    sales = star_sales(spark, sf_dir, ("menu_type", "city", "item_category"))
+    found = [(city, has_rows(sales.transform(at_location, CHOSEN_MENU, city))) for city in (CHOSEN_CITY, NO_CITY)]
+    city, guard = F.col("city"), F.lit(False)
+    for name, any_row in found:
+        guard = F.when(city == name, F.lit(any_row)).otherwise(guard)
+    here = sales.where(F.col("menu_type") == CHOSEN_MENU).groupBy("city").agg(F.count(F.lit(1)).alias("n_lines"))
+    return here.where(city.isin(*(name for name, _ in found))).withColumn("found", guard)
+
+
+def clean_names(spark, sf_dir):
+    """Item names with a byte in them that is no UTF-8, and the same without it."""
+    names = star_sales(spark, sf_dir, ("menu_item_name",)).distinct()
+    broken = F.concat(F.col("menu_item_name").cast("binary"), F.unhex(F.lit("ff")), F.lit(" é").cast("binary")).cast("string")
+    return names.select("menu_item_name", clean_text(broken).alias("cleaned"))
+
+
 def actual_half(spark, sf_dir):
     """The rows of ``actual_vs_forecast`` that are no forecast."""
-    return actual_vs_forecast(spark, sf_dir).where("type = 'Actual'").withColumns(_sum("y"))
+    return actual_vs_forecast(spark, sf_dir).where("type = 'Actual'").drop("converged").withColumns(_sum("y"))
 
 
 def forecast_check(spark, sf_dir):
@@ -347,6 +446,7 @@ def forecast_check(spark, sf_dir):
     both = rows.groupBy("item_category", "ds").agg(
         F.max(F.when(F.col("type") == "Actual", F.col("y"))).alias("sold"),
         F.max(F.when(F.col("type") == "Forecast", F.col("y"))).alias("fit"),
+        F.bool_and("converged").alias("ended"),
     )
     day = F.when(F.col("sold").isNotNull(), F.unix_date("ds"))
     return both.groupBy("item_category").agg(
@@ -355,6 +455,7 @@ def forecast_check(spark, sf_dir):
         F.min("ds").alias("first_ds"),
         F.max("ds").alias("last_ds"),
         F.bool_and(F.abs("fit") < float("inf")).alias("all_finite"),
+        F.bool_and("ended").alias("converged"),
         # What a line leaves unexplained, against what the model does.
         (
             F.sum(F.pow(F.col("sold") - F.col("fit"), 2))
@@ -411,4 +512,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "actual_vs_forecast": actual_vs_forecast,
     "actual_half": actual_half,
     "forecast_check": forecast_check,
+    "forecast_fits": forecast_fits,
+    "scan_sampled_fine": scan_sampled_fine,
+    "weekly_runs": weekly_runs,
+    "weekly_from_runs": weekly_from_runs,
+    "trend_from_runs": trend_from_runs,
+    "order_sales_bucketed": order_sales_bucketed,
+    "locations_first": locations_first,
+    "locations_ordered_check": locations_ordered_check,
+    "heat_points_check": heat_points_check,
+    "location_found": location_found,
+    "clean_names": clean_names,
 }

@@ -53,6 +53,17 @@ def shared_folder(spark: SparkSession) -> str | None:
     return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
 
 
+def table_folder(spark: SparkSession) -> str:
+    """Where tables of a session's own go: the shared folder, or else the warehouse."""
+    return (shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of a table, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def stored(rows: DataFrame) -> Iterator[DataFrame]:
     """The rows as a table in the shared folder, for as long as the block lasts.
@@ -74,5 +85,4 @@ def stored(rows: DataFrame) -> Iterator[DataFrame]:
     try:
         yield spark.read.schema(rows.schema).parquet(path)
     finally:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        remove(spark, path)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salesloom.functions.encoding import HASH_SHARES, hash_share
 from salesloom.functions.fixed_values import GEO_COLUMNS, OPTION_SAMPLE_FRACTION, SALES_COLUMNS, SALES_SAMPLE_SEED
 
 ALL_COLUMNS = tuple(dict.fromkeys(SALES_COLUMNS + GEO_COLUMNS))
@@ -24,6 +25,18 @@ def sample_sales(
     return sales.sample(fraction=fraction, seed=seed)
 
 
+def sample_by_key(
+    sales: DataFrame, keys: Sequence[str], fraction: float = OPTION_SAMPLE_FRACTION, seed: int = SALES_SAMPLE_SEED
+) -> DataFrame:
+    """Sample by a hash of a line's keys: the same lines on any partitioning, cluster or engine.
+
+    Of two samples of one seed, that of the smaller fraction lies within the other. Lines
+    that share all keys stay or go together.
+    """
+    share = hash_share(F.lit(seed), *(F.col(key) for key in keys))
+    return sales.where(share < F.lit(int(fraction * HASH_SHARES)))
+
+
 def write_sales(sales: DataFrame, path: str, mode: str = "error") -> None:
     """Writes facts in the layout that the filters can skip through.
 

@@ -11,7 +11,8 @@ size is under the threshold, and otherwise shuffles, where AQE splits hot keys.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,10 @@ TABLES = {
 
 def _lineitem_columns() -> dict[str, Column]:
     return {
+        "order_key": F.col("l_orderkey"),
+        "line_number": F.col("l_linenumber"),
+        "part_key": F.col("l_partkey"),
+        "supplier_key": F.col("l_suppkey"),
         "price": F.col("l_extendedprice"),
         "quantity": F.col("l_quantity"),
         "unit_price": F.try_divide("l_extendedprice", "l_quantity"),
@@ -73,14 +78,42 @@ def _part_columns() -> dict[str, Column]:
     }
 
 
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: The key by which orders meet their lines.
+BUCKET_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+
+
+def bucket_star(spark: SparkSession, sf_dir: str, folder: str, buckets: int) -> dict[str, str]:
+    """Stores orders and their lines in buckets by order key; returns the tables' names.
+
+    Done once, it saves the shuffle of both tables in every join by order key: each task
+    reads the same bucket of both. Each bucket is one file, sorted by key. The tables are
+    in the session's catalog, their files under ``folder``.
+    """
+    run = uuid.uuid4().hex
+    names = {}
+    for name, key in BUCKET_KEYS.items():
+        names[name] = f"salesloom_{name}_{run}"
+        rows = _read(spark, sf_dir, name).repartition(buckets, key)
+        rows.write.bucketBy(buckets, key).sortBy(key).option("path", f"{folder.rstrip('/')}/{names[name]}").saveAsTable(names[name])
+    return names
+
+
 def star_sales(
     spark: SparkSession,
     sf_dir: str,
     columns: Sequence[str] = ALL_COLUMNS,
     years: tuple[int, int] | None = None,
+    tables: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """The wanted columns of the sales facts.
 
+    Besides the facts' own there are a line's keys: ``order_key``, ``line_number``, ``part_key``, ``supplier_key``.
+    ``tables`` names catalog tables to read in place of files, as ``bucket_star`` gives them.
+
     ``years`` says that only sales of those years will be kept. An order time lies
     within a day after its order date, so orders outside the years widened by a day
     are skipped in the scan already; the filter on the order time is left to the caller.
@@ -91,7 +124,9 @@ def star_sales(
     """
 
     def table(name: str) -> DataFrame:
-        return spark.read.schema(TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        if tables and name in tables:
+            return spark.table(tables[name])
+        return _read(spark, sf_dir, name)
 
     of_line, of_order, of_part = _lineitem_columns(), _order_columns(), _part_columns()
     sales = table("lineitem")

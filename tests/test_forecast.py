@@ -45,12 +45,14 @@ def test_follows_a_bend_in_the_trend(spark):
     assert last.y < values[-1]
 
 
-def test_solution_is_a_minimum_of_the_posterior():
-    """No small step in any direction makes the fitted parameters more probable."""
+@pytest.mark.parametrize("rounds", [500, 2, 0])
+def test_solution_is_a_minimum_of_the_posterior(rounds):
+    """No small step in any direction makes the fitted parameters more probable, whichever solver found them."""
     draw = np.random.default_rng(3)
     day = 18000 + 7 * np.arange(120)
     y = 500 + np.where(day < 18400, 2.0, -1.0) * (day - 18400) + 60 * np.sin(day / 58.0) + draw.normal(0, 20, 120)
-    row = forecast.series_fitter()(("a",), pd.DataFrame({"day": day, "y": y})).iloc[0]
+    row = forecast.series_fitter(rounds)(("a",), pd.DataFrame({"day": day, "y": y})).iloc[0]
+    assert row.converged
     scale, span = np.abs(y).max(), day[-1] - day[0]
     angle = 2 * np.pi / 365.25 * np.outer(day, np.arange(1, 11))
     design = np.column_stack(
@@ -73,6 +75,33 @@ def test_solution_is_a_minimum_of_the_posterior():
             assert loss(moved) > loss(best) - 1e-6
 
 
+def test_both_solvers_agree():
+    draw = np.random.default_rng(6)
+    for n in (4, 30, 53, 160, 340):
+        day = 18000 + 7 * np.arange(n)
+        kinds = [draw.normal(100, 10, n), 5.0 * np.arange(n) ** 1.2, draw.integers(0, 2, n) * 50.0, np.r_[np.zeros(n - 1), 9.0]]
+        for y in kinds:
+            series = pd.DataFrame({"day": day, "y": y})
+            first, second = (forecast.series_fitter(rounds)(("a",), series).iloc[0] for rounds in (500, 1))
+            assert second.solver == "proximal" and second.converged
+            at = np.arange(day[0], day[-1] + 100)
+
+            def predicted(row, at=at):
+                angle = 2 * np.pi / 365.25 * np.outer(at, np.arange(1, 11))
+                bent = np.maximum(at[:, None] - np.array(row.knots), 0) @ row.bends if len(row.knots) else 0
+                return row.level + row.slope * (at - row.first_day) + bent + np.sin(angle) @ row.sines + np.cos(angle) @ row.cosines
+
+            if first.converged:
+                assert np.abs(predicted(first) - predicted(second)).max() < 1e-3 * max(np.abs(y).max(), 1)
+
+
+def test_forecasts_tell_whether_they_converged(spark):
+    series = weeks(spark, [float(k % 7 + k) for k in range(60)])
+    assert {row.converged for row in forecast.category_forecast(series).collect()} == {True}
+    both = forecast.actual_vs_forecast(series)
+    assert {(row.type, row.converged) for row in both.collect()} == {("Actual", None), ("Forecast", True)}
+
+
 @pytest.mark.parametrize("value", [0.0, 7.5])
 def test_constant_series_stays_constant(spark, value):
     rows = forecast.category_forecast(weeks(spark, [value] * 30)).collect()

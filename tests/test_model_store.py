@@ -1,0 +1,81 @@
+"""Stored models: found again by their rows, wherever and whenever these are asked for."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from salesloom.operators import model_store, sites
+
+LOCATIONS = "latitude double, longitude double, menu_type string, item_category string, season string, time_of_day string, total_sales double"
+
+
+@pytest.fixture(scope="module")
+def locations(spark):
+    rows = [
+        (52 + k / 100, 21.0, "Tacos", "Main" if k % 3 else "Snack", ["Winter", "Spring", "Summer", "Autumn"][k % 4], "Night", 100.0 * k)
+        for k in range(60)
+    ]
+    return spark.createDataFrame(rows, LOCATIONS)
+
+
+@pytest.fixture
+def fits(monkeypatch):
+    """How often a model was trained."""
+    counted = []
+    train = sites.fit_on
+    monkeypatch.setattr(sites, "fit_on", lambda *a, **b: counted.append(1) or train(*a, **b))
+    monkeypatch.setattr(model_store, "_remembered", {})
+    return counted
+
+
+def scores(model, locations):
+    found = sites.score_sites(model, sites.candidate_sites(locations, "Tacos")).collect()
+    return sorted((row.site_id, row.item_category, row.predicted_sales) for row in found)
+
+
+def test_fingerprint_depends_on_rows_and_settings(locations):
+    rows = sites.training_rows(locations)
+    once = model_store.fingerprint(rows, trees=3)
+    assert once == model_store.fingerprint(rows.repartition(7).orderBy(F.rand()), trees=3)
+    assert once == model_store.fingerprint(rows.withColumn("total_sales", F.col("total_sales") + 1e-9), trees=3)
+    others = [
+        model_store.fingerprint(rows, trees=4),
+        model_store.fingerprint(rows.union(rows.limit(1)), trees=3),
+        model_store.fingerprint(rows.limit(rows.count() - 1), trees=3),
+        model_store.fingerprint(rows.withColumn("total_sales", F.col("total_sales") + 0.01), trees=3),
+        model_store.fingerprint(rows.withColumn("item_category", F.when(F.col("latitude") > 52.1, F.col("item_category"))), trees=3),
+        model_store.fingerprint(rows.withColumnRenamed("latitude", "longitude2"), trees=3),
+    ]
+    assert len({once, *others}) == len(others) + 1
+
+
+def test_a_second_session_trains_nothing(spark, locations, fits, tmp_path):
+    first = model_store.site_model(locations, trees=2, folder=str(tmp_path))
+    assert len(fits) == 1
+    assert model_store.site_model(locations, trees=2, folder=str(tmp_path)) is first
+    model_store._remembered.clear()  # as another session finds it
+    again = spark.newSession().createDataFrame(locations.collect(), LOCATIONS)
+    second = model_store.site_model(again, trees=2, folder=str(tmp_path))
+    assert len(fits) == 1 and second is not first
+    assert scores(second, locations) == scores(first, locations)
+
+
+def test_a_changed_table_under_the_same_path_gives_a_new_model(spark, locations, fits, tmp_path):
+    path, folder = str(tmp_path / "locations"), str(tmp_path / "models")
+    locations.write.parquet(path)
+    before = scores(model_store.site_model(spark.read.parquet(path), trees=2, folder=folder), locations)
+    locations.withColumn("total_sales", F.col("total_sales") * 2).write.mode("overwrite").parquet(path)
+    after = scores(model_store.site_model(spark.read.parquet(path), trees=2, folder=folder), locations)
+    assert len(fits) == 2
+    assert [row[2] for row in after] == pytest.approx([2 * row[2] for row in before])
+    locations.write.mode("overwrite").parquet(path)
+    model_store._remembered.clear()
+    assert scores(model_store.site_model(spark.read.parquet(path), trees=2, folder=folder), locations) == before
+    assert len(fits) == 2
+
+
+def test_settings_and_empty_tables(locations, fits, tmp_path):
+    for trees in (1, 2, 1):
+        model_store.site_model(locations, trees=trees, folder=str(tmp_path))
+    assert len(fits) == 2
+    assert model_store.site_model(locations.limit(0), folder=str(tmp_path)) is None
+    assert len([p for p in (tmp_path / "site-models").iterdir() if "." not in p.name]) == 2

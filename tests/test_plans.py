@@ -14,9 +14,9 @@ from salesloom.plans.queries import QUERIES
 from salesloom.session import shared_folder, shuffle_settings, stored as stored_rows
 from salesloom.sources.dimensions import menu_table
 from salesloom.sources.sales import GEO_COLUMNS, SALES_COLUMNS, read_sales, sample_sales, write_result, write_sales
-from salesloom.sources.star import star_sales
+from salesloom.sources.star import bucket_star, star_sales
 
-TRAINED = {"site_scores", "heat_points", "site_model_metrics", "site_score_check"}
+TRAINED = {"site_scores", "heat_points", "site_model_metrics", "site_score_check", "heat_points_check"}
 
 
 @pytest.fixture(scope="module")
@@ -133,6 +133,36 @@ def test_menu_join_meets_totals_not_order_lines(spark, stored):
     assert text.index("BroadcastHashJoin") < text.rindex("partial_sum(price")
 
 
+def test_bucketed_orders_meet_their_lines_without_a_shuffle(spark, tiny, tmp_path):
+    tables = bucket_star(spark, tiny, str(tmp_path), 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        columns = ("order_key", "line_number", "order_ts", "price", "order_total")
+        plain, bucketed = star_sales(spark, tiny, columns), star_sales(spark, tiny, columns, tables=tables)
+        assert plan(plain).count("Exchange") == 2
+        assert "SortMergeJoin" in plan(bucketed) and "Exchange" not in plan(bucketed)
+        assert plan(bucketed).count("Bucketed: true") == 2
+        assert sorted(bucketed.collect()) == sorted(plain.collect())
+        assert len(list((tmp_path / tables["orders"]).glob("*.parquet"))) == 4
+        of_years = star_sales(spark, tiny, columns, years=(1996, 1997), tables=tables)
+        assert "Exchange" not in plan(of_years) and "GreaterThanOrEqual(o_orderdate" in plan(of_years)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in tables.values():
+            spark.sql(f"DROP TABLE {name}")
+
+
+def test_distinct_values_send_a_row_a_task(spark, stored):
+    """However many lines a task reads, one row of sets leaves it."""
+    sales = read_sales(spark, stored).repartition(6)
+    found = options.distinct_values(sales)
+    text = plan(found)
+    assert text.index("hashpartitioning(task") < text.index("partial_collect_set")
+    assert {tuple(row) for row in found.collect()} == {
+        (name, row[0]) for name in options.OPTION_COLUMNS for row in sales.select(name).distinct().collect()
+    }
+
+
 def test_broadcasts_are_the_optimizers_choice(spark, tiny):
     """Without a threshold nothing is broadcast: no join insists on it."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -154,7 +184,7 @@ def test_no_query_pairs_all_rows(spark, tiny):
 def test_python_runs_only_in_the_forecast(spark, tiny):
     for name in sorted(QUERIES.keys() - TRAINED):
         uses_python = re.search("InPandas|PythonUDF|ArrowEval|BatchEval", plan(QUERIES[name](spark, tiny)))
-        assert bool(uses_python) == (name in {"category_forecast", "actual_vs_forecast", "actual_half", "forecast_check"}), name
+        assert bool(uses_python) == (name in {"category_forecast", "actual_vs_forecast", "actual_half", "forecast_check", "forecast_fits"}), name
 
 
 def test_year_range_reaches_the_orders(spark, tiny):

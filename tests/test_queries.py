@@ -26,8 +26,8 @@ def test_equals_sql(spark, small, connection, name):
     assert differences == []
 
 
-def test_only_samples_and_models_go_without_sql():
-    without = MODELS | {"scan_sampled", "category_forecast", "actual_vs_forecast"}
+def test_only_models_go_without_sql():
+    without = MODELS | {"category_forecast", "actual_vs_forecast"}
     assert QUERIES.keys() - ORACLE.keys() == without
     assert ORACLE.keys() <= QUERIES.keys()
     assert contract.queries().items() >= QUERIES.items() and contract.oracle_sql().items() >= ORACLE.items()

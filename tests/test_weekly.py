@@ -6,7 +6,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from salesloom.operators.weekly import weekly_category_sales, weekly_long, weekly_wide
+from salesloom.operators.forecast import category_trend, trend_of_runs
+from salesloom.operators.weekly import unfolded, weekly_category_sales, weekly_long, weekly_runs, weekly_wide
 
 START = dt.datetime(2022, 1, 1)
 
@@ -67,6 +68,34 @@ def test_random_series_equal_pandas(facts, seed):
     assert_same(facts, [(draw.choice("abc"), draw.randrange(200), draw.randrange(1000) / 4) for _ in range(30)])
 
 
+def test_runs_unfold_to_the_weeks(facts):
+    draw = random.Random(2)
+    rows = [(draw.choice("abc"), draw.choice([0, 3, 20, 21, 200, 201, 900]), draw.randrange(100) / 4) for _ in range(25)] + [("late", 900, 1.0)]
+    sales = facts(*({"item_category": c, "order_ts": START + dt.timedelta(days=d), "price": p} for c, d, p in rows))
+    weeks = weekly_category_sales(sales)
+    runs = weekly_runs(sales)
+    assert sorted(map(str, unfolded(runs).collect())) == sorted(map(str, weeks.collect()))
+    assert runs.count() < 60 < weeks.count()
+    plain = {row.item_category: row for row in category_trend(weeks).collect()}
+    for row in trend_of_runs(runs).collect():
+        assert tuple(row) == pytest.approx(tuple(plain[row.item_category]))
+
+
+def test_a_mistyped_year_adds_a_row_for_each_category(facts):
+    days = {"a": [2, 9, 9], "b": [2, 30], "c": [16]}
+    rows = [{"item_category": c, "order_ts": START + dt.timedelta(days=d)} for c, ds in days.items() for d in ds]
+    wrong = {"item_category": "a", "order_ts": dt.datetime(9022, 1, 2)}
+    n_runs, n_weeks = (f(facts(*rows, wrong)).count() for f in (weekly_runs, weekly_category_sales))
+    assert n_runs <= weekly_runs(facts(*rows)).count() + 2 * 3
+    assert n_weeks > 1_000_000
+    assert weekly_runs(facts(*rows, wrong)).agg({"weeks": "sum"}).first()[0] == n_weeks
+
+
+def test_runs_of_few_sales(facts):
+    assert weekly_runs(facts({}).filter("price < 0")).count() == 0
+    assert weekly_runs(facts({"order_ts": START}, {"order_ts": None})).count() == 0
+
+
 def test_wide_and_back(facts):
     weekly = weekly_category_sales(
         facts(
