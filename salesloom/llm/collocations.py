@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesloom.llm.common import LOWER, UPPER, Scratch, mix, text_bytes
+from salesloom.llm.sketches import HASH_BITS, SKETCH, Bitmap, bitmap_of, ranges_for, shift_of, sketched
 
 LEAST = 100
 LONGEST = 5
@@ -59,16 +60,10 @@ MOST_WORDS = 1_000_000
 MOST_HASHES = 1 << 23
 #: Entries of a container that bursts.
 BURST = 2048
-#: Bits of the bitmap for each frequent phrase, within a least and a most (32 MB).
-BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 28
-#: Of a hash, the bits that count; a range of hashes for so many bytes of text, and the least number of ranges.
-HASH_BITS = 48
-RANGE_BYTES, LEAST_RANGES = 1 << 24, 1 << 8
 #: Ids of the end of a piece and of words that are not frequent; others come after.
 BREAK, RARE, FIRST_ID = 0, 1, 2
 
 RUNS = "lang string, range long, phrases binary, counts binary"
-SKETCH = "range long, hashes binary, counts binary"
 
 
 def parts_of(text: bytes) -> Iterator[bytes]:
@@ -94,18 +89,6 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * np.uint64(0x9E3779B97F4A7C15) + second) >> np.uint64(64 - HASH_BITS)
 
 
-class Bitmap:
-    """The hashes of what can be frequent, modulo the number of bits."""
-
-    def __init__(self, content: bytes):
-        self.content = np.frombuffer(content, dtype=np.uint8)
-        self.mask = np.uint64(8 * len(content) - 1)
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & self.mask
-        return (self.content[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 class Vocabulary(dict):
     """Word to id; words that the bitmap lacks share one."""
 
@@ -230,7 +213,7 @@ class Trie:
 
 def runs_of(lang: str, phrases: list[bytes], counts: list[int], prefixes: np.ndarray, ranges: int) -> pa.RecordBatch:
     """A row for each range of the prefixes' hashes that some phrase falls into, with phrases and counts in order."""
-    parts = (prefixes >> _shift(ranges)).astype(np.int64)
+    parts = (prefixes >> shift_of(ranges)).astype(np.int64)
     order = np.argsort(parts, kind="stable")
     parts, counted = parts[order], np.array(counts, dtype="<i8")[order]
     edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)] if len(parts) else [0]
@@ -244,10 +227,6 @@ def runs_of(lang: str, phrases: list[bytes], counts: list[int], prefixes: np.nda
     return pa.RecordBatch.from_arrays(columns, names=["lang", "range", "phrases", "counts"])
 
 
-def _shift(ranges: int) -> np.uint64:
-    return np.uint64(HASH_BITS - (ranges.bit_length() - 1))
-
-
 def _words(rest: bytes, words: list[bytes]) -> list[bytes]:
     return [words[int.from_bytes(rest[k : k + 4], "big")] for k in range(0, len(rest), 4)]
 
@@ -330,22 +309,6 @@ def phrase_counter(longest: int, ranges: int, words: Broadcast, pairs: Broadcast
     return count_phrases
 
 
-def sketched(hashes: np.ndarray, counts: np.ndarray, ranges: int, least: int) -> pa.RecordBatch:
-    """Hashes, sorted and distinct, by range: the rest of each in five bytes, its count, at most `least`, in one."""
-    shift = _shift(ranges)
-    parts = hashes >> shift
-    rests = np.ascontiguousarray(hashes & ((np.uint64(1) << shift) - np.uint64(1))).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    kept = np.minimum(counts, least).astype(np.uint8)
-    edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)] if len(parts) else [0]
-    at = list(zip(edges, edges[1:]))
-    columns = [
-        pa.array(parts[[lo for lo, _ in at]].astype(np.int64)),
-        pa.array([rests[lo:hi].tobytes() for lo, hi in at], pa.binary()),
-        pa.array([kept[lo:hi].tobytes() for lo, hi in at], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["range", "hashes", "counts"])
-
-
 def word_sketch(ranges: int, least: int):
     """A task's work: sketches of the words that it met."""
 
@@ -397,35 +360,6 @@ def pair_sketch(ranges: int, least: int, words: Broadcast):
     return sketch
 
 
-def _frequent_hashes(ranges: int, least: int):
-    shift = _shift(ranges)
-
-    def frequent(sketches: pa.Table) -> pa.Table:
-        rests = np.frombuffer(b"".join(sketches.column("hashes").to_pylist()), dtype=np.uint8).reshape(-1, 5)
-        hashes = np.zeros((len(rests), 8), dtype=np.uint8)
-        hashes[:, :5] = rests
-        hashes, places = np.unique(hashes.view("<u8").reshape(-1), return_inverse=True)
-        counts = np.frombuffer(b"".join(sketches.column("counts").to_pylist()), dtype=np.uint8)
-        found = hashes[np.bincount(places, counts, len(hashes)) >= least].astype(np.uint64)
-        return pa.table({"hash": (found | np.uint64(sketches.column("range")[0].as_py()) << shift).astype(np.int64)})
-
-    return frequent
-
-
-def bitmap_of(sketches: DataFrame, ranges: int, least: int, scratch: Scratch, name: str) -> bytes:
-    """A bit for each hash whose counts add up to `least`; at most MOST_BITS come to the driver."""
-    hashes = scratch.table(sketches.groupBy("range").applyInArrow(_frequent_hashes(ranges, least), "hash long"), name)
-    bits, wanted = LEAST_BITS, BITS_EACH * hashes.count()
-    while bits < min(wanted, MOST_BITS):
-        bits *= 2
-    at = hashes.select((F.col("hash").bitwiseAND(bits - 1) + 1).alias("at"))  # Spark's bitmaps number their bits from 1
-    pages = at.groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    content = bytearray(bits // 8)
-    for page in pages.collect():
-        content[(page.page - 1) * len(page.bits) : page.page * len(page.bits)] = page.bits
-    return bytes(content)
-
-
 def _added_up(least: int):
     def added_up(runs: pa.Table) -> pa.Table:
         total: Counter = Counter()
@@ -450,10 +384,7 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, long
     """(lang, phrase, n) of words and phrases that occur `least` times; all words of a language as ''."""
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_bytes().alias("data"))
-    size = texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    ranges = LEAST_RANGES
-    while ranges < size / RANGE_BYTES:
-        ranges *= 2
+    ranges = ranges_for(texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0)
     most = min(least, 255)  # what is counted so often by one sketch alone passes
     words = context.broadcast(bitmap_of(texts.mapInArrow(word_sketch(ranges, most), SKETCH), ranges, most, scratch, "words"))
     pairs = context.broadcast(bitmap_of(texts.mapInArrow(pair_sketch(ranges, most, words), SKETCH), ranges, most, scratch, "pairs"))

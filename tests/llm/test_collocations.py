@@ -11,7 +11,6 @@ from llm_cases import awkward_docs, docs_frame
 from oracle_check import compare, duck
 
 from salesloom.llm import collocations
-from salesloom.llm.common import Scratch
 from salesloom.llm.queries import ORACLE, QUERIES
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -148,22 +147,6 @@ def test_runs_are_whole_however_small_the_bounds(monkeypatch):
             assert {h for h, n in total.items() if n >= 100} == {h for h, n in right.items() if n >= 100}
 
 
-def test_bitmap(spark):
-    rng = np.random.default_rng(4)
-    hashes = np.unique(rng.integers(0, 1 << 48, 3000, dtype=np.uint64))
-    rows = []
-    for _ in range(3):
-        counts = rng.integers(1, 101, len(hashes))
-        counts[:1000] = 34
-        counts[1000:2000] = 33
-        rows += zip(*(c.to_pylist() for c in collocations.sketched(hashes, counts, 256, 100).columns))
-    spread = spark.createDataFrame(rows, collocations.SKETCH).repartition(5)
-    bits = collocations.Bitmap(collocations.bitmap_of(spread, 256, 100, Scratch(spark, "bitmap"), "hashes"))
-    assert len(bits.content) * 8 == collocations.LEAST_BITS
-    assert bits.holds(hashes[:1000]).all()
-    assert bits.holds(hashes[1000:2000]).sum() < 20
-
-
 def test_large_numbers(spark):
     """Products beyond 64 bits are exact, on both sides of a whole number."""
     a, l, r, n = 10**12, 3 * 10**12, 10**13 - 1, 10**16 + 7

@@ -1,0 +1,27 @@
+"""Sketches of hashes and the bitmap made of them."""
+
+import numpy as np
+
+from salesloom.llm import sketches
+from salesloom.llm.common import Scratch
+
+
+def test_bitmap(spark):
+    rng = np.random.default_rng(4)
+    hashes = np.unique(rng.integers(0, 1 << 48, 3000, dtype=np.uint64))
+    rows = []
+    for _ in range(3):
+        counts = rng.integers(1, 101, len(hashes))
+        counts[:1000] = 34
+        counts[1000:2000] = 33
+        rows += zip(*(c.to_pylist() for c in sketches.sketched(hashes, counts, 256, 100).columns))
+    spread = spark.createDataFrame(rows, sketches.SKETCH).repartition(5)
+    bits = sketches.Bitmap(sketches.bitmap_of(spread, 256, 100, Scratch(spark, "bitmap"), "hashes"))
+    assert len(bits.content) * 8 == sketches.LEAST_BITS
+    assert bits.holds(hashes[:1000]).all()
+    assert bits.holds(hashes[1000:2000]).sum() < 20
+
+
+def test_ranges_grow_with_the_text():
+    assert sketches.ranges_for(0) == sketches.LEAST_RANGES
+    assert sketches.ranges_for(10**14) >= 10**14 / sketches.RANGE_BYTES
