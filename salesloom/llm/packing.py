@@ -5,7 +5,8 @@ dealt into partitions. Each partition is packed by best-fit decreasing, and dual
 functions give a number of sequences that no packing of it can go below. A partition
 that meets its bound is done. The others keep their full sequences, exchange the
 documents of the rest among each other, and are packed again, as long as that saves
-sequences.
+sequences, `ROUNDS` times at most. What a partition uses above its bound when that ends
+is its gap; `gaps` sums them up.
 
 Null texts count as empty: one end token. Rows that share a doc_id are packed each for
 itself. Other columns of the documents take no part.
@@ -33,6 +34,8 @@ PARTITION_PIECES = 20_000
 ROUNDS = 3
 #: The pre-tokens of byte-level BPE; a fixed pattern.
 _PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Longer runs of white space than this make the pattern of pre-tokens recurse too deep.
+_LONG_BLANK = re.compile(r"\s{1000}")
 # Letters and digits that every version of Unicode in use agrees on.
 _OTHER_LETTERS = re.compile("[^\x00-\u052f\u2000-\u206f]")
 
@@ -52,8 +55,9 @@ class Encoder:
     """Ids of texts by the vocabulary of a tokenizers file, without special tokens added.
 
     The same merges run in a faster encoder, five times as fast on prose. Texts for which
-    it could differ, with special tokens or letters of newer scripts, go through
-    `tokenizers` itself; a test holds both against each other.
+    it could differ, with special tokens or letters of newer scripts, and those that it
+    can't take, with long runs of white space, go through `tokenizers` itself; a test
+    holds both against each other.
     """
 
     def __init__(self, path: str):
@@ -72,9 +76,18 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if any(token in text for token in self.specials) or not (text.isascii() or not _OTHER_LETTERS.search(text)):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
+        other = not text.isascii() and _OTHER_LETTERS.search(text)
+        if other or any(token in text for token in self.specials) or _LONG_BLANK.search(text):
+            return self._exact(text)
+        try:
+            return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
+        except BaseException as error:  # what the encoder panics with is no Exception
+            if isinstance(error, KeyboardInterrupt | SystemExit | GeneratorExit):
+                raise
+            return self._exact(text)
+
+    def _exact(self, text: str) -> bytes:
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 PIECES = pa.schema(
@@ -129,15 +142,13 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     if len(lengths) == 0:
         return 0
     count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
-    size = np.arange(capacity + 1, dtype=np.int64)
-    best = -(-int(count @ size) // capacity)
-    for threshold in range(capacity // 2 + 1):
-        raised = np.where(size > capacity - threshold, capacity, np.where(size < threshold, 0, size))
-        best = max(best, -(-int(count @ raised) // capacity))
+    size, threshold = np.arange(capacity + 1, dtype=np.int64), np.arange(capacity // 2 + 1, dtype=np.int64)[:, None]
+    raised = np.where(size > capacity - threshold, capacity, np.where(size < threshold, 0, size))
+    best = -(-int((raised @ count).max()) // capacity)
     for k in range(1, 13):
-        share = (k + 1) * size
-        rounded = np.where(share % capacity == 0, size * k, share // capacity * capacity)
-        best = max(best, -(-int(count @ rounded) // (k * capacity)))
+        share = (k + 1) * raised
+        rounded = np.where(share % capacity == 0, raised * k, share // capacity * capacity)
+        best = max(best, -(-int((rounded @ count).max()) // (k * capacity)))
     return best
 
 
@@ -187,7 +198,8 @@ def pack(
     """A row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     `gap` says how many sequences the piece's partition uses over its lower bound: 0 is
-    certified to be as few as there can be. Whole sequences of one piece have gap 0.
+    certified to be as few as there can be. So are full sequences, which leave a partition
+    that has a gap. `part` numbers the partition with its turn; whole pieces have none.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     pieces = scratch.table(token_pieces(docs, tokenizer_path, capacity), "pieces")
@@ -205,7 +217,7 @@ def pack(
             settled.append(before[0])  # the exchange saved nothing
             break
         again = (F.col("gap") > 0) & (F.col("filled") < capacity)
-        settled.append(packed.where(~again))
+        settled.append(packed.where(~again).withColumn("gap", F.lit(0).cast("long")))
         before = packed.where(again), packed.where(again & (F.col("offset") == 0)).count()
         if turn == rounds or before[1] < 2:
             settled.append(before[0])
@@ -216,10 +228,23 @@ def pack(
         placed = placed.unionByName(more)
     # Two tasks' numbers never meet: turn, partition and sequence each have bits of their own.
     sequence_id = F.col("turn") * F.lit(1 << 58) + F.col("part") * F.lit(1 << 26) + F.col("sequence")
-    placed = placed.select("number", sequence_id.alias("sequence_id"), "offset", "gap")
+    part = F.col("turn") * F.lit(1 << 32) + F.col("part")
+    placed = placed.select("number", sequence_id.alias("sequence_id"), "offset", "gap", part.alias("part"))
     whole = pieces.where(F.col("length") == capacity).select(
         "*", (F.lit(-1).cast("long") - F.col("number")).alias("sequence_id"),
-        F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"),
+        F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"), F.lit(None).cast("long").alias("part"),
     )
     cut_off = pieces.where(F.col("length") < capacity).join(placed, "number")
     return whole.unionByName(cut_off).drop("number")
+
+
+def gaps(packed: DataFrame) -> DataFrame:
+    """One row: n_sequences, n_gaps (partitions above their bound) and n_above, by how many sequences.
+
+    No packing of these pieces that keeps to the partitions has fewer than n_sequences -
+    n_above sequences.
+    """
+    parts = packed.groupBy("part").agg(F.max("gap").alias("gap"))
+    counted = parts.agg(F.count_if(F.col("gap") > 0).alias("n_gaps"), F.coalesce(F.sum("gap"), F.lit(0)).alias("n_above"))
+    used = packed.agg(F.count_if(F.col("offset") == 0).alias("n_sequences"))
+    return used.select("n_sequences", *(counted.select(c).scalar().alias(c) for c in ("n_gaps", "n_above")))

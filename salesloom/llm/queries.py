@@ -94,7 +94,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(docs, tokenizer_path()).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap"
     )
 
 

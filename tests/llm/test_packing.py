@@ -46,6 +46,21 @@ def test_ids_of_each_letter_of_the_fast_path(plain, encoder, start):
     assert ids(encoder(text)) == plain(text)
 
 
+@pytest.mark.parametrize("run", [" " * 1_100_000, "\n" * 1_000_100, "\t \n" * 400_000, "\u2003" * 5000, "a" * 300_000, "!" * 200_000])
+def test_ids_of_long_runs(plain, encoder, run):
+    for text in (run, f"some words{run}and more", f"{run} end"):
+        assert ids(encoder(text)) == plain(text)
+
+
+def test_what_the_fast_encoder_cannot_take(plain, encoder, monkeypatch):
+    class Panics:
+        def encode_ordinary(self, text):
+            raise type("PanicException", (BaseException,), {})("stack overflow")
+
+    monkeypatch.setattr(encoder, "fast", Panics())
+    assert ids(encoder("some plain text")) == plain("some plain text")
+
+
 def test_ids_of_documents(spark, plain, encoder, small):
     for row in spark.read.parquet(f"{small}/documents.parquet").select("text").limit(300).collect():
         assert ids(encoder(row.text)) == plain(row.text)
@@ -78,6 +93,39 @@ def test_pieces_and_sequences(spark, plain, rounds, partition):
     assert len(sequences) >= packing.lower_bound(np.array([w[3] for w in wanted]))
 
 
+def test_long_blank_text_in_a_job(spark, plain):
+    text = "begin" + " " * 1_000_100 + "end"
+    rows = packing.pack(docs_frame(spark, [(1, text, "en", "s", 1, None, None, None)]), tokenizer_path()).collect()
+    assert sum(r.length for r in rows) == len(plain(text)) + 1
+
+
+def test_gaps_are_told(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, "a " * int(n), "en", "s", 1, None, None, None) for k, n in enumerate(rng.integers(200, 420, 400))]
+    for rounds in (0, 3):
+        packed = packing.pack(docs_frame(spark, rows), tokenizer_path(), partition_pieces=20, rounds=rounds)
+        told, lengths = packing.gaps(packed).first(), np.array([r.length for r in packed.collect()])
+        assert told.n_sequences == packed.select("sequence_id").distinct().count()
+        assert 0 <= told.n_gaps <= told.n_above <= told.n_sequences - packing.lower_bound(lengths) + 20
+    assert packing.gaps(packing.pack(docs_frame(spark, []), tokenizer_path())).first() == (0, 0, 0)
+
+
+def test_bound_composes_its_functions():
+    """Lengths that neither family alone bounds as well as one on top of the other."""
+    lengths = np.array([51] * 6 + [34] * 9 + [10] * 5)
+    count = np.bincount(lengths, minlength=101)
+    size = np.arange(101)
+
+    def raised(t):
+        return np.where(size > 100 - t, 100, np.where(size < t, 0, size))
+
+    def rounded(x, k):
+        return np.where((k + 1) * x % 100 == 0, x * k, (k + 1) * x // 100 * 100) / k
+
+    best = max(np.ceil(count @ rounded(raised(t), k) / 100 - 1e-9) for t in range(51) for k in range(1, 13))
+    assert packing.lower_bound(lengths, 100) >= best
+
+
 def test_exchange_saves_sequences(spark):
     rng = np.random.default_rng(2)
     rows = [(k, "a " * int(n), "en", "s", 1, None, None, None) for k, n in enumerate(rng.integers(200, 420, 400))]
