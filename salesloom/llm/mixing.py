@@ -10,7 +10,10 @@ blocks leave is gathered into new blocks, and so on until a source fits into one
 the shortest few documents and what the flight leaves land: all their outcomes are
 tried, and the one with the smallest error in size is taken.
 
-The draw depends on a hash of the documents' ids and of the seed alone, so reruns agree.
+The draw depends on hashes of the documents' ids and of the seed alone, so reruns agree.
+Each turn orders a block by one hash and decides by another, so that which way chances
+move has nothing to do with where a document stands; only the few that land are decided
+by the error and not by chance.
 
 A null source is a source, the last one; null texts have size 0. Rows that share a
 doc_id are drawn each for itself. A source without words has target 0 and nothing taken.
@@ -26,7 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import WORD, Scratch, numbered
+from salesloom.llm.common import WORD, Scratch, free_name, numbered
+from salesloom.llm.common import mix as scramble
 
 #: Documents of one flight.
 BLOCK_ROWS = 4096
@@ -121,13 +125,19 @@ def land(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
     return chance
 
 
-def _flight(last: bool):
+def _hashed(draw: np.ndarray, turn: int, use: int) -> np.ndarray:
+    """A hash of a row's draw of its own for each turn and use."""
+    return scramble(draw.view(np.uint64) ^ scramble(np.array([2 * turn + use + 1], dtype=np.uint64)))
+
+
+def _flight(last: bool, turn: int = 0):
     def flown(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(place=_hashed(rows["draw"].to_numpy(dtype=np.int64), turn, 0))
         # The final flight takes long documents first, so that short ones are left to land.
-        by = ["size", "draw", "row_id"] if last else ["draw", "size", "row_id"]
+        by = ["size", "place", "row_id"] if last else ["place", "size", "row_id"]
         rows = rows.sort_values(by, ascending=not last).reset_index(drop=True)
         size = rows["size"].to_numpy(dtype=float)
-        draws = (rows["draw"].to_numpy(dtype=np.int64).view(np.uint64) >> np.uint64(11)) / 2.0**53
+        draws = (_hashed(rows["draw"].to_numpy(dtype=np.int64), turn, 1) >> np.uint64(11)) / 2.0**53
         chance = rows["chance"].to_numpy(dtype=float, copy=True)
         flying = len(rows) - LANDING if last else len(rows)
         if flying > 0:
@@ -154,7 +164,7 @@ def draw(chances: DataFrame, scratch: Scratch, block_rows: int = BLOCK_ROWS) ->
             "block", F.pmod(F.xxhash64("draw", F.lit(turn)), F.col("blocks"))
         )
         flown = dealt.select("row_id", "source", "size", "draw", "chance", "block").groupBy("source", "block")
-        flown = scratch.table(flown.applyInPandas(_flight(last), CHANCES), f"flight-{turn}")
+        flown = scratch.table(flown.applyInPandas(_flight(last, turn), CHANCES), f"flight-{turn}")
         between = (F.col("chance") > 0) & (F.col("chance") < 1)
         ended.append(flown.where(~between).select("row_id", "chance"))
         if last:
@@ -190,10 +200,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
 
 def take_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with its own columns."""
-    copies = mix(docs, weights, most).where("copies > 0").select(F.col("row_id").alias("_row"), F.col("copies").alias("_copies"))
-    return (
-        numbered(docs, "_row")
-        .join(copies, "_row")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*(F.col(f"`{c}`") for c in docs.columns))
-    )
+    row, times = free_name(docs, "row"), free_name(docs, "copies")
+    copies = mix(docs, weights, most).where("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(times))
+    taken = numbered(docs, row).join(copies, row)
+    taken = taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return taken.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 from llm_cases import docs_frame, stored, words
 
 from salesloom.llm import mixing
@@ -85,5 +86,62 @@ def test_flight_is_unbiased():
     assert np.abs(mean - chance).max() < 0.03
 
 
+def drawn(size, chance, ids, seed, block_rows):
+    """`draw` without Spark: blocks of each turn by a hash, what they leave in the next."""
+    from salesloom.llm.common import mix as scramble
+
+    rows = pd.DataFrame({"row_id": ids, "source": "s", "size": size, "chance": chance})
+    rows["draw"] = scramble(scramble(ids.astype(np.uint64)) + np.uint64(seed)).view(np.int64)
+    ended, turn = [], 0
+    while True:
+        blocks = -(-len(rows) // block_rows)
+        block = scramble(rows["draw"].to_numpy().view(np.uint64) + np.uint64(turn * 977 + 5)) % np.uint64(blocks)
+        flown = pd.concat([mixing._flight(blocks == 1, turn)(part) for _, part in rows.groupby(block)])
+        if blocks == 1:
+            return pd.concat([*ended, flown]).set_index("row_id")["chance"].loc[ids].to_numpy()
+        between = (flown["chance"] > 0) & (flown["chance"] < 1)
+        ended.append(flown[~between])
+        rows, turn = flown[between], turn + 1
+
+
+def test_draw_is_unbiased():
+    """Through blocks and turns, with heavy sizes: no document is taken more or less often than its chance says."""
+    rng = np.random.default_rng(7)
+    n, seeds = 400, 2000
+    size = np.r_[rng.integers(1, 60, n - 20), rng.integers(3000, 20000, 20)].astype(float)
+    chance, ids = np.full(n, 0.3), rng.permutation(n)
+    flown = np.zeros(n)
+    for seed in range(seeds):
+        flown += drawn(size, chance, ids, seed, 64)
+    z = (flown / seeds - chance) / np.sqrt(chance * (1 - chance) / seeds)
+    by_size = np.argsort(size)
+    free = by_size[3 * mixing.LANDING :]  # the shortest ones land, where the error decides
+    assert np.sqrt(np.mean(z[free] ** 2)) < 1.05
+    assert np.abs(z[free]).max() < 4
+    assert np.abs(z[by_size[-20:]]).max() < 4
+
+
+def test_flights_of_a_block_are_unbiased():
+    rng = np.random.default_rng(8)
+    n, seeds = 200, 2000
+    rows = pd.DataFrame({"row_id": np.arange(n), "source": "s", "size": rng.integers(1, 5000, n).astype(float), "chance": 0.3})
+    total = np.zeros(n)
+    for turn in (0, 3):
+        total[:] = 0
+        for seed in range(seeds):
+            rows["draw"] = np.random.default_rng([turn, seed]).integers(-(2**63), 2**63 - 1, n)
+            total += mixing._flight(False, turn)(rows).set_index("row_id")["chance"].loc[np.arange(n)].to_numpy()
+        z = (total / seeds - 0.3) / np.sqrt(0.3 * 0.7 / seeds)
+        assert np.sqrt(np.mean(z**2)) < 1.05 and np.abs(z).max() < 4
+
+
+def test_clashing_names(spark, tmp_path):
+    names = "doc_id long, text string, source string, row int, row_ int, copies int, _copies int, _copy int, _row int, col int"
+    frame = stored(spark.createDataFrame([(k, f"w {k}", "s", 1, 2, 3, 4, 5, 6, 7) for k in range(9)], names), tmp_path)
+    copies = mixing.take_copies(frame)
+    assert copies.columns == frame.columns
+    assert {tuple(r)[3:] for r in copies.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
+
+
 def test_empty(spark, tmp_path):
     assert mixing.mix(stored(docs_frame(spark, []), tmp_path)).count() == 0
