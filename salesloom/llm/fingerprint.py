@@ -3,8 +3,8 @@
 A text's sketch holds the hash of every five-word shingle that lies below a fixed
 fraction of the hash range, so its size follows the text's. Two sketches merge into the
 sketch of both texts by a union, and their overlap estimates likeness and containment,
-however unequal the texts are. The least hash is kept besides, so that only a text
-without words has an empty sketch. Fewer than five words make one shingle.
+however unequal the texts are. If no hash lies below, the sketch is the least one, so
+that only a text without words has an empty one; a union drops it for a lower hash. Fewer than five words make one shingle.
 
 `edited` pairs each document with the next one in descending order of doc_id. The
 documents are dealt into ranges of ids, each with a guest row: the first document of
@@ -27,6 +27,8 @@ from salesloom.llm.common import BREAKS, partitions
 SHINGLE_WORDS = 5
 #: One hash in so many is kept.
 SCALE = 8
+#: Text of one range.
+RANGE_BYTES = 32 << 20
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -47,20 +49,22 @@ def shingle_hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
 
 
 def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
-    """Sorted distinct shingle hashes below the threshold, and the least one."""
+    """Sorted distinct shingle hashes below the threshold; if there are none, the least hash."""
+    return _let(shingle_hashes(text, words), lambda h: _kept(h, scale))
+
+
+def _kept(hashes: Column, scale: int) -> Column:
     threshold = -(2**63) + 2**64 // scale
 
-    def kept(h: Column) -> Column:
-        low = F.filter(h, lambda x: x < F.lit(threshold))
-        least = F.when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(h)
-        return F.array_sort(F.array_union(low, least))
+    def least_or(low: Column) -> Column:
+        return F.when((F.size(low) > 0) | (F.size(hashes) == 0), low).otherwise(F.array(F.array_min(hashes)))
 
-    return _let(shingle_hashes(text, words), kept)
+    return _let(F.array_sort(F.array_distinct(F.filter(hashes, lambda x: x < F.lit(threshold)))), least_or)
 
 
-def merged(a: Column, b: Column) -> Column:
+def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
     """The sketch of both texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+    return _let(F.array_union(a, b), lambda both: _kept(both, scale))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -87,10 +91,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, sketch, next_text and next_sketch: each document with the one after it.
 
-    After the last one comes the first. The ranges' bounds are estimated quantiles of the
-    ids; they only decide where ranges end, not the order.
+    After the last one comes the first. There are as many ranges as the texts' bytes ask
+    for. Their bounds are estimated quantiles of the ids; they only decide where ranges
+    end, not the order.
     """
-    n = partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(docs.sparkSession), -(-size // RANGE_BYTES))
     quantiles = docs.select("doc_id").approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (4 * n))
     bounds = F.array(*(F.lit(min(int(q), 2**63 - 1)) for q in sorted(set(quantiles)))).cast("array<bigint>")
     # Ranges count downwards with the ids: 0 has the largest ids, the last one the nulls.
@@ -115,7 +121,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
     in_block = Window.partitionBy("block").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
     return (
-        rows.withColumn("sketch", sketch(F.col("text")))
+        rows.repartition(n, "block")
+        .withColumn("sketch", sketch(F.col("text")))
         .withColumns({f"next_{c}": F.lead(c).over(in_block) for c in ("text", "sketch")})
         .where(~F.col("guest"))
         .drop("guest", "block")

@@ -1,6 +1,7 @@
 """Fingerprints: exact columns against plain Python, estimates against full sets."""
 
 import hashlib
+import random
 
 from llm_cases import docs_frame, words
 from pyspark.sql import functions as F
@@ -60,6 +61,20 @@ def test_sketches(spark):
     assert len(one) == len(other) == 1 and one != other
 
 
+def test_sketches_merge(spark):
+    """The merged sketch of two texts' shingles is the sketch of all of them, short and long."""
+    rng = random.Random(9)
+    hashes = [[rng.randrange(-(2**63), 2**63) for _ in range(rng.choice([0, 1, 2, 5, 9, 60, 400]))] for _ in range(120)]
+    rows = [(x, y + x[: rng.randint(0, 3)]) for x, y in zip(hashes, hashes[1:])]
+    frame = spark.createDataFrame(rows, "x array<long>, y array<long>")
+    a, b = (fingerprint._kept(F.col(c), fingerprint.SCALE) for c in "xy")
+    both = fingerprint._kept(F.concat("x", "y"), fingerprint.SCALE)
+    for row in frame.select(a.alias("a"), b.alias("b"), both.alias("both"), fingerprint.merged(a, b).alias("merged")).collect():
+        assert row.merged == row.both
+        limit = -(2**63) + 2**64 // fingerprint.SCALE
+        assert all(len(s) <= 1 or max(s) < limit for s in (row.a, row.b, row.both))
+
+
 def test_containment_of_unequal_texts(spark):
     long = " ".join(f"w{k}" for k in range(20_000))
     part = " ".join(f"w{k}" for k in range(3_000, 5_000))
