@@ -48,7 +48,8 @@ def test_quality_classifier_agrees_with_a_plain_model(spark, tiny, kept):
     trusted = {r.doc_id for r in labels.where("quality = 1 AND toxic = 0").collect()}
     marked = labels.select("doc_id", (quality.F.pmod(quality._draw(), quality.F.lit(quality.HELD_OUT)) == 0).alias("out"))
     held_out = {r.doc_id for r in marked.collect() if r.out}
-    trained = [texts[d] for d in trusted - held_out if len(words(texts[d])) <= quality.TRAIN_WORDS]
+    trained = [texts[d] for d in trusted - held_out]
+    assert len(trained) <= quality.TRAIN_DOCS and sum(len(words(t)) for t in trained) < quality.TRAIN_WORDS
     log = plain_model(trained)
     for doc_id in sorted(texts)[:60]:
         if words(texts[doc_id]):
