@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import Scratch, mix, numbered, text_bytes, windows_of, word_hashes
+from salesloom.llm.common import Scratch, free_name, mix, numbered, text_bytes, windows_of, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -289,5 +289,6 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int
 
 def keep_one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents, one of each component; `docs` is read twice, in the same order."""
-    kept = link(docs, words, percent).where("kept and first_row").select(F.col("row").alias("_row"))
-    return numbered(docs, "_row").join(kept, "_row", "left_semi").drop("_row")
+    row = free_name(docs, "row")
+    kept = link(docs, words, percent).where("kept and first_row").select(F.col("row").alias(row))
+    return numbered(docs, row).join(kept, row, "left_semi").drop(row)

@@ -111,7 +111,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataFrame:
     Rows of one URL are looked up once, so a very common URL weighs one row.
     """
     keep = [c for c in pages.columns if c not in {"host", "path", "canonical_url", "rule", "listed", "verdict"}]
-    parts = pages.select(*keep, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    parts = pages.select(*(F.col(f"`{c}`") for c in keep), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     parts = parts.withColumn("canonical_url", canonical(F.col("host"), F.col("path")))
 
     scratch = Scratch(pages.sparkSession, "url-filter")
@@ -125,11 +125,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataFrame:
     rule = rule_of(F.col("host"), F.col("path"), rules)
     return (
         found.withColumn("listed", F.coalesce("listed", F.lit(False)))
-        .withColumn("_rule", rule)
         .select(
-            *keep, "host", "path", "canonical_url",
-            F.col("_rule.text").alias("rule"),
+            *(F.col(f"`{c}`") for c in keep), "host", "path", "canonical_url",
+            rule["text"].alias("rule"),
             "listed",
-            F.coalesce("_rule.verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"),
+            F.coalesce(rule["verdict"], F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"),
         )
     )

@@ -2,8 +2,8 @@
 
 import pytest
 
-from salesloom.llm import line_dedup, mixing, near_dedup, suffix_dedup
-from salesloom.llm.common import numbered
+from salesloom.llm import line_dedup, mixing, near_dedup, quality, suffix_dedup, url_filter
+from salesloom.llm.common import free_name, numbered
 
 CORES = "spark.sql.leafNodeDefaultParallelism"  # stands for the cores that are there
 KEPT = "spark.sql.files.minPartitionNum"
@@ -57,3 +57,32 @@ def test_cores_lost_halfway(spark, table, operator):
     halfway = operator(table)
     spark.conf.set(CORES, "1")
     assert rows(halfway) == expected
+
+
+NAMES = ("row", "row_", "bytes", "windows", "_row", "_bytes", "_windows", "_copies", "_copy", "_rule", "copies", "Rule")
+
+
+@pytest.mark.parametrize("operator", [line_dedup.dedup_lines, near_dedup.keep_one_each, mixing.take_copies, quality.keep_good])
+def test_clashing_names(spark, tmp_path, operator):
+    """Columns of any name come through as they are."""
+    fields = "doc_id long, text string, lang string, source string, " + ", ".join(f"{name} int" for name in NAMES)
+    data = [(k, f"some words {k}\nof their own {k * k}\nand more {k}", "en", "s", *range(len(NAMES))) for k in range(8)]
+    spark.createDataFrame(data, fields).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(8)], "doc_id long, quality int, toxic int")
+    found = operator(docs, labels) if operator is quality.keep_good else operator(docs)
+    assert found.columns[: len(docs.columns)] == docs.columns
+    assert {tuple(r[name] for name in NAMES) for r in found.collect()} == {tuple(range(len(NAMES)))}
+
+
+def test_clashing_names_of_pages(spark):
+    fields = "page_id long, url string, _rule string, key string, block int"
+    pages = spark.createDataFrame([(1, "http://a.org/x", "mine", "k", 3)], fields)
+    listed = spark.createDataFrame([("a.org/x",)], "key string")
+    row = url_filter.judge(pages, listed, [url_filter.Rule("org", "/", "allow")]).first()
+    assert (row._rule, row.key, row.block, row.rule, row.verdict, row.listed) == ("mine", "k", 3, "org/", "allow", True)
+
+
+def test_free_names(spark):
+    frame = spark.createDataFrame([(1, 2)], "Row int, row_ int")
+    assert free_name(frame, "row") == "row__" and free_name(frame, "other") == "other"
