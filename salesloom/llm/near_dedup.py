@@ -9,11 +9,17 @@ bucket links its members to its smallest one, a star, instead of to each other.
 
 A star's edges are confirmed on full sets: texts are joined to the pairs and compared.
 Where a bucket's members then still belong to more than one component, what its star
-could not see may link them. The members of such a bucket fall into blocks of bounded
-size; each two blocks meet in one cell, which counts what its documents share and tells
-only the links. So a hot group that one star settles costs as many rows as it has
-members, and only pairs that share no bucket at all can be missed: at the threshold
-about one in a million.
+could not see may link them. These documents are compared again, but not all with all:
+two of them can only be linked if they share one of their rarest shingles, of which each
+lists as many as it may differ by and one more. What is rare is told by bitmaps of
+bounded size (see `sketches`); they only order the shingles, so that any order they give
+finds every link. Shingles of one document alone bring nobody together, so pages that
+share a long template and nothing else are compared with nobody. Who shares a listed
+shingle falls into blocks of bounded size; each two blocks meet in one cell, which counts
+what documents of different components share and tells only the links. So a hot group
+that one star settles costs as many rows as it has members, and only pairs that share no
+bucket at all can be missed: of sets as large as the signature about one in a million at
+the threshold, more of very small ones, where tests measure it.
 
 Null texts and texts without words have the empty set, are linked with nothing and kept.
 Fewer words than a shingle's make one shingle. Rows that share a doc_id are one
@@ -28,16 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.llm.common import Scratch, free_name, mix, numbered, text_bytes, windows_of, word_hashes
+from salesloom.llm.sketches import HASH_BITS, SKETCH, Bitmap, bitmap_of, ranges_for, sketched
 
 WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 24, 5
-#: Documents of a bucket's block, meetings of a shard, and columns of a count at a time.
+#: Documents of a block that share a key, meetings of a shard, and columns of a count at a time.
 BLOCK_DOCS, SHARD_MEETINGS, COLUMNS = 256, 4000, 4096
+#: Documents from which a shingle counts as frequent; shingles that a task sorts at once.
+OFTEN, MOST_HASHES = 32, 1 << 22
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -214,16 +224,68 @@ def _linked_in_cells(words: int, percent: int):
     return linked
 
 
+def _shingle_sketch(words: int, ranges: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: list[np.ndarray] = []
+
+        def taken() -> pa.RecordBatch:
+            found, counts = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *met]), return_counts=True)
+            met.clear()
+            return sketched(found, counts, ranges, OFTEN)
+
+        for batch in batches:
+            for text in batch.column("bytes").to_pylist():
+                met.append(shingles(text, words) >> np.uint64(64 - HASH_BITS))
+            if sum(map(len, met)) > MOST_HASHES:
+                yield taken()
+        yield taken()
+
+    return sketch
+
+
+def listed(own: np.ndarray, percent: int, several: Bitmap, often: Bitmap) -> np.ndarray:
+    """Of a set the rarest shingles, without which it can't reach the threshold; those of one document left out."""
+    known = own >> np.uint64(64 - HASH_BITS)
+    shared, common = several.holds(known), often.holds(known)
+    order = np.lexsort((own, shared.astype(np.int8) + (shared & common)))
+    first = order[: len(own) - -(-percent * len(own) // 100) + 1]
+    return own[first[shared[first]]]
+
+
+def _listed(words: int, percent: int, several: Broadcast, often: Broadcast):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare, frequent = Bitmap(several.value), Bitmap(often.value)
+        for batch in batches:
+            found = [listed(shingles(text, words), percent, rare, frequent) for text in batch.column("bytes").to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            keys = np.concatenate(found).view(np.int64) if found else np.empty(0, dtype=np.int64)
+            columns = [pa.array(keys), *(batch.column(c).take(of) for c in ("doc_id", "component"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "component"])
+
+    return keys
+
+
+def sharing(waiting: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(key, doc_id, component) of each listed shingle of documents in (doc_id, component, bytes)."""
+    context = waiting.sparkSession.sparkContext
+    ranges = ranges_for(waiting.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0)
+    sketches = scratch.table(waiting.select("bytes").mapInArrow(_shingle_sketch(words, ranges), SKETCH), "sketches")
+    several, often = (context.broadcast(bitmap_of(sketches, ranges, least, scratch, f"met-{least}")) for least in (2, OFTEN))
+    return waiting.mapInArrow(_listed(words, percent, several, often), "key long, doc_id long, component long").distinct()
+
+
 def linked_beside_stars(members: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b) of linked members of a bucket, from (key, doc_id, component) of undecided buckets."""
-    held = members.groupBy("key").agg(
-        F.ceil(F.count("*") / BLOCK_DOCS).alias("blocks"), F.min("doc_id").alias("least"),
-        F.min("component").alias("low"), F.max("component").alias("high"),
-    ).where("low < high").drop("low", "high")
+    """(a, b) of linked documents that share a key, from (key, doc_id, component)."""
+    group = [F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")]
+    group += [F.bit_xor(F.xxhash64("doc_id")).alias("a"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("b")]
+    held = members.groupBy("key").agg(*group, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    # Of the keys that the same documents share one will do.
+    held = held.groupBy("n", "least", "greatest", "a", "b").agg(F.min("key").alias("key"))
+    held = scratch.table(held.select("key", "least", F.ceil(F.col("n") / BLOCK_DOCS).alias("blocks")), "held")
     placed = members.join(held, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     ends = F.least("block", "other"), F.greatest("block", "other")
-    # Buckets of one and the same group share their least member, and so their shards.
+    # Keys of like groups share their least member, and so their shards.
     meetings = placed.select(
         "doc_id", "component", F.xxhash64("least", *ends).alias("place"),
         F.struct(F.xxhash64("key", *ends).alias("cell"), (F.col("block") > F.col("other")).cast("int").alias("side")).alias("meeting"),
@@ -252,11 +314,15 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int
     sets = ["n_shingles", "set_a", "set_b"]
     named = signed.where("doc_id is not null and n_shingles > 0")
     # A class of equal sets is its smallest document, with the links of the others to it.
-    classes = named.groupBy(*sets).agg(F.min("doc_id").alias("class"))
-    copies = named.select("doc_id", *sets).join(classes, sets).where(F.col("doc_id") != F.col("class"))
+    # Written, so that the join splits a large class.
+    classes = named.groupBy(*sets).agg(F.min("doc_id").alias("class"), F.max("doc_id").alias("other")).where("class < other")
+    classes = scratch.table(classes.drop("other"), "classes")
+    of_class = named.select("doc_id", *sets, "keys").join(classes, sets, "left")
+    of_class = scratch.table(of_class.select("doc_id", "n_shingles", "keys", F.coalesce("class", "doc_id").alias("class")), "of-class")
+    copies = of_class.where(F.col("doc_id") != F.col("class"))
     edges = scratch.table(copies.select(F.col("class").alias("a"), F.col("doc_id").alias("b")), "edges-copies")
 
-    ones = named.join(classes.withColumnRenamed("class", "doc_id"), [*sets, "doc_id"], "left_semi")
+    ones = of_class.where(F.col("doc_id") == F.col("class"))
     buckets = ones.select("doc_id", "n_shingles", F.explode("keys").alias("key")).distinct()
     shared = buckets.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("other")).where("centre < other")
     members = scratch.table(buckets.join(shared.drop("other"), "key"), "members")
@@ -270,8 +336,14 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int
 
     # Centres have met all their bucket.
     waiting = members.where(F.col("doc_id") != F.col("centre")).select("key", "doc_id").join(joined, "doc_id", "left")
-    waiting = waiting.withColumn("component", F.coalesce("component", "doc_id"))
-    beside = scratch.table(linked_beside_stars(waiting, texts, words, percent, scratch), "edges-beside")
+    waiting = scratch.table(waiting.withColumn("component", F.coalesce("component", "doc_id")), "waiting")
+    undecided = waiting.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    undecided = scratch.table(undecided.select("key"), "undecided")
+    asked = waiting.join(undecided, "key", "left_semi").select("doc_id", "component").distinct()
+    asked = scratch.table(texts.join(asked, "doc_id").select("doc_id", "component", "bytes"), "asked")
+    beside = scratch.table(sharing(asked, words, percent, scratch), "listed")
+    beside = scratch.table(linked_beside_stars(beside, asked.drop("component"), words, percent, scratch), "edges-beside")
+    scratch.remove("members", "waiting", "undecided", "asked", "listed", "sketches", "held", "meetings", "texts")
     joined = components(joined.select(F.col("component").alias("a"), F.col("doc_id").alias("b")).unionByName(beside), scratch, "all")
 
     first = signed.groupBy("doc_id").agg(F.min("row").alias("first"))

@@ -1,12 +1,14 @@
 """Near-dedup against all pairs, and its parts by their properties."""
 
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
-from llm_cases import docs_frame, stored, words
+from llm_cases import data, docs_frame, stored, words
+from pyspark.sql import functions as F
 
-from salesloom.llm import near_dedup
+from salesloom.llm import near_dedup, sketches
 from salesloom.llm.common import Scratch
 
 
@@ -75,6 +77,77 @@ def test_chains_of_edits(spark, tmp_path):
     assert {r.doc_id: r.component_id for r in near_dedup.link(frame, 3, 85).collect()} == expected
 
 
+def test_pages_of_one_template_meet_nobody(spark, monkeypatch):
+    """Pages that share 100 words and no more: what is compared grows with the pages, not with their pairs."""
+    rng = random.Random(6)
+    template = " ".join(f"t{k}" for k in range(100))
+    compared = []
+    real = near_dedup.linked_beside_stars
+
+    def counted(members, texts, words, percent, scratch):
+        of_key = members.groupBy("key").count().select(F.sum(F.col("count") * F.col("count"))).first()[0]
+        compared.append((texts.count(), of_key or 0))
+        return real(members, texts, words, percent, scratch)
+
+    monkeypatch.setattr(near_dedup, "linked_beside_stars", counted)
+    for n in (400, 800, 1600):
+        pages = [template + "".join(f" p{k}w{rng.randrange(10**9)}" for _ in range(60)) for k in range(n)]
+        pages += [pages[0] + " and a few words more", pages[1].replace("t50 ", "")]
+        frame = spark.createDataFrame([(k, t) for k, t in enumerate(pages)], "doc_id long, text string").repartition(4)
+        found = {r.doc_id: r.component_id for r in near_dedup.link(frame, 5, 80).collect()}
+        assert found == {k: {n: 0, n + 1: 1}.get(k, k) for k in range(n + 2)}
+    assert compared[-1][0] > 1000  # they do share buckets
+    assert all(pairs <= 50 * asked for asked, pairs in compared)
+
+
+def test_listed_shingles_meet_every_link():
+    """Sets as alike as the threshold asks share a listed shingle, whatever the bitmaps hold."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) > 0.1], rng.integers(0, 2**63, int(rng.integers(0, 4)), dtype=np.uint64)])
+        shared = len(np.intersect1d(a, b))
+        bits = [bytearray(rng.integers(0, 256, 1 << 12, dtype=np.uint8).tobytes()) for _ in range(2)]
+        for h in np.intersect1d(a, b) >> np.uint64(16):  # shared shingles are known to be
+            at = int(h) % (8 << 12)
+            bits[0][at // 8] |= 1 << at % 8
+        several, often = (sketches.Bitmap(bytes(x)) for x in bits)
+        if 100 * shared >= 80 * (len(a) + len(b) - shared):
+            assert len(np.intersect1d(near_dedup.listed(a, 80, several, often), near_dedup.listed(b, 80, several, often)))
+
+
+def test_recall_against_all_pairs(spark):
+    """Components of the query on sf0.1 against those over all pairs that are alike, found by their rarest shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: near_dedup.shingles(data(r.text), 3) for r in docs}
+    everything, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    by_shingle, parent = defaultdict(list), {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for d, own in sets.items():
+        rarest = own[np.lexsort((own, counts[np.searchsorted(everything, own)]))][: len(own) - -(-85 * len(own) // 100) + 1]
+        for s in rarest.tolist():
+            by_shingle[s].append(d)
+    pairs = {(a, b) for ids in by_shingle.values() for k, b in enumerate(ids) for a in ids[:k]}
+    linked = 0
+    for a, b in pairs:
+        shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if 100 * shared >= 85 * (len(sets[a]) + len(sets[b]) - shared):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+            linked += 1
+    from salesloom.llm.queries import QUERIES
+
+    found = {r.doc_id: r.component_id for r in QUERIES["op4_near_dedup"](spark, "/root/testdata/sf0.1").collect()}
+    assert linked > 400
+    assert found == {d: root(d) for d in sets}
+
+
 def test_sf_documents(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     expected = groups([(r.doc_id, r.text) for r in docs.collect()], 3, 85)
