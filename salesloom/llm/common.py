@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -32,12 +34,15 @@ class Scratch:
     """Tables of one run, each under a name of its own in the shared folder.
 
     A written table cuts lineage and survives lost executors. What a returned frame
-    still reads stays; the rest can be removed once it has been used.
+    still reads stays; the rest can be removed once it has been used. Inside `temporary`
+    all of it goes when the block ends.
     """
 
     def __init__(self, spark: SparkSession, operator: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{operator}-{uuid.uuid4().hex}"
+        for made in _temporary[-1:]:
+            made.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
@@ -45,8 +50,36 @@ class Scratch:
 
     def remove(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.folder}/{name}")
+
+    def clear(self) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_temporary: list[list[Scratch]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes at its end the tables that operators stored inside.
+
+    Their results read these tables, so they have to be written before the block ends:
+
+        with temporary():
+            dedup_lines(docs).write.parquet(path)
+    """
+    made: list[Scratch] = []
+    _temporary.append(made)
+    try:
+        yield
+    finally:
+        _temporary.remove(made)
+        for scratch in made:
+            scratch.clear()
 
 
 def free_name(df: DataFrame, name: str) -> str:

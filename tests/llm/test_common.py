@@ -3,7 +3,7 @@
 import pytest
 
 from salesloom.llm import line_dedup, mixing, near_dedup, quality, suffix_dedup, url_filter
-from salesloom.llm.common import free_name, numbered
+from salesloom.llm.common import free_name, numbered, shared_folder, temporary
 
 CORES = "spark.sql.leafNodeDefaultParallelism"  # stands for the cores that are there
 KEPT = "spark.sql.files.minPartitionNum"
@@ -83,6 +83,23 @@ def test_clashing_names_of_pages(spark):
     assert (row._rule, row.key, row.block, row.rule, row.verdict, row.listed) == ("mine", "k", 3, "org/", "allow", True)
 
 
+def test_temporary_tables_go(spark, table, tmp_path):
+    def held():
+        files = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+        return {f.getPath().getName() for f in files.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(files)}
+
+    before = held()
+    with temporary():
+        mixing.take_copies(line_dedup.dedup_lines(table)).write.parquet(f"{tmp_path}/out")
+        assert held() > before
+    assert held() == before
+    assert spark.read.parquet(f"{tmp_path}/out").count() > 0
+    with pytest.raises(KeyError), temporary():
+        line_dedup.dedup_lines(table)
+        raise KeyError
+    assert held() == before
+
+
 def test_free_names(spark):
     frame = spark.createDataFrame([(1, 2)], "Row int, row_ int")
     assert free_name(frame, "row") == "row__" and free_name(frame, "other") == "other"
