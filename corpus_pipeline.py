@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesloom.llm import line_dedup, mixing, near_dedup, packing, quality
-from salesloom.llm.common import Scratch
+from salesloom.llm.common import Scratch, temporary
 from salesloom.llm.queries import tokenizer_path
 
 
@@ -55,9 +55,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each one's result is written and read again."""
+    """All stages over `documents`; each one's result is written and read again.
+
+    What a stage stored goes when its result is written, a result when the next one is.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        with temporary():
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.remove(before)
+        before = name
     return docs
