@@ -92,11 +92,16 @@ def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
     return masks.groupBy("block").agg(*(F.bit_or(f"m{k}").alias(f"w{k}") for k in range(WORDS)))
 
 
+def at_every_task(n_listed: int) -> bool:
+    """Whether the filter is small enough for each task to have all of it and pass URLs as it reads them."""
+    return blocks_for(n_listed) * (BLOCK_BYTES + 8) <= BROADCAST_BYTES
+
+
 def possible(keys: DataFrame, listed: DataFrame, n_listed: int) -> DataFrame:
     """The rows of `keys` whose `key` the filter passes: all listed ones and few others."""
     blocks = blocks_for(n_listed)
     bloom = bloom_filter(listed, blocks)
-    if blocks * (BLOCK_BYTES + 8) <= BROADCAST_BYTES:
+    if at_every_task(n_listed):
         bloom = F.broadcast(bloom)
     passes = F.lit(True)
     for k, mask in enumerate(_masks(F.col("key"))):
@@ -108,7 +113,9 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataFrame:
     """Pages with host, path, canonical URL, rule, listed and verdict.
 
     `listed` holds canonical URLs in column `key`; nulls and repeats in it are ignored.
-    Rows of one URL are looked up once, so a very common URL weighs one row.
+    A small filter drops most URLs in the scan, before any shuffle; a large one, itself in
+    many tasks, is asked once for each URL. Rows of one URL are looked up once in the list,
+    so a very common URL weighs one row there.
     """
     keep = [c for c in pages.columns if c not in {"host", "path", "canonical_url", "rule", "listed", "verdict"}]
     parts = pages.select(*(F.col(f"`{c}`") for c in keep), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -116,8 +123,11 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataFrame:
 
     scratch = Scratch(pages.sparkSession, "url-filter")
     listed = scratch.table(listed.select("key").where(F.col("key").isNotNull()).distinct(), "listed")
-    keys = parts.select(F.col("canonical_url").alias("key")).where("key is not null").distinct()
-    hits = possible(keys, listed, listed.count()).join(listed, "key", "left_semi")
+    n_listed = listed.count()
+    keys = parts.select(F.col("canonical_url").alias("key")).where("key is not null")
+    if not at_every_task(n_listed):
+        keys = keys.distinct()
+    hits = possible(keys, listed, n_listed).distinct().join(listed, "key", "left_semi")
 
     found = parts.join(
         hits.select(F.col("key").alias("canonical_url"), F.lit(True).alias("listed")), "canonical_url", "left"
