@@ -5,13 +5,14 @@ of its context; each time the n-gram is new, the context loses a word and the sc
 factor. A document is scored by what the *other* documents hold: its own n-grams are
 taken off the counts, else every n-gram of the corpus would be known.
 
-Documents are dealt into chunks. A chunk explodes its n-grams, names each by a hash and
-sends every distinct one once, with its count, to the shard of the count table that the
-hash belongs to: a map-side combine, so that an n-gram in every document weighs one
-entry a chunk, and one short row a shard instead of one row an n-gram. A shard adds up
-its n-grams and answers every chunk with the totals, in the order asked. Chunks join
-the totals to their documents' n-grams and sum the logarithms. Chunks and shards hold
-bounded parts of the input each; their numbers follow its size.
+Documents are dealt into chunks of bounded size. A chunk explodes its n-grams into rows of
+a hash and a count, one for each distinct n-gram: a map-side combine, so that an n-gram
+in every document weighs one row a chunk. These rows, partitioned by hash, are summed to
+the count table and joined to it; an n-gram that the chunk alone holds needs no answer,
+as the chunk knows its count. Totals go back to the chunk, where each document's own
+counts are taken off and its logarithms summed. Words and pairs go first; a longer n-gram
+is asked for only if other chunks hold both of its parts, as else they can't hold it. All
+counts stay exact.
 
 Words are runs of other bytes than white space, A-Z lower-cased. A word that no other
 document has counts as one seen once. Null texts and texts without words have no words
@@ -20,8 +21,6 @@ and score 0. Repeated rows are documents of their own. Other columns take no par
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,147 +28,137 @@ from pyspark.sql import functions as F
 
 from salesloom.llm.common import WORD, mix, numbered, text_bytes, windows_of, word_hashes
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
-#: Bytes of text behind one chunk and one shard.
+#: Bytes of text behind one chunk.
 CHUNK_BYTES = 8 << 20
-SHARD_BYTES = 16 << 20
 
+ASKED = "chunk long, gram long, n int"
+SCORED = "doc_id long, n_words long, log_score double"
 
-def ngrams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Words of each text; for each length the hashes of its n-grams and the text of each.
 
-    The n-grams of a length follow each other as in the texts, without those that would
-    span two.
-    """
-    split = [text.lower().split() for text in texts]
-    n_words = np.array([len(words) for words in split], dtype=np.int64)
-    hashes = word_hashes([word for words in split for word in words])
-    of_word = np.repeat(np.arange(len(texts)), n_words)
-    grams, of = [], []
-    for length in range(1, order + 1):
-        if len(hashes) < length:
-            grams.append(np.empty(0, dtype=np.uint64))
-            of.append(np.empty(0, dtype=np.int64))
-            continue
-        inside = of_word[: len(hashes) - length + 1] == of_word[length - 1 :]
-        grams.append(mix(windows_of(hashes, length) + np.uint64(length))[inside])
-        of.append(of_word[length - 1 :][inside])
-    return n_words, grams, of
-
-
-def shard_of(grams: np.ndarray, bits: int) -> np.ndarray:
-    return (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), dtype=np.int64)
-
-
-def _asked(order: int, bits: int):
-    schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("grams", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
-
-    def asked(chunk: pa.Table) -> pa.Table:
-        _, grams, _ = ngrams(chunk.column("bytes").to_pylist(), order)
-        distinct, counts = np.unique(np.concatenate(grams), return_counts=True)
-        shards, starts = np.unique(shard_of(distinct, bits), return_index=True)
-        ends = np.r_[starts[1:], len(distinct)].astype(np.int32)
-        offsets = pa.array(np.r_[starts.astype(np.int32), ends[-1:]], pa.int32())
-        number = chunk.column("chunk")[0].as_py()
-        return pa.Table.from_arrays(
-            [
-                pa.array(shards, pa.int64()),
-                pa.array(np.full(len(shards), number), pa.int64()),
-                pa.ListArray.from_arrays(offsets, pa.array(distinct.view(np.int64))),
-                pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))),
-            ],
-            schema=schema,
-        ) if len(shards) else schema.empty_table()
-
-    return asked
-
-
-def _flat(lists: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([part.flatten().to_numpy(zero_copy_only=False) for part in lists.chunks] or [np.empty(0, np.int64)])
-
-
-def _totals(shard: pa.Table) -> pa.Table:
-    """Answers each chunk with the totals of the n-grams that it asked for."""
-    distinct, place = np.unique(_flat(shard.column("grams")), return_inverse=True)
-    total = np.bincount(place, weights=_flat(shard.column("counts")), minlength=len(distinct)).astype(np.int64)
-    lengths = np.array([len(x) for x in shard.column("grams")], dtype=np.int64)
-    offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
-    return pa.Table.from_arrays(
-        [shard.column("chunk").combine_chunks(), shard.column("shard").combine_chunks(), pa.ListArray.from_arrays(offsets, pa.array(total[place]))],
-        names=["chunk", "shard", "totals"],
-    )
-
-
-def scores_of(texts: list[bytes], totals: np.ndarray, all_words: int, order: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
-    """Words and summed log scores of a chunk's documents; `totals` in the order of its distinct n-grams."""
-    n_words, grams, of = ngrams(texts, order)
-    _, place = np.unique(np.concatenate(grams), return_inverse=True)
-    total = totals[place].astype(np.float64)
-    # How often a document has an n-gram itself.
-    document = np.concatenate(of)
-    _, pair, own = np.unique(document * np.int64(len(totals) + 1) + place, return_inverse=True, return_counts=True)
-    other = total - own[pair]
-    by_length = np.split(other, np.cumsum([len(g) for g in grams])[:-1])
-
-    log = np.zeros(len(texts))
-    if not len(grams[0]):
-        return n_words, log
-    starts = np.cumsum(n_words) - n_words
-    at = np.arange(len(grams[0]))
-    inside = at - np.repeat(starts, n_words)
-    # Where each word's n-gram of a length stands among those of that length.
-    full = np.full((order, len(at)), 0.0)
-    for length in range(1, order + 1):
-        full[length - 1][inside >= length - 1] = by_length[length - 1]
-    words = all_words - np.repeat(n_words, n_words)
-    score = np.maximum(full[0], 1.0) / np.maximum(words, 1.0)
-    for length in range(2, order + 1):
-        longer = inside >= length - 1
-        context = np.r_[0.0, full[length - 2][:-1]]
-        known = longer & (full[length - 1] > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.where(known, full[length - 1] / context, np.where(longer, backoff * score, score))
-    np.add.at(log, of[0], np.log(score))
-    return n_words, log
+class Words:
+    """The words of a chunk's texts, one text after the other."""
 
+    def __init__(self, texts: list[bytes]):
+        split = [text.lower().split() for text in texts]
+        self.n_words = np.array([len(words) for words in split], dtype=np.int64)
+        self.hashes = word_hashes([word for words in split for word in words])
+        self.document = np.repeat(np.arange(len(texts)), self.n_words)
+        starts = np.cumsum(self.n_words) - self.n_words
+        #: How many words of its text are before each word.
+        self.before = np.arange(len(self.hashes)) - np.repeat(starts, self.n_words)
 
-SCORED = "doc_id long, n_words long, log_score double"
+    def ends(self, length: int) -> np.ndarray:
+        """The words at which an n-gram of this length ends."""
+        return np.flatnonzero(self.before >= length - 1)
+
+    def grams(self, length: int) -> np.ndarray:
+        """The hashes of the n-grams that end there."""
+        ends = self.ends(length)
+        if not len(ends):
+            return np.empty(0, dtype=np.int64)
+        return mix(windows_of(self.hashes, length) + np.uint64(length))[ends - length + 1].view(np.int64)
+
+
+class Totals:
+    """What the count table answered: n-grams that other chunks hold too."""
+
+    def __init__(self, answers: pa.Table):
+        grams = answers.column("gram").to_numpy()
+        order = np.argsort(grams)
+        self.grams, self.totals = grams[order], answers.column("total").to_numpy()[order]
+
+    def of(self, grams: np.ndarray, default: np.ndarray) -> np.ndarray:
+        if not len(self.grams):
+            return default
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.where(self.grams[at] == grams, self.totals[at], default)
+
+
+def _rows(chunk: pa.Table, grams: np.ndarray) -> pa.Table:
+    distinct, counts = np.unique(grams, return_counts=True)
+    numbers = np.full(len(distinct), chunk.column("chunk")[0].as_py(), dtype=np.int64)
+    return pa.table({"chunk": numbers, "gram": distinct.astype(np.int64), "n": counts.astype(np.int32)})
+
+
+def _first(longest: int):
+    def first(chunk: pa.Table) -> pa.Table:
+        words = Words(chunk.column("bytes").to_pylist())
+        return _rows(chunk, np.concatenate([words.grams(length) for length in range(1, longest + 1)]))
+
+    return first
+
+
+def _longer(length: int):
+    def longer(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        words, totals = Words(chunk.column("bytes").to_pylist()), Totals(answers)
+        part = words.grams(length - 1)
+        shared = np.zeros(len(words.hashes) + 1, dtype=bool)  # the last one for the word before the first
+        shared[words.ends(length - 1)] = totals.of(part, np.zeros(len(part), dtype=np.int64)) > 0
+        ends = words.ends(length)
+        return _rows(chunk, words.grams(length)[shared[ends] & shared[ends - 1]])
+
+    return longer
+
+
+def _answers(asked: DataFrame) -> DataFrame:
+    """The totals of the n-grams that other chunks hold too, for each chunk that asked."""
+    asked = asked.repartition("gram")
+    counts = asked.groupBy("gram").agg(F.sum("n").alias("total"))
+    return asked.join(counts, "gram").where("total > n").select("chunk", "gram", "total")
+
+
+def scores_of(words: Words, totals: Totals, all_words: int, order: int, backoff: float) -> np.ndarray:
+    """Summed log scores of a chunk's documents."""
+    log = np.zeros(len(words.n_words))
+    others = max(all_words, 1) - words.n_words[words.document]
+    shorter = score = None
+    for length in range(1, order + 1):
+        ends, (distinct, place, counts) = words.ends(length), np.unique(
+            words.grams(length), return_inverse=True, return_counts=True
+        )
+        # How often a document has an n-gram itself.
+        pairs = words.document[ends] * np.int64(len(distinct) + 1) + place
+        _, pair, own = np.unique(pairs, return_inverse=True, return_counts=True)
+        other = np.zeros(len(words.hashes))
+        other[ends] = totals.of(distinct, counts)[place] - own[pair]
+        if length == 1:
+            score = np.maximum(other, 1.0) / np.maximum(others, 1.0)
+        else:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                direct = other[ends] / shorter[ends - 1]
+            score[ends] = np.where(other[ends] > 0, direct, backoff * score[ends])
+        shorter = other
+    np.add.at(log, words.document, np.log(score))
+    return log
 
 
 def _scored(order: int, backoff: float, all_words: int):
     def scored(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = chunk.column("bytes").to_pylist()
-        answers = answers.sort_by("shard")
-        n_words, log = scores_of(texts, _flat(answers.column("totals")), all_words, order, backoff)
+        words = Words(chunk.column("bytes").to_pylist())
+        log = scores_of(words, Totals(answers), all_words, order, backoff)
         return pa.Table.from_arrays(
-            [chunk.column("doc_id").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(log, pa.float64())],
+            [chunk.column("doc_id").combine_chunks(), pa.array(words.n_words), pa.array(log)],
             names=["doc_id", "n_words", "log_score"],
         )
 
     return scored
 
 
-def score(
-    docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES
-) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words and log_score of every row."""
     texts = docs.select("doc_id", text_bytes().alias("bytes"))
     size, all_words = docs.agg(
         F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit(WORD)).cast("bigint"))
     ).first()
-    size, all_words = size or 0, all_words or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    bits = max(0, (size // shard_bytes).bit_length())
+    chunks = max(1, -(-(size or 0) // chunk_bytes))
     # Row numbers deal out any documents evenly, whatever ids they share.
     number = F.pmod(F.xxhash64("row"), F.lit(chunks))
-    dealt = numbered(texts).withColumn("chunk", number).drop("row")
-    asked = dealt.groupBy("chunk").applyInArrow(
-        _asked(order, bits), "shard long, chunk long, grams array<long>, counts array<int>"
-    )
-    answers = asked.groupBy("shard").applyInArrow(_totals, "chunk long, shard long, totals array<long>")
-    return (
-        dealt.groupBy("chunk")
-        .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(_scored(order, backoff, all_words), SCORED)
-    )
+    dealt = numbered(texts).withColumn("chunk", number).drop("row").repartition("chunk")
+    chunk = dealt.groupBy("chunk")
+    answers = _answers(chunk.applyInArrow(_first(min(order, 2)), ASKED)).repartition("chunk")
+    for length in range(3, order + 1):
+        asked = chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_longer(length), ASKED)
+        answers = answers.unionByName(_answers(asked).repartition("chunk"))
+    return chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_scored(order, backoff, all_words or 0), SCORED)

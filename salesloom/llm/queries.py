@@ -216,23 +216,27 @@ WITH lists AS (
   FROM documents
 ), words AS (
   SELECT doc_id, unnest(list) AS w, generate_subscripts(list, 1) AS pos FROM lists
-), pairs AS (
-  SELECT doc_id, pos, w, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS u FROM words
-), c1 AS (SELECT w, count(*) AS n FROM words GROUP BY w
-), c2 AS (SELECT u, w, count(*) AS n FROM pairs WHERE u IS NOT NULL GROUP BY u, w
+), runs AS (
+  SELECT doc_id, pos, w, lag(w) OVER d AS v, lag(w, 2) OVER d AS u FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
 ), d1 AS (SELECT doc_id, w, count(*) AS n FROM words GROUP BY doc_id, w
-), d2 AS (SELECT doc_id, u, w, count(*) AS n FROM pairs WHERE u IS NOT NULL GROUP BY doc_id, u, w
-), own AS (SELECT doc_id, len(list) AS n_words FROM lists
+), d2 AS (SELECT doc_id, v, w, count(*) AS n FROM runs WHERE v IS NOT NULL GROUP BY doc_id, v, w
+), d3 AS (SELECT doc_id, u, v, w, count(*) AS n FROM runs WHERE u IS NOT NULL GROUP BY doc_id, u, v, w
+), o1 AS (SELECT doc_id, w, sum(n) OVER (PARTITION BY w) - n AS n FROM d1
+), o2 AS (SELECT doc_id, v, w, sum(n) OVER (PARTITION BY v, w) - n AS n FROM d2
+), o3 AS (SELECT doc_id, u, v, w, sum(n) OVER (PARTITION BY u, v, w) - n AS n FROM d3
+), own AS (SELECT doc_id, len(list) AS n_words, (SELECT count(*) FROM words) - len(list) AS others FROM lists
 ), counted AS (
-  SELECT p.doc_id, p.u, c1.n - d1.n AS uni, cu.n - du.n AS context, c2.n - d2.n AS bi,
-    (SELECT count(*) FROM words) - own.n_words AS others
-  FROM pairs p JOIN own ON p.doc_id = own.doc_id
-    JOIN c1 ON p.w = c1.w JOIN d1 ON p.doc_id = d1.doc_id AND p.w = d1.w
-    LEFT JOIN c1 cu ON p.u = cu.w LEFT JOIN d1 du ON p.doc_id = du.doc_id AND p.u = du.w
-    LEFT JOIN c2 ON p.u = c2.u AND p.w = c2.w LEFT JOIN d2 ON p.doc_id = d2.doc_id AND p.u = d2.u AND p.w = d2.w
+  SELECT r.doc_id, r.u, r.v, others, w.n AS w, vw.n AS vw, v.n AS v_, uvw.n AS uvw, uv.n AS uv
+  FROM runs r JOIN own ON r.doc_id = own.doc_id
+    JOIN o1 w ON r.doc_id = w.doc_id AND r.w = w.w
+    LEFT JOIN o1 v ON r.doc_id = v.doc_id AND r.v = v.w
+    LEFT JOIN o2 vw ON r.doc_id = vw.doc_id AND r.v = vw.v AND r.w = vw.w
+    LEFT JOIN o2 uv ON r.doc_id = uv.doc_id AND r.u = uv.v AND r.v = uv.w
+    LEFT JOIN o3 uvw ON r.doc_id = uvw.doc_id AND r.u = uvw.u AND r.v = uvw.v AND r.w = uvw.w
 ), scored AS (
-  SELECT doc_id, sum(ln(CASE WHEN u IS NOT NULL AND bi > 0 THEN bi / CAST(context AS DOUBLE)
-    ELSE CASE WHEN u IS NULL THEN 1.0 ELSE CAST(0.4 AS DOUBLE) END * greatest(uni, 1) / CAST(greatest(others, 1) AS DOUBLE) END)) AS score
+  SELECT doc_id, sum(ln(CASE WHEN uvw > 0 THEN uvw / CAST(uv AS DOUBLE)
+    ELSE CASE WHEN u IS NULL THEN 1.0 ELSE CAST(0.4 AS DOUBLE) END * CASE WHEN vw > 0 THEN vw / CAST(v_ AS DOUBLE)
+    ELSE CASE WHEN v IS NULL THEN 1.0 ELSE CAST(0.4 AS DOUBLE) END * greatest(w, 1) / CAST(greatest(others, 1) AS DOUBLE) END END)) AS score
   FROM counted GROUP BY doc_id
 )
 SELECT own.doc_id, CAST(n_words AS BIGINT) AS n_words, round(coalesce(score, 0.0), 4) AS log_score

@@ -36,11 +36,11 @@ def plain_scores(texts, order):
     return scores
 
 
-@pytest.mark.parametrize("order,size", [(1, 1 << 20), (2, 2_000), (3, 20_000)])
+@pytest.mark.parametrize("order,size", [(1, 1 << 20), (2, 2_000), (3, 2_000), (4, 20_000)])
 def test_awkward_documents(spark, order, size):
     rows = docs_frame(spark).collect()
     expected = sorted((str(r.doc_id), n, round(s, 6)) for r, (n, s) in zip(rows, plain_scores([r.text for r in rows], order)))
-    found = lm_scoring.score(docs_frame(spark), order, chunk_bytes=size, shard_bytes=size).collect()
+    found = lm_scoring.score(docs_frame(spark), order, chunk_bytes=size).collect()
     assert sorted((str(r.doc_id), r.n_words, round(r.log_score, 6)) for r in found) == expected
 
 
