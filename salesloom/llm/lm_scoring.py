@@ -8,9 +8,9 @@ taken off the counts, else every n-gram of the corpus would be known.
 Documents are dealt into chunks of bounded size. A chunk explodes its n-grams into rows of
 a hash and a count, one for each distinct n-gram: a map-side combine, so that an n-gram
 in every document weighs one row a chunk. These rows, partitioned by hash, are summed to
-the count table and joined to it; an n-gram that the chunk alone holds needs no answer,
-as the chunk knows its count. Totals go back to the chunk, where each document's own
-counts are taken off and its logarithms summed. Words and pairs go first; a longer n-gram
+a count table of the n-grams that several chunks hold, and joined to it in the same
+partitioning. What other chunks hold goes back to the chunk, which adds its own count,
+takes each document's own off and sums the logarithms. Words and pairs go first; a longer n-gram
 is asked for only if other chunks hold both of its parts, as else they can't hold it. All
 counts stay exact.
 
@@ -33,7 +33,7 @@ BACKOFF = 0.4
 #: Bytes of text behind one chunk.
 CHUNK_BYTES = 8 << 20
 
-ASKED = "chunk long, gram long, n int"
+ASKED = "chunk long not null, gram long not null, n int not null"
 SCORED = "doc_id long, n_words long, log_score double"
 
 
@@ -61,19 +61,19 @@ class Words:
         return mix(windows_of(self.hashes, length) + np.uint64(length))[ends - length + 1].view(np.int64)
 
 
-class Totals:
-    """What the count table answered: n-grams that other chunks hold too."""
+class Others:
+    """What the count table answered: how often other chunks hold an n-gram."""
 
     def __init__(self, answers: pa.Table):
         grams = answers.column("gram").to_numpy()
         order = np.argsort(grams)
-        self.grams, self.totals = grams[order], answers.column("total").to_numpy()[order]
+        self.grams, self.counts = grams[order], answers.column("others").to_numpy()[order]
 
-    def of(self, grams: np.ndarray, default: np.ndarray) -> np.ndarray:
+    def of(self, grams: np.ndarray) -> np.ndarray:
         if not len(self.grams):
-            return default
+            return np.zeros(len(grams), dtype=np.int64)
         at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        return np.where(self.grams[at] == grams, self.totals[at], default)
+        return np.where(self.grams[at] == grams, self.counts[at], 0)
 
 
 def _rows(chunk: pa.Table, grams: np.ndarray) -> pa.Table:
@@ -92,10 +92,9 @@ def _first(longest: int):
 
 def _longer(length: int):
     def longer(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        words, totals = Words(chunk.column("bytes").to_pylist()), Totals(answers)
-        part = words.grams(length - 1)
+        words, others = Words(chunk.column("bytes").to_pylist()), Others(answers)
         shared = np.zeros(len(words.hashes) + 1, dtype=bool)  # the last one for the word before the first
-        shared[words.ends(length - 1)] = totals.of(part, np.zeros(len(part), dtype=np.int64)) > 0
+        shared[words.ends(length - 1)] = others.of(words.grams(length - 1)) > 0
         ends = words.ends(length)
         return _rows(chunk, words.grams(length)[shared[ends] & shared[ends - 1]])
 
@@ -103,16 +102,20 @@ def _longer(length: int):
 
 
 def _answers(asked: DataFrame) -> DataFrame:
-    """The totals of the n-grams that other chunks hold too, for each chunk that asked."""
+    """How often others hold the n-grams that a chunk asked for and does not hold alone.
+
+    Both sides of the join read all columns of one shuffle, so that Spark writes it once.
+    """
     asked = asked.repartition("gram")
-    counts = asked.groupBy("gram").agg(F.sum("n").alias("total"))
-    return asked.join(counts, "gram").where("total > n").select("chunk", "gram", "total")
+    counts = asked.groupBy("gram").agg(F.sum("n").alias("total"), F.min("chunk").alias("least"), F.max("chunk").alias("most"))
+    shared = counts.where("least < most").select("gram", "total")
+    return asked.join(shared, "gram").select("chunk", "gram", F.expr("total - n").alias("others"))
 
 
-def scores_of(words: Words, totals: Totals, all_words: int, order: int, backoff: float) -> np.ndarray:
+def scores_of(words: Words, others: Others, all_words: int, order: int, backoff: float) -> np.ndarray:
     """Summed log scores of a chunk's documents."""
     log = np.zeros(len(words.n_words))
-    others = max(all_words, 1) - words.n_words[words.document]
+    other_words = all_words - words.n_words[words.document]
     shorter = score = None
     for length in range(1, order + 1):
         ends, (distinct, place, counts) = words.ends(length), np.unique(
@@ -122,9 +125,9 @@ def scores_of(words: Words, totals: Totals, all_words: int, order: int, backoff:
         pairs = words.document[ends] * np.int64(len(distinct) + 1) + place
         _, pair, own = np.unique(pairs, return_inverse=True, return_counts=True)
         other = np.zeros(len(words.hashes))
-        other[ends] = totals.of(distinct, counts)[place] - own[pair]
+        other[ends] = (others.of(distinct) + counts)[place] - own[pair]
         if length == 1:
-            score = np.maximum(other, 1.0) / np.maximum(others, 1.0)
+            score = np.maximum(other, 1.0) / np.maximum(other_words, 1.0)
         else:
             with np.errstate(divide="ignore", invalid="ignore"):
                 direct = other[ends] / shorter[ends - 1]
@@ -137,7 +140,7 @@ def scores_of(words: Words, totals: Totals, all_words: int, order: int, backoff:
 def _scored(order: int, backoff: float, all_words: int):
     def scored(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         words = Words(chunk.column("bytes").to_pylist())
-        log = scores_of(words, Totals(answers), all_words, order, backoff)
+        log = scores_of(words, Others(answers), all_words, order, backoff)
         return pa.Table.from_arrays(
             [chunk.column("doc_id").combine_chunks(), pa.array(words.n_words), pa.array(log)],
             names=["doc_id", "n_words", "log_score"],
