@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from llm_cases import docs_frame, words
 from oracle_check import compare, duck
+from pyspark.sql import functions as F
 
 from salesloom.llm import lm_scoring
 from salesloom.llm.queries import ORACLE, QUERIES
@@ -50,5 +51,23 @@ def test_query_equals_sql(spark, small):
     assert differences == []
 
 
+def test_chunks_equal_sql(spark, small):
+    """Many chunks, so that all counts cross chunks and longer n-grams are asked for by their parts."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    scored = lm_scoring.score(docs, chunk_bytes=50_000).withColumn("log_score", F.round("log_score", 4))
+    rows, differences = compare(scored, duck(small), ORACLE["op9_lm_scoring"])
+    assert rows == 1000
+    assert differences == []
+
+
+def test_asked_once(spark, small):
+    """Count table and join read one shuffle, and all passes one shuffle of the texts."""
+    scored = lm_scoring.score(spark.read.parquet(f"{small}/documents.parquet"), chunk_bytes=50_000)
+    scored.collect()
+    plan = scored._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert len(exchanges) == 5  # texts, and for each of two passes what is asked and answered
+
+
 def test_empty(spark):
     assert lm_scoring.score(docs_frame(spark, [])).count() == 0
