@@ -1,12 +1,19 @@
 """Approximate nearest neighbours: multiprobe p-stable hashing.
 
 Vectors are put on a sphere, with one more component, so that the largest inner product
-is the smallest distance. Each table hashes them by `FUNCTIONS` Gaussian projections cut
+is the smallest distance. Each table hashes them by some Gaussian projections cut
 into steps. A query visits its own bucket and then those beside it, in the order in which
 they are likely to hold a neighbour: by the squared distances from the query to the
 edges that it would have to cross. What the buckets of all tables hold is ranked by the
 exact inner product of the original vectors.
 
+How many tables, functions and probes there are and how wide a step is follows the
+vectors and their number. `DRAWN_QUERIES` queries are compared with all entries, so their
+neighbours are known; of the families tried, that one is taken which scores the fewest
+entries, judged by `DRAWN_ENTRIES` of them, and yet finds `RECALL` of these neighbours, or
+the most of them if none finds as many. The nearer neighbours lie against the rest, the
+less is scored. Every vector is indexed whatever was drawn.
+
 Equal vectors are one entry of the index, with their smallest ids beside it. Entries and
 probes of one bucket are dealt into blocks of bounded size and each block of one meets
 each of the other, so a hot bucket is spread. Queries that find too few candidates are
@@ -20,7 +27,10 @@ its own id. Rows without an id take no part, other columns neither.
 
 from __future__ import annotations
 
+import functools
 import heapq
+from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,7 +40,27 @@ from pyspark.sql import functions as F
 
 from salesloom.llm.common import Scratch, mix
 
-TABLES, FUNCTIONS, STEP, PROBES = 4, 4, 1.2, 70
+
+class Family(NamedTuple):
+    """How vectors are hashed, and how it did on what was drawn: recall and share of entries scored."""
+
+    tables: int
+    functions: int
+    step: float
+    probes: int
+    recall: float | None = None
+    share: float | None = None
+
+
+#: Where nothing could be drawn.
+DEFAULT = Family(4, 4, 1.2, 70)
+#: What is tried: functions, steps against the neighbours' median distance, tables, probes.
+FUNCTIONS, STEPS, TABLES = (2, 3, 4, 6, 8), (1.0, 1.3, 1.7), (1, 2, 4, 8)
+PROBES = (1, 4, 12, 20, 30, 45, 70, 110, 170, 300, 500)
+#: A visited bucket makes as much work as so many scored entries.
+PROBE_WORK = 4
+#: Queries and entries that are drawn to choose, and the share of their neighbours to be found.
+DRAWN_QUERIES, DRAWN_ENTRIES, RECALL = 64, 2048, 0.93
 #: Entries or probes of one block.
 BLOCK_ROWS = 50_000
 SEED = 29
@@ -50,8 +80,17 @@ def norm(v: Column) -> Column:
 
 def projections(dim: int, tables: int, functions: int, step: float) -> tuple[np.ndarray, np.ndarray]:
     """Directions (dim + 1, tables * functions) and offsets, the same wherever they are drawn."""
-    rng = np.random.default_rng([SEED, dim])
-    return rng.normal(size=(dim + 1, tables * functions)), rng.uniform(0, step, tables * functions)
+    drawn = [np.random.default_rng([SEED, dim, table]) for table in range(tables)]
+    directions = [rng.normal(size=(dim + 1, functions)) for rng in drawn]
+    return np.concatenate(directions, axis=1), np.concatenate([rng.uniform(0, step, functions) for rng in drawn])
+
+
+def on_sphere(v: np.ndarray, largest: float | None) -> np.ndarray:
+    """Entries, shorter than `largest`, or queries (None) as points of a sphere with a dimension more."""
+    if largest is None:
+        return np.c_[v / np.linalg.norm(v, axis=1)[:, None], np.zeros(len(v))]
+    v = v / largest
+    return np.c_[v, np.sqrt(np.maximum(0.0, 1.0 - (v * v).sum(axis=1)))]
 
 
 def probe_order(inside: np.ndarray, probes: int) -> list[np.ndarray]:
@@ -79,6 +118,29 @@ def probe_order(inside: np.ndarray, probes: int) -> list[np.ndarray]:
     return order
 
 
+def costs_of(inside: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """What it costs each query (rows of `inside`) to go the steps, beside none more than one: see `probe_order`."""
+    cost = np.where(steps == -1, inside * inside, np.where(steps == 1, (1 - inside) ** 2, 0.0))
+    return np.where(np.abs(steps) > 1, np.inf, cost).sum(axis=-1)
+
+
+@functools.lru_cache
+def _moves(functions: int) -> np.ndarray:
+    return np.array(list(product((-1, 0, 1), repeat=functions)))
+
+
+def probe_orders(inside: np.ndarray, probes: int) -> list[np.ndarray]:
+    """`probe_order` for each row of `inside`; of few functions, by sorting all there are."""
+    if inside.shape[1] > max(FUNCTIONS):
+        return [np.array(probe_order(row, probes)) for row in inside]
+    moves = _moves(inside.shape[1])
+    orders = []
+    for at in range(0, len(inside), 256):
+        costs = costs_of(inside[at : at + 256, None, :], moves[None])
+        orders += [moves[np.argsort(cost, kind="stable")[:probes]] for cost in costs]
+    return orders
+
+
 def _bucket_names(dim: int, table: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """A 64-bit name for each bucket: its table, the vectors' length and its cell."""
     name = mix(np.full(len(cells), dim, dtype=np.uint64) * np.uint64(4096) + table.astype(np.uint64))
@@ -102,12 +164,7 @@ def _hashed(largest: float, probes: int, tables: int, functions: int, step: floa
         for batch in batches:
             for dim, ids, v in _by_length(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 directions, offsets = projections(dim, tables, functions, step)
-                if probes:
-                    v = np.c_[v / np.linalg.norm(v, axis=1)[:, None], np.zeros(len(v))]
-                else:
-                    v = v / largest
-                    v = np.c_[v, np.sqrt(np.maximum(0.0, 1.0 - (v * v).sum(axis=1)))]
-                places = (v @ directions + offsets) / step
+                places = (on_sphere(v, None if probes else largest) @ directions + offsets) / step
                 cells = np.floor(places).astype(np.int64)
                 for table in range(tables):
                     own = slice(table * functions, (table + 1) * functions)
@@ -115,10 +172,8 @@ def _hashed(largest: float, probes: int, tables: int, functions: int, step: floa
                         named = _bucket_names(dim, np.full(len(ids), table), cells[:, own])
                         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(named)], schema=schema)
                         continue
-                    visited = [
-                        cell + np.array(probe_order(inside, probes))
-                        for cell, inside in zip(cells[:, own], places[:, own] - cells[:, own])
-                    ]
+                    orders = probe_orders(places[:, own] - cells[:, own], probes)
+                    visited = [cell + steps for cell, steps in zip(cells[:, own], orders)]
                     of = np.repeat(ids, [len(x) for x in visited])
                     named = _bucket_names(dim, np.full(len(of), table), np.concatenate(visited))
                     yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(named)], schema=schema)
@@ -126,6 +181,105 @@ def _hashed(largest: float, probes: int, tables: int, functions: int, step: floa
     return hashed
 
 
+class Drawn(NamedTuple):
+    """Vectors of one length: queries, the queries' neighbours and then other entries.
+
+    `near` has a row for each neighbour, in order: the places of its query and of itself.
+    """
+
+    queries: np.ndarray
+    entries: np.ndarray
+    near: np.ndarray
+
+
+def _met(drawn: Drawn, functions: int, step: float, largest: float):
+    """(tables, probes, met): which entries each query meets, for all numbers of tables and probes."""
+    dim = drawn.queries.shape[1]
+    directions, offsets = projections(dim, max(TABLES), functions, step)
+    asked = (on_sphere(drawn.queries, None) @ directions + offsets) / step
+    held = np.floor((on_sphere(drawn.entries, largest) @ directions + offsets) / step)
+    moves = _moves(functions)
+    met = np.zeros((len(PROBES), len(asked), len(held)), dtype=bool)
+    for table in range(max(TABLES)):
+        own = slice(table * functions, (table + 1) * functions)
+        cells = np.floor(asked[:, own])
+        inside = (asked[:, own] - cells)[:, None, :]
+        cost = costs_of(inside, held[None, :, own] - cells[:, None, :])
+        dearest = np.sort(costs_of(inside, moves[None]), axis=1)
+        for k, probes in enumerate(PROBES):
+            met[k] |= cost <= dearest[:, min(probes, len(moves)) - 1, None]
+            if table + 1 in TABLES:
+                yield table + 1, probes, met[k]
+
+
+def choose(drawn: list[Drawn], largest: float, n_entries: int, n_queries: int, recall: float = RECALL) -> Family:
+    """The family that makes the least work of those that find enough, told by what was drawn."""
+    gaps = [np.linalg.norm(on_sphere(d.queries[d.near[:, 0]], None) - on_sphere(d.entries[d.near[:, 1]], largest), axis=1) for d in drawn]
+    gaps = np.concatenate(gaps) if gaps else np.empty(0)
+    distance = float(np.median(gaps)) if len(gaps) else 0.0
+    if not distance:
+        return DEFAULT
+    tried = []
+    for functions, wide in product(FUNCTIONS, STEPS):
+        step = float(f"{wide * distance:.2g}")
+        counts: dict[tuple[int, int], np.ndarray] = {}
+        for d in drawn:
+            for tables, probes, met in _met(d, functions, step, largest):
+                others = met[:, len(d.near) :]
+                hits = np.array([met[d.near[:, 0], d.near[:, 1]].sum(), len(d.near), others.sum(), others.size])
+                counts[tables, probes] = counts.get((tables, probes), 0) + hits
+        for (tables, probes), (found, near, scored, pairs) in counts.items():
+            family = Family(tables, functions, step, probes, float(found / near), float(scored / max(1, pairs)))
+            # Entries scored, buckets visited and a query's part of the index.
+            work = family.share * n_entries + PROBE_WORK * tables * min(probes, 3**functions) + tables * n_entries / max(1, n_queries)
+            tried.append((min(0.0, family.recall - recall), -work, family))
+    return max(tried)[2]
+
+
+def _nearest(queries: list[tuple[int, list[float]]], most: int):
+    """The best entries of a batch for each of a few queries."""
+    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    asked = {dim: (ids, v) for dim, ids, v in _by_length([q for q, _ in queries], [v for _, v in queries])}
+
+    def nearest(batches):
+        for batch in batches:
+            for dim, ids, v in _by_length(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if dim not in asked:
+                    continue
+                names, vectors = asked[dim]
+                scores = vectors @ v.T
+                at = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+                columns = np.repeat(names, at.shape[1]), ids[at.ravel()], np.take_along_axis(scores, at, axis=1).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    return nearest
+
+
+def family_for(queries: DataFrame, index: DataFrame, nearest: int, largest: float, n_entries: int, recall: float = RECALL) -> Family:
+    """The family for these queries and entries, both (id, v)."""
+
+    def some(rows: DataFrame, n: int) -> list[tuple[int, list[float]]]:
+        return [(r.id, r.v) for r in rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(n).collect()]
+
+    asking = some(queries, DRAWN_QUERIES)
+    if not asking:
+        return DEFAULT
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    best_of = index.select("id", "v").mapInArrow(_nearest(asking, nearest + 1), "query long, id long, score double")
+    best_of = best_of.where("query != id").withColumn("at", F.row_number().over(order)).where(F.col("at") <= nearest)
+    near = best_of.join(index, "id").select("query", "id", "v").collect()
+    others = some(index, DRAWN_ENTRIES)
+    drawn = []
+    for dim, ids, vectors in _by_length([q for q, _ in asking], [v for _, v in asking]):
+        place = {q: k for k, q in enumerate(ids.tolist())}
+        pairs = sorted((place[r.query], r.id, r.v) for r in near if r.query in place)
+        entries = [v for _, _, v in pairs] + [v for _, v in others if len(v) == dim]
+        if pairs:
+            found = np.array([(q, k) for k, (q, _, _) in enumerate(pairs)])
+            drawn.append(Drawn(vectors, np.array(entries, dtype=np.float64), found))
+    return choose(drawn, largest, n_entries, queries.count(), recall)
+
+
 def best(query: np.ndarray, entry: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
     """Positions of each query's `most` best entries, every entry once, ties to the smaller id."""
     order = np.lexsort((entry, -score, query))
@@ -175,7 +329,7 @@ def _scored(most: int):
     return scored
 
 
-def _met(probes: DataFrame, entries: DataFrame, queries: DataFrame, index: DataFrame, most: int, shard_rows: int, scratch: Scratch, name: str) -> DataFrame:
+def _compared(probes: DataFrame, entries: DataFrame, queries: DataFrame, index: DataFrame, most: int, shard_rows: int, scratch: Scratch, name: str) -> DataFrame:
     """Top entries of each query among those whose bucket it visits."""
     held = entries.groupBy("bucket").agg(F.count("*").alias("held"))
     asked = probes.groupBy("bucket").agg(F.count("*").alias("asked"))
@@ -201,10 +355,14 @@ def _met(probes: DataFrame, entries: DataFrame, queries: DataFrame, index: DataF
 
 
 def search(
-    vectors: DataFrame, every: int, nearest: int, tables: int = TABLES, functions: int = FUNCTIONS,
-    step: float = STEP, probes: int = PROBES, block_rows: int = BLOCK_ROWS,
+    vectors: DataFrame, every: int, nearest: int, tables: int | None = None, functions: int | None = None,
+    step: float | None = None, probes: int | None = None, block_rows: int = BLOCK_ROWS, recall: float = RECALL,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vec_id divisible by `every` its nearest others."""
+    """query_id, rank, vec_id, score: for each vec_id divisible by `every` its nearest others.
+
+    Tables, functions, step and probes are chosen by the vectors; once one of them is
+    told, what is not told comes from `DEFAULT`.
+    """
     scratch = Scratch(vectors.sparkSession, "ann")
     most = nearest + 1
     rows = usable(vectors).withColumn("a", F.xxhash64("v")).withColumn("b", F.xxhash64(F.reverse("v"), F.lit(1)))
@@ -221,17 +379,22 @@ def search(
     queries = scratch.table(index.join(asking.select(F.col("query").alias("id")).distinct(), "id", "left_semi"), "queries")
 
     largest, n_entries = index.agg(F.max(norm(F.col("v"))), F.count("*")).first()
-    family = (tables, functions, step)
+    largest, told = largest or 1.0, (tables, functions, step, probes)
+    if told == (None, None, None, None):
+        family = family_for(queries, index, nearest, largest, n_entries, recall)
+    else:
+        family = Family(*(given if given is not None else usual for given, usual in zip(told, DEFAULT)))
+    hashing = family.tables, family.functions, family.step
     schema = "id long, bucket long"
-    entries = scratch.table(index.mapInArrow(_hashed(largest or 1.0, 0, *family), schema), "entries")
-    visits = scratch.table(queries.mapInArrow(_hashed(largest or 1.0, probes, *family), schema), "visits")
-    found = _met(visits, entries, queries, index, most, block_rows, scratch, "probed")
+    entries = scratch.table(index.mapInArrow(_hashed(largest, 0, *hashing), schema), "entries")
+    visits = scratch.table(queries.mapInArrow(_hashed(largest, family.probes, *hashing), schema), "visits")
+    found = _compared(visits, entries, queries, index, most, block_rows, scratch, "probed")
 
     # Queries that met fewer than they could are compared with all entries.
     enough = found.groupBy("query").agg(F.countDistinct("entry").alias("n")).where(F.col("n") >= min(most, n_entries or 0))
     short = queries.join(enough.select(F.col("query").alias("id")), "id", "left_anti")
     length = F.size("v").cast("long")
-    rest = _met(
+    rest = _compared(
         short.select("id", length.alias("bucket")), index.select("id", length.alias("bucket")),
         queries, index, most, block_rows, scratch, "compared",
     )

@@ -88,6 +88,71 @@ def test_probes_come_in_order_of_cost():
     assert {tuple(o) for o in order} == set(product((-1, 0, 1), repeat=3))
     costs = [cost(o) for o in order]
     assert np.allclose(costs, sorted(costs))
+    assert [tuple(o) for o in ann.probe_orders(inside[None], 20)[0]] == [tuple(o) for o in order[:20]]
+
+
+def clustered(n, clusters=200, dim=32, seed=4):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(clusters, dim))
+    centers /= np.linalg.norm(centers, axis=1)[:, None]
+    return centers[rng.integers(0, clusters, n)] + 0.05 * rng.normal(size=(n, dim))
+
+
+def drawn_from(v, nearest=20):
+    queries = np.arange(0, len(v), max(20, len(v) // 40))
+    scores = v[queries] @ v.T
+    scores[np.arange(len(queries)), queries] = -np.inf
+    at = np.argsort(-scores, axis=1)[:, :nearest]
+    near = np.c_[np.repeat(np.arange(len(queries)), nearest), np.arange(at.size)]
+    others = v[np.linspace(0, len(v) - 1, 1500).astype(int)]
+    return ann.Drawn(v[queries], np.concatenate([v[at.ravel()], others]), near), np.linalg.norm(v, axis=1).max()
+
+
+def test_less_is_scored_the_more_vectors_there_are():
+    """On a sphere of few dimensions neighbours come nearer with the number of vectors."""
+    families = []
+    for n in (1_000, 8_000, 64_000):
+        v = np.random.default_rng(5).normal(size=(n, 8))
+        drawn, largest = drawn_from(v / np.linalg.norm(v, axis=1)[:, None])
+        families.append(ann.choose([drawn], largest, n, n // 20))
+    assert all(family.recall >= ann.RECALL for family in families)
+    shares = [family.share for family in families]
+    assert shares[1] < shares[0] / 2 and shares[2] < shares[1] / 2
+
+
+def test_nothing_drawn_nothing_chosen():
+    assert ann.choose([], 1.0, 10, 1) == ann.DEFAULT
+
+
+@pytest.mark.parametrize("functions,step", [(2, 1.0), (4, 0.6)])
+def test_judged_by_what_is_visited(functions, step):
+    """Which entries a query meets, told from costs and by way of the buckets themselves."""
+    drawn, largest = drawn_from(clustered(1_500, dim=8))
+    directions, offsets = ann.projections(8, max(ann.TABLES), functions, step)
+    asked = (ann.on_sphere(drawn.queries, None) @ directions + offsets) / step
+    held = np.floor((ann.on_sphere(drawn.entries, largest) @ directions + offsets) / step)
+    for tables, probes, met in ann._met(drawn, functions, step, largest):
+        if (tables, probes) not in ((1, 4), (2, 12), (4, 70)):
+            continue
+        expected = np.zeros_like(met)
+        for table, q in product(range(tables), range(len(asked))):
+            own = slice(table * functions, (table + 1) * functions)
+            cells = np.floor(asked[q, own])
+            visited = {tuple(cells + steps) for steps in ann.probe_order(asked[q, own] - cells, probes)}
+            expected[q] |= [tuple(entry) in visited for entry in held[:, own]]
+        assert (met == expected).all()
+
+
+def test_chosen_family_finds_neighbours(spark):
+    v = np.float32(clustered(4_000)).astype(float)
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    rows += [(5_000, [1.0, 2.0]), (5_001, [2.0, 1.0]), (5_020, [float("nan")] * 32), (5_040, None)]
+    found = by_query(ann.search(frame(spark, rows), 20, 20).collect())
+    expected = brute(rows, 20, 20)
+    assert found.keys() == expected.keys()
+    hits = sum(len({i for _, i in found[q]} & {i for _, i in expected[q]}) for q in expected)
+    assert hits >= 0.9 * sum(map(len, expected.values()))
+    assert [i for _, i in found[5_000]] == [5_001]
 
 
 def test_empty(spark):
