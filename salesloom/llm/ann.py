@@ -11,7 +11,8 @@ How many tables, functions and probes there are and how wide a step is follows t
 vectors and their number. `DRAWN_QUERIES` queries are compared with all entries, so their
 neighbours are known; of the families tried, that one is taken which scores the fewest
 entries, judged by `DRAWN_ENTRIES` of them, and yet finds `RECALL` of these neighbours, or
-the most of them if none finds as many. The nearer neighbours lie against the rest, the
+the most of them if none finds as many. A query visits `VISITS` buckets however many
+tables share them. The nearer neighbours lie against the rest, the
 less is scored. Every vector is indexed whatever was drawn.
 
 Equal vectors are one entry of the index, with their smallest ids beside it. Entries and
@@ -54,11 +55,10 @@ class Family(NamedTuple):
 
 #: Where nothing could be drawn.
 DEFAULT = Family(4, 4, 1.2, 70)
-#: What is tried: functions, steps against the neighbours' median distance, tables, probes.
-FUNCTIONS, STEPS, TABLES = (2, 3, 4, 6, 8), (1.0, 1.3, 1.7), (1, 2, 4, 8)
-PROBES = (1, 4, 12, 20, 30, 45, 70, 110, 170, 300, 500)
-#: A visited bucket makes as much work as so many scored entries.
-PROBE_WORK = 4
+#: What is tried: functions, steps against the neighbours' median distance, tables.
+FUNCTIONS, STEPS, TABLES = (4, 6, 8), (0.85, 1.0, 1.15, 1.3, 1.5), (1, 2, 4, 8)
+#: Buckets that a query visits in all its tables, so that the work beside scoring follows the rows.
+VISITS = 320
 #: Queries and entries that are drawn to choose, and the share of their neighbours to be found.
 DRAWN_QUERIES, DRAWN_ENTRIES, RECALL = 64, 2048, 0.93
 #: Entries or probes of one block.
@@ -192,28 +192,28 @@ class Drawn(NamedTuple):
     near: np.ndarray
 
 
-def _met(drawn: Drawn, functions: int, step: float, largest: float):
-    """(tables, probes, met): which entries each query meets, for all numbers of tables and probes."""
+def _met(drawn: Drawn, functions: int, step: float, largest: float) -> dict[int, np.ndarray]:
+    """By the number of tables, which entries each query meets."""
     dim = drawn.queries.shape[1]
     directions, offsets = projections(dim, max(TABLES), functions, step)
     asked = (on_sphere(drawn.queries, None) @ directions + offsets) / step
     held = np.floor((on_sphere(drawn.entries, largest) @ directions + offsets) / step)
     moves = _moves(functions)
-    met = np.zeros((len(PROBES), len(asked), len(held)), dtype=bool)
+    met = {tables: np.zeros((len(asked), len(held)), dtype=bool) for tables in TABLES}
     for table in range(max(TABLES)):
         own = slice(table * functions, (table + 1) * functions)
         cells = np.floor(asked[:, own])
         inside = (asked[:, own] - cells)[:, None, :]
         cost = costs_of(inside, held[None, :, own] - cells[:, None, :])
         dearest = np.sort(costs_of(inside, moves[None]), axis=1)
-        for k, probes in enumerate(PROBES):
-            met[k] |= cost <= dearest[:, min(probes, len(moves)) - 1, None]
-            if table + 1 in TABLES:
-                yield table + 1, probes, met[k]
+        for tables in TABLES:
+            if table < tables:
+                met[tables] |= cost <= dearest[:, min(VISITS // tables, len(moves)) - 1, None]
+    return met
 
 
-def choose(drawn: list[Drawn], largest: float, n_entries: int, n_queries: int, recall: float = RECALL) -> Family:
-    """The family that makes the least work of those that find enough, told by what was drawn."""
+def choose(drawn: list[Drawn], largest: float, recall: float = RECALL) -> Family:
+    """The family that scores the least of those that find enough, told by what was drawn."""
     gaps = [np.linalg.norm(on_sphere(d.queries[d.near[:, 0]], None) - on_sphere(d.entries[d.near[:, 1]], largest), axis=1) for d in drawn]
     gaps = np.concatenate(gaps) if gaps else np.empty(0)
     distance = float(np.median(gaps)) if len(gaps) else 0.0
@@ -222,18 +222,15 @@ def choose(drawn: list[Drawn], largest: float, n_entries: int, n_queries: int, r
     tried = []
     for functions, wide in product(FUNCTIONS, STEPS):
         step = float(f"{wide * distance:.2g}")
-        counts: dict[tuple[int, int], np.ndarray] = {}
+        counts = {tables: np.zeros(4) for tables in TABLES}
         for d in drawn:
-            for tables, probes, met in _met(d, functions, step, largest):
+            for tables, met in _met(d, functions, step, largest).items():
                 others = met[:, len(d.near) :]
-                hits = np.array([met[d.near[:, 0], d.near[:, 1]].sum(), len(d.near), others.sum(), others.size])
-                counts[tables, probes] = counts.get((tables, probes), 0) + hits
-        for (tables, probes), (found, near, scored, pairs) in counts.items():
-            family = Family(tables, functions, step, probes, float(found / near), float(scored / max(1, pairs)))
-            # Entries scored, buckets visited and a query's part of the index.
-            work = family.share * n_entries + PROBE_WORK * tables * min(probes, 3**functions) + tables * n_entries / max(1, n_queries)
-            tried.append((min(0.0, family.recall - recall), -work, family))
-    return max(tried)[2]
+                counts[tables] += met[d.near[:, 0], d.near[:, 1]].sum(), len(d.near), others.sum(), others.size
+        for tables, (found, near, scored, pairs) in counts.items():
+            family = Family(tables, functions, step, VISITS // tables, float(found / near), float(scored / max(1, pairs)))
+            tried.append((min(0.0, family.recall - recall), -family.share, -tables, family))
+    return max(tried)[-1]
 
 
 def _nearest(queries: list[tuple[int, list[float]]], most: int):
@@ -255,7 +252,7 @@ def _nearest(queries: list[tuple[int, list[float]]], most: int):
     return nearest
 
 
-def family_for(queries: DataFrame, index: DataFrame, nearest: int, largest: float, n_entries: int, recall: float = RECALL) -> Family:
+def family_for(queries: DataFrame, index: DataFrame, nearest: int, largest: float, recall: float = RECALL) -> Family:
     """The family for these queries and entries, both (id, v)."""
 
     def some(rows: DataFrame, n: int) -> list[tuple[int, list[float]]]:
@@ -277,7 +274,7 @@ def family_for(queries: DataFrame, index: DataFrame, nearest: int, largest: floa
         if pairs:
             found = np.array([(q, k) for k, (q, _, _) in enumerate(pairs)])
             drawn.append(Drawn(vectors, np.array(entries, dtype=np.float64), found))
-    return choose(drawn, largest, n_entries, queries.count(), recall)
+    return choose(drawn, largest, recall)
 
 
 def best(query: np.ndarray, entry: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
@@ -381,7 +378,7 @@ def search(
     largest, n_entries = index.agg(F.max(norm(F.col("v"))), F.count("*")).first()
     largest, told = largest or 1.0, (tables, functions, step, probes)
     if told == (None, None, None, None):
-        family = family_for(queries, index, nearest, largest, n_entries, recall)
+        family = family_for(queries, index, nearest, largest, recall)
     else:
         family = Family(*(given if given is not None else usual for given, usual in zip(told, DEFAULT)))
     hashing = family.tables, family.functions, family.step
