@@ -44,8 +44,8 @@ class Scratch:
         for made in _temporary[-1:]:
             made.append(self)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+    def table(self, df: DataFrame, name: str, mode: str = "error") -> DataFrame:
+        df.write.mode(mode).option("compression", "zstd").parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def remove(self, *names: str) -> None:
@@ -82,6 +82,21 @@ def temporary() -> Iterator[None]:
             scratch.clear()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Of what is planned and written inside, Spark removes the shuffle files when it is written.
+
+    For tables that are written once; a frame made inside that runs again would shuffle anew.
+    """
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(cleanup, before)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with as many underscores after it as keep it apart from the frame's columns."""
     taken = {c.lower() for c in df.columns}

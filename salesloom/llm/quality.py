@@ -1,23 +1,22 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
-The model is trained on trusted documents, labelled good and not toxic: on a bounded
-sample of them, `TRAIN_DOCS` of `TRAIN_WORDS` words together, by a hash of their ids and
-whole texts whatever their length (the last one may pass the bound). A text's perplexity is
-compared with a quantile of those of its own language, taken over the trusted documents
-that the model has not seen; above it the document is rejected. A language without such
-documents takes the quantile of all of them.
+The model is trained on whole trusted documents, labelled good and not toxic: on three in
+four of them by a hash of their ids, however many they are. A text's perplexity is
+compared with a quantile of those of its own language, taken over the other trusted
+documents, which the model has not seen; above it the document is rejected. A language
+without such documents takes the quantile of all of them. Quantiles are exact.
 
 Counts, continuation counts, contexts and discounts are aggregates and joins that are
-sharded by n-gram hash. What they give is one weight a n-gram and one a context, so that
+sharded by n-gram. What they give is one weight a n-gram and one a context, so that
 a word's probability is
 
     a3 + g3 * (a2 + g2 * (a1 + g1 / VOCABULARY))
 
-with a = 0 for an unknown n-gram and g = 1 for an unknown context. The sample's bound
-bounds the model: at most 5 * (TRAIN_WORDS + TRAIN_DOCS) weights of 12 bytes, and those
-of one text. It
-goes to every executor in hash shards, since the n-grams of the corpus are too many to
-be shuffled to it; each task looks up its documents' n-grams shard by shard.
+with a = 0 for an unknown n-gram and g = 1 for an unknown context. The model stays a table.
+Documents are dealt into chunks of bounded size; a chunk asks for its distinct words and
+pairs, then for trigrams whose parts the model has, by rows that are joined to the model by
+hash. The weights go back to the chunk, which sums its documents' logarithms. Chunks come
+in `ROUNDS`, and a round's shuffles go at its end, so that the disk holds a share of them.
 
 Words are runs of other bytes than white space, as they are written. Null texts and
 texts without words have no perplexity and are not rejected. A null language is a
@@ -35,17 +34,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import WORD, Scratch, free_name, mix, numbered, text_bytes, word_hashes
+from salesloom.llm.common import WORD, Scratch, free_name, mix, numbered, shuffles_removed, text_bytes, word_hashes
 
-TRAIN_DOCS, TRAIN_WORDS = 4000, 1_500_000
 #: Share of trusted documents that are never trained on.
 HELD_OUT = 4
 QUANTILE = 0.98
+#: A sketch tells a quantile's surroundings to one in so many ranks.
+ACCURACY = 10_000
 #: Words that there could be, each as likely where nothing else is known.
 VOCABULARY = 10_000_000
-SHARDS = 16
+#: Bytes of text behind one chunk, and the rounds that chunks come in.
+CHUNK_BYTES, ROUNDS = 4 << 20, 4
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
+MODEL = "key long, weight double, kind byte"
+ASKED = "chunk long not null, gram long not null"
+SCORED = "doc_id long, row long, lang string, perplexity double"
+
 
 def _name(*parts: np.ndarray) -> np.ndarray:
     """A hash of an n-gram, which its length is part of."""
@@ -55,30 +60,41 @@ def _name(*parts: np.ndarray) -> np.ndarray:
     return total
 
 
-def trigrams(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word, and for the end, the two before it and itself."""
-    padded = np.concatenate([[BEGIN, BEGIN], word_hashes(text.split()), [END]])
-    return padded[:-2], padded[1:-1], padded[2:]
-
+def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' words one after the other, each text between two marks and one; where its words and its
+    end are; how many these are in each text."""
+    split = [text.split() for text in texts]
+    n_words = np.array([len(words) for words in split], dtype=np.int64)
+    places = np.arange(n_words.sum()) + 3 * np.repeat(np.arange(len(texts)), n_words) + 2
+    ends = np.cumsum(n_words + 3) - 1
+    run = np.full(n_words.sum() + 3 * len(texts), BEGIN)
+    run[places], run[ends] = word_hashes([word for words in split for word in words]), END
+    return run, np.sort(np.concatenate([places, ends])), n_words + 1
 
-def keys_of(text: bytes) -> list[np.ndarray]:
-    """Names of u v w, of v w, of w, and of the contexts u v and v, for each word of a text."""
-    u, v, w = trigrams(text)
-    return [_name(u, v, w), _name(v, w), _name(w), _name(u, v) ^ END, _name(v) ^ END]
 
+def keys_of(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Names of u v w, of v w, of w, and of the contexts u v and v, for each word and end; how many these are in each text."""
+    run, at, lengths = padded(texts)
+    ones, twos = _name(run), _name(run[:-1], run[1:])
+    return [_name(run[at - 2], run[at - 1], run[at]), twos[at - 1], ones[at], twos[at - 2] ^ END, ones[at - 1] ^ END], lengths
 
-NAMES = ("uvw", "vw", "w", "uv_", "v_")
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        run, at, _ = padded(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(run[at - k].view(np.int64)) for k in (2, 1, 0)], names=["u", "v", "w"])
 
-def _exploded():
-    schema = pa.schema([(name, pa.int64()) for name in NAMES])
 
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named(kind: int):
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = zip(*(keys_of(text) for text in batch.column(0).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k).view(np.int64)) for k in keys], schema=schema)
+            *words, weights = batch.columns
+            key = _name(*(word.to_numpy().view(np.uint64) for word in words))
+            key = (key ^ END if kind < 0 else key).view(np.int64)
+            kinds = pa.array(np.full(len(key), kind, dtype=np.int8))
+            yield pa.RecordBatch.from_arrays([pa.array(key), weights, kinds], names=["key", "weight", "kind"])
 
-    return exploded
+    return named
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -89,36 +105,48 @@ def discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.1), k - 0.1) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
 
-def _weights(counts: DataFrame, gram: str, context: str | None) -> DataFrame:
-    """(key, weight) of n-grams and of their contexts, from columns gram, context and n."""
-    d1, d2, d3 = discounts(counts)
+def _weights(counts: DataFrame) -> DataFrame:
+    """(key, weight, kind) of n-grams and of their contexts, from columns of words and n.
+
+    The kind is the number of words, below zero for contexts.
+    """
+    *words, _ = counts.columns
+    context, length = words[:-1], len(words)
+    ds = discounts(counts)
     n = F.col("n")
-    discount = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
-    sums = F.sum("n").alias("total"), F.sum(discount).alias("free")
-    if context is None:
-        total, free = counts.agg(*sums).first()
-        grams, totals = counts.withColumn("total", F.lit(total)), counts.sparkSession.range(1 if total else 0)
-        totals = totals.select(F.lit(0).cast("long").alias("key"), F.lit(total).alias("total"), F.lit(free).alias("free"))
+    discount = F.when(n == 1, ds[0]).when(n == 2, ds[1]).otherwise(ds[2])
+    free = sum(F.lit(d) * F.count_if(having) for d, having in zip(ds, (n == 1, n == 2, n > 2)))
+    sums = F.sum("n").alias("total"), free.alias("free")
+    left = (F.col("free") / F.col("total")).alias("weight")
+    if context:
+        # Contexts and their join read all columns of one shuffle, so that Spark writes it once.
+        counts = counts.repartition(*context)
+        totals = counts.groupBy(*context).agg(*sums)
+        grams = counts.join(totals, context)
+        contexts = totals.select(*context, left).mapInArrow(_named(1 - length), MODEL)
     else:
-        totals = counts.groupBy(F.col(context).alias("key")).agg(*sums)
-        grams = counts.join(totals.withColumnRenamed("key", context), context)
-    return grams.select(F.col(gram).alias("key"), ((n - discount) / F.col("total")).alias("weight")).unionByName(
-        totals.select("key", (F.col("free") / F.col("total")).alias("weight"))
-    )
+        totals = counts.agg(*sums).where("total > 0")
+        grams = counts.crossJoin(F.broadcast(totals))
+        contexts = totals.select(F.lit(0).cast("long").alias("key"), left, F.lit(0).cast("byte").alias("kind"))
+    grams = grams.select(*words, ((n - discount) / F.col("total")).alias("weight"))
+    return grams.mapInArrow(_named(length), MODEL).unionByName(contexts)
 
 
 def train(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, weight) of the model, from texts in column `bytes`; key 0 holds what is left to unknown words."""
-    words = texts.select("bytes").mapInArrow(_exploded(), ", ".join(f"{name} long" for name in NAMES))
-    counts3 = scratch.table(words.groupBy(*NAMES).agg(F.count("*").alias("n")), "counts-3")
-    # Lower orders count the different words before an n-gram.
-    counts2 = scratch.table(counts3.groupBy("vw", "w", "v_").agg(F.count("*").alias("n")), "counts-2")
-    counts1 = scratch.table(counts2.groupBy("w").agg(F.count("*").alias("n")), "counts-1")
-    parts = [_weights(counts3, "uvw", "uv_"), _weights(counts2, "vw", "v_"), _weights(counts1, "w", None)]
-    return scratch.table(functools.reduce(DataFrame.unionByName, parts), "model")
-
-
-def sharded(keys: np.ndarray, weights: np.ndarray, shards: int = SHARDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(key, weight, kind) of the model, from texts in column `bytes`; key 0 holds what is left to unknown words."""
+    words = texts.select("bytes").mapInArrow(_exploded, "u long, v long, w long")
+    with shuffles_removed(scratch.spark):
+        counts = scratch.table(words.groupBy("u", "v", "w").agg(F.count("*").alias("n")), "counts-3")
+        for shorter in (["v", "w"], ["w"], []):
+            model = scratch.table(_weights(counts), "model", "append")
+            if shorter:
+                # Lower orders count the different words before an n-gram.
+                counts = scratch.table(counts.groupBy(*shorter).agg(F.count("*").alias("n")), f"counts-{len(shorter)}")
+            scratch.remove(f"counts-{len(shorter) + 1}")
+    return model
+
+
+def sharded(keys: np.ndarray, weights: np.ndarray, shards: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
     """The weights by the leading bits of their keys, each shard sorted by key."""
     of = _shard(keys, shards)
     parts = [np.flatnonzero(of == shard) for shard in range(shards)]
@@ -126,12 +154,6 @@ def sharded(keys: np.ndarray, weights: np.ndarray, shards: int = SHARDS) -> list
     return [(keys[part], weights[part]) for part in parts]
 
 
-def _collected(weights: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The model's weights, which the bound on the sample bounds, in single precision on the driver."""
-    table = weights.withColumn("weight", F.col("weight").cast("float")).toArrow()
-    return sharded(table.column("key").to_numpy().view(np.uint64), table.column("weight").to_numpy())
-
-
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
@@ -161,39 +183,108 @@ def log_probabilities(model: list[tuple[np.ndarray, np.ndarray]], keys: list[np.
 
 def perplexities(texts: list[bytes], model: list[tuple[np.ndarray, np.ndarray]]) -> list[float | None]:
     """exp of the mean negative log probability of a text's words and its end; None without words."""
-    keys = [keys_of(text) for text in texts]
-    log = log_probabilities(model, [np.concatenate(k) for k in zip(*keys)])
-    ends = np.cumsum([len(k[0]) for k in keys])
-    sums = np.add.reduceat(log, np.r_[0, ends[:-1]])
-    lengths = np.diff(np.r_[0, ends])
+    keys, lengths = keys_of(texts)
+    sums = np.add.reduceat(log_probabilities(model, keys), np.cumsum(lengths) - lengths)
     return [float(np.exp(-s / n)) if n > 1 else None for s, n in zip(sums, lengths)]
 
 
-def _perplexity(model):
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("lang", pa.string()), ("perplexity", pa.float64())])
+def _asking(chunk: pa.Table, grams: np.ndarray) -> pa.Table:
+    grams = np.unique(grams).view(np.int64)
+    return pa.table({"chunk": np.full(len(grams), chunk.column("chunk")[0].as_py(), dtype=np.int64), "gram": grams})
+
+
+def _first(chunk: pa.Table) -> pa.Table:
+    """Words and pairs, as such or as contexts, and what is left to unknown words."""
+    (_, vw, w, uv_, v_), _ = keys_of(chunk.column("bytes").to_pylist())
+    return _asking(chunk, np.concatenate([vw, w, uv_ ^ END, v_ ^ END, np.zeros(1, dtype=np.uint64)]))
+
+
+def _model_of(answers: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    return sharded(answers.column("key").to_numpy().view(np.uint64), answers.column("weight").to_numpy())
+
+
+def _longest(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    """Trigrams; the model has none without its pair and its context."""
+    (uvw, vw, _, uv_, _), _ = keys_of(chunk.column("bytes").to_pylist())
+    model = _model_of(answers)
+    return _asking(chunk, uvw[(look_up(model, vw, 0.0) > 0) & (look_up(model, uv_, 0.0) > 0)])
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("bytes").to_pylist()
-            found: list[float | None] = []
-            for at in range(0, len(texts), 500):
-                found += perplexities(texts[at : at + 500], model.value)
-            ids = [batch.column(c) for c in ("doc_id", "row", "lang")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(found, pa.float64())], schema=schema)
 
-    return scored
+def _scored(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    found = pa.array(perplexities(chunk.column("bytes").to_pylist(), _model_of(answers)), pa.float64())
+    return chunk.select(["doc_id", "row", "lang"]).append_column("perplexity", found)
+
+
+def _answers(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """The weights of what chunks asked for, joined by hash."""
+    other = F.col("key").bitwiseXOR(F.lit(int(END)))
+    named = model.select(F.when(F.col("kind") < 0, other).otherwise(F.col("key")).alias("gram"), "kind", "weight")
+    other = F.col("gram").bitwiseXOR(F.lit(int(END)))
+    return asked.join(named, "gram").select("chunk", F.when(F.col("kind") < 0, other).otherwise(F.col("gram")).alias("key"), "weight")
+
+
+def score(rows: DataFrame, model: DataFrame, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, row, lang and perplexity of all rows, which have their texts in column `bytes`."""
+    size = rows.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    chunks = max(1, -(-size // chunk_bytes))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
+    rounds = min(ROUNDS, chunks)
+    for turn in range(rounds):
+        with shuffles_removed(scratch.spark):
+            chunk = dealt.where(F.pmod("chunk", F.lit(rounds)) == turn).repartition("chunk").groupBy("chunk")
+            known = scratch.table(_answers(chunk.applyInArrow(_first, ASKED), model.where("kind < 3")), f"known-{turn}").repartition("chunk")
+            asked = chunk.cogroup(known.groupBy("chunk")).applyInArrow(_longest, ASKED)
+            known = known.unionByName(_answers(asked, model.where("kind = 3")).repartition("chunk"))
+            found = scratch.table(chunk.cogroup(known.groupBy("chunk")).applyInArrow(_scored, SCORED), "scored", "append")
+        scratch.remove(f"known-{turn}")
+    return found
 
 
 def _draw(doc_id: str | Column = "doc_id") -> Column:
     return F.xxhash64(doc_id, F.lit("quality"))
 
 
+def _sampled(texts: DataFrame, scratch: Scratch, docs: int | None, words: int | None) -> DataFrame:
+    """Whole texts by a hash of their ids, `docs` of them and as many as hold `words` (the last one may pass it)."""
+    n_words = F.regexp_count(F.col("bytes").cast("string"), F.lit(WORD)).cast("long")
+    if docs is not None:
+        ids = texts.select("doc_id").distinct().orderBy(_draw(), "doc_id").limit(docs)
+        texts = texts.join(scratch.table(ids, "chosen"), "doc_id", "left_semi")
+    texts = scratch.table(texts.select("doc_id", "row", "bytes", n_words.alias("n_words")), "sample")
+    if words is None:
+        return texts
+    before = Window.orderBy(_draw(), "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    taken = texts.select("row", F.coalesce(F.sum("n_words").over(before), F.lit(0)).alias("before")).where(F.col("before") < words)
+    return texts.join(taken, "row")
+
+
+def quantiles(values: DataFrame, quantile: float) -> DataFrame:
+    """(of, most) of values (of, perplexity): the least value that so many are not above, exactly.
+
+    A sketch tells its surroundings, in which the different values are ranked by their counts.
+    """
+    around = [min(max(quantile + 2 * side / ACCURACY, 0.0), 1.0) for side in (-1, 1)]
+    groups = values.groupBy("of").agg(F.count("*").alias("n"), F.percentile_approx("perplexity", around, ACCURACY).alias("around"))
+    groups = groups.select(F.col("of").alias("group"), F.greatest(F.ceil(F.lit(quantile) * F.col("n")), F.lit(1)).alias("rank"), "around")
+    near = values.join(F.broadcast(groups), F.col("of").eqNullSafe(F.col("group"))).where(F.expr("perplexity <= around[1]"))
+    # All values below the surroundings count as one.
+    near = near.groupBy("of", "rank", F.expr("if(perplexity < around[0], null, perplexity)").alias("perplexity")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("of").orderBy(F.col("perplexity").asc_nulls_first()))
+    return near.withColumn("upto", upto).where("upto >= rank").groupBy("of").agg(F.min("perplexity").alias("most"))
+
+
 def judge(
-    docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS, quantile: float = QUANTILE
+    docs: DataFrame,
+    labels: DataFrame,
+    train_docs: int | None = None,
+    train_words: int | None = None,
+    quantile: float = QUANTILE,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """row, doc_id, lang, perplexity, most (the language's threshold) and kept, of every row.
 
-    `row` is the row's place in the table.
+    `row` is the row's place in the table. The model takes all trusted documents that are not
+    held out, unless the caller bounds them or their words.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
@@ -202,26 +293,17 @@ def judge(
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     trusted = labels.groupBy("doc_id").agg(F.min(F.coalesce(good, F.lit(False))).alias("good")).where("good and doc_id is not null")
     trusted = scratch.table(trusted.select("doc_id", (F.pmod(_draw(), F.lit(HELD_OUT)) == 0).alias("held_out")), "trusted")
-    chosen = trusted.where("not held_out").orderBy(_draw(), "doc_id").limit(train_docs).select("doc_id")
-    # At most train_docs ids; the rows of a repeated one are few words beside it or fall to the bound.
-    n_words = F.regexp_count(F.col("bytes").cast("string"), F.lit(WORD)).cast("long")
-    texts = rows.join(F.broadcast(scratch.table(chosen, "chosen")), "doc_id").withColumn("n_words", n_words)
-    texts = scratch.table(texts.select("doc_id", "row", "bytes", "n_words"), "sample")
-    before = Window.orderBy(_draw(), "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    taken = texts.select("row", F.coalesce(F.sum("n_words").over(before), F.lit(0)).alias("before")).where(F.col("before") < train_words)
-    texts = texts.join(taken, "row")
-
-    model = spark.sparkContext.broadcast(_collected(train(texts, scratch)))
-    scored = rows.mapInArrow(_perplexity(model), "doc_id long, row long, lang string, perplexity double")
-    scored = scratch.table(scored, "scored")
-
-    unseen = scored.join(trusted.where("held_out"), "doc_id").where("perplexity is not null")
-    limit = F.percentile_approx("perplexity", quantile, 10_000)
-    by_language = unseen.groupBy(F.col("lang").alias("of")).agg(limit.alias("own"))
-    overall = unseen.agg(limit.alias("overall")).first()["overall"]
-    most = F.coalesce("own", F.lit(overall).cast("double"))
+    texts = rows.join(trusted.where("not held_out"), "doc_id", "left_semi")
+    if train_docs is not None or train_words is not None:
+        texts = _sampled(texts, scratch, train_docs, train_words)
+
+    scored = score(rows, train(texts, scratch), scratch, chunk_bytes)
+    unseen = scored.join(trusted.where("held_out"), "doc_id", "left_semi").where("perplexity is not null")
+    by_language = quantiles(unseen.select(F.col("lang").alias("of"), "perplexity"), quantile).withColumnRenamed("most", "own")
+    overall = quantiles(unseen.select(F.lit("").alias("of"), "perplexity"), quantile).first()
+    most = F.coalesce("own", F.lit(overall and overall["most"]).cast("double"))
     return (
-        scored.join(by_language, F.col("lang").eqNullSafe(F.col("of")), "left")
+        scored.join(F.broadcast(by_language), F.col("lang").eqNullSafe(F.col("of")), "left")
         .withColumn("most", most)
         .withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("most"), F.lit(True)))
         .select("row", "doc_id", "lang", "perplexity", "most", "kept")

@@ -137,3 +137,44 @@ def test_empty(spark, tmp_path):
     assert quality.judge(stored(docs_frame(spark, []), tmp_path), labels).count() == 0
     docs = stored(docs_frame(spark), tmp_path)
     assert quality.keep_good(docs, labels).count() == docs.count()
+
+
+def test_whole_training(spark, tmp_path, monkeypatch):
+    """Every trusted document that is not held out is trained on, beyond the 4,000 and 1.5 million words of old."""
+    docs = [(k, "w " * (2000 if k % 5 == 0 else 3) + f"x{k}", "en", "s", 1, None, None, None) for k in range(6000)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(6000)], "doc_id long, quality int, toxic int")
+    seen = []
+
+    def trained(texts, scratch):
+        seen.extend(texts.select("doc_id", F.regexp_count(F.col("bytes").cast("string"), F.lit("[^ ]+")).alias("n")).collect())
+        return texts.sparkSession.createDataFrame([], quality.MODEL)
+
+    monkeypatch.setattr(quality, "train", trained)
+    quality.judge(stored(docs_frame(spark, docs), tmp_path), labels)
+    out = {r.doc_id for r in labels.where(F.pmod(quality._draw(), F.lit(quality.HELD_OUT)) == 0).collect()}
+    assert sorted(r.doc_id for r in seen) == [k for k in range(6000) if k not in out]
+    assert len(seen) > 4000 and sum(r.n for r in seen) > 1_500_000
+
+
+def test_chunks_equal_a_plain_model(spark, small):
+    """Perplexities from a model joined to many chunks, in rounds, are those of a model in one place."""
+    docs, labels = (spark.read.parquet(f"{small}/{name}.parquet") for name in ("documents", "labels"))
+    trusted = labels.where("quality = 1 AND toxic = 0").where(F.pmod(quality._draw(), F.lit(quality.HELD_OUT)) != 0)
+    trained = {r.doc_id for r in trusted.collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    log = plain_model([text for doc_id, text in texts.items() if doc_id in trained])
+    rows = quality.judge(docs, labels, chunk_bytes=200_000).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        if not words(texts[r.doc_id]):
+            assert r.perplexity is None
+        else:
+            assert r.perplexity == pytest.approx(math.exp(-np.mean(log(texts[r.doc_id]))), rel=1e-9)
+
+
+def test_quantiles_are_exact(spark):
+    """Beyond the sketch's accuracy, with values that come often."""
+    values = [("a", float(k * k % 30_011)) for k in range(30_000)] + [("b", 1.0)] * 50 + [("b", 2.0)] + [(None, 3.0)]
+    found = quality.quantiles(spark.createDataFrame(values, "of string, perplexity double"), 0.98).collect()
+    a = sorted(v for of, v in values if of == "a")
+    assert {r.of: r.most for r in found} == {"a": a[math.ceil(0.98 * len(a)) - 1], "b": 1.0, None: 3.0}
