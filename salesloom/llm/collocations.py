@@ -50,6 +50,9 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 #: To small letters, one kind of end of a piece, one kind of blank.
 PLAIN = bytes.maketrans(UPPER.encode() + ENDS + b"\t", LOWER.encode() + b"\n" * len(ENDS) + b" ")
 
+#: What stands for the end of a piece among words, none of which holds one of ENDS.
+MARK = b"."
+
 #: Bytes of a text that are split at once, words that are counted at once.
 PART_BYTES = 1 << 20
 BATCH_WORDS = 1 << 19
@@ -93,14 +96,14 @@ class Vocabulary(dict):
     """Word to id; words that the bitmap lacks share one."""
 
     def __init__(self, lang: str, frequent: Bitmap):
-        super().__init__({b"\n": BREAK})
+        super().__init__({MARK: BREAK})
         self.lang, self.frequent = lang, frequent
         self.words, self.hashes = [b""] * FIRST_ID, [0] * FIRST_ID
 
     def __missing__(self, word: bytes) -> int:
         hashed = word_hash(self.lang, word)
         found = RARE
-        if self.frequent.holds(np.array([hashed], dtype=np.uint64))[0]:
+        if self.frequent.has(hashed):
             found = len(self.words)
             self.words.append(word)
             self.hashes.append(hashed)
@@ -122,8 +125,8 @@ class Tokens:
         if vocabulary is None:
             vocabulary = self.vocabularies[lang] = Vocabulary(lang, self.frequent)
         for part in parts_of(text):
-            tokens = list(filter(None, part.replace(b"\n", b" \n ").split(b" ")))
-            tokens.append(b"\n")
+            tokens = part.replace(b"\n", b" " + MARK + b" ").split()
+            tokens.append(MARK)
             self.waiting[lang].append(np.fromiter(map(vocabulary.__getitem__, tokens), dtype=np.uint32, count=len(tokens)))
             self.n_waiting[lang] += len(tokens)
             if self.n_waiting[lang] > BATCH_WORDS:

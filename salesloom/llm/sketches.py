@@ -41,13 +41,19 @@ class Bitmap:
     """The hashes of what can be frequent, modulo the number of bits."""
 
     def __init__(self, content: bytes):
-        self.content = np.frombuffer(content, dtype=np.uint8)
+        self.raw, self.content = content, np.frombuffer(content, dtype=np.uint8)
         self.mask = np.uint64(8 * len(content) - 1)
+        self.last = 8 * len(content) - 1
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         at = hashes & self.mask
         return (self.content[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
+    def has(self, hashed: int) -> bool:
+        """Whether it holds one hash, without an array of one."""
+        at = hashed & self.last
+        return self.raw[at >> 3] >> (at & 7) & 1 > 0
+
 
 def sketched(hashes: np.ndarray, counts: np.ndarray, ranges: int, least: int) -> pa.RecordBatch:
     """Hashes, sorted and distinct, by range: the rest of each in five bytes, its count, at most `least`, in one."""

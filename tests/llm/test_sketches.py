@@ -20,6 +20,7 @@ def test_bitmap(spark):
     assert len(bits.content) * 8 == sketches.LEAST_BITS
     assert bits.holds(hashes[:1000]).all()
     assert bits.holds(hashes[1000:2000]).sum() < 20
+    assert [bits.has(h) for h in hashes.tolist()] == bits.holds(hashes).tolist()
 
 
 def test_ranges_grow_with_the_text():
