@@ -216,9 +216,9 @@ def _scored(chunk: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 def _answers(asked: DataFrame, model: DataFrame) -> DataFrame:
-    """The weights of what chunks asked for, joined by hash."""
+    """The weights, in single precision, of what chunks asked for, joined by hash."""
     other = F.col("key").bitwiseXOR(F.lit(int(END)))
-    named = model.select(F.when(F.col("kind") < 0, other).otherwise(F.col("key")).alias("gram"), "kind", "weight")
+    named = model.select(F.when(F.col("kind") < 0, other).otherwise(F.col("key")).alias("gram"), "kind", F.col("weight").cast("float"))
     other = F.col("gram").bitwiseXOR(F.lit(int(END)))
     return asked.join(named, "gram").select("chunk", F.when(F.col("kind") < 0, other).otherwise(F.col("gram")).alias("key"), "weight")
 
