@@ -6,17 +6,22 @@ compared with a quantile of those of its own language, taken over the other trus
 documents, which the model has not seen; above it the document is rejected. A language
 without such documents takes the quantile of all of them. Quantiles are exact.
 
-Counts, continuation counts, contexts and discounts are aggregates and joins that are
-sharded by n-gram. What they give is one weight a n-gram and one a context, so that
+Counts, continuation counts, contexts and discounts are aggregates and windows that are
+sharded by context. What they give is one weight a n-gram and one a context, so that
 a word's probability is
 
     a3 + g3 * (a2 + g2 * (a1 + g1 / VOCABULARY))
 
-with a = 0 for an unknown n-gram and g = 1 for an unknown context. The model stays a table.
-Documents are dealt into chunks of bounded size; a chunk asks for its distinct words and
-pairs, then for trigrams whose parts the model has, by rows that are joined to the model by
-hash. The weights go back to the chunk, which sums its documents' logarithms. Chunks come
-in `ROUNDS`, and a round's shuffles go at its end, so that the disk holds a share of them.
+with a = 0 for an unknown n-gram and g = 1 for an unknown context. The model stays a table,
+in buckets by hash. Documents are dealt into chunks of bounded size; a chunk asks for its
+distinct words, pairs and trigrams by rows that are joined to the model's buckets, which are
+shuffled once for all chunks. A bitmap of bounded size leaves out what the model can't have;
+once it fills up, rows are asked in vain and no result changes. The weights go back to the
+chunk, which sums its documents' logarithms. Chunks come in `ROUNDS`, and a round's shuffles
+go at its end, so that the disk holds a share of them.
+
+An n-gram's name is the hash of its first word and, rotated, the name of the rest; a
+context's name has some bits turned.
 
 Words are runs of other bytes than white space, as they are written. Null texts and
 texts without words have no perplexity and are not rejected. A null language is a
@@ -26,15 +31,19 @@ several labels is trusted if all are good. Other columns are kept.
 
 from __future__ import annotations
 
-import functools
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import WORD, Scratch, free_name, mix, numbered, shuffles_removed, text_bytes, word_hashes
+from salesloom.llm.common import WORD, Scratch, free_name, numbered, partitions, shuffles_removed, text_bytes, word_hashes
+from salesloom.llm.sketches import Bitmap, bitmap_over
 
 #: Share of trusted documents that are never trained on.
 HELD_OUT = 4
@@ -44,7 +53,12 @@ ACCURACY = 10_000
 #: Words that there could be, each as likely where nothing else is known.
 VOCABULARY = 10_000_000
 #: Bytes of text behind one chunk, and the rounds that chunks come in.
-CHUNK_BYTES, ROUNDS = 4 << 20, 4
+CHUNK_BYTES, ROUNDS = 2 << 20, 4
+#: The model's rows behind one bucket, and the most buckets that Spark allows.
+BUCKET_ROWS, MOST_BUCKETS = 1 << 20, 100_000
+#: Texts whose trigrams are counted together before they are shuffled.
+COUNTED_TEXTS = 1_000
+TURN = 23
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 MODEL = "key long, weight double, kind byte"
@@ -52,12 +66,16 @@ ASKED = "chunk long not null, gram long not null"
 SCORED = "doc_id long, row long, lang string, perplexity double"
 
 
-def _name(*parts: np.ndarray) -> np.ndarray:
-    """A hash of an n-gram, which its length is part of."""
-    total = np.full(len(parts[0]), len(parts), dtype=np.uint64)
-    for part in parts:
-        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + part)
-    return total
+def _before(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Names of n-grams from those of their first words and of the rest."""
+    return first ^ (rest << np.uint64(TURN) | rest >> np.uint64(64 - TURN))
+
+
+def _name(context: Column, word: Column, length: int) -> Column:
+    """The same in a table: of an n-gram, from the name of all but its last word and that word."""
+    for _ in range(length - 1):
+        word = F.shiftleft(word, TURN).bitwiseOR(F.shiftrightunsigned(word, 64 - TURN))
+    return context.bitwiseXOR(word) if length > 1 else word
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,26 +93,29 @@ def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def keys_of(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     """Names of u v w, of v w, of w, and of the contexts u v and v, for each word and end; how many these are in each text."""
     run, at, lengths = padded(texts)
-    ones, twos = _name(run), _name(run[:-1], run[1:])
-    return [_name(run[at - 2], run[at - 1], run[at]), twos[at - 1], ones[at], twos[at - 2] ^ END, ones[at - 1] ^ END], lengths
+    twos = _before(run[:-1], run[1:])
+    return [_before(run[at - 2], twos[at - 1]), twos[at - 1], run[at], twos[at - 2] ^ END, run[at - 1] ^ END], lengths
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigrams u v w, each once for some texts, with its count there; u and v go by the name of both."""
     for batch in batches:
-        run, at, _ = padded(batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(run[at - k].view(np.int64)) for k in (2, 1, 0)], names=["u", "v", "w"])
+        for start in range(0, batch.num_rows, COUNTED_TEXTS):
+            run, at, _ = padded(batch.column(0).slice(start, COUNTED_TEXTS).to_pylist())
+            twos = _before(run[:-1], run[1:])
+            names = _before(run[at - 2], twos[at - 1])
+            order = np.argsort(names)
+            starts = np.flatnonzero(_new(names[order]))
+            at = at[order[starts]]
+            columns = [twos[at - 2].view(np.int64), run[at - 1].view(np.int64), run[at].view(np.int64), np.diff(starts, append=len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["uv", "v", "w", "n"])
 
 
-def _named(kind: int):
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            *words, weights = batch.columns
-            key = _name(*(word.to_numpy().view(np.uint64) for word in words))
-            key = (key ^ END if kind < 0 else key).view(np.int64)
-            kinds = pa.array(np.full(len(key), kind, dtype=np.int8))
-            yield pa.RecordBatch.from_arrays([pa.array(key), weights, kinds], names=["key", "weight", "kind"])
-
-    return named
+def _new(values: np.ndarray) -> np.ndarray:
+    """Which of sorted values differ from the one before."""
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    return new
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -105,138 +126,147 @@ def discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.1), k - 0.1) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
 
-def _weights(counts: DataFrame) -> DataFrame:
-    """(key, weight, kind) of n-grams and of their contexts, from columns of words and n.
+def _sums() -> dict[str, Column]:
+    n = F.col("n")
+    return {"total": F.sum("n"), "ones": F.count_if(n == 1), "twos": F.count_if(n == 2), "more": F.count_if(n > 2)}
+
+
+def _in_context(counts: DataFrame, context: str) -> DataFrame:
+    """n of words w, with what their context has in all; one row of each context is its `first`."""
+    having = Window.partitionBy(context)
+    sums = [column.over(having).alias(name) for name, column in _sums().items()]
+    return counts.select("*", *sums, (F.col("w") == F.min("w").over(having)).alias("first"))
+
+
+def _weights(counts: DataFrame, length: int) -> DataFrame:
+    """(key, weight, kind) of n-grams and of their contexts, from their counts in their context, the first column.
 
     The kind is the number of words, below zero for contexts.
     """
-    *words, _ = counts.columns
-    context, length = words[:-1], len(words)
+    context = F.col(counts.columns[0])
     ds = discounts(counts)
     n = F.col("n")
     discount = F.when(n == 1, ds[0]).when(n == 2, ds[1]).otherwise(ds[2])
-    free = sum(F.lit(d) * F.count_if(having) for d, having in zip(ds, (n == 1, n == 2, n > 2)))
-    sums = F.sum("n").alias("total"), free.alias("free")
-    left = (F.col("free") / F.col("total")).alias("weight")
-    if context:
-        # Contexts and their join read all columns of one shuffle, so that Spark writes it once.
-        counts = counts.repartition(*context)
-        totals = counts.groupBy(*context).agg(*sums)
-        grams = counts.join(totals, context)
-        contexts = totals.select(*context, left).mapInArrow(_named(1 - length), MODEL)
-    else:
-        totals = counts.agg(*sums).where("total > 0")
-        grams = counts.crossJoin(F.broadcast(totals))
-        contexts = totals.select(F.lit(0).cast("long").alias("key"), left, F.lit(0).cast("byte").alias("kind"))
-    grams = grams.select(*words, ((n - discount) / F.col("total")).alias("weight"))
-    return grams.mapInArrow(_named(length), MODEL).unionByName(contexts)
+    key = _name(context, F.col("w"), length).alias("key")
+    grams = counts.select(key, ((n - discount) / F.col("total")).alias("weight"), F.lit(length).cast("byte").alias("kind"))
+    left = (sum(F.lit(d) * F.col(name) for d, name in zip(ds, ("ones", "twos", "more"))) / F.col("total")).alias("weight")
+    key = context.bitwiseXOR(F.lit(int(END))) if length > 1 else F.lit(0).cast("long")
+    return grams.unionByName(counts.where("first").select(key.alias("key"), left, F.lit(1 - length).cast("byte").alias("kind")))
 
 
 def train(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, weight, kind) of the model, from texts in column `bytes`; key 0 holds what is left to unknown words."""
-    words = texts.select("bytes").mapInArrow(_exploded, "u long, v long, w long")
+    """(key, weight, kind) of the model, from texts in column `bytes`; key 0 holds what is left to unknown words.
+
+    It reads the tables counts-1, counts-2 and counts-3.
+    """
     with shuffles_removed(scratch.spark):
-        counts = scratch.table(words.groupBy("u", "v", "w").agg(F.count("*").alias("n")), "counts-3")
-        for shorter in (["v", "w"], ["w"], []):
-            model = scratch.table(_weights(counts), "model", "append")
-            if shorter:
-                # Lower orders count the different words before an n-gram.
-                counts = scratch.table(counts.groupBy(*shorter).agg(F.count("*").alias("n")), f"counts-{len(shorter)}")
-            scratch.remove(f"counts-{len(shorter) + 1}")
-    return model
-
-
-def sharded(keys: np.ndarray, weights: np.ndarray, shards: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The weights by the leading bits of their keys, each shard sorted by key."""
-    of = _shard(keys, shards)
-    parts = [np.flatnonzero(of == shard) for shard in range(shards)]
-    parts = [part[np.argsort(keys[part])] for part in parts]
-    return [(keys[part], weights[part]) for part in parts]
-
-
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
-def look_up(model: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray, otherwise: float) -> np.ndarray:
-    """Joins keys to the model's weights, shard by shard."""
-    found = np.full(len(keys), otherwise)
-    of = _shard(keys, len(model))
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(len(model) + 1))
-    for (known, weights), start, end in zip(model, ends, ends[1:]):
-        if start == end or not len(known):
-            continue
-        rows = order[start:end]
-        place = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
-        hit = known[place] == keys[rows]
-        found[rows[hit]] = weights[place[hit]]
-    return found
+        words = texts.select("bytes").mapInArrow(_exploded, "uv long, v long, w long, n long").repartition("uv")
+        three = scratch.table(_in_context(words.groupBy("uv", "v", "w").agg(F.sum("n").alias("n")), "uv"), "counts-3")
+        # Lower orders count the different words before an n-gram.
+        two = scratch.table(_in_context(three.groupBy("v", "w").agg(F.count("*").alias("n")), "v"), "counts-2")
+        one = scratch.table(two.groupBy("w").agg(F.count("*").alias("n")), "words")
+        totals = one.agg(*(column.alias(name) for name, column in _sums().items()), F.min("w").alias("least")).where("total > 0")
+        one = scratch.table(one.crossJoin(F.broadcast(totals)).withColumn("first", F.expr("w = least")), "counts-1")
+    return _weights(three, 3).unionByName(_weights(two, 2)).unionByName(_weights(one, 1))
 
 
-def log_probabilities(model: list[tuple[np.ndarray, np.ndarray]], keys: list[np.ndarray]) -> np.ndarray:
+def sharded(keys: np.ndarray, weights: np.ndarray) -> tuple[pd.Index, np.ndarray]:
+    """The weights by their keys, which a hash table finds."""
+    return pd.Index(keys.view(np.int64)), weights
+
+
+def look_up(model: tuple[pd.Index, np.ndarray], keys: np.ndarray, otherwise: float) -> np.ndarray:
+    """Joins keys to the model's weights."""
+    known, weights = model
+    if not len(known):
+        return np.full(len(keys), otherwise)
+    place = known.get_indexer(keys.view(np.int64))
+    return np.where(place < 0, otherwise, weights[place])
+
+
+def log_probabilities(model: tuple[pd.Index, np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
     a3, a2, a1 = (look_up(model, k, 0.0) for k in keys[:3])
     g3, g2 = (look_up(model, k, 1.0) for k in keys[3:])
     unknown = look_up(model, np.zeros(1, dtype=np.uint64), 1.0)[0]
     return np.log(a3 + g3 * (a2 + g2 * (a1 + unknown / VOCABULARY)))
 
 
-def perplexities(texts: list[bytes], model: list[tuple[np.ndarray, np.ndarray]]) -> list[float | None]:
+def perplexities(texts: list[bytes], model: tuple[pd.Index, np.ndarray]) -> list[float | None]:
     """exp of the mean negative log probability of a text's words and its end; None without words."""
     keys, lengths = keys_of(texts)
     sums = np.add.reduceat(log_probabilities(model, keys), np.cumsum(lengths) - lengths)
     return [float(np.exp(-s / n)) if n > 1 else None for s, n in zip(sums, lengths)]
 
 
-def _asking(chunk: pa.Table, grams: np.ndarray) -> pa.Table:
-    grams = np.unique(grams).view(np.int64)
-    return pa.table({"chunk": np.full(len(grams), chunk.column("chunk")[0].as_py(), dtype=np.int64), "gram": grams})
-
-
-def _first(chunk: pa.Table) -> pa.Table:
-    """Words and pairs, as such or as contexts, and what is left to unknown words."""
-    (_, vw, w, uv_, v_), _ = keys_of(chunk.column("bytes").to_pylist())
-    return _asking(chunk, np.concatenate([vw, w, uv_ ^ END, v_ ^ END, np.zeros(1, dtype=np.uint64)]))
+def _asking(content: Broadcast):
+    """Words, pairs and trigrams, as such or as contexts, that the model can have, and what is left to unknown words."""
 
+    def asking(chunk: pa.Table) -> pa.Table:
+        (uvw, vw, w, uv_, v_), _ = keys_of(chunk.column("bytes").to_pylist())
+        held = Bitmap(content.value)
+        uv, v = uv_ ^ END, v_ ^ END
+        pairs, contexts = held.holds(vw), held.holds(uv)
+        uvw = uvw[pairs & contexts]
+        asked = [uvw[held.holds(uvw)], vw[pairs], uv[contexts], w[held.holds(w)], v[held.holds(v)], np.zeros(1, dtype=np.uint64)]
+        grams = np.sort(np.concatenate(asked))
+        grams = grams[_new(grams)].view(np.int64)
+        return pa.table({"chunk": np.full(len(grams), chunk.column("chunk")[0].as_py(), dtype=np.int64), "gram": grams})
 
-def _model_of(answers: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    return sharded(answers.column("key").to_numpy().view(np.uint64), answers.column("weight").to_numpy())
-
-
-def _longest(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-    """Trigrams; the model has none without its pair and its context."""
-    (uvw, vw, _, uv_, _), _ = keys_of(chunk.column("bytes").to_pylist())
-    model = _model_of(answers)
-    return _asking(chunk, uvw[(look_up(model, vw, 0.0) > 0) & (look_up(model, uv_, 0.0) > 0)])
+    return asking
 
 
 def _scored(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-    found = pa.array(perplexities(chunk.column("bytes").to_pylist(), _model_of(answers)), pa.float64())
+    grams = answers.column("gram").to_numpy().view(np.uint64)
+    weights, left = (answers.column(name).to_numpy().astype(np.float64) for name in ("weight", "left"))
+    known, contexts = ~np.isnan(weights), ~np.isnan(left)
+    model = sharded(np.concatenate([grams[known], grams[contexts] ^ END]), np.concatenate([weights[known], left[contexts]]))
+    found = pa.array(perplexities(chunk.column("bytes").to_pylist(), model), pa.float64())
     return chunk.select(["doc_id", "row", "lang"]).append_column("perplexity", found)
 
 
-def _answers(asked: DataFrame, model: DataFrame) -> DataFrame:
-    """The weights, in single precision, of what chunks asked for, joined by hash."""
-    other = F.col("key").bitwiseXOR(F.lit(int(END)))
-    named = model.select(F.when(F.col("kind") < 0, other).otherwise(F.col("key")).alias("gram"), "kind", F.col("weight").cast("float"))
-    other = F.col("gram").bitwiseXOR(F.lit(int(END)))
-    return asked.join(named, "gram").select("chunk", F.when(F.col("kind") < 0, other).otherwise(F.col("gram")).alias("key"), "weight")
+@contextmanager
+def bucketed(model: DataFrame, scratch: Scratch) -> Iterator[DataFrame]:
+    """The model in single precision, in buckets by `gram`: its weight as an n-gram, and what it leaves as a context.
+
+    The table is in the session's catalog while the block lasts, its files in the scratch folder.
+    """
+    spark, name = scratch.spark, f"salesloom_quality_{uuid.uuid4().hex}"
+    buckets = min(max(partitions(spark), -(-model.count() // BUCKET_ROWS)), MOST_BUCKETS)
+    context = F.col("kind") < 0
+    gram = F.when(context, F.col("key").bitwiseXOR(F.lit(int(END)))).otherwise(F.col("key"))
+    weight = F.col("weight").cast("float")
+    named = model.select(gram.alias("gram"), F.when(~context, weight).alias("weight"), F.when(context, weight).alias("left"))
+    rows = named.repartition(buckets, "gram").groupBy("gram").agg(F.max("weight").alias("weight"), F.max("left").alias("left"))
+    place = f"{scratch.folder}/model".replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {name} (gram BIGINT, weight FLOAT, `left` FLOAT) USING parquet OPTIONS (compression 'zstd') "
+        f"CLUSTERED BY (gram) INTO {buckets} BUCKETS LOCATION '{place}'"
+    )
+    try:
+        with shuffles_removed(spark):
+            rows.write.insertInto(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        scratch.remove("model")
 
 
 def score(rows: DataFrame, model: DataFrame, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, row, lang and perplexity of all rows, which have their texts in column `bytes`."""
+    """doc_id, row, lang and perplexity of all rows, which have their texts in column `bytes`, under a bucketed model."""
+    spark = scratch.spark
+    with shuffles_removed(spark):
+        content = spark.sparkContext.broadcast(bitmap_over(model.select("gram"), model.count()))
     size = rows.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
     rounds = min(ROUNDS, chunks)
     for turn in range(rounds):
-        with shuffles_removed(scratch.spark):
+        with shuffles_removed(spark):
             chunk = dealt.where(F.pmod("chunk", F.lit(rounds)) == turn).repartition("chunk").groupBy("chunk")
-            known = scratch.table(_answers(chunk.applyInArrow(_first, ASKED), model.where("kind < 3")), f"known-{turn}").repartition("chunk")
-            asked = chunk.cogroup(known.groupBy("chunk")).applyInArrow(_longest, ASKED)
-            known = known.unionByName(_answers(asked, model.where("kind = 3")).repartition("chunk"))
+            # A bucket is of bounded size, so that tasks can hold it in a hash table.
+            known = chunk.applyInArrow(_asking(content), ASKED).join(model.hint("shuffle_hash"), "gram").repartition("chunk")
             found = scratch.table(chunk.cogroup(known.groupBy("chunk")).applyInArrow(_scored, SCORED), "scored", "append")
-        scratch.remove(f"known-{turn}")
+    content.destroy()
     return found
 
 
@@ -297,7 +327,9 @@ def judge(
     if train_docs is not None or train_words is not None:
         texts = _sampled(texts, scratch, train_docs, train_words)
 
-    scored = score(rows, train(texts, scratch), scratch, chunk_bytes)
+    with bucketed(train(texts, scratch), scratch) as model:
+        scratch.remove("counts-1", "counts-2", "counts-3", "words")
+        scored = score(rows, model, scratch, chunk_bytes)
     unseen = scored.join(trusted.where("held_out"), "doc_id", "left_semi").where("perplexity is not null")
     by_language = quantiles(unseen.select(F.col("lang").alias("of"), "perplexity"), quantile).withColumnRenamed("most", "own")
     overall = quantiles(unseen.select(F.lit("").alias("of"), "perplexity"), quantile).first()

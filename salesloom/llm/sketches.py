@@ -9,6 +9,8 @@ asks has to decide by other means about what passes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +24,9 @@ BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 28
 HASH_BITS = 48
 RANGE_BYTES, LEAST_RANGES = 1 << 24, 1 << 8
 
+#: Bits of a page, and hashes of a task that are dealt to pages at once.
+PAGE_BITS, PLACED_HASHES = 1 << 16, 1 << 22
+
 SKETCH = "range long, hashes binary, counts binary"
 
 
@@ -98,3 +103,46 @@ def bitmap_of(sketches: DataFrame, ranges: int, least: int, scratch: Scratch, na
     for page in pages.collect():
         content[(page.page - 1) * len(page.bits) : page.page * len(page.bits)] = page.bits
     return bytes(content)
+
+
+def _placed(bits: int):
+    """The set bits of each page, two bytes each."""
+
+    def pages(hashes: list[np.ndarray]) -> pa.RecordBatch:
+        at = np.sort((np.concatenate(hashes) & np.int64(bits - 1)).astype(np.uint32))
+        number = at // np.uint32(PAGE_BITS)
+        edges = np.flatnonzero(np.diff(number, prepend=-1, append=1 << 32))
+        within = (at % np.uint32(PAGE_BITS)).astype("<u2")
+        places = pa.array([within[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(number[edges[:-1]].astype(np.int32)), places], names=["page", "places"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            if sum(map(len, held)) >= PLACED_HASHES:
+                yield pages(held)
+                held = []
+        if held:
+            yield pages(held)
+
+    return placed
+
+
+def _page(pages: pa.Table) -> pa.Table:
+    bits = np.zeros(PAGE_BITS, dtype=np.uint8)
+    for places in pages.column("places").to_pylist():
+        bits[np.frombuffer(places, dtype="<u2")] = 1
+    return pa.table({"page": pages.column("page")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def bitmap_over(hashes: DataFrame, n: int) -> bytes:
+    """A bit for each of n hashes, the one column, however many they are; at most MOST_BITS come to the driver."""
+    bits = LEAST_BITS
+    while bits < min(BITS_EACH * n, MOST_BITS):
+        bits *= 2
+    pages = hashes.mapInArrow(_placed(bits), "page int, places binary").groupBy("page").applyInArrow(_page, "page int, bits binary")
+    content = bytearray(bits // 8)
+    for page in pages.collect():
+        content[page.page * PAGE_BITS // 8 : (page.page + 1) * PAGE_BITS // 8] = page.bits
+    return bytes(content)

@@ -4,12 +4,14 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import docs_frame, stored, words
 from pyspark.sql import functions as F
 
 from salesloom.llm import quality
 from salesloom.llm.common import Scratch
+from salesloom.llm.sketches import bitmap_over
 
 
 def plain_model(texts):
@@ -178,3 +180,32 @@ def test_quantiles_are_exact(spark):
     found = quality.quantiles(spark.createDataFrame(values, "of string, perplexity double"), 0.98).collect()
     a = sorted(v for of, v in values if of == "a")
     assert {r.of: r.most for r in found} == {"a": a[math.ceil(0.98 * len(a)) - 1], "b": 1.0, None: 3.0}
+
+
+def test_model_is_shuffled_once(spark, small):
+    """The rounds' joins read the model's buckets as they lie: what is shuffled is rows asked, and no model row twice."""
+    docs, scratch = spark.read.parquet(f"{small}/documents.parquet").limit(200), Scratch(spark, "test")
+    weights = quality.train(docs.select(F.col("text").cast("binary").alias("bytes")), scratch)
+    with quality.bucketed(weights, scratch) as model:
+        found = {r.gram: r for r in model.collect()}
+        keys = {r.key: r for r in weights.collect()}
+        assert sum((r.weight is not None) + (r.left is not None) for r in found.values()) == len(keys)
+        asked = spark.range(100_000).select(F.col("id").alias("gram")).hint("merge")
+        plan = asked.join(model.hint("shuffle_hash"), "gram")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(gram") <= 1 and "Bucketed: true" in plan
+    assert not spark.catalog.listTables(pattern="salesloom_quality_*")
+
+
+def test_asks_for_what_the_model_can_have(spark):
+    """Without a bitmap that is full, a chunk asks for no trigram, pair or word that the model lacks."""
+    weights = quality.train(spark.createDataFrame([(b"a b c",)], "bytes binary"), Scratch(spark, "test"))
+    grams = weights.select(F.when(F.col("kind") < 0, F.col("key").bitwiseXOR(F.lit(int(quality.END)))).otherwise(F.col("key")).alias("gram"))
+    content = spark.sparkContext.broadcast(bitmap_over(grams, 20))
+    chunk = pa.table({"chunk": [7], "bytes": pa.array([b"x a b y z " + b"q r s " * 50], pa.binary())})
+    asked = quality._asking(content)(chunk)
+    # "a", "b", "a b", the beginning as contexts, the end, and what is left to unknown words.
+    (uvw, vw, w, uv_, v_), _ = quality.keys_of([b"a b"])
+    expected = {0, *(int(k) for k in (w.view(np.int64)[[0, 1, 2]])), int(vw.view(np.int64)[1])}
+    expected |= {int((uv_ ^ quality.END).view(np.int64)[0]), int((v_ ^ quality.END).view(np.int64)[0])}
+    assert set(asked.column("gram").to_pylist()) == expected
+    assert set(asked.column("chunk").to_pylist()) == {7}

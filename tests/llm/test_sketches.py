@@ -1,6 +1,7 @@
 """Sketches of hashes and the bitmap made of them."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from salesloom.llm import sketches
 from salesloom.llm.common import Scratch
@@ -26,3 +27,14 @@ def test_bitmap(spark):
 def test_ranges_grow_with_the_text():
     assert sketches.ranges_for(0) == sketches.LEAST_RANGES
     assert sketches.ranges_for(10**14) >= 10**14 / sketches.RANGE_BYTES
+
+
+def test_bitmap_over_many_hashes(spark):
+    """Every hash is held, over all pages and in several tasks, and few others are."""
+    hashes = spark.range(20_000, numPartitions=4).select(F.xxhash64("id").alias("hash")).union(spark.createDataFrame([(0,), (-1,)], "hash long"))
+    held = sketches.Bitmap(sketches.bitmap_over(hashes, 20_002))
+    found = np.array([r.hash for r in hashes.collect()]).view(np.uint64)
+    assert held.holds(found).all()
+    others = spark.range(50_000, 90_000).select(F.xxhash64("id").alias("hash"))
+    assert held.holds(np.array([r.hash for r in others.collect()]).view(np.uint64)).mean() < 0.03
+    assert len(sketches.bitmap_over(hashes.limit(0), 0)) == sketches.LEAST_BITS // 8
